@@ -194,11 +194,13 @@ def in_last_months(created_on: Column, as_of: Column, months: int = 12) -> Colum
     return F.try_to_date(created_on, "yyyy-MM-dd") >= F.add_months(as_of, -months)
 
 
-def leak_check(chunks: DataFrame, text_col: str = "chunk") -> DataFrame:
-    """Chunks still carrying a national id, and NULL chunks (Q4)."""
+def leak_check(chunks: DataFrame, text_col: str = "chunk", raw_col: str | None = None) -> DataFrame:
+    """Chunks still carrying a national id, NULL chunks (Q4) and,
+    when ``raw_col`` is given, ids present before the scrub - one pass."""
     c = F.col(text_col)
-    return chunks.agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.count(F.when(X.has_national_id(c), F.lit(1))).alias("leaks"),
-        F.count(F.when(c.isNull(), F.lit(1))).alias("null_chunks"),
-    )
+    aggs = [F.count(F.lit(1)).alias("n_chunks"),
+            F.count(F.when(X.has_national_id(c), F.lit(1))).alias("leaks"),
+            F.count(F.when(c.isNull(), F.lit(1))).alias("null_chunks")]
+    if raw_col:
+        aggs.append(F.count(F.when(X.has_national_id(F.col(raw_col)), F.lit(1))).alias("raw_ids"))
+    return chunks.agg(*aggs)

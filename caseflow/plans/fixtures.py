@@ -208,3 +208,65 @@ def sop_rows() -> list[tuple[str, str, str]]:
 def sop(spark: SparkSession) -> DataFrame:
     """Literal procedure chunks ``(chunk_id, sop_title, chunk)``."""
     return spark.createDataFrame(sop_rows(), "chunk_id string, sop_title string, chunk string")
+
+
+# ---------------------------------------------------------------------------
+# Operational event logs (from ``events``) and chat (from ``conversations``)
+# ---------------------------------------------------------------------------
+
+def case_keys(t: Tables) -> DataFrame:
+    """``(o_orderkey, case_ref)`` straight from orders (no line items needed)."""
+    return t.orders.select("o_orderkey", F.concat(
+        F.lit("SGCON/"), F.year("o_orderdate").cast("string"), F.lit("/"),
+        (F.lit(10000) + F.col("o_orderkey")).cast("string")).alias("case_ref"))
+
+
+def _events_on_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    ev = t.events.select("event_id", "ts", "user_id", "event_type", "props")
+    return ev.join(case_keys(t), ev["user_id"] == F.col("o_orderkey"), "inner")
+
+
+def event_status(event_type: Column) -> Column:
+    return (F.when(event_type == "purchase", F.lit("Closed"))
+            .when(event_type == "error", F.lit("On Hold"))
+            .when(event_type == "signup", F.lit("Pending"))
+            .otherwise(F.lit("In Progress")))
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_on_cases(spark, sf_dir)
+    return e.select("case_ref", event_status(F.col("event_type")).alias("status"),
+                    F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_on_cases(spark, sf_dir)
+    return e.select("case_ref", (F.col("event_id") % 5).cast("int").alias("idx"),
+                    (F.col("event_type") != "error").alias("done"), F.lit("officer").alias("by"),
+                    F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events_on_cases(spark, sf_dir)
+    return e.select("case_ref", F.col("event_type").alias("author"), F.col("props").alias("note"),
+                    F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def thread_map_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = Tables(spark, sf_dir).events
+    return ev.select(F.col("user_id").alias("conv_id"),
+                     F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("genie_conv_id"),
+                     F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat log: ``turn`` stands for time; user e-mail derived from the id."""
+    from caseflow.operators.routing import rule_route
+    cv = Tables(spark, sf_dir).conversations
+    return cv.select(
+        "conv_id",
+        F.concat(F.lit("officer"), (F.col("conv_id") % 7).cast("string"), F.lit("@example.org")).alias("user_email"),
+        "role", F.col("text").alias("content"),
+        F.when(F.col("role") == "user", rule_route(F.col("text"))).alias("route"),
+        F.col("turn").alias("created_at"), F.col("turn").alias("seq"))

@@ -123,6 +123,8 @@ def sop_values_sql() -> str:
 
 def sql_with(body: str, ctes: list[str]) -> str:
     """Prefix ``ctes`` to ``body`` (which must not start with WITH)."""
+    if not ctes:
+        return body.lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
@@ -132,3 +134,37 @@ def on_threads(body: str, *extra: str) -> str:
 
 def on_cases(body: str, *extra: str) -> str:
     return sql_with(body, GOLD + list(extra))
+
+
+CASE_KEYS = """case_keys AS (
+  SELECT o_orderkey, 'SGCON/' || CAST(year(o_orderdate) AS VARCHAR) || '/' || CAST(10000 + o_orderkey AS VARCHAR)
+         AS case_ref FROM orders)"""
+
+EV = """ev AS (
+  SELECT e.event_id, e.ts, e.user_id, e.event_type, e.props, k.case_ref
+  FROM events e JOIN case_keys k ON e.user_id = k.o_orderkey)"""
+
+STATUS_EVENTS = """status_events AS (
+  SELECT case_ref, CASE event_type WHEN 'purchase' THEN 'Closed' WHEN 'error' THEN 'On Hold'
+                   WHEN 'signup' THEN 'Pending' ELSE 'In Progress' END AS status,
+         ts AS at_, event_id AS seq FROM ev)"""
+
+STEP_EVENTS = """step_events AS (
+  SELECT case_ref, CAST(event_id % 5 AS INTEGER) AS idx, event_type <> 'error' AS done,
+         'officer' AS by_, ts AS at_, event_id AS seq FROM ev)"""
+
+NOTE_EVENTS = """note_events AS (
+  SELECT case_ref, event_type AS author, props AS note, ts AS at_, event_id AS seq FROM ev)"""
+
+ROUTE_SQL = (r"CASE WHEN regexp_matches(text, '\[(SGCON/[0-9]{4}/[0-9]+)\]') THEN 'case_lookup' "
+             r"WHEN regexp_matches(text, '(?i)\b(procedure|procedures|sop|protocol|steps?)\b') THEN 'procedure' "
+             r"WHEN regexp_matches(text, '(?i)\b(similar|past cases|previous cases|like this)\b') THEN 'similar' "
+             r"ELSE 'structured' END")
+
+CHAT = f"""chat AS (
+  SELECT conv_id, 'officer' || CAST(conv_id % 7 AS VARCHAR) || '@example.org' AS user_email, role,
+         text AS content, CASE WHEN role = 'user' THEN {ROUTE_SQL} END AS route,
+         turn AS created_at, turn AS seq
+  FROM conversations)"""
+
+EVENTS = [CASE_KEYS, EV, STATUS_EVENTS, STEP_EVENTS, NOTE_EVENTS]
