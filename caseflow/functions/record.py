@@ -147,15 +147,15 @@ def safe_checksum(exprs: Mapping[str, Column], cols: list[str]) -> Column:
     return F.sha2(F.to_json(st), 256)
 
 
-def map_to_record(df: DataFrame, field_exprs: Mapping[str, Column], *,
-                  loaded_at: Column | None = None, compat_checksum: bool = False) -> DataFrame:
-    """Project ``df`` onto the fixed record schema by name.
+def record_columns(field_exprs: Mapping[str, Column], *, loaded_at: Column | None = None,
+                   compat_checksum: bool = False) -> list[Column]:
+    """The 52 record columns as Columns, by name.
 
     ``field_exprs`` maps record column -> Column (extracted fields, keys); the
     system defaults of :data:`SYSTEM_VALUES` are added, load-time columns come
     from ``loaded_at`` (default ``current_timestamp()``), and any column with no
     expression becomes a typed NULL. The checksum is computed from the same
-    expressions, so it is one projection, not a second pass.
+    expressions, so it is part of one projection, not a second pass.
     """
     loaded = loaded_at if loaded_at is not None else F.current_timestamp()
     exprs: dict[str, Column] = {k: F.lit(v) for k, v in SYSTEM_VALUES.items()}
@@ -164,11 +164,13 @@ def map_to_record(df: DataFrame, field_exprs: Mapping[str, Column], *,
     exprs["Modified_On"] = F.date_format(loaded, "yyyy-MM-dd HH:mm:ss")
     exprs.update(field_exprs)
     exprs["Do_Not_Modify_Row_Checksum"] = row_checksum(exprs, business_columns(compat_checksum))
-    out = []
-    for name, typ in RECORD_COLUMNS:
-        e = exprs.get(name, F.lit(None))
-        out.append(e.cast(typ).alias(name))
-    return df.select(*out)
+    return [exprs.get(name, F.lit(None)).cast(typ).alias(name) for name, typ in RECORD_COLUMNS]
+
+
+def map_to_record(df: DataFrame, field_exprs: Mapping[str, Column], *,
+                  loaded_at: Column | None = None, compat_checksum: bool = False) -> DataFrame:
+    """Project ``df`` onto the fixed record schema by name."""
+    return df.select(*record_columns(field_exprs, loaded_at=loaded_at, compat_checksum=compat_checksum))
 
 
 def check_record_schema(df: DataFrame) -> list[str]:

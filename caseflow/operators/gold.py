@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import record as R
@@ -44,3 +46,25 @@ def build_gold(record: DataFrame, enrichment: DataFrame, *,
         F.coalesce(F.col("MFA_Ref"), F.col("Case_Ref")).alias("Case_Id"),
         X.resolution_days(F.col("Case_Status"), F.col("_e_text"), resolution_method).alias("Resolution_Days"),
     )
+
+
+def build_gold_staged(staged: DataFrame, record_exprs: Mapping[str, Column], *,
+                      loaded_at: Column | None = None, text_col: str = "parsed_text",
+                      enrichment_col: str = "e", resolution_method: str = "text") -> DataFrame:
+    """Gold in one projection when both model outputs sit on the bronze row.
+
+    Calling the layer-1 and layer-2 models in the same pass over bronze (one
+    staged table with both structs) makes the gold join unnecessary: record
+    mapping, the 11 enrichment fields, ``Case_Id`` and ``Resolution_Days`` are
+    all column expressions over that row. Same columns as :func:`build_gold`.
+    """
+    rec = R.record_columns(record_exprs, loaded_at=loaded_at)
+    names = [n for n, _ in R.RECORD_COLUMNS]
+    mapped = staged.select(*rec, F.col(enrichment_col).alias("_e"), F.col(text_col).alias("_text"))
+    mapped = mapped.where(F.col("Case_Ref").isNotNull())
+    return mapped.select(
+        *names,
+        *[F.col("_e").getField(n).alias(n) for n, _ in R.L2_FIELDS],
+        F.coalesce(F.col("MFA_Ref"), F.col("Case_Ref")).alias("Case_Id"),
+        X.resolution_days(F.col("Case_Status"), F.col("_text"), resolution_method).alias("Resolution_Days"),
+    )

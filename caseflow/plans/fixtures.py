@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import record as R
 from caseflow.functions import text as X
-from caseflow.operators.gold import build_gold
+from caseflow.operators.gold import build_gold, build_gold_staged
 from caseflow.sources.tables import Tables
 
 # The six case types, in reference order.
@@ -93,8 +93,8 @@ def status_of(code: Column) -> Column:
             .when(code == "P", F.lit("Pending")))
 
 
-def l1_model_stand_in(th: DataFrame) -> DataFrame:
-    """``(case_ref, parsed_text, js)``: the layer-1 struct a model would return."""
+def l1_struct() -> Column:
+    """The layer-1 struct a model would return, derived from the thread's facts."""
     fields = {
         "Title_Name": F.col("c_name"),
         "Case_Type": F.col("case_type"),
@@ -113,24 +113,14 @@ def l1_model_stand_in(th: DataFrame) -> DataFrame:
         "Registrant": F.col("c_name"),
         "Created_On": F.date_format("o_orderdate", "yyyy-MM-dd"),
     }
-    js = F.struct(*[fields.get(f, F.lit(None).cast("string")).alias(f) for f in R.L1_FIELDS])
-    return th.select("case_ref", "parsed_text", js.alias("js"))
-
-
-def record_from_l1(l1: DataFrame, loaded_at: str = FIXTURE_LOADED_AT) -> DataFrame:
-    """X12/X13 mapping of extracted fields; ``Case_Type`` from the subject (X11)."""
-    exprs = {f: F.col("js").getField(f) for f in R.L1_FIELDS}
-    exprs["Case_Ref"] = F.col("case_ref")
-    exprs["Do_Not_Modify_Case"] = F.col("case_ref")
-    exprs["Case_Type"] = X.subject_case_type(F.col("parsed_text"))
-    return R.map_to_record(l1, exprs, loaded_at=F.to_timestamp(F.lit(loaded_at)))
+    return F.struct(*[fields.get(f, F.lit(None).cast("string")).alias(f) for f in R.L1_FIELDS])
 
 
-def l2_model_stand_in(th: DataFrame) -> DataFrame:
-    """``(case_ref, parsed_text, e)``: layer-1 tags and layer-2 text stand-in."""
+def l2_struct() -> Column:
+    """Layer-1 tags and layer-2 text a model would return."""
     scam = (F.col("o_custkey") % 10) < 2
     empty = F.array().cast("array<string>")
-    e = F.struct(
+    return F.struct(
         F.col("n_name").alias("L1_Country"),
         F.when(~scam, F.col("r_name")).alias("L1_Mission"),
         F.when(scam, F.lit("Scam")).otherwise(F.upper(F.col("case_type"))).alias("L1_Case_Type"),
@@ -145,11 +135,45 @@ def l2_model_stand_in(th: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("L2_External_Resources"),
         F.lit(None).cast("string").alias("L2_Lessons_Learnt"),
     )
-    return th.select("case_ref", "parsed_text", e.alias("e"))
+
+
+def l1_model_stand_in(th: DataFrame) -> DataFrame:
+    """Layer-1 stage ``(case_ref, parsed_text, js)``."""
+    return th.select("case_ref", "parsed_text", l1_struct().alias("js"))
+
+
+def l2_model_stand_in(th: DataFrame) -> DataFrame:
+    """Layer-2 stage ``(case_ref, parsed_text, e)``."""
+    return th.select("case_ref", "parsed_text", l2_struct().alias("e"))
+
+
+def staged_models(th: DataFrame) -> DataFrame:
+    """Both model outputs on the bronze row ``(case_ref, parsed_text, js, e)``:
+    one pass over bronze instead of one stage per model."""
+    return th.select("case_ref", "parsed_text", l1_struct().alias("js"), l2_struct().alias("e"))
+
+
+def record_exprs() -> dict:
+    """X12/X13 mapping of extracted fields; ``Case_Type`` from the subject (X11)."""
+    exprs = {f: F.col("js").getField(f) for f in R.L1_FIELDS}
+    exprs["Case_Ref"] = F.col("case_ref")
+    exprs["Do_Not_Modify_Case"] = F.col("case_ref")
+    exprs["Case_Type"] = X.subject_case_type(F.col("parsed_text"))
+    return exprs
+
+
+def record_from_l1(l1: DataFrame, loaded_at: str = FIXTURE_LOADED_AT) -> DataFrame:
+    return R.map_to_record(l1, record_exprs(), loaded_at=F.to_timestamp(F.lit(loaded_at)))
 
 
 def cases(spark: SparkSession, sf_dir: str, *, loaded_at: str = FIXTURE_LOADED_AT) -> DataFrame:
-    """Gold surrogate: 65 columns, one row per order."""
+    """Gold surrogate: 65 columns, one row per order, in one pass over bronze."""
+    th = threads(spark, sf_dir)
+    return build_gold_staged(staged_models(th), record_exprs(), loaded_at=F.to_timestamp(F.lit(loaded_at)))
+
+
+def cases_joined(spark: SparkSession, sf_dir: str, *, loaded_at: str = FIXTURE_LOADED_AT) -> DataFrame:
+    """Same gold through the stage-per-model path: record ⋈ enrichment."""
     th = threads(spark, sf_dir)
     record = record_from_l1(l1_model_stand_in(th), loaded_at)
     return build_gold(record, l2_model_stand_in(th))

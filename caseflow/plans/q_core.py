@@ -64,8 +64,8 @@ SELECT Case_Ref, Case_Id, Case_Type, Case_Status, Case_Handler, Assigned_HCG, L1
        L2_Complications_Delays, Resolution_Days, Created_On
 FROM cases"""), ops=("J1", "X17", "X18", "K1"))
 def gold_build(spark, d):
-    """Record ⋈ enrichment -> gold, key columns and tags."""
-    g = FX.cases(spark, d)
+    """Record ⋈ enrichment -> gold (stage-per-model join path), key columns and tags."""
+    g = FX.cases_joined(spark, d)
     return g.select("Case_Ref", "Case_Id", "Case_Type", "Case_Status", "Case_Handler", "Assigned_HCG",
                     "L1_Country", "L1_Mission", "L1_Case_Type",
                     F.concat_ws(",", "L1_Agencies").alias("agencies"),
