@@ -135,11 +135,12 @@ def truth_threads(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.element_at(rmap, F.substring(c, 1, 1)),
         F.when(F.substring(c, 2, 1) == "O", F.lit(OPEN_LINE_AGENCY)))))
     agencies = _vocab_order(F.array_compact(raw_ag), E.AGENCIES)
-    fl = F.concat(F.coalesce(F.col("flags"), F.array().cast("array<string>")),
-                  F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("MP/POH escalation")))
-                  .otherwise(F.array().cast("array<string>")))
-    flags = _vocab_order(fl, E.FLAGS)
     ctype = F.element_at(F.array(*[F.lit(t) for t in CASE_TYPES]), (F.col("o_orderkey") % 6).cast("int") + 1)
+    none = F.array().cast("array<string>")
+    fl = F.concat(F.coalesce(F.col("flags"), none),
+                  F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("MP/POH escalation"))).otherwise(none),
+                  F.when(ctype == "Scam", F.array(F.lit("scam"))).otherwise(none))   # a scam case is flagged scam
+    flags = _vocab_order(fl, E.FLAGS)
     country = F.element_at(F.array(*[F.lit(c) for c in E.COUNTRIES]), (F.col("o_custkey") % 8).cast("int") + 1)
     base = j.select(
         F.concat(F.lit("SGCON/"), F.year("o_orderdate").cast("string"), F.lit("/"),

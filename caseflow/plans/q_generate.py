@@ -93,7 +93,9 @@ t1 AS (SELECT *, {_lit_list(CASE_TYPES)}[(o_orderkey % 6) + 1] AS case_type,
               list_concat(list_transform(codes, lambda c: CASE substring(c, 1, 1) {rmap} END),
                           list_transform(codes, lambda c: CASE WHEN substring(c, 2, 1) = 'O' THEN 'MOH' END)) AS raw_ag,
               list_concat(lflags, CASE WHEN o_orderpriority = '1-URGENT' THEN ['MP/POH escalation']
-                                       ELSE CAST([] AS VARCHAR[]) END) AS raw_fl
+                                       ELSE CAST([] AS VARCHAR[]) END,
+                          CASE WHEN {_lit_list(CASE_TYPES)}[(o_orderkey % 6) + 1] = 'Scam' THEN ['scam']
+                               ELSE CAST([] AS VARCHAR[]) END) AS raw_fl
        FROM t0),
 t2 AS (SELECT *, list_filter({_lit_list(E.AGENCIES)}, lambda v: list_contains(raw_ag, v)) AS agencies,
               list_filter({_lit_list(E.FLAGS)}, lambda v: list_contains(raw_fl, v)) AS flags FROM t1),
