@@ -28,11 +28,10 @@ def kpi(spark, d):
 
 
 def _count_by(col: str, name: str, op: str):
-    @register(name, S.on_cases(f"SELECT {col}, count(*) AS n FROM cases GROUP BY {col}"), ops=(op,))
     def q(spark, d):
         return A.count_by(FX.cases(spark, d), col)
     q.__doc__ = f"Case count by {col}."
-    return q
+    return register(name, S.on_cases(f"SELECT {col}, count(*) AS n FROM cases GROUP BY {col}"), ops=(op,))(q)
 
 
 by_type = _count_by("Case_Type", "by_type", "A5")

@@ -47,11 +47,10 @@ ORDER BY {_SQL_SORTS.get(cq.sort, _SQL_SORTS['newest'])} LIMIT {cq.size} OFFSET
 
 
 def _page_query(name: str, cq: SV.CaseQuery, ops: tuple[str, ...], doc: str):
-    @register(name, sql_page(cq), ops=ops)
     def q(spark, d):
         return SV.list_page(FX.cases(spark, d), cq)
     q.__doc__ = doc
-    return q
+    return register(name, sql_page(cq), ops=ops)(q)
 
 
 list_newest = _page_query("list_newest", SV.CaseQuery(), ("O1", "O5"), "First page, newest first.")
@@ -74,11 +73,10 @@ SEARCH_FALLBACK = SV.CaseQuery(q="the of")
 
 
 def _filter_query(name: str, cq: SV.CaseQuery, ops: tuple[str, ...], doc: str):
-    @register(name, S.on_cases(f"SELECT {_LIST} FROM cases WHERE {sql_predicate(cq)}"), ops=ops)
     def q(spark, d):
         return SV.list_projection(SV.filtered(FX.cases(spark, d), cq))
     q.__doc__ = doc
-    return q
+    return register(name, S.on_cases(f"SELECT {_LIST} FROM cases WHERE {sql_predicate(cq)}"), ops=ops)(q)
 
 
 filter_equality = _filter_query("filter_equality", EQ_QUERY, ("F1",), "AND of equality filters.")
