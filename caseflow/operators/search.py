@@ -8,10 +8,14 @@ k-NN strategy, chosen by proven sizes (``limit(n+1).count()``), never guessed:
   top-2k per query and a window with ``row_number <= k`` (planned with a
   partial ``WindowGroupLimit`` before the shuffle) merges the candidates.
   Shipped items: each query row gets its exact top-k inside its own task.
-* both sides large: random-hyperplane LSH; vectors are exploded to
-  ``(table, bucket)`` keys and candidates come from an equi-join on those keys
-  (no cross join); then the same top-k merge. Approximate; recall is measured
-  against the exact path by ``knn_lsh_recall``.
+* both sides large: the query side is split by a hash of its id into batches
+  that each pass the size check; each batch is an exact scan as above, and the
+  candidates of all batches are merged. Exact, and skew-proof: no join, no
+  pair generation, work = batches x items.
+* opt-in approximation: random-hyperplane LSH; vectors are exploded to
+  ``(table, bucket)`` keys and candidates come from an equi-join on those keys.
+  A hot bucket makes that join quadratic in the bucket, so it is never chosen
+  implicitly; recall against the exact path is reported by ``knn_lsh_recall``.
 """
 
 from __future__ import annotations
@@ -149,28 +153,53 @@ def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
             .select("qid", "rank", "item_id", F.round("score", SCORE_DIGITS).alias("score")))
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id: str = "item_id",
-        vec_col: str = "embedding", max_side: int = DEFAULT_MAX_SIDE, lsh: dict | None = None) -> DataFrame:
-    """Top-``k`` items per query by dot product (cosine on unit vectors).
+def _scan_shipped_queries(q: DataFrame, it: DataFrame, k: int, shipped, qid_type: str, iid_type: str) -> DataFrame:
+    q_ids, q_mat = shipped
+    fn = _topk_scan(q_ids, q_mat, "item_id", "v", k, iid_type)
+    return it.mapInPandas(fn, f"qid {qid_type}, item_id {iid_type}, score double")
+
 
-    Returns ``(qid, rank, item_id, score)``; ties order by item id."""
+def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id: str = "item_id",
+        vec_col: str = "embedding", max_side: int = DEFAULT_MAX_SIDE, approximate: bool = False,
+        lsh: dict | None = None) -> DataFrame:
+    """Exact top-``k`` items per query by dot product (cosine on unit vectors).
+
+    Returns ``(qid, rank, item_id, score)``; ties order by item id. When
+    neither side fits ``max_side`` rows, the query side is split by a hash of
+    its id into batches that each fit (checked); every batch is one exact scan
+    of the items and all batches are merged, so no query is dropped and no
+    pair set is ever materialised. ``approximate=True`` uses LSH instead."""
     q = queries.select(F.col(q_id).alias("qid"), F.col(vec_col).cast("array<double>").alias("v"))
     it = items.select(F.col(i_id).alias("item_id"), F.col(vec_col).cast("array<double>").alias("v"))
     qid_type = q.schema["qid"].dataType.simpleString()
     iid_type = it.schema["item_id"].dataType.simpleString()
+    if approximate:
+        return knn_lsh(q, it, k, **(lsh or {}))
     shipped = _bounded_matrix(q, "qid", "v", max_side)
     if shipped is not None:
-        q_ids, q_mat = shipped
-        fn = _topk_scan(q_ids, q_mat, "item_id", "v", k, iid_type)
-        cands = it.mapInPandas(fn, f"qid {qid_type}, item_id {iid_type}, score double")
-        return _merge_topk(cands, k)
+        return _merge_topk(_scan_shipped_queries(q, it, k, shipped, qid_type, iid_type), k)
     shipped = _bounded_matrix(it, "item_id", "v", max_side)
     if shipped is not None:
         i_ids, i_mat = shipped
         fn = _rowwise_topk(i_ids, i_mat, k)
         # each query row sees every shipped item: final top-k in one task, no shuffle
         return q.mapInPandas(fn, f"qid {qid_type}, rank int, item_id {iid_type}, score double")
-    return knn_lsh(q, it, k, **(lsh or {}))
+    parts = []
+    pending = [(q, 2 * (q.count() // max_side + 1))]
+    while pending:
+        part, n_batches = pending.pop()
+        bucket = F.pmod(F.xxhash64("qid"), F.lit(n_batches))
+        for b in range(n_batches):
+            qb = part.where(bucket == b)
+            shipped = _bounded_matrix(qb, "qid", "v", max_side)
+            if shipped is None:               # uneven hash split: split this batch again
+                pending.append((qb, 2))
+                continue
+            parts.append(_scan_shipped_queries(qb, it, k, shipped, qid_type, iid_type))
+    cands = parts[0]
+    for p in parts[1:]:
+        cands = cands.unionByName(p)
+    return _merge_topk(cands, k)
 
 
 # --- LSH path ----------------------------------------------------------------------------------

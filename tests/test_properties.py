@@ -104,3 +104,13 @@ def test_model_called_once_per_row(spark):
     plan = ex.where(F.col("js.Case_Type").isNotNull())._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan          # the model ran before the checkpoint, not in this plan
     assert ex.where(F.col("status") == "ok").count() == th.count()
+
+
+def test_knn_batched_queries_equal_single_batch(spark):
+    emb = Tables(spark, D).embeddings
+    q = emb.select(F.col("vec_id").alias("qid"), "embedding")
+    items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
+    n = q.count()
+    one = SE.knn(q, items, 3, max_side=n)                 # whole query side shipped
+    many = SE.knn(q, items, 3, max_side=max(2, n // 7))   # neither side fits: hash batches
+    assert _rows(one) == _rows(many)
