@@ -35,22 +35,33 @@ SCORE_DIGITS = 6
 
 # --- V3: embeddings --------------------------------------------------------------------
 
-def embed_tfidf(df: DataFrame, text_col: str, id_col: str, num_features: int = 256,
-                fit_on: DataFrame | None = None) -> DataFrame:
-    """Offline default embedder: tokens -> hashed term counts -> IDF ->
-    L2-normalised dense ``array<float>``. IDF is fitted on ``fit_on`` (default
-    ``df``) with one distributed aggregation. A hosted model plugs in through
-    :func:`caseflow.operators.extract.model_udf`-style pandas UDFs instead."""
+def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = 256):
+    """Offline default embedder, fitted once: tokens -> hashed term counts ->
+    IDF (one distributed aggregation over ``corpus``) -> L2-normalised dense
+    ``array<float>``. Returns ``embed(df, text_col, id_col)`` that applies the
+    same fitted model to any frame. A hosted model plugs in as a pandas UDF
+    returning ``array<float>`` instead."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=2)
+    tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"\W+", minTokenLength=2)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    base = tf.transform(tok.transform((fit_on if fit_on is not None else df).select(text_col)))
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(base)
-    out = idf.transform(tf.transform(tok.transform(df.select(id_col, text_col))))
-    out = Normalizer(inputCol="_tfidf", outputCol="_n", p=2.0).transform(out)
-    return out.select(id_col, vector_to_array("_n", "float32").alias("embedding"))
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(
+        tf.transform(tok.transform(corpus.select(F.col(text_col).alias("_text")))))
+    norm = Normalizer(inputCol="_tfidf", outputCol="_n", p=2.0)
+
+    def embed(df: DataFrame, col: str, id_col: str) -> DataFrame:
+        out = norm.transform(idf.transform(tf.transform(tok.transform(
+            df.select(id_col, F.col(col).alias("_text"))))))
+        return out.select(id_col, vector_to_array("_n", "float32").alias("embedding"))
+    return embed
+
+
+def embed_tfidf(df: DataFrame, text_col: str, id_col: str, num_features: int = 256,
+                fit_on: DataFrame | None = None) -> DataFrame:
+    """Fit on ``fit_on`` (default ``df``) and embed ``df``."""
+    corpus = fit_on if fit_on is not None else df
+    return fit_tfidf(corpus, text_col, num_features)(df, text_col, id_col)
 
 
 def normalize(vec: Column) -> Column:
@@ -125,25 +136,24 @@ def _topk_scan(q_ids, q_mat, item_id: str, vec_col: str, k: int, id_type: str):
 
 def _rowwise_topk(i_ids, i_mat, k: int):
     """Partition function over query rows: exact top-k of the shipped items
-    per row, ordered by score desc then item id."""
-    id_order = np.argsort(np.argsort(i_ids, kind="stable"), kind="stable")   # rank of each id
+    per row, ordered by score desc then item id. Items are pre-ordered by id,
+    so one stable argsort of the negated scores gives that order for a whole
+    Arrow batch at once."""
+    by_id = np.argsort(i_ids, kind="stable")
+    ids_sorted, mat_sorted = i_ids[by_id], i_mat[by_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0 or len(i_ids) == 0:
+            if len(pdf) == 0 or len(ids_sorted) == 0:
                 continue
             m = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
-            sc = np.round(m @ i_mat.T, SCORE_DIGITS)
+            sc = np.round(m @ mat_sorted.T, SCORE_DIGITS)
             kk = min(k, sc.shape[1])
-            qids, ranks, items, scores = [], [], [], []
-            for r in range(sc.shape[0]):
-                order = np.lexsort((id_order, -sc[r]))[:kk]
-                qids.extend([pdf["qid"].iat[r]] * kk)
-                ranks.extend(range(1, kk + 1))
-                items.extend(i_ids[order])
-                scores.extend(sc[r][order])
-            yield pd.DataFrame({"qid": qids, "rank": np.array(ranks, dtype=np.int32),
-                                "item_id": items, "score": scores})
+            order = np.argsort(-sc, axis=1, kind="stable")[:, :kk]
+            yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), kk),
+                                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
+                                "item_id": ids_sorted[order].reshape(-1),
+                                "score": np.take_along_axis(sc, order, axis=1).reshape(-1)})
     return run
 
 
@@ -154,7 +164,16 @@ def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
 
 
 def _scan_shipped_queries(q: DataFrame, it: DataFrame, k: int, shipped, qid_type: str, iid_type: str) -> DataFrame:
+    """Exact scan of the items against shipped queries.
+
+    Each task emits at most 2k candidates per query, so the merge shuffle is
+    queries x 2k x tasks. The item side is coalesced (no shuffle) to the
+    session's parallelism when it has more partitions: every core stays busy
+    and the candidate volume no longer grows with the number of input files."""
     q_ids, q_mat = shipped
+    cores = it.sparkSession.sparkContext.defaultParallelism
+    if it.rdd.getNumPartitions() > cores:
+        it = it.coalesce(cores)
     fn = _topk_scan(q_ids, q_mat, "item_id", "v", k, iid_type)
     return it.mapInPandas(fn, f"qid {qid_type}, item_id {iid_type}, score double")
 
@@ -175,15 +194,17 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id
     iid_type = it.schema["item_id"].dataType.simpleString()
     if approximate:
         return knn_lsh(q, it, k, **(lsh or {}))
-    shipped = _bounded_matrix(q, "qid", "v", max_side)
-    if shipped is not None:
-        return _merge_topk(_scan_shipped_queries(q, it, k, shipped, qid_type, iid_type), k)
+    # Shipping the item side is the cheaper plan (no merge shuffle), so it is
+    # tried first; its size check only scans the item side.
     shipped = _bounded_matrix(it, "item_id", "v", max_side)
     if shipped is not None:
         i_ids, i_mat = shipped
         fn = _rowwise_topk(i_ids, i_mat, k)
         # each query row sees every shipped item: final top-k in one task, no shuffle
         return q.mapInPandas(fn, f"qid {qid_type}, rank int, item_id {iid_type}, score double")
+    shipped = _bounded_matrix(q, "qid", "v", max_side)
+    if shipped is not None:
+        return _merge_topk(_scan_shipped_queries(q, it, k, shipped, qid_type, iid_type), k)
     parts = []
     pending = [(q, 2 * (q.count() // max_side + 1))]
     while pending:

@@ -89,9 +89,9 @@ def embed_tfidf(spark, d):
 def sop_search(spark, d):
     """Top-2 procedures for every case chunk (shipped procedure side)."""
     chunks, sop = _chunks_and_sop(spark, d)
-    corpus = chunks.select(F.col("chunk").alias("t")).unionByName(sop.select(F.col("chunk").alias("t")))
-    qe = SE.embed_tfidf(chunks, "chunk", "chunk_id", fit_on=corpus.withColumnRenamed("t", "chunk"))
-    ie = SE.embed_tfidf(sop, "chunk", "chunk_id", fit_on=corpus.withColumnRenamed("t", "chunk"))
+    embed = SE.fit_tfidf(chunks.select("chunk").unionByName(sop.select("chunk")), "chunk")
+    qe = embed(chunks, "chunk", "chunk_id")
+    ie = embed(sop, "chunk", "chunk_id")
     return SE.knn(qe.withColumnRenamed("chunk_id", "qid"), ie.withColumnRenamed("chunk_id", "item_id"), K_PROCEDURES)
 
 
@@ -103,9 +103,9 @@ def similar_documents(spark, d):
     docs = docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("item_id"),
                        "chunk")
     bench = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("chunk"))
-    fit = docs.select("chunk").unionByName(bench.select("chunk"))
-    ie = SE.embed_tfidf(docs, "chunk", "item_id", fit_on=fit)
-    qe = SE.embed_tfidf(bench, "chunk", "qid", fit_on=fit)
+    embed = SE.fit_tfidf(docs.select("chunk").unionByName(bench.select("chunk")), "chunk")
+    ie = embed(docs, "chunk", "item_id")
+    qe = embed(bench, "chunk", "qid")
     hits = SE.knn(qe, ie, K_CASES)
     return SE.evidence_text(hits.join(docs, "item_id"),
                             F.concat(F.lit("**"), F.col("item_id"), F.lit("**\n"), X.case_preview("chunk")))

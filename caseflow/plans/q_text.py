@@ -16,7 +16,7 @@ from caseflow.plans.catalog import register
 from caseflow.session import checkpoint_dir
 from caseflow.sources import files as FL
 from caseflow.sources import tables as TB
-from caseflow.sources.tables import Tables
+from caseflow.sources.tables import Tables, spread
 
 # --- X1 / S2 on pages -------------------------------------------------------------
 
@@ -33,7 +33,7 @@ SELECT page_id, len(els) AS n_elements, array_to_string(els, chr(10)) AS parsed_
 FROM (SELECT page_id, {_HTML_SQL} AS els FROM pages)""", ops=("X1", "S2"))
 def flatten_elements(spark, d):
     """HTML page -> text blocks -> one newline-joined text per page."""
-    p = Tables(spark, d).pages
+    p = spread(Tables(spark, d).pages)
     els = FL.html_elements("html")
     return p.select("page_id", F.size(els).alias("n_elements"), X.flatten_elements(els).alias("parsed_text"))
 
@@ -131,7 +131,7 @@ SELECT doc_id, substring(text, 1, 280) || '...' AS preview, md5(substring(text,
 FROM documents""", ops=("X22",))
 def preview_text(spark, d):
     """Evidence preview: first 280 characters plus '...'; 500-char head."""
-    doc = Tables(spark, d).documents
+    doc = spread(Tables(spark, d).documents)
     return doc.select("doc_id", X.case_preview("text").alias("preview"), F.md5(X.head_chars("text")).alias("head_md5"))
 
 
@@ -141,7 +141,7 @@ FROM (SELECT doc_id, regexp_replace(translate(text, '—–’“”', '--''""')
       FROM documents)""", ops=("X23",))
 def fold_text(spark, d):
     """Punctuation to ASCII, other non-Latin-1 characters to '?'."""
-    doc = Tables(spark, d).documents
+    doc = spread(Tables(spark, d).documents)
     f = X.fold_text("text")
     return doc.select("doc_id", F.md5(f).alias("folded_md5"),
                       (F.length(f) - F.length(F.replace(f, F.lit("?"), F.lit("")))).alias("n_q"))
@@ -154,7 +154,7 @@ FROM (SELECT doc_id, i, substring(text, i * 1000 + 1, 1000) AS c
           ops=("X25",))
 def chunk_fixed(spark, d):
     """Fixed 1000-character chunks of every document (whole texts)."""
-    doc = Tables(spark, d).documents
+    doc = spread(Tables(spark, d).documents)
     ch = doc.select("doc_id", F.posexplode(X.fixed_chunks("text", 1000)).alias("pos", "c"))
     return ch.select("doc_id", F.col("pos").cast("int").alias("pos"), F.length("c").alias("n_chars"),
                      F.md5("c").alias("chunk_md5"))
@@ -192,7 +192,7 @@ SELECT doc_id, coalesce(nullif(regexp_extract(text, '\[([A-Za-z0-9/_-]+)\]', 1),
        AS case_ref FROM documents""", ops=("X4", "X3"))
 def case_ref_fallback(spark, d):
     """Loose bracket hint in the text, else the file-name stem."""
-    doc = Tables(spark, d).documents
+    doc = spread(Tables(spark, d).documents)
     path = F.concat(F.lit("/landing/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return doc.select("doc_id", X.case_ref_fallback(X.case_ref_hint("text"), path).alias("case_ref"))
 

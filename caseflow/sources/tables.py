@@ -93,3 +93,12 @@ def ingest(spark: SparkSession, mode: str, *, path: str | None = None,
     if mode == "case_table":
         return adopt_case_table(source)[1]
     raise ValueError(f"unknown ingest mode {mode!r}")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` when its scan yields fewer partitions than the
+    session's parallelism (small or single-file inputs), so CPU-heavy text
+    work downstream uses every core. A no-op for large inputs, whose scans
+    already split into many partitions; checking costs planning only."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -45,9 +45,14 @@ def test_knn_item_side_shipped_equals_query_side_shipped(spark):
     emb = Tables(spark, D).embeddings
     q = emb.select(F.col("vec_id").alias("qid"), "embedding")
     items = emb.where(F.col("label") == 1).select(F.col("vec_id").alias("item_id"), "embedding")
-    a = SE.knn(q, items, 2, max_side=10**6)          # queries shipped
     n_items = items.count()
-    b = SE.knn(q, items, 2, max_side=n_items)        # only items fit -> item side shipped
+    a = SE.knn(q, items, 2, max_side=n_items)        # item side fits -> items shipped
+    b = SE.knn(items.withColumnRenamed("item_id", "qid"),    # roles reversed: queries shipped
+               q.withColumnRenamed("qid", "item_id"), 10**6, max_side=n_items)
+    b = b.select(F.col("item_id").alias("qid"), F.col("qid").alias("item_id"), "score")
+    b = b.withColumn("rank", F.row_number().over(
+        __import__("pyspark.sql").sql.Window.partitionBy("qid").orderBy(F.col("score").desc(), "item_id")))
+    b = b.where(F.col("rank") <= 2)
     assert _rows(a.select("qid", "rank", "item_id")) == _rows(b.select("qid", "rank", "item_id"))
 
 
