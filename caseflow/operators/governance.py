@@ -63,17 +63,29 @@ def governed_read(df: DataFrame, policy: Policy, viewer: Viewer) -> DataFrame:
     return res
 
 
-def email_chunks(record: DataFrame, bronze: DataFrame, keep_raw: bool = False) -> DataFrame:
-    """One scrubbed chunk per case ``(chunk_id, case_ref, case_type,
-    case_location, chunk)``: national ids then the subject's name replaced."""
+def email_chunks(record: DataFrame, bronze: DataFrame, keep_raw: bool = False,
+                 chunk_size: int | None = None) -> DataFrame:
+    """Scrubbed chunks ``(chunk_id, case_ref, case_type, case_location,
+    chunk)``: national ids then the subject's name replaced.
+
+    ``chunk_size=None`` keeps one chunk per case (``chunk_id = Case_Ref``, as
+    the reference does); a size splits the scrubbed text into fixed pieces
+    (``chunk_id = Case_Ref#n``, Q25). Scrubbing happens before splitting, so a
+    name cut by a chunk border is still removed."""
     b = bronze.where(F.col("case_ref").isNotNull()).select(
         F.col("case_ref").alias("_b_ref"), F.col("parsed_text").alias("_b_text"))
     r = record.where(F.col("Case_Ref").isNotNull()).select("Case_Ref", "Case_Type", "Case_Location", "Title_Name")
     j = r.join(b, r["Case_Ref"] == b["_b_ref"], "inner")
-    return j.select(F.col("Case_Ref").alias("chunk_id"), F.col("Case_Ref").alias("case_ref"),
-                    F.col("Case_Type").alias("case_type"), F.col("Case_Location").alias("case_location"),
-                    X.scrub_pii(F.col("_b_text"), F.col("Title_Name")).alias("chunk"),
-                    *([F.col("_b_text").alias("raw_text")] if keep_raw else []))
+    out = j.select(F.col("Case_Ref").alias("chunk_id"), F.col("Case_Ref").alias("case_ref"),
+                   F.col("Case_Type").alias("case_type"), F.col("Case_Location").alias("case_location"),
+                   X.scrub_pii(F.col("_b_text"), F.col("Title_Name")).alias("chunk"),
+                   *([F.col("_b_text").alias("raw_text")] if keep_raw else []))
+    if chunk_size is None:
+        return out
+    cols = [c for c in out.columns if c not in ("chunk_id", "chunk")]
+    pieces = out.select(*cols, F.posexplode(X.fixed_chunks("chunk", chunk_size)).alias("_n", "chunk"))
+    return pieces.select(F.concat(F.col("case_ref"), F.lit("#"), F.col("_n").cast("string")).alias("chunk_id"),
+                         *cols[:3], "chunk", *cols[3:])
 
 
 def scrub_columns(df: DataFrame, cols: Iterable[str], name_col: str | None = None) -> DataFrame:

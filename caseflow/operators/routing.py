@@ -51,3 +51,62 @@ def route_questions(questions: DataFrame, text_col: str = "question") -> DataFra
 def route_mix(chat: DataFrame) -> DataFrame:
     """Messages per stored route (NULL route = not routed)."""
     return chat.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Source labels of the evidence per route.
+SOURCES = {
+    "similar": "Semantic search over case email threads",
+    "procedure": "SOP / procedures library",
+    "case_lookup": "Case record",
+    "structured": "Structured case table",
+}
+
+
+def question_evidence(questions: DataFrame, gold: DataFrame, case_chunks: DataFrame, sop_chunks: DataFrame,
+                      *, text_col: str = "question", k_cases: int = 3, k_sops: int = 2) -> DataFrame:
+    """Evidence per question by route, ``(qid, route, source, evidence)``.
+
+    Each route is its own distributed plan over its share of the questions,
+    and the four results are unioned: lookups join gold by reference (left
+    semi, no broadcast of gold), similar/procedure questions go through exact
+    k-NN against TF-IDF embeddings fitted on the searched chunks, structured
+    questions carry no evidence here (the saved analytic queries answer them).
+    """
+    from caseflow.operators import search as SE
+    from caseflow.operators import serving as SV
+
+    q = route_questions(questions, text_col)
+    out = []
+
+    look = q.where(F.col("route") == "case_lookup")
+    rec = SV.lookup_many(gold, look.select("case_ref"))
+    rec_json = rec.select(F.col("Case_Ref").alias("case_ref"),
+                          F.to_json(F.struct(*[F.col(c) for c in rec.columns])).alias("_rec"))
+    out.append(look.join(rec_json, "case_ref", "left").select(
+        "qid", "route", F.concat(F.lit(SOURCES["case_lookup"] + " "), F.coalesce("case_ref", F.lit("?"))).alias("source"),
+        F.coalesce(F.col("_rec"), F.lit("Case not found.")).alias("evidence")))
+
+    def by_search(route: str, items: DataFrame, k: int, line, empty: str):
+        qs = q.where(F.col("route") == route).select("qid", F.col(text_col).alias("chunk"))
+        embed = SE.fit_tfidf(items.select("chunk"), "chunk")
+        hits = SE.knn(embed(qs, "chunk", "qid"), embed(items, "chunk", "chunk_id").withColumnRenamed("chunk_id", "item_id"), k)
+        hits = hits.join(items.withColumnRenamed("chunk_id", "item_id"), "item_id")
+        ev = SE.evidence_text(hits, line, empty)
+        return qs.select("qid").join(ev, "qid", "left").select(
+            "qid", F.lit(route).alias("route"), F.lit(SOURCES[route]).alias("source"),
+            F.coalesce(F.col("evidence"), F.lit(empty)).alias("evidence"))
+
+    out.append(by_search("similar", case_chunks, k_cases,
+                         SE.case_line(F.col("item_id"), F.col("case_type"), F.col("case_location"), F.col("chunk")),
+                         "No similar cases found."))
+    sop_items = sop_chunks.select("chunk_id", "chunk", "sop_title")
+    out.append(by_search("procedure", sop_items, k_sops,
+                         F.concat(F.lit("**SOP: "), X.title_words(F.col("sop_title")), F.lit("**\n"),
+                                  X.head_chars(F.col("chunk"))),
+                         "No matching procedure found."))
+    out.append(q.where(F.col("route") == "structured").select(
+        "qid", "route", F.lit(SOURCES["structured"]).alias("source"), F.lit(None).cast("string").alias("evidence")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res

@@ -193,3 +193,9 @@ def truth_scores(threads: DataFrame) -> DataFrame:
         F.count(F.when(F.col("p_country") == F.col("country"), 1)).alias("country_correct"),
         F.count(F.when(F.col("p_type") == F.col("case_type"), 1)).alias("type_correct"),
     )
+
+
+def write_truth_manifest(threads: DataFrame, path: str) -> None:
+    """K6: ground truth per generated case as JSON lines (one file per task)."""
+    threads.select("case_ref", "case_type", "country", "status", "agencies", "flags",
+                   "ev_agencies", "ev_flags").write.mode("overwrite").json(path)

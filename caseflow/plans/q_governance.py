@@ -74,3 +74,19 @@ def nric_leak_check(spark, d):
     """Chunks still holding a national id after scrub (must be 0), NULL
     chunks, and the id count before scrub."""
     return A.leak_check(_chunks(spark, d, keep_raw=True), raw_col="raw_text")
+
+
+EMAIL_CHUNK_SIZE = 64
+
+
+@register("email_chunks_fixed", S.on_cases(f"""
+SELECT Case_Ref || '#' || CAST(i AS VARCHAR) AS chunk_id, Case_Ref AS case_ref, Case_Type AS case_type,
+       Case_Location AS case_location, substring(c, i * {EMAIL_CHUNK_SIZE} + 1, {EMAIL_CHUNK_SIZE}) AS chunk
+FROM (SELECT *, {_SCRUB} AS c FROM cases) t,
+     LATERAL (SELECT unnest(range(0, CAST(ceil(length(c) / {EMAIL_CHUNK_SIZE}.0) AS BIGINT))) AS i) r"""),
+          ops=("V1", "X25", "G3"))
+def email_chunks_fixed(spark, d):
+    """Scrubbed case text split into fixed-size chunks (chunker parameter)."""
+    th = FX.threads(spark, d)
+    record = FX.record_from_l1(FX.l1_model_stand_in(th))
+    return G.email_chunks(record, th.select("case_ref", "parsed_text"), chunk_size=EMAIL_CHUNK_SIZE)

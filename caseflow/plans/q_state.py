@@ -158,3 +158,16 @@ def route_questions(spark, d):
 def route_mix(spark, d):
     """Messages per stored route."""
     return RT.route_mix(FX.chat(spark, d))
+
+
+@register("question_evidence", None, ops=("R3", "R1", "R2", "V5", "V6", "V7", "F8"))
+def question_evidence(spark, d):
+    """Evidence for every user question of the chat log, by route."""
+    from caseflow.operators import governance as G
+    th = FX.threads(spark, d)
+    record = FX.record_from_l1(FX.l1_model_stand_in(th))
+    chunks = G.email_chunks(record, th.select("case_ref", "parsed_text"))
+    qs = FX.chat(spark, d).where(F.col("role") == "user").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("seq").cast("string")).alias("qid"),
+        F.col("content").alias("question"))
+    return RT.question_evidence(qs, FX.cases(spark, d), chunks, FX.sop(spark))
