@@ -130,3 +130,44 @@ SELECT L1_Case_Type, count(*) AS n FROM cases GROUP BY L1_Case_Type"""), ops=("A
 def by_l1_type(spark, d):
     """Count by derived (layer-1) case type."""
     return A.count_by(FX.cases(spark, d), "L1_Case_Type")
+
+
+SINK_YEAR = 1996
+
+
+@register("sink_overwrite_roundtrip", S.on_cases(f"""
+SELECT Case_Type, count(*) AS n, count(Resolution_Days) AS resolved FROM cases
+WHERE year(CAST(try_strptime(Created_On, '%Y-%m-%d') AS DATE)) = {SINK_YEAR} GROUP BY Case_Type"""),
+          ops=("K1", "K2"))
+def sink_overwrite_roundtrip(spark, d):
+    """Gold written year-partitioned, read back for one year (partition pruning)."""
+    import os
+    import uuid
+
+    from caseflow.session import checkpoint_dir
+    from caseflow.sources import sinks
+
+    path = os.path.join(checkpoint_dir(spark), "caseflow-gold", uuid.uuid4().hex)
+    sinks.write_gold(FX.cases(spark, d).select("Case_Ref", "Case_Type", "Created_On", "Resolution_Days"), path)
+    back = spark.read.parquet(path).where(F.col("created_year") == SINK_YEAR)
+    return back.groupBy("Case_Type").agg(F.count(F.lit(1)).alias("n"), F.count("Resolution_Days").alias("resolved"))
+
+
+@register("decode_l2", S.on_cases("""
+SELECT Case_Ref, L1_Country,
+       CASE WHEN Case_Status = 'Pending' THEN NULL ELSE array_to_string(L1_Agencies, ',') END AS agencies,
+       CASE WHEN Case_Status = 'Pending' THEN 'bad_json' ELSE 'ok' END AS status
+FROM cases"""), ops=("X9", "X7", "X10"))
+def decode_l2(spark, d):
+    """Enrichment answers decoded into the 11-field struct; a scalar where an
+    array belongs (pending cases here) nulls that field and flags the row."""
+    from caseflow.operators import extract as E
+    g = FX.cases(spark, d)
+    good = F.to_json(F.struct("L1_Country", "L1_Agencies", "L1_Situational_Flags", "L1_Status"))
+    bad = F.to_json(F.struct("L1_Country", F.concat_ws(",", "L1_Agencies").alias("L1_Agencies")))
+    raw = F.concat(F.lit("Answer: "), F.when(F.col("Case_Status") == "Pending", bad).otherwise(good))
+    dec = E.decode(raw, R.l2_struct_type())
+    return g.select("Case_Ref", dec.alias("d"), raw.alias("raw")).select(
+        "Case_Ref", F.col("d.L1_Country").alias("L1_Country"),
+        F.when(F.col("d.L1_Agencies").isNotNull(), F.concat_ws(",", F.col("d.L1_Agencies"))).alias("agencies"),
+        E.decode_status(F.col("raw"), F.col("d")).alias("status"))

@@ -24,14 +24,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "caseflow", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the caseflow defaults.
 
-    ``master`` defaults to ``local[$CASEFLOW_CPUS or 8]``; on a cluster pass the
-    cluster master or ``None`` together with ``spark-submit`` settings.
+    Under ``spark-submit`` (``spark.master`` already set) the cluster's master
+    and shuffle sizing are kept: AQE coalesces the cluster's initial shuffle
+    partitions to the data. Without a master (tests, bench) the session is
+    ``local[$CASEFLOW_CPUS or 8]`` with one shuffle partition per core.
     """
+    from pyspark import SparkConf
+
     cpus = os.environ.get("CASEFLOW_CPUS", "8")
+    submitted = SparkConf().contains("spark.master")
     builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or f"local[{cpus}]")
+    if master or not submitted:
+        builder = builder.master(master or f"local[{cpus}]")
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+    if shuffle_partitions or not submitted:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

@@ -66,3 +66,31 @@ def test_fixed_chunks_reassemble_to_scrubbed_text(spark):
     a = sorted(tuple(r) for r in whole.select("case_ref", "chunk").collect())
     b = sorted(tuple(r) for r in glued.select("case_ref", "chunk").collect())
     assert a == b
+
+
+def test_gold_sink_prunes_partitions_and_pushes_filters(spark):
+    import uuid
+
+    from caseflow.sources import sinks
+    path = os.path.join(checkpoint_dir(spark), "test-gold", uuid.uuid4().hex)
+    sinks.write_gold(FX.cases(spark, D).select("Case_Ref", "Case_Type", "Created_On"), path)
+    q = spark.read.parquet(path).where((F.col("created_year") == 1996) & (F.col("Case_Type") == "Scam")) \
+        .select("Case_Ref")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_year" in plan and "= 1996" in plan
+    assert "PushedFilters: [IsNotNull(Case_Type), EqualTo(Case_Type,Scam)]" in plan
+    assert "ReadSchema: struct<Case_Ref:string,Case_Type:string>" in plan
+
+
+def test_create_if_absent_then_append(spark):
+    import uuid
+
+    from pyspark.sql import types as T
+
+    from caseflow.sources import sinks
+    path = os.path.join(checkpoint_dir(spark), "test-notes", uuid.uuid4().hex)
+    schema = T.StructType([T.StructField("note_id", T.StringType()), T.StructField("note", T.StringType())])
+    assert sinks.create_if_absent(spark, path, schema).count() == 0
+    sinks.append(spark.createDataFrame([("1", "a")], schema), path)
+    sinks.append(spark.createDataFrame([("2", "b")], schema), path)
+    assert sinks.create_if_absent(spark, path, schema).count() == 2
