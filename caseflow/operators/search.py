@@ -84,19 +84,24 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 # --- V5 / V6: k-NN -------------------------------------------------------------------------
 
 def _bounded_matrix(side: DataFrame, id_col: str, vec_col: str, max_rows: int):
+    """``(ids, broadcast(matrix))`` sorted by id when ``side`` has at most
+    ``max_rows`` rows (proved by ``limit(max_rows+1).count()``), else ``None``.
+    The matrix goes to executors once as a broadcast variable, not inside
+    every task."""
     n = side.limit(max_rows + 1).count()
     if n > max_rows:
         return None
-    rows = side.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).collect()
+    rows = sorted(side.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).collect(),
+                  key=lambda r: r[0])                     # id order: exact tie-break downstream
     ids = np.array([r[0] for r in rows], dtype=object)
     mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    return ids, mat
+    return ids, side.sparkSession.sparkContext.broadcast(mat)
 
 
 QUERY_BLOCK = 1024   # shipped rows scored at once: block x batch doubles in memory
 
 
-def _topk_scan(q_ids, q_mat, item_id: str, vec_col: str, k: int, id_type: str):
+def _topk_scan(q_ids, q_bc, item_id: str, vec_col: str, k: int, id_type: str):
     """Partition function: running top candidates per shipped row over item
     batches. Shipped rows are scored in blocks of :data:`QUERY_BLOCK`, so the
     score matrix stays ``QUERY_BLOCK x batch`` whatever the side sizes; each
@@ -106,6 +111,7 @@ def _topk_scan(q_ids, q_mat, item_id: str, vec_col: str, k: int, id_type: str):
     blocks = [(lo, min(lo + QUERY_BLOCK, len(q_ids))) for lo in range(0, len(q_ids), QUERY_BLOCK)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_mat = q_bc.value
         best_s: list = [None] * len(blocks)
         best_i: list = [None] * len(blocks)
         for pdf in batches:
@@ -134,15 +140,14 @@ def _topk_scan(q_ids, q_mat, item_id: str, vec_col: str, k: int, id_type: str):
     return run
 
 
-def _rowwise_topk(i_ids, i_mat, k: int):
+def _rowwise_topk(ids_sorted, mat_bc, k: int):
     """Partition function over query rows: exact top-k of the shipped items
-    per row, ordered by score desc then item id. Items are pre-ordered by id,
-    so one stable argsort of the negated scores gives that order for a whole
-    Arrow batch at once."""
-    by_id = np.argsort(i_ids, kind="stable")
-    ids_sorted, mat_sorted = i_ids[by_id], i_mat[by_id]
+    per row, ordered by score desc then item id. The shipped items come in id
+    order, so one stable argsort of the negated scores gives that order for a
+    whole Arrow batch at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mat_sorted = mat_bc.value
         for pdf in batches:
             if len(pdf) == 0 or len(ids_sorted) == 0:
                 continue
@@ -170,11 +175,11 @@ def _scan_shipped_queries(q: DataFrame, it: DataFrame, k: int, shipped, qid_type
     queries x 2k x tasks. The item side is coalesced (no shuffle) to the
     session's parallelism when it has more partitions: every core stays busy
     and the candidate volume no longer grows with the number of input files."""
-    q_ids, q_mat = shipped
+    q_ids, q_bc = shipped
     cores = it.sparkSession.sparkContext.defaultParallelism
     if it.rdd.getNumPartitions() > cores:
         it = it.coalesce(cores)
-    fn = _topk_scan(q_ids, q_mat, "item_id", "v", k, iid_type)
+    fn = _topk_scan(q_ids, q_bc, "item_id", "v", k, iid_type)
     return it.mapInPandas(fn, f"qid {qid_type}, item_id {iid_type}, score double")
 
 
@@ -198,8 +203,8 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id
     # tried first; its size check only scans the item side.
     shipped = _bounded_matrix(it, "item_id", "v", max_side)
     if shipped is not None:
-        i_ids, i_mat = shipped
-        fn = _rowwise_topk(i_ids, i_mat, k)
+        i_ids, i_bc = shipped
+        fn = _rowwise_topk(i_ids, i_bc, k)
         # each query row sees every shipped item: final top-k in one task, no shuffle
         return q.mapInPandas(fn, f"qid {qid_type}, rank int, item_id {iid_type}, score double")
     shipped = _bounded_matrix(q, "qid", "v", max_side)

@@ -42,3 +42,13 @@ def test_every_query_names_survey_operators():
     for name, spec in REG.items():
         assert spec.ops, name
         assert spec.doc, name
+
+
+PAIR_OPERATORS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+@pytest.mark.parametrize("name", sorted(REG))
+def test_no_cross_or_nested_loop_join(spark, smoke_dir, name):
+    """No registered plan pairs every row with every row."""
+    plan = REG[name].build(spark, smoke_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(op in plan for op in PAIR_OPERATORS), name
