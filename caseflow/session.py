@@ -20,6 +20,22 @@ BASE_CONF = {
 }
 
 
+# Starting points for a large cluster (about 100 TB input, ~1000 executors),
+# passed with ``spark-submit --conf`` or ``build_session(extra=CLUSTER_CONF)``:
+# many initial shuffle partitions that AQE coalesces to ~256 MB each, scan
+# splits of 256 MB, skew splitting at 3x the median, and a broadcast ceiling
+# that Spark checks against measured sizes.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "caseflow", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the caseflow defaults.

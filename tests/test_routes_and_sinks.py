@@ -94,3 +94,21 @@ def test_create_if_absent_then_append(spark):
     sinks.append(spark.createDataFrame([("1", "a")], schema), path)
     sinks.append(spark.createDataFrame([("2", "b")], schema), path)
     assert sinks.create_if_absent(spark, path, schema).count() == 2
+
+
+def test_rebuild_end_to_end(spark):
+    import uuid
+
+    from caseflow.operators import analytics as A
+    from caseflow.operators import synth as SY
+    from caseflow.plans.rebuild import rebuild
+    t = Tables(spark, D)
+    bronze = SY.truth_threads(t.orders, t.lineitem).select("case_ref", "parsed_text")
+    out = os.path.join(checkpoint_dir(spark), "test-rebuild", uuid.uuid4().hex)
+    r = rebuild(spark, bronze, out)
+    n = bronze.count()
+    assert r.gold.count() == n and r.chunks.count() == n and r.embeddings.count() == n
+    assert {row.status: row.n for row in r.extraction_status.collect()} == {"ok": n}
+    assert A.leak_check(r.chunks).first().leaks == 0
+    k = A.kpi(r.gold).first()
+    assert k.total == n and k.avg_days is not None
