@@ -39,7 +39,7 @@ def subject_case_type(spark, d):
 
 @register("date_tokens", S.on_threads(f"""
 SELECT case_ref, array_to_string({S.DATE_TOKENS_SQL}, ',') AS date_tokens,
-       len({S.DATE_TOKENS_SQL}) AS n_tokens FROM threads"""), ops=("X15",))
+       CAST(len({S.DATE_TOKENS_SQL}) AS INTEGER) AS n_tokens FROM threads"""), ops=("X15",))
 def date_tokens(spark, d):
     """All date tokens of each thread, in text order."""
     th = FX.threads(spark, d)

@@ -77,10 +77,10 @@ def _truth_sql() -> str:
                                      for c in E.COUNTRIES) + ")"
 
     def scores(prefix, pred, truth, full):
-        return (f"sum(len(list_intersect({pred}, {truth}))) AS {prefix}_tp, "
-                f"sum(len(list_filter({pred}, lambda x: NOT list_contains({truth}, x)))) AS {prefix}_fp, "
-                f"sum(len(list_filter({truth}, lambda x: NOT list_contains({pred}, x)))) AS {prefix}_fn, "
-                f"sum(len(list_filter({full}, lambda x: NOT list_contains({pred}, x)))) AS {prefix}_fn_full")
+        return (f"CAST(sum(len(list_intersect({pred}, {truth}))) AS BIGINT) AS {prefix}_tp, "
+                f"CAST(sum(len(list_filter({pred}, lambda x: NOT list_contains({truth}, x)))) AS BIGINT) AS {prefix}_fp, "
+                f"CAST(sum(len(list_filter({truth}, lambda x: NOT list_contains({pred}, x)))) AS BIGINT) AS {prefix}_fn, "
+                f"CAST(sum(len(list_filter({full}, lambda x: NOT list_contains({pred}, x)))) AS BIGINT) AS {prefix}_fn_full")
 
     return "WITH " + S.LINE_FACTS + f""",
 t0 AS (SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_orderdate, o.o_orderpriority, lf.last_ship,

@@ -29,7 +29,7 @@ _HTML_SQL = r"""list_filter(list_transform(string_split_regex(
 
 
 @register("flatten_elements", f"""
-SELECT page_id, len(els) AS n_elements, array_to_string(els, chr(10)) AS parsed_text
+SELECT page_id, CAST(len(els) AS INTEGER) AS n_elements, array_to_string(els, chr(10)) AS parsed_text
 FROM (SELECT page_id, {_HTML_SQL} AS els FROM pages)""", ops=("X1", "S2"))
 def flatten_elements(spark, d):
     """HTML page -> text blocks -> one newline-joined text per page."""
@@ -98,7 +98,7 @@ def decode_l1(spark, d):
 
 
 @register("json_array_or_empty", S.on_cases("""
-SELECT Case_Ref, array_to_string(arr, ',') AS items, len(arr) AS n FROM (
+SELECT Case_Ref, array_to_string(arr, ',') AS items, CAST(len(arr) AS INTEGER) AS n FROM (
   SELECT Case_Ref, coalesce(try(from_json(raw, '["VARCHAR"]')), CAST([] AS VARCHAR[])) AS arr
   FROM (SELECT Case_Ref, CASE Case_Status WHEN 'Closed' THEN CAST(to_json(L1_Situational_Flags) AS VARCHAR)
                               WHEN 'Pending' THEN '{"a": 1}'
@@ -136,7 +136,7 @@ def preview_text(spark, d):
 
 
 @register("fold_text", r"""
-SELECT doc_id, md5(f) AS folded_md5, length(f) - length(replace(f, '?', '')) AS n_q
+SELECT doc_id, md5(f) AS folded_md5, CAST(length(f) - length(replace(f, '?', '')) AS INTEGER) AS n_q
 FROM (SELECT doc_id, regexp_replace(translate(text, '—–’“”', '--''""'), '[^\x{00}-\x{FF}]', '?', 'g') AS f
       FROM documents)""", ops=("X23",))
 def fold_text(spark, d):
@@ -148,7 +148,7 @@ def fold_text(spark, d):
 
 
 @register("chunk_fixed", """
-SELECT doc_id, CAST(i AS INTEGER) AS pos, length(c) AS n_chars, md5(c) AS chunk_md5
+SELECT doc_id, CAST(i AS INTEGER) AS pos, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS chunk_md5
 FROM (SELECT doc_id, i, substring(text, i * 1000 + 1, 1000) AS c
       FROM documents, LATERAL (SELECT unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS i) r)""",
           ops=("X25",))
@@ -163,7 +163,7 @@ def chunk_fixed(spark, d):
 # --- S3-S5, X4, X19, X20 -----------------------------------------------------------------------
 
 @register("src_parsed_table", """
-SELECT CAST(doc_id AS VARCHAR) AS case_ref, md5(text) AS text_md5, length(text) AS n_chars FROM documents""",
+SELECT CAST(doc_id AS VARCHAR) AS case_ref, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars FROM documents""",
           ops=("S3", "S6"))
 def src_parsed_table(spark, d):
     """Adopt an already parsed table with caller-chosen key and text columns."""

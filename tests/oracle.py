@@ -59,18 +59,34 @@ def digest(rows: list[tuple]) -> str:
     return h.hexdigest()
 
 
+_SPARK_TYPES = {"int": "int32", "bigint": "int64", "smallint": "int16", "tinyint": "int8", "double": "float64",
+                "float": "float32", "string": "str", "boolean": "bool", "date": "date", "timestamp": "ts",
+                "timestamp_ntz": "ts"}
+_DUCK_TYPES = {"INTEGER": "int32", "BIGINT": "int64", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+               "FLOAT": "float32", "VARCHAR": "str", "BOOLEAN": "bool", "DATE": "date", "TIMESTAMP": "ts"}
+
+
+def type_diffs(df, rel) -> dict:
+    s = {f.name: _SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    d = {c: _DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+
+
 def compare(spark, name: str, build, sql: str, sf_dir: str, con=None) -> dict:
     df = build(spark, sf_dir)
     s_cols = df.columns
     s_rows = [tuple(r) for r in df.collect()]
     con = con or duck(sf_dir)
-    res = con.execute(sql)
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    diffs = type_diffs(df, rel)
+    d_rows = rel.fetchall()
     sc, sr = normalise(s_cols, s_rows)
     dc, dr = normalise(d_cols, d_rows)
     out = {"name": name, "spark_rows": len(sr), "duck_rows": len(dr),
-           "cols_match": sc == dc, "hash_match": digest(sr) == digest(dr)}
+           "cols_match": sc == dc, "types_match": not diffs, "hash_match": digest(sr) == digest(dr)}
+    if diffs:
+        out["type_diffs"] = diffs
     if not out["hash_match"]:
         diff = [r for r in sr if r not in set(dr)][:3]
         out["spark_only"] = diff

@@ -31,7 +31,8 @@ def main(argv: list[str]) -> int:
         try:
             if spec.sql:
                 r = compare(spark, name, spec.build, spec.sql, sf_dir, con)
-                ok = r["hash_match"] and r["cols_match"] and r["spark_rows"] == r["duck_rows"]
+                ok = (r["hash_match"] and r["cols_match"] and r["types_match"]
+                      and r["spark_rows"] == r["duck_rows"])
             else:
                 n = spec.build(spark, sf_dir).count()
                 r = {"name": name, "spark_rows": n, "rows_only": True}

@@ -20,6 +20,7 @@ def con(smoke_dir):
 def test_matches_oracle(spark, smoke_dir, con, name):
     r = compare(spark, name, REG[name].build, REG[name].sql, smoke_dir, con)
     assert r["cols_match"], r
+    assert r["types_match"], r
     assert r["spark_rows"] == r["duck_rows"], r
     assert r["hash_match"], r
 
