@@ -64,7 +64,12 @@ def synth_threads(spark, d):
                      F.concat_ws(",", "flags").alias("flags"), F.length("parsed_text").alias("n_chars"))
 
 
-def _truth_sql() -> str:
+_PER_ROW = """
+SELECT case_ref, array_to_string(p_agencies, ',') AS agencies, array_to_string(p_flags, ',') AS flags,
+       p_status AS status, p_country AS country FROM tagged"""
+
+
+def _truth_sql(per_row: bool = False) -> str:
     rmap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SY.RETURNFLAG_AGENCY.items())
     flag_sent = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SY.FLAG_SENTENCES.items())
     tag_ag = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(parsed_text, '\\b{a}\\b') THEN '{a}' END"
@@ -114,12 +119,13 @@ th AS (SELECT *, concat_ws(chr(10),
           'Date: ' || strftime(last_ship, '%d %b %Y') || ', 09:00') AS parsed_text FROM t3),
 tagged AS (SELECT *, {tag_ag} AS p_agencies, {tag_fl} AS p_flags, {tag_st} AS p_status, {tag_co} AS p_country,
                   regexp_extract(parsed_text, '\\[SGCON[^\\]]*\\]\\s*(.+?)\\s*-\\s', 1) AS p_type FROM th)
+""" + (_PER_ROW if per_row else f"""
 SELECT count(*) AS n, {scores('agencies', 'p_agencies', 'ev_agencies', 'agencies')},
        {scores('flags', 'p_flags', 'ev_flags', 'flags')},
        count(*) FILTER (WHERE p_status = status) AS status_correct,
        count(*) FILTER (WHERE p_country = country) AS country_correct,
        count(*) FILTER (WHERE p_type = case_type) AS type_correct
-FROM tagged"""
+FROM tagged""")
 
 
 @register("truth_vs_tags", _truth_sql(), ops=("J8", "X10", "Y6"))
@@ -128,3 +134,14 @@ def truth_vs_tags(spark, d):
     against evidenced truth and against full truth."""
     t = Tables(spark, d)
     return SY.truth_scores(SY.truth_threads(t.orders, t.lineitem))
+
+
+@register("tag_threads", _truth_sql(per_row=True), ops=("X10",))
+def tag_threads(spark, d):
+    """Evidence-only tags of every truth thread: agencies, flags, status, country."""
+    t = Tables(spark, d)
+    th = SY.truth_threads(t.orders, t.lineitem)
+    return th.select("case_ref", F.concat_ws(",", E.tag_agencies("parsed_text")).alias("agencies"),
+                     F.concat_ws(",", E.tag_flags("parsed_text")).alias("flags"),
+                     E.tag_status("parsed_text").alias("status"),
+                     E.tag_first("parsed_text", E.COUNTRIES).alias("country"))
