@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as X
+from caseflow.sources.tables import bounded_broadcast
+
+# Procedures are one per case type; above this many rows the join is left to the planner.
+MAX_BROADCAST_PROCEDURES = 10_000
 
 DEFAULT_AUTHOR = "officer"
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -68,9 +72,10 @@ def case_steps(gold: DataFrame, sop_chunks: DataFrame) -> DataFrame:
     """J4 + X21: each case's procedure steps ``(Case_Ref, idx, step)``.
 
     The procedure table is matched on the normalised title; it has one row per
-    case type (a closed vocabulary), so the planner broadcasts it by size.
+    case type, and it is broadcast only after its row count is proved small.
     """
-    sop = sop_chunks.select(X.norm_key("sop_title").alias("_k"), "chunk")
+    sop = bounded_broadcast(sop_chunks.select(X.norm_key("sop_title").alias("_k"), "chunk"),
+                            MAX_BROADCAST_PROCEDURES)
     g = gold.select("Case_Ref", X.norm_key("Case_Type").alias("_k"))
     j = g.join(sop, "_k", "inner")
     return (j.select("Case_Ref", F.posexplode(X.numbered_steps("chunk")).alias("idx", "step"))
@@ -92,8 +97,10 @@ def recommended_steps(gold: DataFrame, sop_chunks: DataFrame,
     """J4 batch form: the procedure text for every case (default if none).
 
     Several procedures with one key resolve to the smallest ``chunk_id`` (Q18)."""
-    sop = (sop_chunks.groupBy(X.norm_key("sop_title").alias("_k"))
-           .agg(F.min_by("chunk", "chunk_id").alias("chunk"), F.min("chunk_id").alias("chunk_id")))
+    sop = bounded_broadcast(
+        sop_chunks.groupBy(X.norm_key("sop_title").alias("_k"))
+        .agg(F.min_by("chunk", "chunk_id").alias("chunk"), F.min("chunk_id").alias("chunk_id")),
+        MAX_BROADCAST_PROCEDURES)
     g = gold.select("Case_Ref", "Case_Type", X.norm_key("Case_Type").alias("_k"))
     return (g.join(sop, "_k", "left")
             .select("Case_Ref", "Case_Type", "chunk_id",
