@@ -151,3 +151,17 @@ def test_event_log_stream_drops_replayed_events(spark):
     assert log.count() == 3
     latest = {r.case_ref: r.status for r in ST.fold_latest(log, ["case_ref"], ["status"]).collect()}
     assert latest == {"r1": "Pending", "r2": "On Hold"}
+
+
+def test_sql_functions_match_column_operators(spark):
+    from caseflow.functions import text as X
+    df = spark.createDataFrame([("Ann", "Ann S1234567A", "Serious Illness/Death"), (None, "x S7654321B", "Scam")],
+                               "n string, t string, ty string")
+    df.createOrReplaceTempView("sqlfn_probe")
+    G.register_sql_functions(spark, G.Viewer("analyst"))
+    got = spark.sql("SELECT mask_pii(n) AS m, norm_key(ty) AS k, scrub_pii(t, n) AS s FROM sqlfn_probe").collect()
+    want = df.select(X.mask("n", False).alias("m"), X.norm_key("ty").alias("k"),
+                     X.scrub_pii("t", "n").alias("s")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    G.register_sql_functions(spark, G.Viewer("o", frozenset({G.PRIVILEGED_GROUP})))
+    assert spark.sql("SELECT mask_pii(n) FROM sqlfn_probe").first()[0] == "Ann"
