@@ -100,17 +100,27 @@ def gold_stream(spark: SparkSession, bronze_dir: str, schema, transform: Callabl
 
 # --- T3: live flag / event trend -----------------------------------------------------------------
 
+def utc_instant(wall_clock):
+    """``timestamp_ntz`` wall clock -> the instant of that wall clock in UTC,
+    independent of the session zone (rendered with an explicit ``Z``)."""
+    return F.to_timestamp(F.concat(F.date_format(wall_clock, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+
+
 def trend_stream(spark: SparkSession, src_dir: str, glob: str, schema, ts_col: str, key_col: str,
                  window: str = "1 day", watermark: str = "1 day", run_id: str | None = None) -> DataFrame:
     """Event-time window counts per key, complete mode (equals batch); rolled
     up to coarser grains (months) on read."""
     ckpt, sink = stream_dirs(spark, "trend", run_id)
     src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(src_dir)
-    ev = src.select(F.col(ts_col).cast("timestamp").alias("_ts"), F.col(key_col).alias("key"))
+    # Watermarks need a zoned TIMESTAMP. The wall-clock event time is read as a
+    # UTC instant (whatever the session zone), windows are cut on UTC days, and
+    # window starts are rendered back in UTC, so days equal the batch days.
+    ev = src.select(utc_instant(F.col(ts_col)).alias("_ts"), F.col(key_col).alias("key"))
     agg = (ev.withWatermark("_ts", watermark).groupBy(F.window("_ts", window).alias("w"), "key")
            .agg(F.count(F.lit(1)).alias("n")))
-    run_available_now(agg, ckpt, sink,
-                      lambda b: b.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "key", "n"),
+    day = F.date_format(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")),
+                        "yyyy-MM-dd")
+    run_available_now(agg, ckpt, sink, lambda b: b.select(day.alias("day"), "key", "n"),
                       output_mode="complete", complete_sink=True)
     return spark.read.parquet(sink)
 
@@ -121,7 +131,7 @@ def event_log_stream(spark: SparkSession, events: DataFrame, id_col: str, ts_col
                      watermark: str = "1 day", run_id: str | None = None) -> DataFrame:
     """Append a streaming event log with replays removed inside the watermark."""
     ckpt, sink = stream_dirs(spark, "events", run_id)
-    dedup = (events.withColumn("_wts", F.col(ts_col).cast("timestamp")).withWatermark("_wts", watermark)
+    dedup = (events.withColumn("_wts", utc_instant(F.col(ts_col))).withWatermark("_wts", watermark)
              .dropDuplicatesWithinWatermark([id_col]).drop("_wts"))
     run_available_now(dedup, ckpt, sink)
     return spark.read.parquet(sink).drop("epoch")

@@ -165,3 +165,19 @@ def test_sql_functions_match_column_operators(spark):
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
     G.register_sql_functions(spark, G.Viewer("o", frozenset({G.PRIVILEGED_GROUP})))
     assert spark.sql("SELECT mask_pii(n) FROM sqlfn_probe").first()[0] == "Ann"
+
+
+def test_trend_stream_days_do_not_depend_on_session_zone(spark):
+    from caseflow.streaming import stream as SM
+    ev = Tables(spark, D).events
+    batch = sorted(tuple(r) for r in ev.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                                                 F.col("event_type").alias("key"))
+                   .agg(F.count(F.lit(1)).alias("n")).collect())
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/Los_Angeles", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            out = SM.trend_stream(spark, D, "events.parquet", ev.schema, "ts", "event_type")
+            assert sorted(tuple(r) for r in out.select("day", "key", "n").collect()) == batch, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
