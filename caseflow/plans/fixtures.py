@@ -296,7 +296,7 @@ def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thread_map_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = Tables(spark, sf_dir).events
     return ev.select(F.col("user_id").alias("conv_id"),
-                     F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("genie_conv_id"),
+                     F.concat(F.lit("g"), F.col("event_id").cast("string")).alias("assistant_conv_id"),
                      F.col("ts").alias("at"), F.col("event_id").alias("seq"))
 
 

@@ -61,13 +61,13 @@ def notes_feed(spark, d):
 
 
 @register("latest_state", S.sql_with(f"""
-SELECT conv_id, genie_conv_id, {TS_SQL.format(c='at_')} AS updated_at
-FROM {_latest("(SELECT user_id AS conv_id, 'g' || CAST(event_id AS VARCHAR) AS genie_conv_id, ts AS at_, "
-              "event_id AS seq FROM events)", 'conv_id', 'genie_conv_id')}""", []), ops=("M6", "W2"))
+SELECT conv_id, assistant_conv_id, {TS_SQL.format(c='at_')} AS updated_at
+FROM {_latest("(SELECT user_id AS conv_id, 'g' || CAST(event_id AS VARCHAR) AS assistant_conv_id, ts AS at_, "
+              "event_id AS seq FROM events)", 'conv_id', 'assistant_conv_id')}""", []), ops=("M6", "W2"))
 def latest_state(spark, d):
     """Upsert-by-fold: latest thread mapping per conversation."""
-    f = ST.fold_latest(FX.thread_map_events(spark, d), ["conv_id"], ["genie_conv_id"])
-    return f.select("conv_id", "genie_conv_id", F.date_format("at", ST.TS_FORMAT).alias("updated_at"))
+    f = ST.fold_latest(FX.thread_map_events(spark, d), ["conv_id"], ["assistant_conv_id"])
+    return f.select("conv_id", "assistant_conv_id", F.date_format("at", ST.TS_FORMAT).alias("updated_at"))
 
 
 _NORM = "regexp_replace(lower({c}), '[^a-z]', '', 'g')"

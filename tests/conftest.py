@@ -14,9 +14,11 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from caseflow.session import build_session
 
+    from pyspark import SparkConf
+
     extra = {}
     # tests only: a private checkpoint folder when the session names none
-    if not os.environ.get("SPARK_CHECKPOINT_DIR"):
+    if not SparkConf().get("spark.checkpoint.dir", None):
         extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="caseflow-test-ckpt-")
     s = build_session(master="local[4]", shuffle_partitions=8, extra=extra)
     yield s
