@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,13 +13,9 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from caseflow.session import build_session
 
-    from pyspark import SparkConf
-
-    extra = {}
-    # tests only: a private checkpoint folder when the session names none
-    if not SparkConf().get("spark.checkpoint.dir", None):
-        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="caseflow-test-ckpt-")
-    s = build_session(master="local[4]", shuffle_partitions=8, extra=extra)
+    # The session keeps any spark.checkpoint.dir it is given; when none is set,
+    # caseflow.session.checkpoint_dir falls back to a private folder (local mode only).
+    s = build_session(master="local[4]", shuffle_partitions=8)
     yield s
 
 
