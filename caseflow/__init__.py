@@ -11,3 +11,19 @@ Layers (all plain DataFrame functions):
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle caseflow functions by value, so the Python functions Spark runs
+    on executors (model calls, parsers, k-NN scans) carry their own code and
+    workers need no installed copy of this package."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover - pyspark is a hard dependency
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
