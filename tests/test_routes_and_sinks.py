@@ -181,3 +181,23 @@ def test_trend_stream_days_do_not_depend_on_session_zone(spark):
             assert sorted(tuple(r) for r in out.select("day", "key", "n").collect()) == batch, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_worker_side_queries_run_from_another_directory(tmp_path):
+    """Python UDFs and mapInPandas functions reach executors without the
+    package being importable there (pickled by value)."""
+    import subprocess
+    import sys as _sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "q = E.queries()\n"
+            f"print('N', q['model_extract_stub'](s, {D!r}).count(), q['parse_pages'](s, {D!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([_sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "N " in out.stdout, out.stderr[-2000:]
+    n_threads, n_pages = map(int, out.stdout.split("N ")[1].split())
+    assert n_threads > 0 and n_pages > 0
