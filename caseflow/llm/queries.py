@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontam, line_dedup
+from caseflow.llm import decontam, line_dedup, packing, tokens
 from caseflow.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every whole text."""
+    return tokens.token_counts(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark words found in documents: 10-word phrases by positional index."""
     r = decontam.decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
@@ -22,6 +27,11 @@ def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -57,8 +67,10 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 
 SQL = {
