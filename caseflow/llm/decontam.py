@@ -3,7 +3,7 @@
 Method. The training side is tokenised once into positional postings
 ``(term_id, doc_id, pos)``, stored by document in the shared folder. Posting
 lists that no test phrase consults are pruned before they are stored: the test
-vocabulary is broadcast while it has at most ``MAX_BROADCAST_ROWS`` terms and
+vocabulary is broadcast while it has at most ``common.MAX_BROADCAST_ROWS`` terms and
 joined by shuffle beyond. Document frequencies come from the index itself. A
 test phrase is then answered from its rarest terms: the list of the rarest term,
 shifted by the term's offset in the phrase, gives candidate starts; these meet
@@ -17,13 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import ascii_lower, stage
+from caseflow.llm.common import ascii_lower, bounded, stage
 
 #: A word, after A-Z is lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Broadcast bound: tables of so many rows at most (8 to 40 bytes each) are broadcast, others joined by shuffle.
-MAX_BROADCAST_ROWS = 200_000
 END = ""  # end mark: its posting's position is the document's number of words
 
 
@@ -32,11 +30,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
-
-
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``items(item_id, text)`` -> distinct ``(phrase_id, terms, items)``.
 

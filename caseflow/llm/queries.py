@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontam, line_dedup, packing, tokens
+from caseflow.llm import decontam, line_dedup, minhash_forest, packing, tokens
 from caseflow.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op5_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate components at Jaccard 0.8 on 4-word shingles."""
+    return minhash_forest.near_duplicates(table(spark, d, "documents").select("doc_id", "text"), words=4)
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -65,15 +70,31 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+OP5_SQL = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g
+       FROM dw, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 3) + 1)) AS s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM x JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r AS (SELECT u AS id, u AS m FROM e UNION SELECT e.v, r.m FROM r JOIN e ON r.id = e.u),
+c AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.m, d.doc_id) AS component_id,
+       coalesce(c.m, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
+"""
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_minhash_forest": op5_minhash_forest,
 }
 
 SQL = {
     "op2_decontamination": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op5_minhash_forest": OP5_SQL,
 }
