@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import decontam, line_dedup, minhash_forest, packing, tokens
+from caseflow.llm import anchors, decontam, line_dedup, minhash_forest, packing, tokens
 from caseflow.llm.common import table
 
 
@@ -37,6 +37,12 @@ def op5_minhash_forest(spark: SparkSession, d: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, d, "documents").select("doc_id", "text"), words=4)
 
 
+def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Words of 13-word passages that a smaller doc_id also has are removed."""
+    r = anchors.substring_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -84,6 +90,19 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.m, d
        coalesce(c.m, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id
 """
+OP6_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS g
+      FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS s) WHERE len(w) >= 13),
+m AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM g JOIN m ON g.g = m.g WHERE doc_id > m),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT x.doc_id, count(*) FILTER (r.p IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY x.p) FILTER (r.p IS NULL) AS kept
+      FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.p = r.p GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -91,10 +110,12 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_forest": op5_minhash_forest,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
 SQL = {
     "op2_decontamination": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op5_minhash_forest": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
 }
