@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, line_dedup, minhash_forest, packing, tokens
+from caseflow.llm import anchors, decontam, line_dedup, metric_join, minhash_forest, packing, tokens
 from caseflow.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_metric_range_join(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors linked at cosine 0.95."""
+    return metric_join.near_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -103,6 +108,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BI
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT u AS id, u AS m FROM l UNION SELECT l.v, r.m FROM r JOIN l ON r.id = l.u),
+c AS (SELECT id, min(m) AS m FROM r GROUP BY id),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.m, v.vec_id) AS component_id,
+       coalesce(c.m, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.u = v.vec_id LEFT JOIN c ON c.id = v.vec_id
+"""
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -111,6 +127,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_metric_range_join": op10_metric_range_join,
 }
 
 SQL = {
@@ -118,4 +135,5 @@ SQL = {
     "op3_line_dedup": OP3_SQL,
     "op5_minhash_forest": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op10_metric_range_join": OP10_SQL,
 }
