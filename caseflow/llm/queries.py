@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, line_dedup, metric_join, minhash_forest, packing, tokens
+from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, tokens
 from caseflow.llm.common import table
 
 
@@ -48,6 +48,14 @@ def op10_metric_range_join(spark: SparkSession, d: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every text, learned from two folds of three."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", langid.held_out(F.col("doc_id"), 1, 3))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -127,6 +135,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_language_id": op9_language_id,
     "op10_metric_range_join": op10_metric_range_join,
 }
 
