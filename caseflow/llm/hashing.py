@@ -9,7 +9,6 @@ have equal hashes; different ones share a hash with odds of about 2^-60.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
 def _values(fold: bool) -> np.ndarray:
     v = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) << U(1) | U(1)
     if fold:

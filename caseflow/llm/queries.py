@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, tokens
+from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, string_kernel, tokens
 from caseflow.llm.common import table
 
 
@@ -48,6 +48,15 @@ def op10_metric_range_join(spark: SparkSession, d: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every text, learned from three folds of four."""
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn(
+        "held_out", langid.held_out(F.col("doc_id"), 2, 4))
+    model = string_kernel.train(docs.where("not held_out").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id"))
+    return string_kernel.toxicity(docs, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
     """Language of every text, learned from two folds of three."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang").withColumn(
@@ -135,6 +144,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_metric_range_join": op10_metric_range_join,
 }

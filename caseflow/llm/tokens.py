@@ -17,9 +17,10 @@ word is encoded once while it is in a bounded cache.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,14 +46,20 @@ def default_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str | None):
-    import os
+    """The tokenizer at ``path``, loaded once in a Python process.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker a core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path or default_path())
+    Functions reach the workers by value, with fresh module variables for each
+    task, so what is loaded is kept on ``sys``, which lives as long as the worker.
+    """
+    loaded = sys.__dict__.setdefault("_caseflow_tokenizers", {})
+    path = path or default_path()
+    if path not in loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker a core
+        from tokenizers import Tokenizer
+
+        loaded[path] = Tokenizer.from_file(path)
+    return loaded[path]
 
 
 def pieces(text: str) -> list[str]:
