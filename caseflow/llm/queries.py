@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, string_kernel, tokens
+from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, string_kernel, style_tree, tokens
 from caseflow.llm.common import table
 
 
@@ -48,6 +48,12 @@ def op10_metric_range_join(spark: SparkSession, d: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
+def op7_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of every page."""
+    r = style_tree.main_text(table(spark, d, "pages").select("page_id", "url", "html"))
+    return r.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity of every text, learned from three folds of four."""
     docs = table(spark, d, "documents").select("doc_id", "text").withColumn(
@@ -144,6 +150,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_metric_range_join": op10_metric_range_join,
