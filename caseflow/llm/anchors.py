@@ -92,7 +92,7 @@ def _per_document(docs, versions, values) -> pa.Table:
     docs, versions, values = docs[order], versions[order], values[order]
     new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (versions[1:] != versions[:-1]))) if len(docs) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    found = [values[a:b].astype("<u8").tobytes() for a, b in zip(at, [*at[1:], len(docs)], strict=True)]
+    found = [values[a:b].astype("<u8").tobytes() for a, b in zip(at, [*at[1:], len(docs)], strict=False)]
     return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "version": pa.array(versions[at], pa.int64()),
                      "found": pa.array(found, pa.binary())})
 

@@ -109,18 +109,18 @@ def _count_whole(path: str | None):
 def _cut_chunks(overlap: int, step: int):
     def run(batches):
         for b in slices(batches, 1):
-            text = b.column("text")[0].as_py()
-            row, n = b.column("row")[0].as_py(), len(text)
+            text, h1, h2 = (b.column(c)[0].as_py() for c in ("text", "h1", "h2"))
+            n = len(text)
             for k, s in enumerate(range(0, max(1, n - overlap), step)):
                 yield pa.RecordBatch.from_pylist(
-                    [{"row": row, "chunk": k, "start": s, "last": s + step + overlap >= n, "text": text[s:s + step + overlap]}],
+                    [{"h1": h1, "h2": h2, "chunk": k, "start": s, "last": s + step + overlap >= n, "text": text[s:s + step + overlap]}],
                     schema=_CHUNK)
     return run
 
 
-_CHUNK = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("last", pa.bool_()),
+_CHUNK = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("chunk", pa.int64()), ("start", pa.int64()), ("last", pa.bool_()),
                     ("text", pa.string())])
-_ENCODED = pa.schema([("row", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("n", pa.int64()),
+_ENCODED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("n", pa.int64()),
                       *[(c, pa.list_(pa.int64())) for c in ("head", "head_tokens", "tail", "tail_tokens")]])
 
 
@@ -136,7 +136,7 @@ def _encode_chunks(path: str | None, overlap: int, step: int):
                 begins = [(o[0], i) for i, o in enumerate(e.offsets) if i == 0 or words[i] != words[i - 1]]
                 head = [x for x in begins if 0 < x[0] < overlap and r["chunk"]]
                 tail = [x for x in begins if step < x[0] <= size - MARGIN and not r["last"]]
-                out.append({"row": r["row"], "chunk": r["chunk"], "last": r["last"], "n": len(words),
+                out.append({"h1": r["h1"], "h2": r["h2"], "chunk": r["chunk"], "last": r["last"], "n": len(words),
                             "head": [r["start"] + p for p, _ in head], "head_tokens": [i for _, i in head],
                             "tail": [r["start"] + p for p, _ in tail], "tail_tokens": [i for _, i in tail]})
             yield pa.RecordBatch.from_pylist(out, schema=_ENCODED)
@@ -149,18 +149,19 @@ def _spark(schema: pa.Schema) -> str:
 
 
 def _resynchronised(huge: DataFrame, path: str | None, overlap: int, step: int) -> DataFrame:
-    """``huge(row, text)`` -> ``(row, n_tokens)``; n_tokens null where a pair of chunks shares no boundary."""
-    chunks = huge.select("row", "text").mapInArrow(_cut_chunks(overlap, step), _spark(_CHUNK))
-    chunks = chunks.repartition(F.col("row"), F.col("chunk"))
-    enc = stage(chunks.mapInArrow(_encode_chunks(path, overlap, step), _spark(_ENCODED)), "chunks")
-    left = enc.where("not last").select("row", (F.col("chunk") + 1).alias("chunk"), "tail", "tail_tokens")
-    pair = left.join(enc.select("row", "chunk", "head", "head_tokens"), ["row", "chunk"])
+    """``huge(h1, h2, text)`` -> ``(h1, h2, n_tokens)``, one row per text; null where two chunks share no boundary."""
+    chunks = huge.select("h1", "h2", "text").mapInArrow(_cut_chunks(overlap, step), _spark(_CHUNK))
+    chunks = chunks.repartition(F.col("h1"), F.col("h2"), F.col("chunk"))
+    enc = chunks.mapInArrow(_encode_chunks(path, overlap, step), _spark(_ENCODED))
+    enc = stage(enc.dropDuplicates(["h1", "h2", "chunk"]), "chunks")  # equal texts count once
+    left = enc.where("not last").select("h1", "h2", (F.col("chunk") + 1).alias("chunk"), "tail", "tail_tokens")
+    pair = left.join(enc.select("h1", "h2", "chunk", "head", "head_tokens"), ["h1", "h2", "chunk"])
     at = F.array_min(F.array_intersect("tail", "head"))
     count = lambda p, t: F.get(F.col(t), F.array_position(p, F.col("at")).cast("int") - 1)
-    pair = pair.withColumn("at", at).select("row", (count("tail", "tail_tokens") - count("head", "head_tokens")).alias("n"))
-    parts = pair.union(enc.where("last").select("row", "n"))
-    total = parts.groupBy("row").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.count("n").alias("known"))
-    return total.select("row", F.when(F.col("parts") == F.col("known"), F.col("n")).alias("n_tokens"))
+    pair = pair.withColumn("at", at).select("h1", "h2", (count("tail", "tail_tokens") - count("head", "head_tokens")).alias("n"))
+    parts = pair.union(enc.where("last").select("h1", "h2", "n"))
+    total = parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.count("n").alias("known"))
+    return total.select("h1", "h2", F.when(F.col("parts") == F.col("known"), F.col("n")).alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, huge: int = HUGE,
@@ -177,15 +178,15 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, hug
     kind = d.schema["doc_id"].dataType.simpleString()
     out = d.where(F.length("text") <= huge).mapInArrow(_count_whole(path), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
 
-    big = d.where(F.length("text") > huge).withColumn("row", F.monotonically_increasing_id())
+    big = d.where(F.length("text") > huge).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
     pending, found = big, None
     while True:
         r = stage(_resynchronised(pending, path, overlap, max(step, 2 * overlap)), "counts")
         done = r.where("n_tokens is not null")
         found = done if found is None else found.union(done)
-        failed = r.where("n_tokens is null").select("row")
+        failed = r.where("n_tokens is null").select("h1", "h2")
         if failed.isEmpty():
             break
-        pending, overlap = big.join(failed, "row", "left_semi"), overlap * 8
-    out = out.union(big.select("row", "doc_id", "n_bytes").join(found, "row").select("doc_id", "n_bytes", "n_tokens"))
+        pending, overlap = big.join(failed, ["h1", "h2"], "left_semi"), overlap * 8
+    out = out.union(big.select("h1", "h2", "doc_id", "n_bytes").join(found, ["h1", "h2"]).select("doc_id", "n_bytes", "n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
