@@ -1,26 +1,20 @@
 """Chunks, embeddings and similarity search.
 
-k-NN strategy, chosen by proven sizes (``limit(n+1).count()``), never guessed:
-
-* one side bounded (at most ``max_side`` rows): that side is shipped to every
-  task as a numpy matrix; ``mapInPandas`` over the other side scores Arrow
-  batches with matrix products. Shipped queries: each task keeps a running
-  top-2k per query and a window with ``row_number <= k`` (planned with a
-  partial ``WindowGroupLimit`` before the shuffle) merges the candidates.
-  Shipped items: each query row gets its exact top-k inside its own task.
-* both sides large: the query side is split by a hash of its id into batches
-  that each pass the size check; each batch is an exact scan as above, and the
-  candidates of all batches are merged. Exact, and skew-proof: no join, no
-  pair generation, work = batches x items.
-* opt-in approximation: random-hyperplane LSH; vectors are exploded to
-  ``(table, bucket)`` keys and candidates come from an equi-join on those keys.
-  A hot bucket makes that join quadratic in the bucket, so it is never chosen
-  implicitly; recall against the exact path is reported by ``knn_lsh_recall``.
+k-NN is one exact plan whatever the sizes: both sides are dealt into blocks by a
+hash of their ids (block counts follow the row counts), every pair of blocks is
+one task that returns exactly k rows per query, and one window merges them
+(planned with a partial ``WindowGroupLimit`` before the shuffle). Nothing is
+collected or broadcast, a task holds two blocks, and a hot vector is one row.
+Ranking is one total order, ``(score desc, item id asc)`` on the unrounded double;
+only the output is rounded.
+
+Opt-in approximation: random-hyperplane LSH; its recall against the exact plan
+is reported by ``knn_lsh_recall``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -28,36 +22,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import text as X
+from caseflow.session import materialize
 
-DEFAULT_MAX_SIDE = 20_000      # rows of the shipped side (x dim x 8 bytes)
 SCORE_DIGITS = 6
+FEATURES = 1 << 16    # hash buckets of the offline embedder
+GRID = 4096           # its weights are multiples of 1 / GRID, so dot products are exact in any order
 
 
 # --- V3: embeddings --------------------------------------------------------------------
 
-def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = 256):
-    """Offline default embedder, fitted once: tokens -> hashed term counts ->
-    IDF (one distributed aggregation over ``corpus``) -> L2-normalised dense
-    ``array<float>``. Returns ``embed(df, text_col, id_col)`` that applies the
-    same fitted model to any frame. A hosted model plugs in as a pandas UDF
-    returning ``array<float>`` instead."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"\W+", minTokenLength=2)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(
-        tf.transform(tok.transform(corpus.select(F.col(text_col).alias("_text")))))
-    norm = Normalizer(inputCol="_tfidf", outputCol="_n", p=2.0)
-
-    def embed(df: DataFrame, col: str, id_col: str) -> DataFrame:
-        out = norm.transform(idf.transform(tf.transform(tok.transform(
-            df.select(id_col, F.col(col).alias("_text"))))))
-        return out.select(id_col, vector_to_array("_n", "float32").alias("embedding"))
+def tokens(text) -> Column:
+    """Lower-cased runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(X._c(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _counts(df: DataFrame, text_col: str, id_col: str, features: int) -> DataFrame:
+    """``(id, bucket, tf)``: exploded and combined before the shuffle."""
+    bucket = F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 8), 16, 10).cast("long") % features
+    return (df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_t"))
+            .groupBy("_id", bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("tf")))
+
+
+def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = FEATURES):
+    """Offline default embedder, fitted once: hashed term counts x IDF, L2-normalised.
+
+    The fitted table (at most ``num_features`` rows) is materialised in the
+    shared folder. Returns ``embed(df, text_col, id_col)`` giving ``(id, embedding)``
+    with a sparse ``struct<indices, values>``; a text without tokens has an empty
+    one. A hosted model plugs in as a pandas UDF returning ``array<float>``."""
+    docs = corpus.select(F.monotonically_increasing_id().alias("_d"), text_col)
+    df = _counts(docs, text_col, "_d", num_features).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    idf = materialize(df.crossJoin(F.broadcast(corpus.agg(F.count(F.lit(1)).alias("n")))).select(
+        "bucket", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")))
+
+    def embed(frame: DataFrame, col: str, id_col: str) -> DataFrame:
+        w = _counts(frame, col, id_col, num_features).join(F.broadcast(idf), "bucket")
+        w = w.select("_id", "bucket", (F.col("tf") * F.col("idf")).alias("w"))
+        vec = w.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("_v"))
+        norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+        value = lambda x: F.round(x["w"] / norm * GRID) / GRID
+        vec = vec.select("_id", F.struct(F.transform("_v", lambda x: x["bucket"]).alias("indices"),
+                                         F.transform("_v", lambda x: F.when(norm > 0, value(x)).otherwise(0.0)).alias("values")).alias("embedding"))
+        none = F.expr("named_struct('indices', cast(array() as array<int>), 'values', cast(array() as array<double>))")
+        return frame.select(id_col).join(vec, F.col(id_col) == F.col("_id"), "left").select(
+            id_col, F.coalesce("embedding", none).alias("embedding"))
     return embed
 
 
-def embed_tfidf(df: DataFrame, text_col: str, id_col: str, num_features: int = 256,
+def embed_tfidf(df: DataFrame, text_col: str, id_col: str, num_features: int = FEATURES,
                 fit_on: DataFrame | None = None) -> DataFrame:
     """Fit on ``fit_on`` (default ``df``) and embed ``df``."""
     corpus = fit_on if fit_on is not None else df
@@ -83,82 +95,58 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 
 # --- V5 / V6: k-NN -------------------------------------------------------------------------
 
-def _bounded_matrix(side: DataFrame, id_col: str, vec_col: str, max_rows: int):
-    """``(ids, broadcast(matrix))`` sorted by id when ``side`` has at most
-    ``max_rows`` rows (proved by ``limit(max_rows+1).count()``), else ``None``.
-    The matrix goes to executors once as a broadcast variable, not inside
-    every task."""
-    n = side.limit(max_rows + 1).count()
-    if n > max_rows:
-        return None
-    rows = sorted(side.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).collect(),
-                  key=lambda r: r[0])                     # id order: exact tie-break downstream
-    ids = np.array([r[0] for r in rows], dtype=object)
-    mat = np.array([r[1] for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    return ids, side.sparkSession.sparkContext.broadcast(mat)
-
-
-QUERY_BLOCK = 1024   # shipped rows scored at once: block x batch doubles in memory
-
-
-def _topk_scan(q_ids, q_bc, item_id: str, vec_col: str, k: int, id_type: str):
-    """Partition function: running top candidates per shipped row over item
-    batches. Shipped rows are scored in blocks of :data:`QUERY_BLOCK`, so the
-    score matrix stays ``QUERY_BLOCK x batch`` whatever the side sizes; each
-    partition emits at most ``2k`` rows per shipped row (slack for ties at the
-    cut, resolved exactly by the merge's ``(score desc, id asc)`` order)."""
-    keep = 2 * k
-    blocks = [(lo, min(lo + QUERY_BLOCK, len(q_ids))) for lo in range(0, len(q_ids), QUERY_BLOCK)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_mat = q_bc.value
-        best_s: list = [None] * len(blocks)
-        best_i: list = [None] * len(blocks)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            ids = pdf[item_id].to_numpy()
-            for b, (lo, hi) in enumerate(blocks):
-                sc = q_mat[lo:hi] @ m.T
-                idm = np.broadcast_to(ids, sc.shape)
-                if best_s[b] is not None:
-                    sc = np.hstack([best_s[b], sc])
-                    idm = np.hstack([best_i[b], idm])
-                width = min(keep, sc.shape[1])
-                if sc.shape[1] > width:
-                    part = np.argpartition(-sc, width - 1, axis=1)[:, :width]
-                    sc = np.take_along_axis(sc, part, axis=1)
-                    idm = np.take_along_axis(idm, part, axis=1)
-                best_s[b], best_i[b] = sc, np.array(idm)
-        for b, (lo, hi) in enumerate(blocks):
-            if best_s[b] is None:
-                continue
-            width = best_s[b].shape[1]
-            yield pd.DataFrame({"qid": np.repeat(q_ids[lo:hi], width),
-                                "item_id": best_i[b].reshape(-1), "score": best_s[b].reshape(-1)})
-    return run
-
-
-def _rowwise_topk(ids_sorted, mat_bc, k: int):
-    """Partition function over query rows: exact top-k of the shipped items
-    per row, ordered by score desc then item id. The shipped items come in id
-    order, so one stable argsort of the negated scores gives that order for a
-    whole Arrow batch at once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mat_sorted = mat_bc.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids_sorted) == 0:
-                continue
-            m = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
-            sc = np.round(m @ mat_sorted.T, SCORE_DIGITS)
-            kk = min(k, sc.shape[1])
-            order = np.argsort(-sc, axis=1, kind="stable")[:, :kk]
-            yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), kk),
-                                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
-                                "item_id": ids_sorted[order].reshape(-1),
-                                "score": np.take_along_axis(sc, order, axis=1).reshape(-1)})
+QUERY_BLOCK, ITEM_BLOCK = 4096, 16_384   # rows of a side in one task
+SCORES = 1 << 22                          # scores held at once in a task
+
+
+def _dense_scores(q: pd.DataFrame, it: pd.DataFrame):
+    """Score function over query rows, and the exact scores of chosen items.
+
+    Matrix products may differ in the last bits with the shape of a block, so
+    they only choose candidates; a row's own sum does not depend on its block."""
+    a, b = (np.vstack(x["v"].to_numpy()).astype(np.float64) for x in (q, it))
+    return (lambda lo, hi: a[lo:hi] @ b.T), (lambda i, idx: (b[idx] * a[i]).sum(axis=1)), 1e-9
+
+
+def _sparse_scores(q: pd.DataFrame, it: pd.DataFrame):
+    """The same for sparse vectors: entries of both sides meet on their index."""
+    size = it["indices"].map(len).to_numpy()
+    dims, row, val = np.concatenate([*it["indices"], []]).astype(np.int64), np.repeat(np.arange(len(it)), size), np.concatenate([*it["values"], []])
+    order = np.argsort(dims, kind="stable")
+    dims, row, val = dims[order], row[order], val[order]
+
+    def scores(lo: int, hi: int) -> np.ndarray:
+        part = q.iloc[lo:hi]
+        d = np.concatenate([*part["indices"], []]).astype(np.int64)
+        w, i = np.concatenate([*part["values"], []]), np.repeat(np.arange(hi - lo), part["indices"].map(len).to_numpy())
+        first, n = np.searchsorted(dims, d), np.searchsorted(dims, d, "right") - np.searchsorted(dims, d)
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else first, n) + np.arange(n.sum())
+        flat = np.repeat(i, n) * len(it) + row[at]
+        return np.bincount(flat, np.repeat(w, n) * val[at], (hi - lo) * len(it)).reshape(hi - lo, len(it))
+
+    return scores, None, 0.0
+
+
+def _block_topk(k: int, sparse: bool):
+    """One query block against one item block: exactly ``min(k, items)`` rows per query."""
+    def run(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(it):
+            return pd.DataFrame({"qid": q["qid"][:0], "item_id": it["item_id"][:0], "score": np.zeros(0)})
+        it = it.sort_values("item_id", kind="stable", ignore_index=True)   # stable sorts then break ties by id
+        scores, exact, band = (_sparse_scores if sparse else _dense_scores)(q, it)
+        kk, step, rows, items, values = min(k, len(it)), max(1, SCORES // len(it)), [], [], []
+        for lo in range(0, len(q), step):
+            s = scores(lo, min(lo + step, len(q)))
+            cut = np.partition(s, len(it) - kk, axis=1)[:, len(it) - kk] - band
+            for i, c in enumerate(cut):
+                idx = np.flatnonzero(s[i] >= c)
+                sc = exact(lo + i, idx) if exact else s[i, idx]
+                best = np.argsort(-sc, kind="stable")[:kk]
+                rows += [lo + i] * kk
+                items.append(idx[best])
+                values.append(sc[best])
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "item_id": it["item_id"].to_numpy()[np.concatenate(items)],
+                             "score": np.concatenate(values)})
     return run
 
 
@@ -168,63 +156,24 @@ def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
             .select("qid", "rank", "item_id", F.round("score", SCORE_DIGITS).alias("score")))
 
 
-def _scan_shipped_queries(q: DataFrame, it: DataFrame, k: int, shipped, qid_type: str, iid_type: str) -> DataFrame:
-    """Exact scan of the items against shipped queries.
-
-    Each task emits at most 2k candidates per query, so the merge shuffle is
-    queries x 2k x tasks. The item side is coalesced (no shuffle) to the
-    session's parallelism when it has more partitions: every core stays busy
-    and the candidate volume no longer grows with the number of input files."""
-    q_ids, q_bc = shipped
-    cores = it.sparkSession.sparkContext.defaultParallelism
-    if it.rdd.getNumPartitions() > cores:
-        it = it.coalesce(cores)
-    fn = _topk_scan(q_ids, q_bc, "item_id", "v", k, iid_type)
-    return it.mapInPandas(fn, f"qid {qid_type}, item_id {iid_type}, score double")
-
-
 def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id: str = "item_id",
-        vec_col: str = "embedding", max_side: int = DEFAULT_MAX_SIDE, approximate: bool = False,
-        lsh: dict | None = None) -> DataFrame:
+        vec_col: str = "embedding", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Exact top-``k`` items per query by dot product (cosine on unit vectors).
 
-    Returns ``(qid, rank, item_id, score)``; ties order by item id. When
-    neither side fits ``max_side`` rows, the query side is split by a hash of
-    its id into batches that each fit (checked); every batch is one exact scan
-    of the items and all batches are merged, so no query is dropped and no
-    pair set is ever materialised. ``approximate=True`` uses LSH instead."""
-    q = queries.select(F.col(q_id).alias("qid"), F.col(vec_col).cast("array<double>").alias("v"))
-    it = items.select(F.col(i_id).alias("item_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    qid_type = q.schema["qid"].dataType.simpleString()
-    iid_type = it.schema["item_id"].dataType.simpleString()
-    if approximate:
-        return knn_lsh(q, it, k, **(lsh or {}))
-    # Shipping the item side is the cheaper plan (no merge shuffle), so it is
-    # tried first; its size check only scans the item side.
-    shipped = _bounded_matrix(it, "item_id", "v", max_side)
-    if shipped is not None:
-        i_ids, i_bc = shipped
-        fn = _rowwise_topk(i_ids, i_bc, k)
-        # each query row sees every shipped item: final top-k in one task, no shuffle
-        return q.mapInPandas(fn, f"qid {qid_type}, rank int, item_id {iid_type}, score double")
-    shipped = _bounded_matrix(q, "qid", "v", max_side)
-    if shipped is not None:
-        return _merge_topk(_scan_shipped_queries(q, it, k, shipped, qid_type, iid_type), k)
-    parts = []
-    pending = [(q, 2 * (q.count() // max_side + 1))]
-    while pending:
-        part, n_batches = pending.pop()
-        bucket = F.pmod(F.xxhash64("qid"), F.lit(n_batches))
-        for b in range(n_batches):
-            qb = part.where(bucket == b)
-            shipped = _bounded_matrix(qb, "qid", "v", max_side)
-            if shipped is None:               # uneven hash split: split this batch again
-                pending.append((qb, 2))
-                continue
-            parts.append(_scan_shipped_queries(qb, it, k, shipped, qid_type, iid_type))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    Vectors are arrays or sparse ``struct<indices, values>``. Returns
+    ``(qid, rank, item_id, score)``; ties order by item id. Block sizes only set
+    how the work is cut, never the answer."""
+    sparse = queries.schema[vec_col].dataType.typeName() == "struct"
+    vec = ([F.col(vec_col)["indices"].alias("indices"), F.col(vec_col)["values"].alias("values")] if sparse
+           else [F.col(vec_col).cast("array<double>").alias("v")])
+    q = queries.select(F.col(q_id).alias("qid"), *vec)
+    it = items.select(F.col(i_id).alias("item_id"), *vec)
+    n_q, n_i = (max(1, math.ceil(x.count() / n)) for x, n in ((q, query_block), (it, item_block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("ib", every(n_i))
+    it = it.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_i)).cast("int")).withColumn("qb", every(n_q))
+    kinds = f"qid {q.schema['qid'].dataType.simpleString()}, item_id {it.schema['item_id'].dataType.simpleString()}, score double"
+    cands = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(_block_topk(k, sparse), kinds)
     return _merge_topk(cands, k)
 
 

@@ -40,7 +40,7 @@ def _knn_labels(spark, d):
 @register("knn_exact", "WITH " + _CENTROID_SQL + "\nSELECT qid, CAST(rank AS INTEGER) AS rank, item_id, score FROM hits",
           ops=("V5",))
 def knn_exact(spark, d):
-    """Exact top-3 vectors for each label centroid (shipped query side)."""
+    """Exact top-3 vectors for each label centroid."""
     return _knn_labels(spark, d)[0].select("qid", F.col("rank").cast("int").alias("rank"), "item_id", "score")
 
 
@@ -77,38 +77,105 @@ def _chunks_and_sop(spark, d):
     return chunks, sop
 
 
-@register("embed_tfidf", None, ops=("V3",))
+@register("knn_ties", "WITH " + _CENTROID_SQL.split("hits AS")[0].rstrip().rstrip(",") + """,
+items AS (SELECT vec_id * 50 + j AS item_id, v FROM e, (SELECT unnest(range(50)) AS j))
+SELECT qid, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM (
+  SELECT cq.label AS qid, item_id, list_dot_product(v, cq.q) AS score,
+         row_number() OVER (PARTITION BY cq.label ORDER BY list_dot_product(v, cq.q) DESC, item_id) AS rank
+  FROM cq, items) WHERE rank <= 7""", ops=("V5",))
+def knn_ties(spark, d):
+    """Top-7 where every vector comes 50 times: ties go to the smaller id, in any block."""
+    q, emb = _label_queries(spark, d)
+    items = emb.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: F.col("vec_id") * 50 + j)).alias("item_id"), "embedding")
+    return SE.knn(q, items, 7, item_block=4096).select("qid", F.col("rank").cast("int").alias("rank"), "item_id", "score")
+
+
+_TOKENS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+_BUCKET = "(CAST('0x' || substr(md5({t}), 1, 8) AS BIGINT) % 65536)"
+
+
+def _scrub_sql(text: str) -> str:
+    ids = f"regexp_replace({text}, '[STFG][0-9]{{7}}[A-Z]', '[NRIC]', 'g')"
+    return f"CASE WHEN c_name IS NULL OR c_name = '' THEN {ids} ELSE replace({ids}, c_name, '[NAME]') END"
+
+
+def _tfidf_sql(corpus: str) -> str:
+    """CTEs ``idf`` fitted on ``corpus(text)`` and macro-like text for vectors."""
+    return f"""corpus AS ({corpus}),
+ct AS (SELECT row_number() OVER () AS d, text FROM corpus),
+cb AS (SELECT DISTINCT d, {_BUCKET.format(t="t")} AS bucket FROM (SELECT d, unnest({_TOKENS.format(c="text")}) AS t FROM ct)),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) AS idf FROM cb GROUP BY bucket)"""
+
+
+def _vectors_sql(name: str, source: str) -> str:
+    """CTE ``name(id, bucket, w)`` of quantised unit weights for ``source(id, text)``."""
+    return f"""{name}_t AS (SELECT id, {_BUCKET.format(t="t")} AS bucket, count(*) AS tf
+  FROM (SELECT id, unnest({_TOKENS.format(c="text")}) AS t FROM ({source})) GROUP BY 1, 2),
+{name}_w AS (SELECT id, x.bucket, tf * idf AS w FROM {name}_t x JOIN idf ON x.bucket = idf.bucket),
+{name} AS (SELECT id, bucket, round(w / sqrt(s) * 4096) / 4096 AS w
+  FROM (SELECT *, sum(w * w) OVER (PARTITION BY id) AS s FROM {name}_w) WHERE s > 0)"""
+
+
+def _topk_sql(k: int, q_ids: str, i_ids: str) -> str:
+    """CTE ``hits(qid, rank, item_id, score)`` of exact top-k over all pairs."""
+    return f"""dots AS (SELECT q.id AS qid, i.id AS item_id, sum(q.w * i.w) AS score FROM q JOIN i ON q.bucket = i.bucket GROUP BY 1, 2),
+hits AS (SELECT qid, rank, item_id, round(score, 6) AS score FROM (
+  SELECT a.id AS qid, b.id AS item_id, coalesce(score, 0.0) AS score,
+         row_number() OVER (PARTITION BY a.id ORDER BY coalesce(score, 0.0) DESC, b.id) AS rank
+  FROM ({q_ids}) a CROSS JOIN ({i_ids}) b LEFT JOIN dots ON dots.qid = a.id AND dots.item_id = b.id) WHERE rank <= {k})"""
+
+
+_CHUNKS = "SELECT case_ref AS id, {} AS text FROM threads"
+_CASE_CHUNKS = f"chunks AS ({_CHUNKS.format(_scrub_sql('parsed_text'))})"
+
+
+@register("embed_tfidf", S.on_threads(
+    "SELECT a.id AS chunk_id, coalesce(n, 0) AS n_features, coalesce(l, '') AS features FROM (SELECT id FROM chunks) a LEFT JOIN "
+    "(SELECT id, count(*) AS n, string_agg(bucket || ':' || CAST(w * 4096 AS BIGINT), ',' ORDER BY bucket) AS l FROM v GROUP BY id) b ON a.id = b.id",
+    _CASE_CHUNKS, _tfidf_sql("SELECT text FROM chunks"), _vectors_sql("v", "SELECT * FROM chunks")),
+    ops=("V3",))
 def embed_tfidf(spark, d):
-    """Offline embedding of every scrubbed case chunk (hashing TF-IDF)."""
+    """Offline embedding of every scrubbed case chunk (hashed TF-IDF), entry by entry."""
     chunks, _ = _chunks_and_sop(spark, d)
-    emb = SE.embed_tfidf(chunks, "chunk", "chunk_id")
-    return emb.select("chunk_id", F.size("embedding").alias("dim"))
+    e = SE.embed_tfidf(chunks, "chunk", "chunk_id").select("chunk_id", F.arrays_zip("embedding.indices", "embedding.values").alias("v"))
+    e = e.withColumn("v", F.filter("v", lambda x: x["indices"].isNotNull()))
+    line = F.transform("v", lambda x: F.concat_ws(":", x["indices"].cast("string"), (x["values"] * SE.GRID).cast("long").cast("string")))
+    return e.select("chunk_id", F.size("v").cast("long").alias("n_features"), F.array_join(line, ",").alias("features"))
 
 
-@register("sop_search", None, ops=("V6", "V3"))
+@register("sop_search", S.on_threads(
+    "SELECT qid, CAST(rank AS INTEGER) AS rank, item_id, score FROM hits",
+    _CASE_CHUNKS, S.sop_values_sql(), _tfidf_sql("SELECT text FROM chunks UNION ALL SELECT chunk FROM sop"),
+    _vectors_sql("q", "SELECT * FROM chunks"), _vectors_sql("i", "SELECT chunk_id AS id, chunk AS text FROM sop"),
+    _topk_sql(K_PROCEDURES, "SELECT id FROM chunks", "SELECT chunk_id AS id FROM sop")), ops=("V6", "V3"))
 def sop_search(spark, d):
-    """Top-2 procedures for every case chunk (shipped procedure side)."""
+    """Top-2 procedures for every case chunk."""
     chunks, sop = _chunks_and_sop(spark, d)
     embed = SE.fit_tfidf(chunks.select("chunk").unionByName(sop.select("chunk")), "chunk")
     qe = embed(chunks, "chunk", "chunk_id")
     ie = embed(sop, "chunk", "chunk_id")
-    return SE.knn(qe.withColumnRenamed("chunk_id", "qid"), ie.withColumnRenamed("chunk_id", "item_id"), K_PROCEDURES)
+    return SE.knn(qe.withColumnRenamed("chunk_id", "qid"), ie.withColumnRenamed("chunk_id", "item_id"), K_PROCEDURES).select(
+        "qid", F.col("rank").cast("int").alias("rank"), "item_id", "score")
+
 
+_DOC_CHUNKS = ("SELECT doc_id || ':' || pos AS id, substr(text, CAST(pos * 1000 + 1 AS BIGINT), 1000) AS text FROM documents, "
+               "LATERAL (SELECT unnest(range(CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS pos)")
 
-@register("similar_documents", None, ops=("V5", "V3", "X25", "V7"))
+
+@register("similar_documents", "WITH " + f"""chunks AS ({_DOC_CHUNKS}), bench AS (SELECT item_id AS id, text FROM benchmark),
+{_tfidf_sql('SELECT text FROM chunks UNION ALL SELECT text FROM bench')}, {_vectors_sql('q', 'SELECT * FROM bench')},
+{_vectors_sql('i', 'SELECT * FROM chunks')}, {_topk_sql(K_CASES, 'SELECT id FROM bench', 'SELECT id FROM chunks')}
+SELECT qid, CAST(rank AS INTEGER) AS rank, item_id, score FROM hits""", ops=("V5", "V3", "X25"))
 def similar_documents(spark, d):
-    """Top-3 document chunks for every benchmark passage, with evidence."""
+    """Top-3 document chunks for every benchmark passage."""
     t = Tables(spark, d)
     docs = t.documents.select("doc_id", F.posexplode(X.fixed_chunks("text", 1000)).alias("pos", "chunk"))
     docs = docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("item_id"),
                        "chunk")
     bench = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("chunk"))
     embed = SE.fit_tfidf(docs.select("chunk").unionByName(bench.select("chunk")), "chunk")
-    ie = embed(docs, "chunk", "item_id")
-    qe = embed(bench, "chunk", "qid")
-    hits = SE.knn(qe, ie, K_CASES)
-    return SE.evidence_text(hits.join(docs, "item_id"),
-                            F.concat(F.lit("**"), F.col("item_id"), F.lit("**\n"), X.case_preview("chunk")))
+    return SE.knn(embed(bench, "chunk", "qid"), embed(docs, "chunk", "item_id"), K_CASES).select(
+        "qid", F.col("rank").cast("int").alias("rank"), "item_id", "score")
 
 
 _DELTA_SQL = r"""
@@ -122,11 +189,6 @@ FULL OUTER JOIN (SELECT case_ref AS chunk_id, sha256(coalesce({scrub_new}, ''))
   ON o.chunk_id = n.chunk_id"""
 
 
-def _scrub_sql(text: str) -> str:
-    ids = f"regexp_replace({text}, '[STFG][0-9]{{7}}[A-Z]', '[NRIC]', 'g')"
-    return f"CASE WHEN c_name IS NULL OR c_name = '' THEN {ids} ELSE replace({ids}, c_name, '[NAME]') END"
-
-
 _OLD_TEXT = ("CASE WHEN o_orderstatus = 'O' THEN array_to_string(string_split(parsed_text, chr(10))[1:2], chr(10)) "
              "ELSE parsed_text END")
 

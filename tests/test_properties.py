@@ -36,24 +36,37 @@ def test_knn_matches_brute_force(spark):
     items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
     got = {(r.qid, r.rank): r.item_id for r in SE.knn(q, items, 3).collect()}
     for qid in range(5):
-        scores = sorted(((-float(np.round(vecs[qid] @ v, 6)), i) for i, v in vecs.items()))
+        scores = sorted((-float((vecs[qid] * v).sum()), i) for i, v in vecs.items())
         for rank, (_, i) in enumerate(scores[:3], 1):
             assert got[(qid, rank)] == i
 
 
-def test_knn_item_side_shipped_equals_query_side_shipped(spark):
+def test_knn_answer_does_not_depend_on_blocks_or_partitions(spark):
     emb = Tables(spark, D).embeddings
     q = emb.select(F.col("vec_id").alias("qid"), "embedding")
-    items = emb.where(F.col("label") == 1).select(F.col("vec_id").alias("item_id"), "embedding")
-    n_items = items.count()
-    a = SE.knn(q, items, 2, max_side=n_items)        # item side fits -> items shipped
-    b = SE.knn(items.withColumnRenamed("item_id", "qid"),    # roles reversed: queries shipped
-               q.withColumnRenamed("qid", "item_id"), 10**6, max_side=n_items)
-    b = b.select(F.col("item_id").alias("qid"), F.col("qid").alias("item_id"), "score")
-    b = b.withColumn("rank", F.row_number().over(
-        __import__("pyspark.sql").sql.Window.partitionBy("qid").orderBy(F.col("score").desc(), "item_id")))
-    b = b.where(F.col("rank") <= 2)
-    assert _rows(a.select("qid", "rank", "item_id")) == _rows(b.select("qid", "rank", "item_id"))
+    items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
+    want = _rows(SE.knn(q, items, 4))
+    assert _rows(SE.knn(q, items, 4, query_block=30, item_block=17)) == want
+    assert _rows(SE.knn(q.repartition(7), items.repartition(5), 4, query_block=1000, item_block=3)) == want
+
+
+def test_knn_ties_and_close_scores(spark):
+    """400 equal items: the smallest ids win in any block; 0.90000003 beats 0.90000001."""
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, embedding array<double>")
+    items = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(400)] + [(1000, [0.0, 0.90000001]), (1001, [0.0, 0.90000003])],
+                                  "item_id long, embedding array<double>").repartition(6)
+    for block in (16384, 50, 7):
+        got = {(r.qid, r["rank"]): r.item_id for r in SE.knn(q, items, 3, item_block=block).collect()}
+        assert [got[1, k] for k in (1, 2, 3)] == [0, 1, 2] and [got[2, k] for k in (1, 2, 3)] == [1001, 1000, 0]
+
+
+def test_sparse_knn_equals_dense(spark):
+    embed = SE.fit_tfidf(Tables(spark, D).benchmark, "text", num_features=64)
+    e = embed(Tables(spark, D).benchmark, "text", "item_id")
+    dense = e.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(
+        F.get(F.col("embedding.values"), F.array_position("embedding.indices", i.cast("int")).cast("int") - 1), F.lit(0.0))).alias("embedding"))
+    as_q = lambda x: x.withColumnRenamed("item_id", "qid")
+    assert _rows(SE.knn(as_q(e), e, 3, item_block=9)) == _rows(SE.knn(as_q(dense), dense, 3))
 
 
 def test_lsh_recall_reasonable(spark):
@@ -109,13 +122,3 @@ def test_model_called_once_per_row(spark):
     plan = ex.where(F.col("js.Case_Type").isNotNull())._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan          # the model ran before the checkpoint, not in this plan
     assert ex.where(F.col("status") == "ok").count() == th.count()
-
-
-def test_knn_batched_queries_equal_single_batch(spark):
-    emb = Tables(spark, D).embeddings
-    q = emb.select(F.col("vec_id").alias("qid"), "embedding")
-    items = emb.select(F.col("vec_id").alias("item_id"), "embedding")
-    n = q.count()
-    one = SE.knn(q, items, 3, max_side=n)                 # whole query side shipped
-    many = SE.knn(q, items, 3, max_side=max(2, n // 7))   # neither side fits: hash batches
-    assert _rows(one) == _rows(many)
