@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 CASE_REF_STRICT = r"\[(SGCON/[0-9]{4}/[0-9]+)\]"         # case reference in text
 CASE_REF_LOOSE = r"\[([A-Za-z0-9/_-]+)\]"                # installer hint pattern
-PDF_STEM = r"([^/]+)\.pdf$"                             # file name without .pdf
+FILE_STEM = r"([^/]+?)(?:\.[A-Za-z0-9]+)?$"             # file name without its extension
 SOP_TITLE = r"SOP_(.+)\.pdf$"                           # procedure title in file name
 SUBJECT_TYPE = r"\[SGCON[^\]]*\]\s*(.+?)\s*-\s"        # recorded type in subject
 DATE_TOKEN = r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4})"       # "05 Jan 2024"
@@ -53,7 +53,7 @@ def case_ref_hint(text) -> Column:
 
 def case_ref_fallback(hint, path) -> Column:
     """Hint if present, else the file name stem, else NULL."""
-    return F.coalesce(blank_to_null(hint), blank_to_null(F.regexp_extract(_c(path), PDF_STEM, 1)))
+    return F.coalesce(blank_to_null(hint), blank_to_null(F.regexp_extract(_c(path), FILE_STEM, 1)))
 
 
 # --- X11 ----------------------------------------------------------------------

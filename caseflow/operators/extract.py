@@ -52,12 +52,28 @@ STATUS_CUES = (("closed", r"(?i)\bcase closed\b"), ("pending", r"(?i)\bcase pend
 
 # --- X6: prompts -----------------------------------------------------------------
 
-def build_prompt(instructions: str, fields: Sequence[str]) -> str:
-    """Prompt text: instructions, the field list and the evidence-only rule.
+# What a model may answer, field by field: allowed values or a format.
+FIELD_RULES = {
+    "Case_Ref": "the bracketed reference, like SGCON/2024/10004",
+    "Created_On": "a date, YYYY-MM-DD",
+    "Case_Status": "one of In Progress, On Hold, Pending, Closed",
+    "L1_Agencies": f"a list out of {', '.join(AGENCIES)}",
+    "L1_Situational_Flags": f"a list out of {', '.join(FLAGS)}",
+    "L1_Country": f"one of {', '.join(COUNTRIES)}",
+    "L1_Mission": f"one of {', '.join(MISSIONS.values())}",
+    "L1_HQ_Unit": f"one of {', '.join(HQ_UNITS)}",
+    "L1_Status": "closed or pending",
+    "L2_Summary_Pathway": "two sentences",
+}
+
+
+def build_prompt(task: str, fields: Sequence[str], rules: dict[str, str] | None = None) -> str:
+    """Prompt text: the task, one line for each field with its rule, and how to answer.
     The document is appended as a Column, so no SQL escaping is needed."""
-    return (instructions.rstrip() + " Return ONLY a JSON object with exactly these keys: "
-            + ", ".join(fields) + ". Apply a value ONLY when the text explicitly supports it; "
-            "use null otherwise (do NOT guess). Text:\n")
+    rules = FIELD_RULES if rules is None else rules
+    lines = [f"- {f}: {rules[f]}" if f in rules else f"- {f}" for f in fields]
+    return "\n".join([task.rstrip(), "Answer with one JSON object and nothing else. Its keys:", *lines,
+                      "Write null for whatever the document does not say.", "Document:", ""])
 
 
 def with_prompt(prompt: str, text) -> Column:
@@ -69,51 +85,36 @@ def with_prompt(prompt: str, text) -> Column:
 _CALL_TYPE = T.StructType([T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def model_udf(model: ModelFn):
+def model_udf(model: ModelFn, batch_rows: int = 128):
     """Arrow-batched call of ``model``; a failing batch retries row by row so
     one bad document yields one error row, never a failed job."""
+    def request(items: list[str]) -> tuple[list, list]:
+        try:
+            return list(model(items)), [None] * len(items)
+        except Exception as e:  # noqa: BLE001 - isolate the failing rows
+            if len(items) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+        parts = [request([p]) for p in items]
+        return [r for raw, _ in parts for r in raw], [e for _, err in parts for e in err]
+
     def call(prompts: pd.Series) -> pd.DataFrame:
         items = prompts.tolist()
-        try:
-            raw = list(model(items))
-            err = [None] * len(items)
-        except Exception:  # noqa: BLE001 - isolate the failing rows
-            raw, err = [], []
-            for p in items:
-                try:
-                    raw.append(model([p])[0])
-                    err.append(None)
-                except Exception as e:  # noqa: BLE001
-                    raw.append(None)
-                    err.append(f"{type(e).__name__}: {e}"[:500])
-        return pd.DataFrame({"raw": raw, "error": err})
+        parts = [request(items[i:i + batch_rows]) for i in range(0, len(items), batch_rows)]
+        return pd.DataFrame({"raw": [r for raw, _ in parts for r in raw], "error": [e for _, err in parts for e in err]})
     return F.pandas_udf(call, _CALL_TYPE).asNondeterministic()
 
 
-MODEL_BATCH_ROWS = 128   # Arrow rows per model request batch (latency-bound calls)
+MODEL_BATCH_ROWS = 128   # rows of one model request (latency-bound calls)
 
 
 def call_model(df: DataFrame, model: ModelFn, prompt: str, text_col: str = "parsed_text",
                out: str = "_m", stage: bool = True, batch_rows: int = MODEL_BATCH_ROWS) -> DataFrame:
     """Append ``out = struct(raw, error)`` and checkpoint (``stage``).
 
-    While the staged call runs, Arrow batches hold ``batch_rows`` rows, so a
-    slow model call blocks a small batch and retries stay cheap; the previous
-    session value is restored afterwards."""
-    res = df.withColumn(out, model_udf(model)(with_prompt(prompt, F.col(text_col))))
-    if not stage:
-        return res
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key, None)
-    conf.set(key, str(batch_rows))
-    try:
-        return materialize(res)
-    finally:
-        if before is None:
-            conf.unset(key)
-        else:
-            conf.set(key, before)
+    A request holds at most ``batch_rows`` prompts whatever the Arrow batch, so a
+    slow model blocks little and retries stay cheap."""
+    res = df.withColumn(out, model_udf(model, batch_rows)(with_prompt(prompt, F.col(text_col))))
+    return materialize(res) if stage else res
 
 
 # --- X7-X9: decode -------------------------------------------------------------------------
@@ -158,12 +159,11 @@ def extract(df: DataFrame, model: ModelFn, prompt: str, schema: T.StructType,
 
 
 def l1_prompt() -> str:
-    return build_prompt("You are extracting structured fields from a consular case e-mail thread.",
-                        R.L1_FIELDS)
+    return build_prompt("Fill in the case form from the message thread below.", R.L1_FIELDS)
 
 
 def l2_prompt() -> str:
-    return build_prompt("You are a consular analyst. Tag the thread (layer 1) and summarise it (layer 2).",
+    return build_prompt("Label the message thread below, then describe how it went.",
                         [n for n, _ in R.L2_FIELDS])
 
 
@@ -220,7 +220,7 @@ def offline_model(prompts: list[str]) -> list[str | None]:
     JSON object built from the subject line. Small per-row helper."""
     out = []
     for p in prompts:
-        body = p.split("Text:\n", 1)[-1]
+        body = p.split("Document:\n", 1)[-1]
         m = _SUBJ.search(body)
         if not m:
             out.append("Sorry, I could not find a case in this text.")

@@ -16,14 +16,21 @@ from caseflow.functions import text as X
 ROUTES = ("structured", "similar", "procedure", "case_lookup")
 DEFAULT_ROUTE = "structured"
 
+# A reference as people type it, with or without brackets.
+QUESTION_REF = r"\b(SGCON/[0-9]{4}/[0-9]+)"
+
 # Our own cue patterns for the rule router.
 PROCEDURE_CUES = r"(?i)\b(procedure|procedures|sop|protocol|steps?)\b"
 SIMILAR_CUES = r"(?i)\b(similar|past cases|previous cases|like this)\b"
 
 
+ROUTE_PROMPT = ("Sort the question below. Answer with one JSON object: route is one of " + ", ".join(ROUTES)
+                + "; case_ref is the reference it names, else null.\nQuestion: ")
+
+
 def rule_route(question) -> Column:
     q = X._c(question)
-    return (F.when(q.rlike(X.CASE_REF_STRICT), F.lit("case_lookup"))
+    return (F.when(q.rlike(QUESTION_REF), F.lit("case_lookup"))
             .when(q.rlike(PROCEDURE_CUES), F.lit("procedure"))
             .when(q.rlike(SIMILAR_CUES), F.lit("similar"))
             .otherwise(F.lit(DEFAULT_ROUTE)))
@@ -39,13 +46,24 @@ def model_route(model_json) -> Column:
 
 def question_case_ref(question) -> Column:
     """R2: the case reference a question names, else NULL."""
-    return X.case_ref(question)
+    return X.blank_to_null(F.regexp_extract(X._c(question), QUESTION_REF, 1))
+
+
+def route_questions(questions: DataFrame, text_col: str = "question", model=None) -> DataFrame:
+    """R1 + R2 as two columns over a question table.
 
+    ``model`` (a batch of prompts in, JSON answers out) replaces the rules: it is
+    called once per question, and whatever it does not answer properly is
+    ``structured``."""
+    if model is None:
+        return questions.withColumn("route", rule_route(F.col(text_col))) \
+                        .withColumn("case_ref", question_case_ref(F.col(text_col)))
+    from caseflow.operators.extract import call_model
 
-def route_questions(questions: DataFrame, text_col: str = "question") -> DataFrame:
-    """R1 + R2 as two columns over a question table."""
-    return questions.withColumn("route", rule_route(F.col(text_col))) \
-                    .withColumn("case_ref", question_case_ref(F.col(text_col)))
+    asked = call_model(questions, model, ROUTE_PROMPT, text_col)
+    ref = F.from_json(X.json_cut("_m.raw"), "route string, case_ref string").getField("case_ref")
+    return asked.withColumn("route", model_route("_m.raw")).withColumn(
+        "case_ref", F.coalesce(question_case_ref(F.col(text_col)), question_case_ref(ref))).drop("_m")
 
 
 def route_mix(chat: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = FEATURES):
     one. A hosted model plugs in as a pandas UDF returning ``array<float>``."""
     docs = corpus.select(F.monotonically_increasing_id().alias("_d"), text_col)
     df = _counts(docs, text_col, "_d", num_features).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    idf = materialize(df.crossJoin(F.broadcast(corpus.agg(F.count(F.lit(1)).alias("n")))).select(
-        "bucket", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")))
+    n = corpus.count()
+    idf = materialize(df.select("bucket", F.log((F.lit(n) + 1) / (F.col("df") + 1)).alias("idf")))
 
     def embed(frame: DataFrame, col: str, id_col: str) -> DataFrame:
         w = _counts(frame, col, id_col, num_features).join(F.broadcast(idf), "bucket")

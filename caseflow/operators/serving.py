@@ -136,12 +136,16 @@ def list_page(df: DataFrame, cq: CaseQuery) -> DataFrame:
 
 def list_after(df: DataFrame, cq: CaseQuery, after_created: str | None, after_ref: str | None) -> DataFrame:
     """Keyset page for the ``newest`` order: rows strictly after the last
-    ``(Created_On, Case_Ref)`` seen; cost does not grow with page depth."""
+    ``(Created_On, Case_Ref)`` seen; cost does not grow with page depth. Cases
+    without a parseable date come last, so after a dated row they all remain,
+    and after an undated one only undated smaller references do."""
     base = filtered(df, cq)
     if after_ref is not None:
         created = F.try_to_date(F.col("Created_On"), "yyyy-MM-dd")
-        ac = F.to_date(F.lit(after_created))
-        base = base.where((created < ac) | ((created == ac) & (F.col("Case_Ref") < F.lit(after_ref))))
+        ac = F.try_to_date(F.lit(after_created).cast("string"), F.lit("yyyy-MM-dd"))
+        smaller = F.col("Case_Ref") < F.lit(after_ref)
+        dated = (created < ac) | ((created == ac) & smaller) | created.isNull()
+        base = base.where(F.when(ac.isNull(), created.isNull() & smaller).otherwise(dated))
     return list_projection(base.orderBy(*sort_order("newest")).limit(cq.size))
 
 

@@ -14,12 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions import text as X
-from caseflow.sources.tables import bounded_broadcast
-
-# Procedures are one per case type; above this many rows the join is left to the planner.
-MAX_BROADCAST_PROCEDURES = 10_000
+from caseflow.sources.sinks import append, create_if_absent
 
 DEFAULT_AUTHOR = "officer"
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -54,9 +52,10 @@ def apply_status_events(gold: DataFrame, status_events: DataFrame) -> DataFrame:
 
 
 def status_notes(status_events: DataFrame) -> DataFrame:
-    """The audit note each status change writes: ``Status changed to X.``"""
+    """The audit note each status change writes, by the event's author (column ``by``, if it has one)."""
+    by = X.blank_to_null("by") if "by" in status_events.columns else F.lit(None)
     return status_events.select(
-        "case_ref", F.lit(DEFAULT_AUTHOR).alias("author"),
+        "case_ref", F.coalesce(by, F.lit(DEFAULT_AUTHOR)).alias("author"),
         F.concat(F.lit("Status changed to "), F.col("status"), F.lit(".")).alias("note"), "at", "seq")
 
 
@@ -68,16 +67,16 @@ def completed_steps(step_events: DataFrame) -> DataFrame:
     return latest.where(F.col("done")).select("case_ref", "idx", "by", "at")
 
 
-def case_steps(gold: DataFrame, sop_chunks: DataFrame) -> DataFrame:
-    """J4 + X21: each case's procedure steps ``(Case_Ref, idx, step)``.
+def procedure_of_key(sop_chunks: DataFrame) -> DataFrame:
+    """One procedure for each normalised title, ``(_k, chunk_id, chunk)``: the smallest ``chunk_id`` (Q18)."""
+    return (sop_chunks.groupBy(X.norm_key("sop_title").alias("_k"))
+            .agg(F.min("chunk_id").alias("chunk_id"), F.min_by("chunk", "chunk_id").alias("chunk")))
 
-    The procedure table is matched on the normalised title; it has one row per
-    case type, and it is broadcast only after its row count is proved small.
-    """
-    sop = bounded_broadcast(sop_chunks.select(X.norm_key("sop_title").alias("_k"), "chunk"),
-                            MAX_BROADCAST_PROCEDURES)
+
+def case_steps(gold: DataFrame, sop_chunks: DataFrame) -> DataFrame:
+    """J4 + X21: each case's procedure steps ``(Case_Ref, idx, step)``, of one procedure."""
     g = gold.select("Case_Ref", X.norm_key("Case_Type").alias("_k"))
-    j = g.join(sop, "_k", "inner")
+    j = g.join(procedure_of_key(sop_chunks), "_k", "inner")
     return (j.select("Case_Ref", F.posexplode(X.numbered_steps("chunk")).alias("idx", "step"))
             .select("Case_Ref", F.col("idx").cast("int").alias("idx"), "step"))
 
@@ -94,13 +93,8 @@ def steps_with_status(gold: DataFrame, sop_chunks: DataFrame, step_events: DataF
 
 def recommended_steps(gold: DataFrame, sop_chunks: DataFrame,
                       missing: str = "No matching SOP found for this case type.") -> DataFrame:
-    """J4 batch form: the procedure text for every case (default if none).
-
-    Several procedures with one key resolve to the smallest ``chunk_id`` (Q18)."""
-    sop = bounded_broadcast(
-        sop_chunks.groupBy(X.norm_key("sop_title").alias("_k"))
-        .agg(F.min_by("chunk", "chunk_id").alias("chunk"), F.min("chunk_id").alias("chunk_id")),
-        MAX_BROADCAST_PROCEDURES)
+    """J4 batch form: the procedure text for every case (default if none)."""
+    sop = procedure_of_key(sop_chunks)
     g = gold.select("Case_Ref", "Case_Type", X.norm_key("Case_Type").alias("_k"))
     return (g.join(sop, "_k", "left")
             .select("Case_Ref", "Case_Type", "chunk_id",
@@ -177,3 +171,59 @@ def conversation(chat: DataFrame, conv_id) -> DataFrame:
     """Messages of one conversation in time order."""
     return (chat.where(F.col("conv_id") == F.lit(conv_id))
             .orderBy("created_at", "seq").select("role", "content", "route", "created_at", "seq"))
+
+
+# --- Writing (M1, M2, M4-M6, K4) ------------------------------------------------------------------
+#
+# Every write appends events to a log folder; reading is the fold above. Ids are
+# hashes of the event, so a replayed batch appends the same ids and reading
+# drops the repeats.
+
+LOG_SCHEMAS = {
+    "status": "event_id string, case_ref string, status string, by string, at timestamp_ntz, seq bigint",
+    "steps": "event_id string, case_ref string, idx int, done boolean, by string, at timestamp_ntz, seq bigint",
+    "notes": "event_id string, case_ref string, author string, note string, at timestamp_ntz, seq bigint",
+    "chat": "event_id string, conv_id bigint, user_email string, role string, content string, route string, created_at bigint, seq bigint",
+    "thread_map": "event_id string, conv_id bigint, assistant_conv_id string, at timestamp_ntz, seq bigint",
+}
+
+
+def append_events(events: DataFrame, store: str, log: str) -> None:
+    """Append ``events`` to the log named ``log`` under the folder ``store``."""
+    names = [f.name for f in T.StructType.fromDDL(LOG_SCHEMAS[log]).fields if f.name != "event_id"]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names]
+    rows = events.select(F.sha2(F.concat_ws("|", F.lit(log), *parts), 256).alias("event_id"), *names)
+    typed = [F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(LOG_SCHEMAS[log]).fields]
+    append(rows.select(*typed), f"{store}/{log}")
+
+
+def read_events(spark, store: str, log: str) -> DataFrame:
+    """All events of a log, each id once; empty if nothing was written yet."""
+    return create_if_absent(spark, f"{store}/{log}", T.StructType.fromDDL(LOG_SCHEMAS[log])).dropDuplicates(["event_id"])
+
+
+def set_status(changes: DataFrame, store: str) -> None:
+    """M1: ``changes(case_ref, status, by, at, seq)`` to the status log, each with its audit note."""
+    append_events(changes, store, "status")
+    append_events(status_notes(changes), store, "notes")
+
+
+def toggle_steps(changes: DataFrame, store: str) -> None:
+    """M2: ``changes(case_ref, idx, done, by, at, seq)``; the latest event of a step decides."""
+    append_events(changes, store, "steps")
+
+
+def add_notes(notes: DataFrame, store: str) -> None:
+    """M4: ``notes(case_ref, author, note, at, seq)``; a blank author becomes the default, blank notes are not written."""
+    author = F.coalesce(X.blank_to_null("author"), F.lit(DEFAULT_AUTHOR))
+    append_events(notes.where(F.trim("note") != "").withColumn("author", author), store, "notes")
+
+
+def add_chat(messages: DataFrame, store: str) -> None:
+    """M5: chat messages ``(conv_id, user_email, role, content, route, created_at, seq)``."""
+    append_events(messages, store, "chat")
+
+
+def upsert_thread_map(pairs: DataFrame, store: str) -> None:
+    """M6: ``pairs(conv_id, assistant_conv_id, at, seq)``; the latest pair of a conversation counts."""
+    append_events(pairs, store, "thread_map")

@@ -1,9 +1,9 @@
-"""Seeded synthetic case generation as Spark jobs (Y1-Y6) and truth scoring.
+"""Threads with known facts, and scoring of the tagger against them.
 
-Draws are hashes of ``(seed, stream, id)``, not ``rand()``, so a row's values
-do not depend on how the input is partitioned: the same ids give the same
-table on 8 cores or 8000. Rows come from a driver table (one per order), so
-the work grows with the data.
+A thread is written for every order from its own row and line items, so each
+fact in it is known. Some facts are left out of the text, and some texts carry
+a misleading mention (negated, lower-case, part of a longer word); the scores
+show what an evidence-only tagger makes of both.
 """
 
 from __future__ import annotations
@@ -17,104 +17,17 @@ from caseflow.operators import extract as E
 from caseflow.plans.fixtures import CASE_TYPES, line_facts
 from caseflow.sources.tables import spread
 
-# ---------------------------------------------------------------------------
-# Cumulative thresholds of the reference's weighted draws.
-# ---------------------------------------------------------------------------
-TYPE_THRESHOLDS = [(0.26, "Scam"), (0.48, "Lost/Stolen Document"), (0.66, "Victim of Crime"),
-                   (0.80, "Serious Illness/Death"), (0.91, "Arrest & Detention"), (None, "Evacuation")]
-COUNTRY_THRESHOLDS = [(0.18, "Thailand"), (0.34, "China"), (0.47, "Malaysia"), (0.59, "Indonesia"),
-                      (0.70, "United Kingdom"), (0.80, "Australia"), (0.90, "Japan"), (None, "India")]
-STATUS_THRESHOLDS = [(0.62, "Closed"), (0.74, "In Progress"), (0.80, "On Hold"), (None, "Pending")]
-FIRST_NAMES = ["Wei Ming", "Siti", "Arjun", "Rachel", "Kai", "Nurul", "Priya", "Farah", "Daniel",
-               "Mei Ling", "Ravi", "Marcus"]
-LAST_NAMES = ["Tan", "Lim", "Kumar", "Rahman", "Ng", "Wong", "Pillai", "Goh", "Chua", "Lee", "Ong", "Nair"]
-MAX_AGE_DAYS = 720
-MIN_DAYS, DAYS_SPAN = 4, 18
-DELAY_SHARE = 0.3
-
-_TWO53 = float(1 << 53)
-
-
-def uniform(seed: int, stream: str, key: Column) -> Column:
-    """Deterministic U[0,1) per ``(seed, stream, key)``."""
-    h = F.xxhash64(F.lit(seed), F.lit(stream), key)
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(_TWO53))
-
-
-def categorical(u: Column, thresholds: Sequence[tuple]) -> Column:
-    """First label whose cumulative threshold exceeds ``u``."""
-    out = None
-    for cut, label in thresholds:
-        if cut is None:
-            out = out.otherwise(F.lit(label)) if out is not None else F.lit(label)
-        else:
-            out = F.when(u < cut, F.lit(label)) if out is None else out.when(u < cut, F.lit(label))
-    return out
-
-
-def mission_of(country: Column) -> Column:
-    """Y2: country -> mission lookup."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in E.MISSIONS.items() for x in kv]), country)
-
-
-def unit_of(case_id: Column) -> Column:
-    """Y2: id parity -> handling unit."""
-    return F.when(case_id % 2 == 0, F.lit(E.HQ_UNITS[0])).otherwise(F.lit(E.HQ_UNITS[1]))
-
-
-def seeded_subset(vocab: Sequence[str], n: Column, seed: int, stream: str, key: Column) -> Column:
-    """``n`` distinct vocabulary items in a per-row hashed order."""
-    arr = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(stream), key, F.lit(v)).alias("h"),
-                             F.lit(v).alias("v")) for v in vocab])
-    return F.transform(F.slice(F.array_sort(arr), 1, n), lambda s: s.getField("v"))
-
-
-def synth_cases(ids: DataFrame, id_col: str, as_of: str, seed: int = 20260917) -> DataFrame:
-    """The 19-column synthetic gold table, one row per input id."""
-    i = F.col(id_col)
-    u = {s: uniform(seed, s, i) for s in ("t", "c", "s", "d", "n1", "n2", "ag", "fl", "x", "age")}
-    ctype, country, status = (categorical(u["t"], TYPE_THRESHOLDS), categorical(u["c"], COUNTRY_THRESHOLDS),
-                              categorical(u["s"], STATUS_THRESHOLDS))
-    created = F.date_sub(F.to_date(F.lit(as_of)), (u["age"] * MAX_AGE_DAYS).cast("int"))
-    ref = F.concat(F.lit("SGCON/"), F.year(created).cast("string"), F.lit("/"), (F.lit(20000) + i).cast("string"))
-    first = F.element_at(F.array(*[F.lit(x) for x in FIRST_NAMES]), (u["n1"] * len(FIRST_NAMES)).cast("int") + 1)
-    last = F.element_at(F.array(*[F.lit(x) for x in LAST_NAMES]), (u["n2"] * len(LAST_NAMES)).cast("int") + 1)
-    base = ids.select(i.alias("_id"), ctype.alias("Case_Type"), country.alias("L1_Country"),
-                      status.alias("Case_Status"), created.alias("_created"), ref.alias("Case_Ref"),
-                      F.concat(first, F.lit(" "), last).alias("Title_Name"),
-                      (u["ag"] * 3).cast("int").alias("_nag"), (u["fl"] * 2.5).cast("int").alias("_nfl"),
-                      u["d"].alias("_ud"), u["x"].alias("_ux"))
-    mission = mission_of(F.col("L1_Country"))
-    return base.select(
-        "Case_Ref", F.col("Case_Ref").alias("Case_Id"), "Case_Type", "Case_Status",
-        unit_of(F.col("_id")).alias("Case_Handler"), mission.alias("Assigned_HCG"), "L1_Country",
-        seeded_subset(E.AGENCIES, F.col("_nag"), seed, "agencies", F.col("_id")).alias("L1_Agencies"),
-        seeded_subset(E.FLAGS, F.col("_nfl"), seed, "flags", F.col("_id")).alias("L1_Situational_Flags"),
-        F.when(F.col("Case_Status") == "Closed", (F.lit(MIN_DAYS) + F.col("_ud") * DAYS_SPAN).cast("int"))
-        .alias("Resolution_Days"),
-        "Title_Name", F.lit("Singapore").alias("Citizenship"),
-        F.concat(F.col("Case_Type"), F.lit(" case involving a citizen in "), F.col("L1_Country"), F.lit("."))
-        .alias("Case_Description"),
-        F.concat(F.lit("Handled by the "), mission, F.lit(" mission. "), F.col("Case_Type"), F.lit(" in "),
-                 F.col("L1_Country"), F.lit("; assistance given and next-of-kin informed.")).alias("L2_Summary_Pathway"),
-        F.lit("Assistance requested; welfare checks and liaison provided.").alias("L2_Assistance_Req_vs_Provided"),
-        F.when(F.col("_ux") < DELAY_SHARE, F.lit("Delays from local processing times."))
-        .otherwise(F.lit("None noted.")).alias("L2_Complications_Delays"),
-        F.lit("Local authorities engaged.").alias("L2_External_Resources"),
-        F.lit("Early mission contact shortens cases.").alias("L2_Lessons_Learnt"),
-        F.date_format("_created", "yyyy-MM-dd").alias("Created_On"),
-    )
-
-
 # --- Y6: truth threads ---------------------------------------------------------------------
 
-# Our own sentences that state each fact in the thread text.
+# One sentence for each flag.
 FLAG_SENTENCES = {
-    "scam": "The family reported a scam.",
-    "MP/POH escalation": "The case was escalated by an MP.",
-    "language barrier": "A translator was engaged.",
-    "welfare concern": "A welfare concern was noted.",
+    "scam": "Money was lost to a scam by telephone.",
+    "MP/POH escalation": "The file came in escalated by a member's office.",
+    "language barrier": "Talks needed an interpreter.",
+    "welfare concern": "Neighbours raised a welfare concern.",
 }
+# Misleading mentions by order key modulo 5: negated, lower-case, part of a word.
+DECOYS = {0: "No interpreter was needed.", 1: "An spf sticker was on the bag.", 2: "ICAO rules were quoted."}
 # Facts kept in the truth but never written in the text (evidence-only tagging must miss them).
 UNSTATED = {"Arrest & Detention": ("agency", "MHA"), "Evacuation": ("flag", "welfare concern")}
 RETURNFLAG_AGENCY = {"A": "ICA", "N": "SPF", "R": "MHA"}
@@ -160,10 +73,11 @@ def truth_threads(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("Subject: Re: ["), F.col("case_ref"), F.lit("] "), F.col("case_type"), F.lit(" - "),
                  name, F.lit(" in "), F.col("country")),
         F.concat(F.lit("Date: "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(", 08:00")),
-        F.concat(name, F.lit(" requested consular assistance in "), F.col("country"), F.lit(".")),
+        F.concat(name, F.lit(" wrote to the desk from "), F.col("country"), F.lit(".")),
         F.when(F.size("ev_agencies") > 0,
-               F.concat(F.lit("We coordinated with "), F.array_join("ev_agencies", ", "), F.lit("."))),
+               F.concat(F.lit("Letters went to "), F.array_join("ev_agencies", ", "), F.lit("."))),
         F.when(F.size("ev_flags") > 0, flag_text),
+        F.element_at(F.create_map(*[F.lit(x) for kv in DECOYS.items() for x in kv]), (F.col("o_orderkey") % 5).cast("int")),
         F.when(F.col("status") == "closed", F.lit("Case closed.")).otherwise(F.lit("Case pending.")),
         F.when(F.col("last_ship").isNotNull(),
                F.concat(F.lit("Date: "), F.date_format("last_ship", "dd MMM yyyy"), F.lit(", 09:00"))))

@@ -24,12 +24,12 @@ SELECT count(*) AS total, CAST(sum(CASE WHEN Case_Status = 'Closed' THEN 1 ELSE
        round(avg(Resolution_Days), 1) AS avg_days FROM cases"""), ops=("A4",))
 def kpi(spark, d):
     """Total cases, closed cases, mean resolution days."""
-    return A.kpi(FX.cases(spark, d))
+    return A.kpi(FX.stored_cases(spark, d))
 
 
 def _count_by(col: str, name: str, op: str):
     def q(spark, d):
-        return A.count_by(FX.cases(spark, d), col)
+        return A.count_by(FX.stored_cases(spark, d), col)
     q.__doc__ = f"Case count by {col}."
     return register(name, S.on_cases(f"SELECT {col}, count(*) AS n FROM cases GROUP BY {col}"), ops=(op,))(q)
 
@@ -44,7 +44,7 @@ by_handler = _count_by("Case_Handler", "by_handler", "A9")
 SELECT L1_Country, Case_Type, count(*) AS n FROM cases GROUP BY L1_Country, Case_Type"""), ops=("A10",))
 def type_by_country(spark, d):
     """Two-key distribution: country x recorded type."""
-    return A.type_by_country(FX.cases(spark, d))
+    return A.type_by_country(FX.stored_cases(spark, d))
 
 
 @register("flag_counts", S.on_cases("""
@@ -52,7 +52,7 @@ SELECT flag, count(*) AS n FROM (SELECT unnest(L1_Situational_Flags) AS flag FRO
           ops=("A12",))
 def flag_counts(spark, d):
     """Frequency of each situational flag (exploded)."""
-    return A.flag_counts(FX.cases(spark, d))
+    return A.flag_counts(FX.stored_cases(spark, d))
 
 
 @register("agency_pairs", S.on_cases("""
@@ -63,7 +63,7 @@ SELECT a1, a2, count(*) AS pair_count FROM (
   WHERE x.a1 < y.a2) GROUP BY a1, a2"""), ops=("J6", "A13"))
 def agency_pairs(spark, d):
     """Agency co-involvement: unordered pairs inside each case."""
-    return A.agency_pairs(FX.cases(spark, d))
+    return A.agency_pairs(FX.stored_cases(spark, d))
 
 
 @register("welfare_by_country", S.on_cases(f"""
@@ -71,7 +71,7 @@ SELECT L1_Country, count(*) AS n FROM cases
 WHERE list_contains(L1_Situational_Flags, '{WELFARE}') GROUP BY L1_Country"""), ops=("A14", "F2"))
 def welfare_by_country(spark, d):
     """Countries by number of welfare-concern cases."""
-    return A.flag_country(FX.cases(spark, d), WELFARE)
+    return A.flag_country(FX.stored_cases(spark, d), WELFARE)
 
 
 @register("flag_trend_month", S.on_cases("""
@@ -80,7 +80,7 @@ SELECT strftime(date_trunc('month', try_strptime(Created_On, '%Y-%m-%d')), '%Y-%
 FROM (SELECT Created_On, unnest(L1_Situational_Flags) AS flag FROM cases) GROUP BY 1, 2"""), ops=("A15",))
 def flag_trend_month(spark, d):
     """Monthly count per situational flag."""
-    return A.flag_trend_month(FX.cases(spark, d))
+    return A.flag_trend_month(FX.stored_cases(spark, d))
 
 
 @register("tag_accuracy", S.on_cases("""
@@ -93,7 +93,7 @@ SELECT CAST(round(avg(CASE WHEN lower(trim(L1_Case_Type)) = lower(trim(Case_Type
 FROM cases WHERE Case_Type IS NOT NULL AND L1_Case_Type IS NOT NULL"""), ops=("A16",))
 def tag_accuracy(spark, d):
     """Agreement of derived vs recorded case type and mission."""
-    return A.tag_accuracy(FX.cases(spark, d))
+    return A.tag_accuracy(FX.stored_cases(spark, d))
 
 
 @register("facets", S.on_cases("""
@@ -105,7 +105,7 @@ SELECT DISTINCT facet, value FROM (
 WHERE value IS NOT NULL AND value <> ''"""), ops=("A17", "D1"))
 def facets(spark, d):
     """Distinct filter values per facet in one scan."""
-    return A.facets(FX.cases(spark, d))
+    return A.facets(FX.stored_cases(spark, d))
 
 
 @register("dashboard_bundle", S.on_cases("""
@@ -121,7 +121,7 @@ SELECT 'flag', flag, count(*), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
 FROM (SELECT unnest(L1_Situational_Flags) AS flag FROM cases) GROUP BY flag"""), ops=("A20",))
 def dashboard_bundle(spark, d):
     """KPI and series for the dashboard: grouping sets over one scan + flags."""
-    return A.dashboard_bundle(FX.cases(spark, d))
+    return A.dashboard_bundle(FX.stored_cases(spark, d))
 
 
 @register("type_country_agency_12m", S.on_cases(f"""
@@ -132,7 +132,7 @@ WHERE Case_Type = '{SAVED_TYPE}' AND L1_Country = '{SAVED_COUNTRY}'
           ops=("F1", "F2", "F4"))
 def type_country_agency_12m(spark, d):
     """Saved question: one type, one country, one agency, last 12 months."""
-    g = FX.cases(spark, d)
+    g = FX.stored_cases(spark, d)
     cond = ((F.col("Case_Type") == SAVED_TYPE) & (F.col("L1_Country") == SAVED_COUNTRY)
             & F.array_contains("L1_Agencies", SAVED_AGENCY)
             & A.in_last_months(F.col("Created_On"), F.to_date(F.lit(SAVED_AS_OF)), 12))
@@ -145,7 +145,7 @@ WHERE list_contains(L1_Situational_Flags, '{SAVED_FLAG_A}')
   AND list_contains(L1_Situational_Flags, '{SAVED_FLAG_B}')"""), ops=("F5",))
 def flag_conjunction(spark, d):
     """Saved question: cases carrying two given flags."""
-    g = FX.cases(spark, d)
+    g = FX.stored_cases(spark, d)
     return (g.where(F.array_contains("L1_Situational_Flags", SAVED_FLAG_A)
                     & F.array_contains("L1_Situational_Flags", SAVED_FLAG_B))
             .select("Case_Ref", "Case_Location", "Case_Status"))

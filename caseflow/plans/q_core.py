@@ -10,6 +10,7 @@ from caseflow.operators import analytics as A
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
 from caseflow.plans.catalog import register
+from caseflow.sources.tables import Tables
 
 
 @register("resolution_by_type", S.on_cases("""
@@ -17,7 +18,7 @@ SELECT Case_Type, round(avg(Resolution_Days), 1) AS avg_days, count(Resolution_D
 FROM cases WHERE Resolution_Days IS NOT NULL GROUP BY Case_Type"""), ops=("A11", "X15", "X16"))
 def resolution_by_type(spark, d):
     """Mean resolution days and closed count per recorded type."""
-    return A.resolution_by_type(FX.cases(spark, d))
+    return A.resolution_by_type(FX.stored_cases(spark, d))
 
 
 @register("extract_case_ref", S.on_threads(r"""
@@ -95,14 +96,15 @@ def map_to_record(spark, d):
 @register("parse_stats", S.on_threads(r"""
 SELECT count(*) AS total, count(nullif(parsed_text, '')) AS with_text,
        count(nullif(regexp_extract(parsed_text, '\[(SGCON/[0-9]{4}/[0-9]+)\]', 1), '')) AS with_ref,
-       CAST(0 AS BIGINT) AS errors
-FROM threads"""), ops=("A1", "X2"))
+       count(parse_error) AS errors
+FROM (SELECT parsed_text, NULL AS parse_error FROM threads
+      UNION ALL SELECT NULL, props FROM events WHERE event_type = 'error')"""), ops=("A1", "X2"))
 def parse_stats(spark, d):
-    """Bronze QA: total, with text, with reference, with parse error."""
-    th = FX.threads(spark, d).select(
-        "parsed_text", X.case_ref("parsed_text").alias("case_ref"),
-        F.lit(None).cast("string").alias("parse_error"))
-    return A.parse_stats(th)
+    """Bronze QA: total, with text, with reference, with parse error (error events stand for failed files)."""
+    th = FX.threads(spark, d).select("parsed_text", F.lit(None).cast("string").alias("parse_error"))
+    failed = Tables(spark, d).events.where(F.col("event_type") == "error").select(
+        F.lit(None).cast("string").alias("parsed_text"), F.col("props").alias("parse_error"))
+    return A.parse_stats(th.unionByName(failed).withColumn("case_ref", X.case_ref("parsed_text")))
 
 
 @register("extract_stats", S.on_cases("""
@@ -112,7 +114,7 @@ SELECT count(*) AS n_rows, count(DISTINCT Case_Type) AS n_types,
 FROM (SELECT *, CAST(NULL AS VARCHAR) AS MP_Name FROM cases)"""), ops=("A2",))
 def extract_stats(spark, d):
     """Record QA: rows, types, NULL locations, populated MP names."""
-    return A.extract_stats(FX.cases(spark, d))
+    return A.extract_stats(FX.stored_cases(spark, d))
 
 
 @register("enrich_stats", S.on_cases("""
@@ -122,25 +124,24 @@ SELECT round(avg(len(L1_Agencies)), 2) AS avg_agencies,
 FROM cases"""), ops=("A3",))
 def enrich_stats(spark, d):
     """Gold QA: mean tag counts, resolved count, mean days."""
-    return A.enrich_stats(FX.cases(spark, d))
+    return A.enrich_stats(FX.stored_cases(spark, d))
 
 
 @register("by_l1_type", S.on_cases("""
 SELECT L1_Case_Type, count(*) AS n FROM cases GROUP BY L1_Case_Type"""), ops=("A6",))
 def by_l1_type(spark, d):
     """Count by derived (layer-1) case type."""
-    return A.count_by(FX.cases(spark, d), "L1_Case_Type")
+    return A.count_by(FX.stored_cases(spark, d), "L1_Case_Type")
 
 
-SINK_YEAR = 1996
-
-
-@register("sink_overwrite_roundtrip", S.on_cases(f"""
-SELECT Case_Type, count(*) AS n, count(Resolution_Days) AS resolved FROM cases
-WHERE year(CAST(try_strptime(Created_On, '%Y-%m-%d') AS DATE)) = {SINK_YEAR} GROUP BY Case_Type"""),
-          ops=("K1", "K2"))
+@register("sink_overwrite_roundtrip", S.on_cases("""
+SELECT CAST(year(CAST(try_strptime(Created_On, '%Y-%m-%d') AS DATE)) AS INTEGER) AS created_year, Case_Type,
+       count(*) AS n, count(DISTINCT Case_Ref) AS refs, count(Resolution_Days) AS resolved,
+       CAST(sum(Resolution_Days) AS BIGINT) AS days, CAST(sum(len(L1_Agencies)) AS BIGINT) AS agencies,
+       CAST(sum(length(Case_Description)) AS BIGINT) AS text_chars
+FROM cases GROUP BY 1, 2"""), ops=("K1", "K2"))
 def sink_overwrite_roundtrip(spark, d):
-    """Gold written year-partitioned, read back for one year (partition pruning)."""
+    """Gold written year-partitioned over an earlier table and read back whole, every year."""
     import os
     import uuid
 
@@ -148,9 +149,14 @@ def sink_overwrite_roundtrip(spark, d):
     from caseflow.sources import sinks
 
     path = os.path.join(checkpoint_dir(spark), "caseflow-gold", uuid.uuid4().hex)
-    sinks.write_gold(FX.cases(spark, d).select("Case_Ref", "Case_Type", "Created_On", "Resolution_Days"), path)
-    back = spark.read.parquet(path).where(F.col("created_year") == SINK_YEAR)
-    return back.groupBy("Case_Type").agg(F.count(F.lit(1)).alias("n"), F.count("Resolution_Days").alias("resolved"))
+    gold = FX.stored_cases(spark, d)
+    sinks.write_gold(gold.limit(10), path)  # is replaced by the next line
+    sinks.write_gold(gold, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("created_year", "Case_Type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("Case_Ref").alias("refs"), F.count("Resolution_Days").alias("resolved"),
+        F.sum("Resolution_Days").cast("long").alias("days"), F.sum(F.size("L1_Agencies")).cast("long").alias("agencies"),
+        F.sum(F.length("Case_Description")).cast("long").alias("text_chars"))
 
 
 @register("decode_l2", S.on_cases("""

@@ -1,4 +1,4 @@
-"""Generator queries (Y1-Y6) and truth scoring."""
+"""The tagger against threads with known facts."""
 
 from __future__ import annotations
 
@@ -11,67 +11,22 @@ from caseflow.plans.catalog import register
 from caseflow.plans.fixtures import CASE_TYPES
 from caseflow.sources.tables import Tables
 
-SYNTH_AS_OF = "2026-09-17"
-
 
 def _lit_list(xs) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-def _cat_sql(u: str, thresholds) -> str:
-    parts = [f"WHEN {u} < {cut} THEN '{label}'" for cut, label in thresholds if cut is not None]
-    return f"CASE {' '.join(parts)} ELSE '{thresholds[-1][1]}' END"
-
-
-_U_TYPE = "((o_orderkey * 7919) % 10007) / 10007.0"
-_U_COUNTRY = "((o_orderkey * 104729) % 10009) / 10009.0"
-_U_STATUS = "((o_custkey * 31 + o_orderkey) % 1000) / 1000.0"
-_MISSION_SQL = "CASE country " + " ".join(f"WHEN '{c}' THEN '{m}'" for c, m in E.MISSIONS.items()) + " END"
-
-
-@register("synth_mapping", f"""
-SELECT o_orderkey AS id, case_type AS Case_Type, country AS L1_Country, {_MISSION_SQL} AS Assigned_HCG,
-       CASE WHEN o_orderkey % 2 = 0 THEN 'CRC' ELSE 'CON/OPS' END AS Case_Handler, status AS Case_Status
-FROM (SELECT o_orderkey, {_cat_sql(_U_TYPE, SY.TYPE_THRESHOLDS)} AS case_type,
-             {_cat_sql(_U_COUNTRY, SY.COUNTRY_THRESHOLDS)} AS country,
-             {_cat_sql(_U_STATUS, SY.STATUS_THRESHOLDS)} AS status FROM orders)""", ops=("Y1", "Y2"))
-def synth_mapping(spark, d):
-    """Weighted categoricals on data-derived uniforms, then country -> mission
-    and id parity -> unit."""
-    o = Tables(spark, d).orders
-    ut = ((F.col("o_orderkey") * 7919) % 10007) / F.lit(10007.0)
-    uc = ((F.col("o_orderkey") * 104729) % 10009) / F.lit(10009.0)
-    us = ((F.col("o_custkey") * 31 + F.col("o_orderkey")) % 1000) / F.lit(1000.0)
-    country = SY.categorical(uc, SY.COUNTRY_THRESHOLDS)
-    return o.select(F.col("o_orderkey").alias("id"), SY.categorical(ut, SY.TYPE_THRESHOLDS).alias("Case_Type"),
-                    country.alias("L1_Country"), SY.mission_of(country).alias("Assigned_HCG"),
-                    SY.unit_of(F.col("o_orderkey")).alias("Case_Handler"),
-                    SY.categorical(us, SY.STATUS_THRESHOLDS).alias("Case_Status"))
-
-
-@register("synth_cases", None, ops=("Y1", "Y2", "Y3", "Y4", "Y5", "S9"))
-def synth_cases(spark, d):
-    """Seeded 19-column synthetic gold table, one row per order."""
-    return SY.synth_cases(Tables(spark, d).orders, "o_orderkey", SYNTH_AS_OF)
-
-
-@register("synth_threads", None, ops=("Y6",))
-def synth_threads(spark, d):
-    """Truth threads: facts woven into text, some facts deliberately unstated."""
-    t = Tables(spark, d)
-    th = SY.truth_threads(t.orders, t.lineitem)
-    return th.select("case_ref", "case_type", "country", "status", F.concat_ws(",", "agencies").alias("agencies"),
-                     F.concat_ws(",", "flags").alias("flags"), F.length("parsed_text").alias("n_chars"))
-
-
 _PER_ROW = """
 SELECT case_ref, array_to_string(p_agencies, ',') AS agencies, array_to_string(p_flags, ',') AS flags,
        p_status AS status, p_country AS country FROM tagged"""
 
 
-def _truth_sql(per_row: bool = False) -> str:
+def truth_sql(body: str | None = None) -> str:
+    """Tagged truth threads (CTE ``tagged``) and a query body over them (default: the scores)."""
     rmap = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SY.RETURNFLAG_AGENCY.items())
-    flag_sent = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SY.FLAG_SENTENCES.items())
+    quoted = lambda x: x.replace("'", "''")
+    flag_sent = " ".join(f"WHEN '{k}' THEN '{quoted(v)}'" for k, v in SY.FLAG_SENTENCES.items())
+    decoy = "CASE o_orderkey % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in SY.DECOYS.items()) + " END"
     tag_ag = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(parsed_text, '\\b{a}\\b') THEN '{a}' END"
                                          for a in E.AGENCIES) + "], lambda x: x IS NOT NULL)"
     tag_fl = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(parsed_text, '{p}') THEN '{f}' END"
@@ -112,14 +67,15 @@ t3 AS (SELECT *, CASE WHEN case_type = 'Arrest & Detention' THEN list_filter(age
 th AS (SELECT *, concat_ws(chr(10),
           'Subject: Re: [' || case_ref || '] ' || case_type || ' - ' || name || ' in ' || country,
           'Date: ' || strftime(o_orderdate, '%d %b %Y') || ', 08:00',
-          name || ' requested consular assistance in ' || country || '.',
-          CASE WHEN len(ev_agencies) > 0 THEN 'We coordinated with ' || array_to_string(ev_agencies, ', ') || '.' END,
+          name || ' wrote to the desk from ' || country || '.',
+          CASE WHEN len(ev_agencies) > 0 THEN 'Letters went to ' || array_to_string(ev_agencies, ', ') || '.' END,
           CASE WHEN len(ev_flags) > 0 THEN array_to_string(list_transform(ev_flags, lambda f: CASE f {flag_sent} END), ' ') END,
+          {decoy},
           CASE WHEN status = 'closed' THEN 'Case closed.' ELSE 'Case pending.' END,
           'Date: ' || strftime(last_ship, '%d %b %Y') || ', 09:00') AS parsed_text FROM t3),
 tagged AS (SELECT *, {tag_ag} AS p_agencies, {tag_fl} AS p_flags, {tag_st} AS p_status, {tag_co} AS p_country,
                   regexp_extract(parsed_text, '\\[SGCON[^\\]]*\\]\\s*(.+?)\\s*-\\s', 1) AS p_type FROM th)
-""" + (_PER_ROW if per_row else f"""
+""" + (body or f"""
 SELECT count(*) AS n, {scores('agencies', 'p_agencies', 'ev_agencies', 'agencies')},
        {scores('flags', 'p_flags', 'ev_flags', 'flags')},
        count(*) FILTER (WHERE p_status = status) AS status_correct,
@@ -128,7 +84,7 @@ SELECT count(*) AS n, {scores('agencies', 'p_agencies', 'ev_agencies', 'agencies
 FROM tagged""")
 
 
-@register("truth_vs_tags", _truth_sql(), ops=("J8", "X10", "Y6"))
+@register("truth_vs_tags", truth_sql(), ops=("J8", "X10", "Y6"))
 def truth_vs_tags(spark, d):
     """Evidence-only tagger scored against ground truth: per-element counts
     against evidenced truth and against full truth."""
@@ -136,7 +92,7 @@ def truth_vs_tags(spark, d):
     return SY.truth_scores(SY.truth_threads(t.orders, t.lineitem))
 
 
-@register("tag_threads", _truth_sql(per_row=True), ops=("X10",))
+@register("tag_threads", truth_sql(_PER_ROW), ops=("X10",))
 def tag_threads(spark, d):
     """Evidence-only tags of every truth thread: agencies, flags, status, country."""
     t = Tables(spark, d)

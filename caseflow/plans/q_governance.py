@@ -25,7 +25,7 @@ SELECT Case_Ref, Case_Type, '***REDACTED***' AS Title_Name, '***REDACTED***' AS
        '***REDACTED***' AS Registrant, '***REDACTED***' AS New_Email FROM cases"""), ops=("G1", "G2"))
 def masked_view(spark, d):
     """Unprivileged read: the four PII columns masked, NULLs included."""
-    return G.governed_read(FX.cases(spark, d), G.Policy(), ANALYST).select(*_MASK_COLS)
+    return G.governed_read(FX.stored_cases(spark, d), G.Policy(), ANALYST).select(*_MASK_COLS)
 
 
 @register("privileged_view", S.on_cases("""
@@ -34,14 +34,14 @@ WHERE Case_Handler = 'CRC'"""), ops=("G1", "G2", "G6"))
 def privileged_view(spark, d):
     """Privileged read with a row policy: clear values, CRC rows only."""
     pol = G.Policy(row_filter=crc_only)
-    return G.governed_read(FX.cases(spark, d), pol, OFFICER).select(*_MASK_COLS)
+    return G.governed_read(FX.stored_cases(spark, d), pol, OFFICER).select(*_MASK_COLS)
 
 
 @register("masked_aggregate", S.on_cases("""
 SELECT '***REDACTED***' AS Title_Name, Case_Type, count(*) AS n FROM cases GROUP BY Case_Type"""), ops=("G5",))
 def masked_aggregate(spark, d):
     """Aggregates through the masked read carry no identities."""
-    g = G.governed_read(FX.cases(spark, d), G.Policy(), ANALYST)
+    g = G.governed_read(FX.stored_cases(spark, d), G.Policy(), ANALYST)
     return A.count_by(g, "Title_Name", "Case_Type")
 
 

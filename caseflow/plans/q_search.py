@@ -99,40 +99,46 @@ def _scrub_sql(text: str) -> str:
     return f"CASE WHEN c_name IS NULL OR c_name = '' THEN {ids} ELSE replace({ids}, c_name, '[NAME]') END"
 
 
-def _tfidf_sql(corpus: str) -> str:
-    """CTEs ``idf`` fitted on ``corpus(text)`` and macro-like text for vectors."""
-    return f"""corpus AS ({corpus}),
-ct AS (SELECT row_number() OVER () AS d, text FROM corpus),
-cb AS (SELECT DISTINCT d, {_BUCKET.format(t="t")} AS bucket FROM (SELECT d, unnest({_TOKENS.format(c="text")}) AS t FROM ct)),
-idf AS (SELECT bucket, ln(((SELECT count(*) FROM corpus) + 1) / (count(*) + 1)) AS idf FROM cb GROUP BY bucket)"""
+def _tfidf_sql(corpus: str, p: str = "") -> str:
+    """CTE ``{p}idf`` fitted on ``corpus`` (one text column)."""
+    return f"""{p}corpus(text) AS ({corpus}),
+{p}ct AS (SELECT row_number() OVER () AS d, text FROM {p}corpus),
+{p}cb AS (SELECT DISTINCT d, {_BUCKET.format(t="t")} AS bucket FROM (SELECT d, unnest({_TOKENS.format(c="text")}) AS t FROM {p}ct)),
+{p}idf AS (SELECT bucket, ln(((SELECT count(*) FROM {p}corpus) + 1) / (count(*) + 1)) AS idf FROM {p}cb GROUP BY bucket)"""
 
 
-def _vectors_sql(name: str, source: str) -> str:
+def _vectors_sql(name: str, source: str, p: str = "") -> str:
     """CTE ``name(id, bucket, w)`` of quantised unit weights for ``source(id, text)``."""
     return f"""{name}_t AS (SELECT id, {_BUCKET.format(t="t")} AS bucket, count(*) AS tf
   FROM (SELECT id, unnest({_TOKENS.format(c="text")}) AS t FROM ({source})) GROUP BY 1, 2),
-{name}_w AS (SELECT id, x.bucket, tf * idf AS w FROM {name}_t x JOIN idf ON x.bucket = idf.bucket),
+{name}_w AS (SELECT id, x.bucket, tf * idf AS w FROM {name}_t x JOIN {p}idf f ON x.bucket = f.bucket),
 {name} AS (SELECT id, bucket, round(w / sqrt(s) * 4096) / 4096 AS w
   FROM (SELECT *, sum(w * w) OVER (PARTITION BY id) AS s FROM {name}_w) WHERE s > 0)"""
 
 
-def _topk_sql(k: int, q_ids: str, i_ids: str) -> str:
+def _topk_sql(k: int, q_ids: str, i_ids: str, p: str = "") -> str:
     """CTE ``hits(qid, rank, item_id, score)`` of exact top-k over all pairs."""
-    return f"""dots AS (SELECT q.id AS qid, i.id AS item_id, sum(q.w * i.w) AS score FROM q JOIN i ON q.bucket = i.bucket GROUP BY 1, 2),
-hits AS (SELECT qid, rank, item_id, round(score, 6) AS score FROM (
+    return f"""{p}dots AS (SELECT q.id AS qid, i.id AS item_id, sum(q.w * i.w) AS score FROM {p}q q JOIN {p}i i ON q.bucket = i.bucket GROUP BY 1, 2),
+{p}hits AS (SELECT qid, rank, item_id, round(score, 6) AS score FROM (
   SELECT a.id AS qid, b.id AS item_id, coalesce(score, 0.0) AS score,
          row_number() OVER (PARTITION BY a.id ORDER BY coalesce(score, 0.0) DESC, b.id) AS rank
-  FROM ({q_ids}) a CROSS JOIN ({i_ids}) b LEFT JOIN dots ON dots.qid = a.id AND dots.item_id = b.id) WHERE rank <= {k})"""
+  FROM ({q_ids}) a CROSS JOIN ({i_ids}) b LEFT JOIN {p}dots x ON x.qid = a.id AND x.item_id = b.id) WHERE rank <= {k})"""
+
+
+def search_ctes(corpus: str, queries: str, items: str, k: int, p: str) -> list[str]:
+    """CTEs up to ``{p}hits`` for ``queries(id, text)`` against ``items(id, text)``."""
+    return [_tfidf_sql(corpus, p), _vectors_sql(f"{p}q", queries, p), _vectors_sql(f"{p}i", items, p),
+            _topk_sql(k, f"SELECT id FROM ({queries})", f"SELECT id FROM ({items})", p)]
 
 
 _CHUNKS = "SELECT case_ref AS id, {} AS text FROM threads"
-_CASE_CHUNKS = f"chunks AS ({_CHUNKS.format(_scrub_sql('parsed_text'))})"
+CASE_CHUNKS_SQL = f"chunks AS ({_CHUNKS.format(_scrub_sql('parsed_text'))})"
 
 
 @register("embed_tfidf", S.on_threads(
     "SELECT a.id AS chunk_id, coalesce(n, 0) AS n_features, coalesce(l, '') AS features FROM (SELECT id FROM chunks) a LEFT JOIN "
     "(SELECT id, count(*) AS n, string_agg(bucket || ':' || CAST(w * 4096 AS BIGINT), ',' ORDER BY bucket) AS l FROM v GROUP BY id) b ON a.id = b.id",
-    _CASE_CHUNKS, _tfidf_sql("SELECT text FROM chunks"), _vectors_sql("v", "SELECT * FROM chunks")),
+    CASE_CHUNKS_SQL, _tfidf_sql("SELECT text FROM chunks"), _vectors_sql("v", "SELECT * FROM chunks")),
     ops=("V3",))
 def embed_tfidf(spark, d):
     """Offline embedding of every scrubbed case chunk (hashed TF-IDF), entry by entry."""
@@ -145,7 +151,7 @@ def embed_tfidf(spark, d):
 
 @register("sop_search", S.on_threads(
     "SELECT qid, CAST(rank AS INTEGER) AS rank, item_id, score FROM hits",
-    _CASE_CHUNKS, S.sop_values_sql(), _tfidf_sql("SELECT text FROM chunks UNION ALL SELECT chunk FROM sop"),
+    CASE_CHUNKS_SQL, S.sop_values_sql(), _tfidf_sql("SELECT text FROM chunks UNION ALL SELECT chunk FROM sop"),
     _vectors_sql("q", "SELECT * FROM chunks"), _vectors_sql("i", "SELECT chunk_id AS id, chunk AS text FROM sop"),
     _topk_sql(K_PROCEDURES, "SELECT id FROM chunks", "SELECT chunk_id AS id FROM sop")), ops=("V6", "V3"))
 def sop_search(spark, d):

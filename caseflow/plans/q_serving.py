@@ -48,7 +48,7 @@ ORDER BY {_SQL_SORTS.get(cq.sort, _SQL_SORTS['newest'])} LIMIT {cq.size} OFFSET
 
 def _page_query(name: str, cq: SV.CaseQuery, ops: tuple[str, ...], doc: str):
     def q(spark, d):
-        return SV.list_page(FX.cases(spark, d), cq)
+        return SV.list_page(FX.stored_cases(spark, d), cq)
     q.__doc__ = doc
     return register(name, sql_page(cq), ops=ops)(q)
 
@@ -74,7 +74,7 @@ SEARCH_FALLBACK = SV.CaseQuery(q="the of")
 
 def _filter_query(name: str, cq: SV.CaseQuery, ops: tuple[str, ...], doc: str):
     def q(spark, d):
-        return SV.list_projection(SV.filtered(FX.cases(spark, d), cq))
+        return SV.list_projection(SV.filtered(FX.stored_cases(spark, d), cq))
     q.__doc__ = doc
     return register(name, S.on_cases(f"SELECT {_LIST} FROM cases WHERE {sql_predicate(cq)}"), ops=ops)(q)
 
@@ -93,7 +93,7 @@ token_search_fallback = _filter_query("token_search_fallback", SEARCH_FALLBACK,
           ops=("A18",))
 def filtered_count(spark, d):
     """Total rows for the filter set of ``list_page``."""
-    return SV.count_cases(FX.cases(spark, d), PAGE_QUERY)
+    return SV.count_cases(FX.stored_cases(spark, d), PAGE_QUERY)
 
 
 LOOKUP_REF = "SGCON/1997/10001"
@@ -109,6 +109,6 @@ FROM cases WHERE Case_Ref = {_q(LOOKUP_REF)} LIMIT 1"""), ops=("F8",))
 def case_lookup(spark, d):
     """Point lookup of one case, 16 columns."""
     from pyspark.sql import functions as F
-    r = SV.lookup(FX.cases(spark, d), LOOKUP_REF)
+    r = SV.lookup(FX.stored_cases(spark, d), LOOKUP_REF)
     return (r.withColumn("L1_Agencies", F.concat_ws(",", "L1_Agencies"))
              .withColumn("L1_Situational_Flags", F.concat_ws(",", "L1_Situational_Flags")))

@@ -8,7 +8,9 @@ from caseflow.operators import routing as RT
 from caseflow.operators import state as ST
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
+from caseflow.plans import q_search as QS
 from caseflow.plans.catalog import register
+from caseflow.session import checkpoint_dir
 
 TS_SQL = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 CHAT_USER = "officer3@example.org"
@@ -30,7 +32,7 @@ FROM cases c LEFT JOIN {_latest('status_events', 'case_ref', 'status')} l ON c.C
           ops=("M1", "W2"))
 def apply_status_events(spark, d):
     """Current status: latest status event per case, else the loaded one."""
-    g = FX.cases(spark, d).select("Case_Ref", "Case_Status")
+    g = FX.stored_cases(spark, d).select("Case_Ref", "Case_Status")
     return ST.apply_status_events(g, FX.status_events(spark, d))
 
 
@@ -86,7 +88,7 @@ LEFT JOIN (SELECT case_ref, idx, true AS done FROM {_latest('step_events', 'case
           ops=("J5", "J4", "X20", "X21", "M3", "S8"))
 def steps_with_status(spark, d):
     """Each case's procedure steps with their done flag."""
-    return ST.steps_with_status(FX.cases(spark, d), FX.sop(spark), FX.step_events(spark, d))
+    return ST.steps_with_status(FX.stored_cases(spark, d), FX.sop(spark), FX.step_events(spark, d))
 
 
 @register("recommended_steps", S.on_cases(f"""
@@ -97,7 +99,7 @@ FROM cases c LEFT JOIN (SELECT {_NORM.format(c='sop_title')} AS k, min(chunk_id)
   ON {_NORM.format(c='c.Case_Type')} = s.k""", S.sop_values_sql()), ops=("J4", "X20", "S8", "V2"))
 def recommended_steps(spark, d):
     """Procedure text matched to every case by normalised title."""
-    return ST.recommended_steps(FX.cases(spark, d), FX.sop(spark))
+    return ST.recommended_steps(FX.stored_cases(spark, d), FX.sop(spark))
 
 
 @register("case_360", _on_cases_events(f"""
@@ -112,7 +114,7 @@ LEFT JOIN (SELECT case_ref, count(*) AS n_notes, arg_max(note, (at_, seq)) AS la
            FROM note_events GROUP BY case_ref) nn ON c.Case_Ref = nn.case_ref"""), ops=("J7",))
 def case_360(spark, d):
     """Record, current status, steps done and note summary per case."""
-    return ST.case_360(FX.cases(spark, d), FX.status_events(spark, d), FX.step_events(spark, d),
+    return ST.case_360(FX.stored_cases(spark, d), FX.status_events(spark, d), FX.step_events(spark, d),
                        FX.note_events(spark, d))
 
 
@@ -143,31 +145,158 @@ def chat_messages(spark, d):
     return ST.conversation(FX.chat(spark, d), CHAT_CONV)
 
 
-@register("route_questions", S.sql_with(r"""
-SELECT conv_id, seq, route,
-       nullif(regexp_extract(content, '\[(SGCON/[0-9]{4}/[0-9]+)\]', 1), '') AS case_ref
-FROM chat WHERE role = 'user'""", [S.CHAT]), ops=("R1", "R2"))
+# --- writing: two rounds, the second replays the first, then the fold -----------------------------
+
+def _written(spark, events, write, log, extra=()):
+    """Append the even events, then all of them (a replay of the first round), and read the log back."""
+    import os
+    import uuid
+
+    store = os.path.join(checkpoint_dir(spark), "caseflow-state", uuid.uuid4().hex)
+    write(events.where(F.col("seq") % 2 == 0), store)
+    write(events, store)
+    return [ST.read_events(spark, store, x) for x in (log, *extra)]
+
+
+_BY = "'officer' || CAST(seq % 3 AS VARCHAR)"
+
+
+def _by(df):
+    return df.withColumn("by", F.concat(F.lit("officer"), (F.col("seq") % 3).cast("string")))
+
+
+@register("write_status", S.sql_with(f"""
+SELECT l.case_ref, l.status, n.n_notes, n.last_note, n.last_author
+FROM {_latest('status_events', 'case_ref', 'status')} l
+JOIN (SELECT case_ref, count(*) AS n_notes, arg_max('Status changed to ' || status || '.', (at_, seq)) AS last_note,
+             arg_max({_BY}, (at_, seq)) AS last_author FROM status_events GROUP BY case_ref) n ON l.case_ref = n.case_ref""",
+          S.EVENTS), ops=("M1", "M4", "K4", "W2"))
+def write_status(spark, d):
+    """Status changes written with their audit notes, in two rounds; status and notes read back."""
+    log, notes = _written(spark, _by(FX.status_events(spark, d)), ST.set_status, "status", ("notes",))
+    audit = notes.groupBy("case_ref").agg(F.count(F.lit(1)).alias("n_notes"), F.max_by("note", ST.order_key()).alias("last_note"),
+                                          F.max_by("author", ST.order_key()).alias("last_author"))
+    return ST.fold_latest(log, ["case_ref"], ["status"]).select("case_ref", "status").join(audit, "case_ref")
+
+
+@register("write_steps", S.sql_with(f"""
+SELECT case_ref, idx, {TS_SQL.format(c='at_')} AS "at"
+FROM {_latest('step_events', 'case_ref, idx', 'done')} WHERE done""", S.EVENTS), ops=("M2", "M3", "K4"))
+def write_steps(spark, d):
+    """Step toggles written in two rounds; the steps done read back."""
+    (log,) = _written(spark, FX.step_events(spark, d), ST.toggle_steps, "steps")
+    return ST.completed_steps(log).select("case_ref", "idx", F.date_format("at", ST.TS_FORMAT).alias("at"))
+
+
+@register("write_notes", S.sql_with(f"""
+SELECT sha256(concat_ws('|', case_ref, coalesce(nullif(author, ''), 'officer'), note, {TS_SQL.format(c='at_')}, CAST(seq AS VARCHAR))) AS note_id,
+       case_ref AS Case_Ref, coalesce(nullif(author, ''), 'officer') AS author, note, {TS_SQL.format(c='at_')} AS created_at
+FROM note_events WHERE trim(note) <> ''""", S.EVENTS), ops=("M4", "K4", "O7"))
+def write_notes(spark, d):
+    """Notes written in two rounds; the feed read back."""
+    (log,) = _written(spark, FX.note_events(spark, d), ST.add_notes, "notes")
+    return ST.notes_feed(log)
+
+
+@register("write_chat", S.sql_with("SELECT conv_id, user_email, role, content, route, created_at FROM chat", [S.CHAT]), ops=("M5", "K4"))
+def write_chat(spark, d):
+    """Chat messages written in two rounds and read back."""
+    (log,) = _written(spark, FX.chat(spark, d), ST.add_chat, "chat")
+    return log.select("conv_id", "user_email", "role", "content", "route", "created_at")
+
+
+@register("write_thread_map", S.sql_with(f"""
+SELECT conv_id, assistant_conv_id
+FROM {_latest("(SELECT user_id AS conv_id, 'g' || CAST(event_id AS VARCHAR) AS assistant_conv_id, ts AS at_, "
+              "event_id AS seq FROM events)", 'conv_id', 'assistant_conv_id')}""", []), ops=("M6", "K4", "W2"))
+def write_thread_map(spark, d):
+    """Thread mappings upserted in two rounds; the latest read back."""
+    (log,) = _written(spark, FX.thread_map_events(spark, d), ST.upsert_thread_map, "thread_map")
+    return ST.fold_latest(log, ["conv_id"], ["assistant_conv_id"]).select("conv_id", "assistant_conv_id")
+
+
+# --- questions people ask: one look-up a customer, one question a type, type and nation, nation -------
+
+_QUESTIONS_SQL = """questions AS (
+  SELECT 'look:' || o_custkey AS qid, 'What happened to ' || min('SGCON/' || year(o_orderdate) || '/' || (10000 + o_orderkey)) || '?' AS question
+  FROM orders GROUP BY o_custkey
+  UNION ALL SELECT DISTINCT 'proc:' || case_type, 'Which procedure covers ' || case_type || '?' FROM facts
+  UNION ALL SELECT DISTINCT 'sim:' || case_type || ':' || n_name, 'Any similar cases of ' || case_type || ' in ' || n_name || '?' FROM facts
+  UNION ALL SELECT DISTINCT 'count:' || n_name, 'How many cases are there in ' || n_name || '?' FROM facts)"""
+
+
+def _questions(spark, d):
+    g = FX.stored_cases(spark, d).select("Case_Type", "Case_Location", "Case_Ref")
+    look = FX.Tables(spark, d).orders.select("o_custkey", F.concat(
+        F.lit("SGCON/"), F.year("o_orderdate").cast("string"), F.lit("/"), (F.lit(10000) + F.col("o_orderkey")).cast("string")).alias("ref"))
+    look = look.groupBy("o_custkey").agg(F.min("ref").alias("ref")).select(
+        F.concat(F.lit("look:"), "o_custkey").alias("qid"), F.concat(F.lit("What happened to "), "ref", F.lit("?")).alias("question"))
+    ask = lambda cols, qid, q: g.select(*cols).distinct().select(F.concat(*qid).alias("qid"), F.concat(*q).alias("question"))
+    t, n = F.col("Case_Type"), F.col("Case_Location")
+    return (look.union(ask([t], [F.lit("proc:"), t], [F.lit("Which procedure covers "), t, F.lit("?")]))
+            .union(ask([t, n], [F.lit("sim:"), t, F.lit(":"), n], [F.lit("Any similar cases of "), t, F.lit(" in "), n, F.lit("?")]))
+            .union(ask([n], [F.lit("count:"), n], [F.lit("How many cases are there in "), n, F.lit("?")])))
+
+
+_ROUTED_SQL = """routed AS (SELECT qid, question, nullif(regexp_extract(question, 'SGCON/[0-9]{4}/[0-9]+', 0), '') AS case_ref,
+  CASE split_part(qid, ':', 1) WHEN 'look' THEN 'case_lookup' WHEN 'proc' THEN 'procedure' WHEN 'sim' THEN 'similar' ELSE 'structured' END AS route
+  FROM questions)"""
+
+
+@register("route_questions", S.on_threads("SELECT qid, route, case_ref FROM routed", _QUESTIONS_SQL, _ROUTED_SQL), ops=("R1", "R2"))
 def route_questions(spark, d):
-    """Route and named case reference of every user question."""
-    ch = FX.chat(spark, d).where(F.col("role") == "user")
-    return ch.select("conv_id", "seq", RT.rule_route(F.col("content")).alias("route"),
-                     RT.question_case_ref(F.col("content")).alias("case_ref"))
+    """Route and named case reference of questions of all four kinds, references without brackets."""
+    return RT.route_questions(_questions(spark, d)).select("qid", "route", "case_ref")
+
+
+def _stub_router(prompts):
+    """Stand-in for a hosted router: answers in JSON, chatter or nonsense by the question's kind."""
+    out = []
+    for p in prompts:
+        q = p.rsplit("Question: ", 1)[-1]
+        out.append('So: {"route": "similar"} ok' if "similar" in q else '{"route": "procedure"' if "procedure" in q
+                   else '{"route": "weather"}' if "How many" in q else '{"route": "case_lookup", "case_ref": null}')
+    return out
 
 
-@register("route_mix", S.sql_with("SELECT route, count(*) AS n FROM chat GROUP BY route", [S.CHAT]), ops=("R4",))
+@register("model_route_questions", S.on_threads("""
+SELECT qid, CASE route WHEN 'procedure' THEN 'structured' ELSE route END AS route, case_ref FROM routed""", _QUESTIONS_SQL, _ROUTED_SQL),
+          ops=("R1", "X5"))
+def model_route_questions(spark, d):
+    """The same questions through the model plug point: broken and unknown answers fall back to structured."""
+    return RT.route_questions(_questions(spark, d), model=_stub_router).select("qid", "route", "case_ref")
+
+
+@register("route_mix", S.on_threads("SELECT route, count(*) AS n FROM routed GROUP BY route", _QUESTIONS_SQL, _ROUTED_SQL), ops=("R4",))
 def route_mix(spark, d):
-    """Messages per stored route."""
-    return RT.route_mix(FX.chat(spark, d))
+    """Questions per route."""
+    return RT.route_mix(RT.route_questions(_questions(spark, d)))
 
 
-@register("question_evidence", None, ops=("R3", "R1", "R2", "V5", "V6", "V7", "F8"))
+@register("question_evidence", S.on_cases(f"""
+SELECT r.qid, route, source, e.evidence, CAST(NULL AS VARCHAR) AS found_ref FROM (
+  SELECT qid, route, CASE route WHEN 'similar' THEN 'Semantic search over case email threads' ELSE 'SOP / procedures library' END AS source
+  FROM routed WHERE route IN ('similar', 'procedure')) r JOIN (
+  SELECT qid, string_agg('**' || id || '** (' || coalesce(Case_Type, 'None') || ', ' || coalesce(Case_Location, 'None') || ')' || chr(10)
+                         || substr(text, 1, 280) || '...', chr(10) || chr(10) ORDER BY rank) AS evidence
+  FROM hits JOIN chunks ON item_id = id JOIN cases c ON c.Case_Ref = id GROUP BY qid
+  UNION ALL
+  SELECT qid, string_agg('**SOP: ' || replace(sop_title, '_', ' ') || '**' || chr(10) || substr(chunk, 1, 500), chr(10) || chr(10) ORDER BY rank)
+  FROM p_hits JOIN sop ON item_id = chunk_id GROUP BY qid) e ON r.qid = e.qid
+UNION ALL SELECT qid, route, 'Case record ' || routed.case_ref, NULL, c.Case_Ref FROM routed LEFT JOIN cases c ON c.Case_Ref = routed.case_ref WHERE route = 'case_lookup'
+UNION ALL SELECT qid, route, 'Structured case table', NULL, NULL FROM routed WHERE route = 'structured'""",
+    _QUESTIONS_SQL, _ROUTED_SQL, S.sop_values_sql(), QS.CASE_CHUNKS_SQL,
+    *QS.search_ctes("SELECT text FROM chunks", "SELECT qid AS id, question AS text FROM routed WHERE route = 'similar'",
+                    "SELECT * FROM chunks", 3, ""),
+    *QS.search_ctes("SELECT chunk FROM sop", "SELECT qid AS id, question AS text FROM routed WHERE route = 'procedure'",
+                    "SELECT chunk_id AS id, chunk AS text FROM sop", 2, "p_")), ops=("R3", "R1", "R2", "V5", "V6", "V7", "F8"))
 def question_evidence(spark, d):
-    """Evidence for every user question of the chat log, by route."""
+    """Evidence for every question by route; for look-ups the reference of the record found."""
     from caseflow.operators import governance as G
     th = FX.threads(spark, d)
     record = FX.record_from_l1(FX.l1_model_stand_in(th))
     chunks = G.email_chunks(record, th.select("case_ref", "parsed_text"))
-    qs = FX.chat(spark, d).where(F.col("role") == "user").select(
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("seq").cast("string")).alias("qid"),
-        F.col("content").alias("question"))
-    return RT.question_evidence(qs, FX.cases(spark, d), chunks, FX.sop(spark))
+    e = RT.question_evidence(_questions(spark, d), FX.stored_cases(spark, d), chunks, FX.sop(spark))
+    look = F.col("route") == "case_lookup"
+    return e.select("qid", "route", "source", F.when(~look, F.col("evidence")).alias("evidence"),
+                    F.when(look, F.get_json_object("evidence", "$.Case_Ref")).alias("found_ref"))

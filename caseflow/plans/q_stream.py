@@ -13,7 +13,9 @@ from caseflow.operators import state as ST
 from caseflow.operators import synth as SY
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
+from caseflow.plans import q_text as Q_TEXT
 from caseflow.plans.catalog import register
+from caseflow.plans.q_generate import truth_sql
 from caseflow.session import checkpoint_dir
 from caseflow.sources import files as FL
 from caseflow.sources.tables import Tables
@@ -24,14 +26,13 @@ def _scratch(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "caseflow-derived", name, uuid.uuid4().hex)
 
 
-@register("stream_ingest", None, ops=("T1", "S1", "S2"))
+@register("stream_ingest", Q_TEXT.PARSED_PAGES_SQL, ops=("T1", "S1", "S2"))
 def stream_ingest(spark, d):
-    """Landing folder (one file per page) picked up incrementally into bronze."""
+    """Landing folder of page documents picked up incrementally into bronze."""
     landing = _scratch(spark, "landing")
-    pages = Tables(spark, d).pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("key"),
-                                          "html")
-    FL.write_landing(pages, landing, "key", "html")
-    return SM.ingest_stream(spark, landing, FL.html_parser, glob="*.txt")
+    FL.write_landing(Q_TEXT.page_files(spark, d), landing, "path", "html")
+    out = SM.ingest_stream(spark, landing, FL.html_parser)
+    return out.select("path", "case_ref", F.md5("parsed_text").alias("text_md5"), "parse_error")
 
 
 def gold_from_text(batch):
@@ -45,13 +46,17 @@ def gold_from_text(batch):
         X.resolution_days(l2.getField("L1_Status"), F.col("parsed_text")).alias("Resolution_Days"))
 
 
-@register("stream_gold", None, ops=("T2", "X10", "X16"))
+@register("stream_gold", truth_sql(f"""
+SELECT case_ref, {S.SUBJECT_TYPE_SQL} AS Case_Type, p_status AS L1_Status, p_country AS L1_Country,
+       array_to_string(p_agencies, ',') AS agencies, array_to_string(p_flags, ',') AS flags,
+       {S.resolution_sql("p_status", S.DATE_TOKENS_SQL)} AS Resolution_Days
+FROM tagged"""), ops=("T2", "X10", "X16"))
 def stream_gold(spark, d):
     """Truth threads landed as bronze files, enriched micro-batch by micro-batch."""
     t = Tables(spark, d)
     bronze_dir = _scratch(spark, "bronze")
     th = SY.truth_threads(t.orders, t.lineitem).select("case_ref", "parsed_text")
-    th.repartition(4).write.parquet(bronze_dir)
+    th.write.parquet(bronze_dir)
     return SM.gold_stream(spark, bronze_dir, "case_ref string, parsed_text string", gold_from_text)
 
 
@@ -59,7 +64,7 @@ def stream_gold(spark, d):
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""",
           ops=("T3", "A15"))
 def stream_trend(spark, d):
-    """Daily event-time window counts per event type (complete mode)."""
+    """Daily event counts per event type, partial counts summed on read."""
     schema = Tables(spark, d).events.schema
     out = SM.trend_stream(spark, d, "events.parquet", schema, "ts", "event_type")
     return out.select("day", F.col("key").alias("event_type"), "n")
@@ -77,5 +82,5 @@ def stream_events(spark, d):
     st = ev.join(keys, ev["user_id"] == keys["o_orderkey"]).select(
         "case_ref", FX.event_status(F.col("event_type")).alias("status"),
         F.col("ts").alias("at"), F.col("event_id").alias("seq"))
-    log = SM.event_log_stream(spark, st, "seq", "at")
+    log = SM.event_log_stream(spark, st, "seq")
     return ST.fold_latest(log, ["case_ref"], ["status"]).select("case_ref", "status")

@@ -47,7 +47,7 @@ _SKIP = {"script", "style"}
 
 class _Blocks(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=False)
+        super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.buf: list[str] = []
         self.skip = 0
@@ -85,7 +85,9 @@ def html_parser(data: bytes) -> tuple[list[str], str | None]:
 
 
 def text_parser(data: bytes) -> tuple[list[str], str | None]:
-    """Plain text: paragraphs separated by blank lines."""
+    """Plain text: paragraphs separated by blank lines; other bytes are an error, not noise."""
+    if why := not_text(data):
+        return [], why
     t = data.decode("utf-8", errors="replace")
     return [" ".join(b.split()) for b in t.split("\n\n") if b.strip()], None
 
@@ -98,7 +100,7 @@ def _parse_batches(parser: Parser, content_col: str):
                 try:
                     els, err = parser(bytes(data) if data is not None else b"")
                 except Exception as e:  # noqa: BLE001 - a bad file is a row, not a failed job
-                    els, err = [], f"{type(e).__name__}: {e}"[:500]
+                    els, err = [], f"{type(e).__name__}: {e}"
                 docs.append({"elements": [{"content": s} for s in els]})
                 errs.append(err)
             yield pd.DataFrame({"path": pdf["path"], "document": docs, "error_status": errs})
@@ -117,13 +119,24 @@ def parsed_text(parsed: DataFrame) -> DataFrame:
                          F.col("error_status").alias("parse_error"))
 
 
+def not_text(data: bytes) -> str | None:
+    """Why bytes are not plain text, or None."""
+    if data[:5] == b"%PDF-":
+        return "pdf bytes need a parser"
+    return "binary bytes need a parser" if b"\0" in data[:4096] else None
+
+
 def bronze_from_files(spark: SparkSession, path: str, parser: Parser | None = None,
-                      glob: str = "*.pdf") -> DataFrame:
+                      glob: str = "*") -> DataFrame:
     """Landing folder -> bronze ``(path, case_ref, parsed_text, parse_error)``.
 
     The reference is the strict pattern in the text, else the loose hint, else
     the file name (X3/X4)."""
-    p = parsed_text(parse_documents(scan(spark, path, glob), parser or text_parser))
+    return with_reference(parsed_text(parse_documents(scan(spark, path, glob), parser or text_parser)))
+
+
+def with_reference(p: DataFrame) -> DataFrame:
+    """Parsed files plus their case reference."""
     ref = F.coalesce(X.case_ref("parsed_text"),
                      X.case_ref_fallback(X.case_ref_hint("parsed_text"), F.col("path")))
     return p.select("path", ref.alias("case_ref"), "parsed_text", "parse_error")
@@ -136,7 +149,8 @@ BLOCK_TAGS = r"(?i)</?(p|div|h[1-6]|li|ul|ol|title|br|tr|td|section|article|head
 
 def html_elements(html) -> Column:
     """HTML text -> ``array<struct<content>>``, whitespace collapsed, empty
-    blocks dropped; script and style bodies removed. Entities are kept."""
+    blocks dropped; script and style bodies removed; character references as written
+    (the Python parser decodes them)."""
     h = X._c(html)
     h = F.regexp_replace(h, r"(?is)<script[^>]*>.*?</script>", " ")
     h = F.regexp_replace(h, r"(?is)<style[^>]*>.*?</style>", " ")
@@ -149,8 +163,15 @@ def html_elements(html) -> Column:
 
 
 def write_landing(df: DataFrame, out_dir: str, key_col: str, text_col: str) -> str:
-    """Write one text file per key (``key=<v>/part-*.txt``): a landing folder
-    that Spark derives from a table, for scans and incremental ingest."""
-    df.select(key_col, text_col).repartition(key_col).write.mode("overwrite") \
-        .partitionBy(key_col).text(out_dir)
+    """A landing folder that Spark derives from a table: one JSON line per document,
+    many documents in each task's file, for scans and incremental ingest."""
+    df.select(F.col(key_col).alias("path"), F.col(text_col).alias("content")).write.mode("errorifexists").json(out_dir)
     return out_dir
+
+
+def rejects(bronze: DataFrame) -> DataFrame:
+    """Documents that do not reach gold, with the reason: parse error, no text or no reference."""
+    why = (F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
+           .when(F.coalesce(F.length("parsed_text"), F.lit(0)) == 0, F.lit("no text"))
+           .when(F.col("case_ref").isNull(), F.lit("no reference")))
+    return bronze.withColumn("reason", why).where(F.col("reason").isNotNull()).select("path", "reason")

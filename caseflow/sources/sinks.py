@@ -6,6 +6,7 @@ folders; everything goes to a path under a shared (cluster) location.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +33,18 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None
 
 
 def create_if_absent(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """K2: an empty table with ``schema`` unless one exists; returns it."""
+    """K2: an empty table with ``schema`` unless one exists; returns it.
+
+    Only a missing path makes one: any other failure is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - path absent
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
         return spark.read.schema(schema).parquet(path)
 
 
 def write_gold(gold: DataFrame, path: str) -> None:
-    """Gold by creation year; arrays and structs are stored as they are."""
-    overwrite(with_created_year(gold), path, ("created_year",))
+    """Gold by creation year, sorted by reference inside each file; arrays and structs are stored as they are."""
+    overwrite(with_created_year(gold).sortWithinPartitions("created_year", "Case_Ref"), path, ("created_year",))

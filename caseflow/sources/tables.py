@@ -32,16 +32,6 @@ class Tables:
         raise AttributeError(name)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
-
-    The proof is a ``limit(max_rows + 1).count()``; above the bound the frame
-    is returned unchanged and the planner picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # --- S3: parsed-text table -------------------------------------------------
 
 def parsed_table(df: DataFrame, ref_col: str, text_col: str) -> DataFrame:
@@ -84,8 +74,10 @@ def ingest(spark: SparkSession, mode: str, *, path: str | None = None,
     if mode == "pdf" or mode == "files":
         if path is None:
             raise ValueError("file mode needs a path")
+        if mode == "pdf" and parser is None:
+            raise ValueError("pdf files need a parser: their bytes are not text")
         from caseflow.sources.files import bronze_from_files
-        return bronze_from_files(spark, path, parser=parser)
+        return bronze_from_files(spark, path, parser=parser, glob="*.pdf" if mode == "pdf" else "*")
     if source is None:
         raise ValueError(f"mode {mode!r} needs a source table")
     if mode == "parsed_table":

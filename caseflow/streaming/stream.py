@@ -35,20 +35,10 @@ def epoch_writer(sink: str, transform: Callable[[DataFrame], DataFrame] | None =
 
 
 def run_available_now(stream: DataFrame, checkpoint: str, sink: str,
-                      transform: Callable[[DataFrame], DataFrame] | None = None,
-                      output_mode: str = "append", complete_sink: bool = False) -> None:
-    """Process everything available, then stop (``trigger(availableNow)``).
-
-    ``complete_sink``: each batch carries the full result (complete mode) and
-    replaces the whole sink."""
-    if complete_sink:
-        def write(batch: DataFrame, epoch_id: int) -> None:
-            (transform(batch) if transform else batch).write.mode("overwrite").parquet(sink)
-        fn = write
-    else:
-        fn = epoch_writer(sink, transform)
-    q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(fn).trigger(availableNow=True).start())
+                      transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Process everything available, then stop (``trigger(availableNow)``)."""
+    q = (stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+         .foreachBatch(epoch_writer(sink, transform)).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -63,75 +53,67 @@ def read_sink(spark: SparkSession, sink: str, schema=None) -> DataFrame:
 
 # --- T1: landing folder -> bronze, each file once ---------------------------------------
 
-BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+LANDING_SCHEMA = "path string, content string"
 
 
 def ingest_stream(spark: SparkSession, landing: str, parser: FL.Parser = FL.text_parser,
-                  glob: str = "*", max_files: int = 1000, run_id: str | None = None) -> DataFrame:
-    """Incremental file pickup; the file source's checkpoint remembers seen files."""
+                  max_files: int = 1000, run_id: str | None = None) -> DataFrame:
+    """Incremental pickup of a landing folder written by :func:`files.write_landing`;
+    the file source's checkpoint remembers the files it has read."""
     ckpt, sink = stream_dirs(spark, "ingest", run_id)
-    src = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(landing))
-
-    def to_bronze(batch: DataFrame) -> DataFrame:
-        from caseflow.functions import text as X
-        p = FL.parsed_text(FL.parse_documents(batch, parser))
-        ref = F.coalesce(X.case_ref("parsed_text"),
-                         X.case_ref_fallback(X.case_ref_hint("parsed_text"), F.col("path")))
-        return p.select("path", ref.alias("case_ref"), "parsed_text", "parse_error")
-
-    run_available_now(src, ckpt, sink, to_bronze)
+    src = spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", max_files).json(landing)
+    run_available_now(src, ckpt, sink, lambda b: FL.with_reference(FL.parsed_text(FL.parse_documents(b, parser))))
     return read_sink(spark, sink, "path string, case_ref string, parsed_text string, parse_error string")
 
 
 # --- T2: incremental gold ----------------------------------------------------------------------
 
 def gold_stream(spark: SparkSession, bronze_dir: str, schema, transform: Callable[[DataFrame], DataFrame],
-                key: str = "case_ref", max_files: int = 1, run_id: str | None = None) -> DataFrame:
-    """Each new bronze file is enriched once by ``transform`` and appended;
-    the current gold is the latest row per key (by micro-batch)."""
+                key: str = "case_ref", max_files: int = 100, run_id: str | None = None) -> DataFrame:
+    """Each new bronze file is enriched once by ``transform`` and appended; the current
+    gold is one row per key: of the file landed last, by ``(modification time, path, row)``."""
     ckpt, sink = stream_dirs(spark, "gold", run_id)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(bronze_dir)
-    run_available_now(src, ckpt, sink, transform)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(bronze_dir).select(
+        "*", F.col("_metadata.file_modification_time").alias("_mtime"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.row_index").alias("_row"))
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        order = F.struct("_mtime", "_path", "_row")
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("_r"))
+        rows = newest.select(key, "_r.*")
+        out = transform(rows.drop("_mtime", "_path", "_row"))
+        return out.join(rows.select(F.col(key).alias("_k"), "_mtime", "_path"), out[key] == F.col("_k")).drop("_k")
+
+    run_available_now(src, ckpt, sink, enrich)
     out = spark.read.parquet(sink)
-    latest = out.groupBy(key).agg(F.max("epoch").alias("_e"))
-    return out.join(latest, (out[key] == latest[key]) & (out["epoch"] == latest["_e"]), "left_semi").drop("epoch")
+    names = [c for c in out.columns if c not in (key, "_mtime", "_path", "epoch")]
+    return out.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("_mtime", "_path", "epoch")).alias("_r")).select(key, "_r.*")
 
 
 # --- T3: live flag / event trend -----------------------------------------------------------------
 
-def utc_instant(wall_clock):
-    """``timestamp_ntz`` wall clock -> the instant of that wall clock in UTC,
-    independent of the session zone (rendered with an explicit ``Z``)."""
-    return F.to_timestamp(F.concat(F.date_format(wall_clock, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
-
-
 def trend_stream(spark: SparkSession, src_dir: str, glob: str, schema, ts_col: str, key_col: str,
-                 window: str = "1 day", watermark: str = "1 day", run_id: str | None = None) -> DataFrame:
-    """Event-time window counts per key, complete mode (equals batch); rolled
-    up to coarser grains (months) on read."""
+                 run_id: str | None = None) -> DataFrame:
+    """Event-time counts per day and key.
+
+    Each micro-batch appends its own partial counts, and reading sums them: no
+    state is kept between batches, an event however late is counted on its day,
+    and nothing written is ever overwritten."""
     ckpt, sink = stream_dirs(spark, "trend", run_id)
     src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(src_dir)
-    # Watermarks need a zoned TIMESTAMP. The wall-clock event time is read as a
-    # UTC instant (whatever the session zone), windows are cut on UTC days, and
-    # window starts are rendered back in UTC, so days equal the batch days.
-    ev = src.select(utc_instant(F.col(ts_col)).alias("_ts"), F.col(key_col).alias("key"))
-    agg = (ev.withWatermark("_ts", watermark).groupBy(F.window("_ts", window).alias("w"), "key")
-           .agg(F.count(F.lit(1)).alias("n")))
-    day = F.date_format(F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")),
-                        "yyyy-MM-dd")
-    run_available_now(agg, ckpt, sink, lambda b: b.select(day.alias("day"), "key", "n"),
-                      output_mode="complete", complete_sink=True)
-    return spark.read.parquet(sink)
+    day = F.date_format(F.col(ts_col), "yyyy-MM-dd")
+
+    def counts(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(day.alias("day"), F.col(key_col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+    run_available_now(src, ckpt, sink, counts)
+    return read_sink(spark, sink).groupBy("day", "key").agg(F.sum("n").alias("n"))
 
 
 # --- T4: event log as a stream, fold on read ------------------------------------------------------
 
-def event_log_stream(spark: SparkSession, events: DataFrame, id_col: str, ts_col: str,
-                     watermark: str = "1 day", run_id: str | None = None) -> DataFrame:
-    """Append a streaming event log with replays removed inside the watermark."""
+def event_log_stream(spark: SparkSession, events: DataFrame, id_col: str, run_id: str | None = None) -> DataFrame:
+    """Append a streaming event log whole, late events too; replays are dropped on read by ``id_col``."""
     ckpt, sink = stream_dirs(spark, "events", run_id)
-    dedup = (events.withColumn("_wts", utc_instant(F.col(ts_col))).withWatermark("_wts", watermark)
-             .dropDuplicatesWithinWatermark([id_col]).drop("_wts"))
-    run_available_now(dedup, ckpt, sink)
-    return spark.read.parquet(sink).drop("epoch")
+    run_available_now(events, ckpt, sink)
+    return read_sink(spark, sink).drop("epoch").dropDuplicates([id_col])

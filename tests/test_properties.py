@@ -93,25 +93,15 @@ def test_stream_gold_equals_batch(spark):
     assert _rows(stream.select(*batch.columns)) == _rows(batch)
 
 
-def test_truth_tagger_exact_on_evidenced_facts(spark):
+def test_truth_tagger_scores_stated_facts_and_decoys(spark):
+    """Stated facts are found; a negated mention is a false positive, lower-case and part-word mentions are none."""
+    t = Tables(spark, D)
     r = load_all()["truth_vs_tags"].build(spark, D).first()
-    assert r.agencies_fp == 0 and r.agencies_fn == 0 and r.flags_fp == 0 and r.flags_fn == 0
+    negated = SY.truth_threads(t.orders, t.lineitem).where(
+        "o_orderkey % 5 = 0 and not array_contains(ev_flags, 'language barrier')").count()
+    assert r.agencies_fp == 0 and r.agencies_fn == 0 and r.flags_fn == 0 and r.flags_fp == negated > 0
     assert r.status_correct == r.n and r.country_correct == r.n and r.type_correct == r.n
-    assert r.agencies_fn_full >= 0 and r.flags_fn_full >= 0
-
-
-def test_synth_shares_within_tolerance(spark):
-    df = load_all()["synth_cases"].build(spark, "/root/testdata/sf0.01")
-    n = df.count()
-    shares = {r.Case_Type: r["count"] / n for r in df.groupBy("Case_Type").count().collect()}
-    expected = {"Scam": 0.26, "Lost/Stolen Document": 0.22, "Victim of Crime": 0.18,
-                "Serious Illness/Death": 0.14, "Arrest & Detention": 0.11, "Evacuation": 0.09}
-    for k, p in expected.items():
-        assert abs(shares[k] - p) < 3 * (p * (1 - p) / n) ** 0.5 + 1e-9, (k, shares[k], p)
-    # deterministic: a second run gives the same rows
-    again = load_all()["synth_cases"].build(spark, "/root/testdata/sf0.01")
-    assert _rows(df.select("Case_Ref", "Case_Type", "Title_Name")) == \
-        _rows(again.select("Case_Ref", "Case_Type", "Title_Name"))
+    assert r.agencies_fn_full > 0 and r.flags_fn_full > 0
 
 
 def test_model_called_once_per_row(spark):

@@ -122,35 +122,135 @@ def test_stream_ingest_picks_each_file_once(spark):
     landing = os.path.join(checkpoint_dir(spark), "test-landing", uuid.uuid4().hex)
     run_id = uuid.uuid4().hex
     pages = Tables(spark, D).pages.select(
-        F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("key"), "html")
+        "page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("key"), "html")
     first = pages.where(F.col("page_id") % 2 == 0)
     second = pages.where(F.col("page_id") % 2 == 1)
-    FL.write_landing(first, os.path.join(landing, "a"), "key", "html")
-    n1 = SM.ingest_stream(spark, landing, FL.html_parser, glob="*.txt", run_id=run_id).count()
-    FL.write_landing(second, os.path.join(landing, "b"), "key", "html")
-    out = SM.ingest_stream(spark, landing, FL.html_parser, glob="*.txt", run_id=run_id)
+    FL.write_landing(first, landing, "key", "html")
+    n1 = SM.ingest_stream(spark, landing, FL.html_parser, run_id=run_id).count()
+    second.select(F.col("key").alias("path"), F.col("html").alias("content")).write.mode("append").json(landing)
+    out = SM.ingest_stream(spark, landing, FL.html_parser, run_id=run_id)
     assert n1 == first.count()
     assert out.count() == pages.count()                    # second run added only the new files
     assert out.select("path").distinct().count() == pages.count()
 
 
-def test_event_log_stream_drops_replayed_events(spark):
+def test_event_log_stream_drops_replays_and_keeps_late_events(spark):
     import datetime as dt
     import uuid
 
     from caseflow.operators import state as ST
     from caseflow.streaming import stream as SM
-    src = os.path.join(checkpoint_dir(spark), "test-events", uuid.uuid4().hex)
-    t = dt.datetime(2024, 1, 1)
+    src, run_id = os.path.join(checkpoint_dir(spark), "test-events", uuid.uuid4().hex), uuid.uuid4().hex
+    t = dt.datetime(2024, 1, 10)
     rows = [("r1", "Closed", t, 1), ("r1", "Pending", t + dt.timedelta(hours=1), 2),
             ("r1", "Pending", t + dt.timedelta(hours=1), 2),          # replayed delivery
             ("r2", "On Hold", t, 3)]
     schema = "case_ref string, status string, at timestamp, seq long"
     spark.createDataFrame(rows, schema).write.parquet(src)
-    log = SM.event_log_stream(spark, spark.readStream.schema(schema).parquet(src), "seq", "at")
-    assert log.count() == 3
+    assert SM.event_log_stream(spark, spark.readStream.schema(schema).parquet(src), "seq", run_id=run_id).count() == 3
+    late = [("r3", "Closed", t - dt.timedelta(days=8), 4), ("r2", "On Hold", t, 3)]
+    spark.createDataFrame(late, schema).write.mode("append").parquet(src)
+    log = SM.event_log_stream(spark, spark.readStream.schema(schema).parquet(src), "seq", run_id=run_id)
+    assert log.count() == 4
     latest = {r.case_ref: r.status for r in ST.fold_latest(log, ["case_ref"], ["status"]).collect()}
-    assert latest == {"r1": "Pending", "r2": "On Hold"}
+    assert latest == {"r1": "Pending", "r2": "On Hold", "r3": "Closed"}
+
+
+def test_gold_stream_keeps_one_row_per_key(spark):
+    """Two versions in one file, in one micro-batch and in a later run: the newest counts."""
+    import uuid
+
+    from caseflow.streaming import stream as SM
+    src, run_id = os.path.join(checkpoint_dir(spark), "test-bronze", uuid.uuid4().hex), uuid.uuid4().hex
+    schema = "case_ref string, parsed_text string"
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        out = SM.gold_stream(spark, src, schema, lambda b: b.select("case_ref", F.upper("parsed_text").alias("t")), run_id=run_id)
+        return {tuple(r) for r in out.collect()}
+
+    assert land([("K", "one"), ("L", "x"), ("K", "two")]) == {("K", "TWO"), ("L", "X")}
+    assert land([("K", "three")]) == {("K", "THREE"), ("L", "X")}
+
+
+def test_trend_stream_counts_late_events(spark):
+    import datetime as dt
+    import uuid
+
+    from caseflow.streaming import stream as SM
+    src, run_id, schema = os.path.join(checkpoint_dir(spark), "test-trend", uuid.uuid4().hex), uuid.uuid4().hex, "ts timestamp_ntz, k string"
+    for days in (10, 2):
+        spark.createDataFrame([(dt.datetime(2024, 1, days), "a")] * 2, schema).write.mode("append").parquet(src)
+        out = SM.trend_stream(spark, src, "*.parquet", spark.read.parquet(src).schema, "ts", "k", run_id=run_id)
+    assert {tuple(r) for r in out.collect()} == {("2024-01-10", "a", 2), ("2024-01-02", "a", 2)}
+
+
+def test_files_keep_entities_stems_and_errors(spark):
+    from caseflow.sources import files as FL
+    rows = [("/x/SGCON_1.txt", b"plain caf\xc3\xa9"), ("/x/b.html", b"<p>AT&amp;T &#233;t&eacute; <b>x</b>y"), ("/x/c.pdf", b"%PDF-1.7 \x00\x01"),
+            ("/x/d", b"[SGCON/2024/7] t"), ("/x/e.txt", None)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    b = FL.with_reference(FL.parsed_text(FL.parse_documents(df, FL.text_parser)))
+    got = {r.path: r for r in b.collect()}
+    assert [got[p].case_ref for p, _ in rows] == ["SGCON_1", "b", "c", "SGCON/2024/7", "e"]
+    assert got["/x/c.pdf"].parse_error == "pdf bytes need a parser" and not got["/x/c.pdf"].parsed_text
+    assert {(r.path, r.reason) for r in FL.rejects(b).collect()} == {("/x/c.pdf", "pdf bytes need a parser"), ("/x/e.txt", "no text")}
+    html = FL.parsed_text(FL.parse_documents(df.where("path = '/x/b.html'"), FL.html_parser)).first()
+    assert html.parsed_text == "AT&T \u00e9t\u00e9 xy"
+
+
+def test_state_writes(spark):
+    import datetime as dt
+    import uuid
+
+    from caseflow.operators import state as ST
+    store, t = os.path.join(checkpoint_dir(spark), "test-state", uuid.uuid4().hex), dt.datetime(2024, 1, 1)
+    ch = spark.createDataFrame([("R1", "Closed", "ann", t, 1), ("R1", "Pending", "", t, 2)],
+                               "case_ref string, status string, by string, at timestamp_ntz, seq long")
+    for _ in range(2):  # a replay changes nothing
+        ST.set_status(ch, store)
+    assert ST.fold_latest(ST.read_events(spark, store, "status"), ["case_ref"], ["status"]).first().status == "Pending"
+    notes = {(r.author, r.note) for r in ST.notes_feed(ST.read_events(spark, store, "notes")).collect()}
+    assert notes == {("ann", "Status changed to Closed."), ("officer", "Status changed to Pending.")}
+    n = spark.createDataFrame([("R1", None, "hello", t, 3), ("R1", "bo", "  ", t, 4)],
+                              "case_ref string, author string, note string, at timestamp_ntz, seq long")
+    ST.add_notes(n, store)
+    assert ST.read_events(spark, store, "notes").count() == 3
+    assert ST.read_events(spark, store, "steps").count() == 0
+
+
+def test_one_procedure_for_each_key(spark):
+    from caseflow.operators import state as ST
+    gold = spark.createDataFrame([("R1", "Scam")], "Case_Ref string, Case_Type string")
+    sop = spark.createDataFrame([("b", "Scam", "1. second"), ("a", "SCAM!", "1. first")], "chunk_id string, sop_title string, chunk string")
+    assert [tuple(r) for r in ST.case_steps(gold, sop).collect()] == [("R1", 0, "first")]
+
+
+def test_keyset_pages_lose_no_case(spark):
+    from caseflow.operators import serving as SV
+    rows = [(f"R{i:02d}", None if i % 3 == 0 else "bad" if i % 7 == 0 else f"2024-01-{1 + i % 4:02d}") for i in range(25)]
+    g = spark.createDataFrame(rows, "Case_Ref string, Created_On string").selectExpr(
+        "*", "'t' as Case_Type", "'c' as L1_Country", "'m' as Assigned_HCG", "'s' as Case_Status", "1 as Resolution_Days")
+    cq, seen, last = SV.CaseQuery(size=4), [], (None, None)
+    while page := SV.list_after(g, cq, *last).collect():
+        dates = {r[0]: r[1] for r in rows}
+        seen += [r["Case_Ref"] for r in page]
+        last = (dates[seen[-1]], seen[-1])
+    assert len(seen) == 25 and set(seen) == {r[0] for r in rows}
+
+
+def test_prompts_state_the_vocabularies():
+    from caseflow.operators import extract as E
+    p = E.l2_prompt()
+    assert all(x in p for v in (E.AGENCIES, E.FLAGS, E.COUNTRIES, E.HQ_UNITS) for x in v)
+
+
+def test_model_router_falls_back(spark):
+    qs = spark.createDataFrame([("a", "what about SGCON/2024/5?"), ("b", "x"), ("c", "y")], "qid string, question string")
+    answers = {"SGCON/2024/5": '{"route": "case_lookup"}', "x": "no idea", "y": '{"route": "procedure", "case_ref": "SGCON/2023/1"}'}
+    out = {r.qid: (r.route, r.case_ref) for r in RT.route_questions(
+        qs, model=lambda ps: [next(v for k, v in answers.items() if k in p.rsplit("Question: ", 1)[1]) for p in ps]).collect()}
+    assert out == {"a": ("case_lookup", "SGCON/2024/5"), "b": ("structured", None), "c": ("procedure", "SGCON/2023/1")}
 
 
 def test_sql_functions_match_column_operators(spark):
