@@ -10,8 +10,9 @@ an earlier document also has make up the maximal exact repeats.
 Both comparisons move sorted, delta-coded hash lists instead of rows: a task
 turns some megabytes of text into one compressed list for each range of hashes,
 and a range is matched where its lists meet. Memory there is bounded by the
-number of ranges, which follows the size of the text; a very common block adds
-one entry for each of its occurrences and is never paired up.
+number of ranges, which follows the size of the text. What a batch can settle
+alone stays there: a very common block leaves it as two entries, a very common
+window as one, and nothing is ever paired up.
 """
 
 from __future__ import annotations
@@ -52,38 +53,58 @@ _LISTS = "range int, docs binary, versions binary, hashes binary, marks binary"
 _LIST_NAMES = ["range", "docs", "versions", "hashes", "marks"]
 
 
-def _lists(hashes: np.ndarray, marks: np.ndarray, docs: np.ndarray, versions: np.ndarray, bits: int, ranges: int):
-    """One row for each range of hashes: sorted hashes as deltas, their marks, and the batch's documents."""
+def _lists(hashes: np.ndarray, marks: np.ndarray, docs: np.ndarray, versions: np.ndarray, bits: int, ranges: int, fold):
+    """One row for each range of hashes: sorted hashes as deltas, their marks, and the batch's documents.
+
+    ``fold`` settles what the batch can settle alone, so that a very common hash
+    leaves a batch as one or two entries; what it found is one more row (no marks)."""
     order = np.argsort(hashes, kind="stable")
     hashes, marks = hashes[order], marks[order]
-    at = np.searchsorted(hashes, [-(-(r << bits) // ranges) for r in range(ranges)]).tolist() + [len(hashes)]
+    place = (marks >> U(32)).astype(np.int64)
+    rows = []
+    if len(hashes):
+        keep, marks, found, values = fold(hashes, marks, docs[place])
+        i = np.flatnonzero(found)
+        i = i[np.argsort(place[i], kind="stable")]
+        if len(i):
+            rows.append((int(order.sum() + versions.view(np.uint64).sum() % U(1 << 31)) % ranges, _squeeze(docs[place[i]].view(np.uint64)),
+                         _squeeze(versions[place[i]].view(np.uint64)), _squeeze(values[i]), None))
+        hashes, marks = hashes[keep], marks[keep]
+    cuts = np.array([-(-(r << bits) // ranges) for r in range(ranges)], np.uint64)
+    at = np.searchsorted(hashes, cuts).tolist() + [len(hashes)]
     d, v = _squeeze(_deltas(docs.view(np.uint64))), _squeeze(versions.view(np.uint64))
-    rows = [(r, d, v, _squeeze(_deltas(hashes[a:b])), _squeeze(marks[a:b]))
-            for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+    rows += [(r, d, v, _squeeze(_deltas(hashes[a:b])), _squeeze(marks[a:b]))
+             for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
     cols = list(zip(*rows, strict=True)) if rows else [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], _LIST_NAMES)
 
 
-def _meet(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """All lists of a range: (hashes, marks, document, version) of every entry, sorted by hash."""
-    parts = []
-    for r in table.to_pylist():
-        docs = np.cumsum(_unsqueeze(r["docs"]), dtype=np.uint64).view(np.int64)
-        versions = _unsqueeze(r["versions"]).view(np.int64)
-        marks = _unsqueeze(r["marks"])
-        i = (marks >> U(32)).astype(np.int64)
-        parts.append((np.cumsum(_unsqueeze(r["hashes"]), dtype=np.uint64), marks & U(0xFFFFFFFF), docs[i], versions[i]))
-    hashes, marks, docs, versions = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], marks[order], docs[order], versions[order]
-
-
 def _groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each group of equal hashes begins, its size)."""
     at = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
     return at, np.diff(np.append(at, len(hashes)))
 
 
+def _meet(table: pa.Table, match) -> pa.Table:
+    """All lists of a range, matched by ``match(hashes, marks, documents)`` -> (found, values), with what batches found alone."""
+    parts, done = [], []
+    for r in table.to_pylist():
+        docs, versions = _unsqueeze(r["docs"]), _unsqueeze(r["versions"]).view(np.int64)
+        if r["marks"] is None:
+            done.append((docs.view(np.int64), versions, _unsqueeze(r["hashes"])))
+            continue
+        docs, marks = np.cumsum(docs, dtype=np.uint64).view(np.int64), _unsqueeze(r["marks"])
+        i = (marks >> U(32)).astype(np.int64)
+        parts.append((np.cumsum(_unsqueeze(r["hashes"]), dtype=np.uint64), marks, docs[i], versions[i]))
+    if parts:
+        hashes, marks, docs, versions = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes, marks, docs, versions = hashes[order], marks[order], docs[order], versions[order]
+        found, values = match(hashes, marks, docs)
+        done.append((docs[found], versions[found], values[found]))
+    return _per_document(*(np.concatenate(x) for x in zip(*done, strict=True)))
+
+
 _FOUND = "doc_id bigint, version bigint, found binary"
 
 
@@ -97,6 +118,37 @@ def _per_document(docs, versions, values) -> pa.Table:
                      "found": pa.array(found, pa.binary())})
 
 
+_LOW = U(0xFFFFFFFF)
+
+
+def _shared(hashes, marks, docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups that are an index block somewhere and lie in two documents, by entry; first; size of each group)."""
+    at, n = _groups(hashes)
+    hit = ((np.bitwise_or.reduceat(marks, at) & U(1)).astype(bool)
+           & (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)))
+    return np.repeat(hit, n), at, n
+
+
+def _fold_shared(hashes, marks, docs):
+    """Shared within the batch: all found here; one entry of the smallest and one of the largest document go on, as blocks."""
+    hit, at, n = _shared(hashes, marks, docs)
+    ends = (docs == np.repeat(np.minimum.reduceat(docs, at), n)) | (docs == np.repeat(np.maximum.reduceat(docs, at), n))
+    again = np.zeros(len(docs), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (docs[1:] == docs[:-1])
+    return ~hit | ends & ~again, np.where(hit, marks | U(1), marks), hit, hashes
+
+
+def _smallest(hashes, docs) -> np.ndarray:
+    at, n = _groups(hashes)
+    return np.repeat(np.minimum.reduceat(docs, at), n)
+
+
+def _fold_repeats(hashes, marks, docs):
+    """Windows that a smaller document of the batch has are found here; those of the smallest go on."""
+    gone = docs > _smallest(hashes, docs)
+    return ~gone, marks, gone, marks & _LOW
+
+
 def _probe_lists(block: int, bits: int, ranges: int):
     """Text batches -> lists of rolling block hashes; mark = document's place << 32 | 1 if an index block."""
     def run(batches):
@@ -109,17 +161,13 @@ def _probe_lists(block: int, bits: int, ranges: int):
             ok = pos + block <= size[doc]
             mark = doc.astype(np.uint64) << U(32) | (pos % block == 0).astype(np.uint64)
             docs, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
-            yield _lists(h[ok], mark[ok], docs, versions, bits, ranges)
+            yield _lists(h[ok], mark[ok], docs, versions, bits, ranges, _fold_shared)
     return run
 
 
 def _shared_blocks(table: pa.Table) -> pa.Table:
     """Hashes that are an index block somewhere and occur in two documents, for each of their documents."""
-    hashes, marks, docs, versions = _meet(table)
-    at, n = _groups(hashes)
-    hit = np.bitwise_or.reduceat(marks, at).astype(bool) & (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at))
-    hit = np.repeat(hit, n)
-    return _per_document(docs[hit], versions[hit], hashes[hit])
+    return _meet(table, lambda hashes, marks, docs: (_shared(hashes, marks, docs)[0], hashes))
 
 
 def _window_lists(window: int, block: int, bits: int, ranges: int):
@@ -142,16 +190,13 @@ def _window_lists(window: int, block: int, bits: int, ranges: int):
             doc = np.searchsorted(first, take, side="right") - 1
             mark = doc.astype(np.uint64) << U(32) | (take - first[doc]).astype(np.uint64)
             docs, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
-            yield _lists(full[take], mark, docs, versions, 64, ranges)
+            yield _lists(full[take], mark, docs, versions, 64, ranges, _fold_repeats)
     return run
 
 
 def _repeats(table: pa.Table) -> pa.Table:
     """First words of windows that a document with a smaller id also has, for each document."""
-    hashes, marks, docs, versions = _meet(table)
-    at, n = _groups(hashes)
-    gone = docs > np.repeat(np.minimum.reduceat(docs, at), n)
-    return _per_document(docs[gone], versions[gone], marks[gone])
+    return _meet(table, lambda hashes, marks, docs: (docs > _smallest(hashes, docs), marks & _LOW))
 
 
 def _remove(window: int):
