@@ -66,6 +66,13 @@ def subject_case_type(text) -> Column:
     return blank_to_null(F.regexp_extract(_c(text), SUBJECT_TYPE, 1))
 
 
+def recorded_case_type(text, model_type, source: str = "subject") -> Column:
+    """The record's type by ``source``: read from the ``subject`` line, or as the ``model`` extracted it."""
+    if source not in ("subject", "model"):
+        raise ValueError(f"case_type_source is subject or model, not {source!r}")
+    return subject_case_type(text) if source == "subject" else blank_to_null(_c(model_type))
+
+
 # --- X15 / X16 ------------------------------------------------------------------
 
 def date_tokens(text) -> Column:

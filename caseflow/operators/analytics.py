@@ -64,15 +64,21 @@ def kpi(gold: DataFrame) -> DataFrame:
 
 
 def count_by(gold: DataFrame, *cols: str, name: str = "n") -> DataFrame:
-    """Group count; a NULL key is its own group. Small result, sorted."""
-    return gold.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
+    """Group count, largest first, equal counts by key; a NULL key is its own group, last among equals."""
+    return largest_first(gold.groupBy(*cols).agg(F.count(F.lit(1)).alias(name)), name, *cols)
+
+
+def largest_first(counts: DataFrame, n: str, *cols: str) -> DataFrame:
+    """The declared order of a series: count descending, then its keys."""
+    return counts.orderBy(F.col(n).desc(), *[F.col(c).asc_nulls_last() for c in cols])
 
 
 def resolution_by_type(gold: DataFrame) -> DataFrame:
     return (gold.where(F.col("Resolution_Days").isNotNull())
             .groupBy("Case_Type")
             .agg(_round_avg(F.col("Resolution_Days"), 1).alias("avg_days"),
-                 F.count("Resolution_Days").alias("closed")))
+                 F.count("Resolution_Days").alias("closed"))
+            .orderBy(F.col("avg_days").desc(), F.col("Case_Type").asc_nulls_last()))
 
 
 def type_by_country(gold: DataFrame) -> DataFrame:
@@ -88,8 +94,7 @@ def type_country_matrix(gold: DataFrame, types: list[str]) -> DataFrame:
 
 def flag_counts(gold: DataFrame) -> DataFrame:
     """Explode drops cases with empty arrays (Q21)."""
-    return (gold.select(F.explode("L1_Situational_Flags").alias("flag"))
-            .groupBy("flag").agg(F.count(F.lit(1)).alias("n")))
+    return count_by(gold.select(F.explode("L1_Situational_Flags").alias("flag")), "flag")
 
 
 def agency_pairs(gold: DataFrame) -> DataFrame:
@@ -102,9 +107,7 @@ def agency_pairs(gold: DataFrame) -> DataFrame:
     arr = F.array_distinct(F.col("L1_Agencies"))
     pairs = F.flatten(F.transform(arr, lambda a: F.transform(
         F.filter(arr, lambda b: a < b), lambda b: F.struct(a.alias("a1"), b.alias("a2")))))
-    return (gold.select(F.explode(pairs).alias("p"))
-            .groupBy(F.col("p.a1").alias("a1"), F.col("p.a2").alias("a2"))
-            .agg(F.count(F.lit(1)).alias("pair_count")))
+    return count_by(gold.select(F.explode(pairs).alias("p")).select("p.a1", "p.a2"), "a1", "a2", name="pair_count")
 
 
 def flag_country(gold: DataFrame, flag: str) -> DataFrame:
@@ -117,7 +120,8 @@ def flag_trend_month(gold: DataFrame) -> DataFrame:
     month = F.date_trunc("month", F.try_to_date(F.col("Created_On"), "yyyy-MM-dd"))
     return (gold.select(F.date_format(month, "yyyy-MM-dd").alias("month"),
                         F.explode("L1_Situational_Flags").alias("flag"))
-            .groupBy("month", "flag").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy("month", "flag").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("month").asc_nulls_last(), F.col("flag").asc_nulls_last()))
 
 
 # --- Accuracy (A16) -------------------------------------------------------------
@@ -144,7 +148,7 @@ def tag_accuracy(gold: DataFrame, with_mission: bool = True) -> DataFrame:
 # --- Facets (A17) ---------------------------------------------------------------
 
 def facets(gold: DataFrame) -> DataFrame:
-    """Distinct filter values ``(facet, value)`` in one scan; NULL/'' dropped."""
+    """Distinct filter values ``(facet, value)`` in one scan, sorted; NULL/'' dropped."""
     def kv(k: str, v: Column) -> Column:
         return F.struct(F.lit(k).alias("facet"), v.cast("string").alias("value"))
     scalars = F.array(kv("case_type", F.col("Case_Type")), kv("country", F.col("L1_Country")),
@@ -154,7 +158,7 @@ def facets(gold: DataFrame) -> DataFrame:
     return (gold.select(F.explode(F.concat(scalars, flags)).alias("fv"))
             .select("fv.facet", "fv.value")
             .where(F.col("value").isNotNull() & (F.col("value") != ""))
-            .distinct())
+            .distinct().orderBy("facet", "value"))
 
 
 # --- Dashboard bundle (A20) --------------------------------------------------------

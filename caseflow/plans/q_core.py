@@ -38,6 +38,17 @@ def subject_case_type(spark, d):
     return th.select("case_ref", X.subject_case_type("parsed_text").alias("subject_type"))
 
 
+@register("case_type_sources", S.on_threads(f"""
+SELECT case_ref, {S.SUBJECT_TYPE_SQL} AS by_subject, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE case_type END AS by_model
+FROM threads"""), ops=("X11", "X12"))
+def case_type_sources(spark, d):
+    """The recorded type by either source; the model leaves every third case open."""
+    model = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.col("case_type"))
+    th = FX.threads(spark, d)
+    return th.select("case_ref", X.recorded_case_type("parsed_text", model).alias("by_subject"),
+                     X.recorded_case_type("parsed_text", model, "model").alias("by_model"))
+
+
 @register("date_tokens", S.on_threads(f"""
 SELECT case_ref, array_to_string({S.DATE_TOKENS_SQL}, ',') AS date_tokens,
        CAST(len({S.DATE_TOKENS_SQL}) AS INTEGER) AS n_tokens FROM threads"""), ops=("X15",))

@@ -246,3 +246,25 @@ def sop_title(spark, d):
     t = X.sop_title(path)
     return g.select("Case_Ref", t.alias("title"), X.title_words(t).alias("title_words"),
                     (X.norm_key(t) == X.norm_key("Case_Type")).alias("same_key"))
+
+
+@register("sop_chunks_from_files", S.on_threads(r"""
+SELECT 'SOP_' || t AS chunk_id, t AS sop_title,
+       'Procedure: ' || Case_Type || chr(10) || string_agg(n || '. Visit ' || n_name || '.', chr(10) ORDER BY n) AS chunk
+FROM (SELECT Case_Type, n_name, row_number() OVER (PARTITION BY Case_Type ORDER BY n_name) AS n,
+             regexp_replace(Case_Type, '[/ ]', '_', 'g') AS t
+      FROM (SELECT DISTINCT case_type AS Case_Type, n_name FROM facts WHERE n_name IS NOT NULL))
+GROUP BY Case_Type, t"""), ops=("V2", "S1", "S2", "X1", "X19"))
+def sop_chunks_from_files(spark, d):
+    """Procedure files derived from the cases (one per type, a step per nation): parse -> title from the name -> chunk."""
+    from pyspark.sql import Window
+
+    from caseflow.plans.rebuild import sop_chunks
+    g = FX.stored_cases(spark, d).select("Case_Type", "Case_Location").where("Case_Location is not null").distinct()
+    n = F.row_number().over(Window.partitionBy("Case_Type").orderBy("Case_Location"))
+    steps = g.select("Case_Type", n.alias("n"), F.concat(n.cast("string"), F.lit(". Visit "), "Case_Location", F.lit(".")).alias("s"))
+    body = steps.groupBy("Case_Type").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
+    text = F.concat_ws("\n\n", F.concat(F.lit("Procedure: "), "Case_Type"), F.transform("x", lambda v: v["s"]))
+    files = body.select(F.concat(F.lit("landing/SOP_"), F.regexp_replace("Case_Type", "[/ ]", "_"), F.lit(".txt")).alias("path"),
+                        text.cast("binary").alias("content"))
+    return sop_chunks(FL.parsed_text(FL.parse_documents(files, FL.text_parser)))

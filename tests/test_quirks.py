@@ -169,3 +169,11 @@ def test_q24_status_edits_survive_a_gold_rebuild(spark):
     for gold in (first, rebuilt):     # the edit lives in the log, not in gold
         cur = {r.Case_Ref: r.Case_Status for r in ST.apply_status_events(gold, ev).collect()}
         assert cur == {"R1": "Closed", "R2": "Pending"}
+
+
+def test_series_and_facets_come_sorted(spark):
+    g = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y"), ("c", "y"), (None, "y")], "Case_Type string, L1_Country string") \
+        .withColumn("Case_Status", F.lit("s")).withColumn("L1_Situational_Flags", F.array(F.lit("z"), F.lit("k")))
+    assert [tuple(r) for r in A.count_by(g, "Case_Type").collect()] == [("c", 2), ("a", 1), ("b", 1), (None, 1)]
+    got = [tuple(r) for r in A.facets(g).collect()]
+    assert got == sorted(got) and len(got) == 8

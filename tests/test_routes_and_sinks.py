@@ -112,6 +112,17 @@ def test_rebuild_end_to_end(spark):
     assert A.leak_check(r.chunks).first().leaks == 0
     k = A.kpi(r.gold).first()
     assert k.total == n and k.avg_days is not None
+    assert r.accuracy.count() == 1 and r.rejects.count() == 0
+
+    def broken(prompts):
+        raise AssertionError("a finished stage ran again")
+
+    lost = bronze.unionByName(spark.createDataFrame([(None, "no reference in this text")], "case_ref string, parsed_text string"))
+    files = spark.createDataFrame([("/l/SOP_Scam.txt", "Procedure\n1. one"), ("/l/other.txt", "x")], "path string, parsed_text string")
+    again = rebuild(spark, lost, out, l1_model=broken, procedures=files)
+    assert again.gold.count() == n and again.procedure_embeddings.select("chunk_id").first()[0] == "SOP_Scam"
+    fresh = rebuild(spark, lost.limit(0).unionByName(lost.where("case_ref is null")), out + "-2", check_keys=False)
+    assert [r.reason for r in fresh.rejects.collect()] == ["no reference"] and fresh.gold.count() == 0
 
 
 def test_stream_ingest_picks_each_file_once(spark):
