@@ -142,7 +142,7 @@ def list_after(df: DataFrame, cq: CaseQuery, after_created: str | None, after_re
     base = filtered(df, cq)
     if after_ref is not None:
         created = F.try_to_date(F.col("Created_On"), "yyyy-MM-dd")
-        ac = F.try_to_date(F.lit(after_created).cast("string"), F.lit("yyyy-MM-dd"))
+        ac = F.try_to_date(F.lit(after_created).cast("string"), "yyyy-MM-dd")
         smaller = F.col("Case_Ref") < F.lit(after_ref)
         dated = (created < ac) | ((created == ac) & smaller) | created.isNull()
         base = base.where(F.when(ac.isNull(), created.isNull() & smaller).otherwise(dated))

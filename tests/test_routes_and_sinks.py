@@ -121,8 +121,8 @@ def test_rebuild_end_to_end(spark):
     files = spark.createDataFrame([("/l/SOP_Scam.txt", "Procedure\n1. one"), ("/l/other.txt", "x")], "path string, parsed_text string")
     again = rebuild(spark, lost, out, l1_model=broken, procedures=files)
     assert again.gold.count() == n and again.procedure_embeddings.select("chunk_id").first()[0] == "SOP_Scam"
-    fresh = rebuild(spark, lost.limit(0).unionByName(lost.where("case_ref is null")), out + "-2", check_keys=False)
-    assert [r.reason for r in fresh.rejects.collect()] == ["no reference"] and fresh.gold.count() == 0
+    fresh = rebuild(spark, bronze.limit(3).unionByName(lost.where("case_ref is null")), out + "-2", check_keys=False)
+    assert [r.reason for r in fresh.rejects.collect()] == ["no reference"] and fresh.gold.count() == 3
 
 
 def test_stream_ingest_picks_each_file_once(spark):
@@ -252,8 +252,8 @@ def test_keyset_pages_lose_no_case(spark):
 
 def test_prompts_state_the_vocabularies():
     from caseflow.operators import extract as E
-    p = E.l2_prompt()
-    assert all(x in p for v in (E.AGENCIES, E.FLAGS, E.COUNTRIES, E.HQ_UNITS) for x in v)
+    assert all(x in E.l2_prompt() for v in (E.AGENCIES, E.FLAGS, E.COUNTRIES, E.MISSIONS.values(), E.CASE_TYPES) for x in v)
+    assert all(x in E.l1_prompt() for x in [*E.HQ_UNITS, *E.CASE_TYPES, "YYYY-MM-DD"])
 
 
 def test_model_router_falls_back(spark):
