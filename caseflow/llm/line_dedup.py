@@ -53,6 +53,8 @@ def dropped_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     first = runs.withColumn("before", F.lag("doc_id").over(w)).where("before is null or before <> doc_id")
     twice = (first.groupBy("h1", "h2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last"))
              .where("holder < last").select("h1", "h2", "holder"))
+    # staged, so that the join reads two plain exchanges and a hot line's rows can be split
+    twice = stage(twice, "holders")
 
     dropped = lines.join(twice, ["h1", "h2"]).where("doc_id > holder").select("doc_id", "version", "pos")
     # identical rows repeat a position, so positions are a set
