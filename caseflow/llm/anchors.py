@@ -85,37 +85,67 @@ def _groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(hashes)))
 
 
-def _meet(table: pa.Table, match) -> pa.Table:
+def _met(match, buckets: int):
     """All lists of a range, matched by ``match(hashes, marks, documents)`` -> (found, values), with what batches found alone."""
-    parts, done = [], []
-    for r in table.to_pylist():
-        docs, versions = _unsqueeze(r["docs"]), _unsqueeze(r["versions"]).view(np.int64)
-        if r["marks"] is None:
-            done.append((docs.view(np.int64), versions, _unsqueeze(r["hashes"])))
-            continue
-        docs, marks = np.cumsum(docs, dtype=np.uint64).view(np.int64), _unsqueeze(r["marks"])
-        i = (marks >> U(32)).astype(np.int64)
-        parts.append((np.cumsum(_unsqueeze(r["hashes"]), dtype=np.uint64), marks, docs[i], versions[i]))
-    if parts:
-        hashes, marks, docs, versions = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(hashes, kind="stable")
-        hashes, marks, docs, versions = hashes[order], marks[order], docs[order], versions[order]
-        found, values = match(hashes, marks, docs)
-        done.append((docs[found], versions[found], values[found]))
-    return _per_document(*(np.concatenate(x) for x in zip(*done, strict=True)))
+    def run(table: pa.Table) -> pa.Table:
+        parts, done = [], []
+        for r in table.to_pylist():
+            docs, versions = _unsqueeze(r["docs"]), _unsqueeze(r["versions"]).view(np.int64)
+            if r["marks"] is None:
+                done.append((docs.view(np.int64), versions, _unsqueeze(r["hashes"])))
+                continue
+            docs, marks = np.cumsum(docs, dtype=np.uint64).view(np.int64), _unsqueeze(r["marks"])
+            i = (marks >> U(32)).astype(np.int64)
+            parts.append((np.cumsum(_unsqueeze(r["hashes"]), dtype=np.uint64), marks, docs[i], versions[i]))
+        if parts:
+            hashes, marks, docs, versions = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, marks, docs, versions = hashes[order], marks[order], docs[order], versions[order]
+            found, values = match(hashes, marks, docs)
+            done.append((docs[found], versions[found], values[found]))
+        return _returned(*(np.concatenate(x) for x in zip(*done, strict=True)), buckets)
+    return run
 
 
+_RETURNED = "bucket int, docs binary, versions binary, found binary"
 _FOUND = "doc_id bigint, version bigint, found binary"
 
 
-def _per_document(docs, versions, values) -> pa.Table:
-    order = np.lexsort((versions, docs))
-    docs, versions, values = docs[order], versions[order], values[order]
-    new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (versions[1:] != versions[:-1]))) if len(docs) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    found = [values[a:b].astype("<u8").tobytes() for a, b in zip(at, [*at[1:], len(docs)], strict=False)]
-    return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "version": pa.array(versions[at], pa.int64()),
-                     "found": pa.array(found, pa.binary())})
+def _sorted(docs, versions, values):
+    order = np.lexsort((values, versions, docs))
+    return docs[order], versions[order], values[order]
+
+
+def _returned(docs, versions, values, buckets: int) -> pa.Table:
+    """What was found, on its way back: one row for each bucket of documents, not for each document."""
+    bucket = (docs.view(np.uint64) * U(0x9E3779B97F4A7C15) >> U(33)) % U(buckets)
+    rows = []
+    for k in np.unique(bucket):
+        d, v, x = _sorted(*(y[bucket == k] for y in (docs, versions, values)))
+        rows.append((int(k), _squeeze(_deltas(d.view(np.uint64))), _squeeze(_deltas(v.view(np.uint64))), _squeeze(_deltas(x))))
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.table({"bucket": pa.array(cols[0], pa.int32()), **{
+        name: pa.array(c, pa.binary()) for name, c in zip(("docs", "versions", "found"), cols[1:], strict=True)}})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """A bucket's rows -> one row for each document, its values sorted and distinct (as 64-bit integers)."""
+    parts = [[np.cumsum(_unsqueeze(r[c]), dtype=np.uint64) for c in ("docs", "versions", "found")] for r in table.to_pylist()]
+    docs, versions, values = _sorted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    same = np.zeros(len(docs), bool)
+    same[1:] = (docs[1:] == docs[:-1]) & (versions[1:] == versions[:-1])
+    keep = np.ones(len(docs), bool)
+    keep[1:] = ~same[1:] | (values[1:] != values[:-1])
+    docs, versions, values, same = docs[keep], versions[keep], values[keep], same[keep]
+    at = np.flatnonzero(~same)
+    found = [values[a:b].tobytes() for a, b in zip(at, [*at[1:], len(docs)], strict=False)]
+    return pa.table({"doc_id": docs[at].view(np.int64), "version": versions[at].view(np.int64), "found": pa.array(found, pa.binary())})
+
+
+def _back(lists: DataFrame, match, buckets: int) -> DataFrame:
+    """Lists -> ``(doc_id, version, found)``: matched by range of hashes, gathered by document."""
+    found = lists.groupBy("range").applyInArrow(_met(match, buckets), _RETURNED)
+    return found.groupBy("bucket").applyInArrow(_gather, _FOUND)
 
 
 _LOW = U(0xFFFFFFFF)
@@ -165,9 +195,9 @@ def _probe_lists(block: int, bits: int, ranges: int):
     return run
 
 
-def _shared_blocks(table: pa.Table) -> pa.Table:
+def _shared_blocks(hashes, marks, docs):
     """Hashes that are an index block somewhere and occur in two documents, for each of their documents."""
-    return _meet(table, lambda hashes, marks, docs: (_shared(hashes, marks, docs)[0], hashes))
+    return _shared(hashes, marks, docs)[0], hashes
 
 
 def _window_lists(window: int, block: int, bits: int, ranges: int):
@@ -177,12 +207,12 @@ def _window_lists(window: int, block: int, bits: int, ranges: int):
             words, first = word_hashes(b.column("text"))
             h, size = window_hashes(words, block) >> U(64 - bits), np.diff(first)
             full, near = window_hashes(words, window), np.zeros(len(words) + 1, np.int64)
-            for i, blobs in enumerate(b.column("found").to_pylist()):
+            for i, found in enumerate(b.column("found").to_pylist()):
                 n = int(size[i]) - window + 1
-                if n < 1 or not blobs:
+                if n < 1 or not found:
                     continue
                 f = int(first[i])
-                hit = np.flatnonzero(np.isin(h[f:f + size[i] - block + 1], np.frombuffer(b"".join(blobs), "<u8")))
+                hit = np.flatnonzero(np.isin(h[f:f + size[i] - block + 1], np.frombuffer(found, "<u8")))
                 # a hit at p lies in the windows that begin at p - (window - block) .. p
                 np.add.at(near, f + np.clip(hit - (window - block), 0, n), 1)
                 np.add.at(near, f + np.clip(hit + 1, 0, n), -1)
@@ -194,9 +224,9 @@ def _window_lists(window: int, block: int, bits: int, ranges: int):
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(hashes, marks, docs):
     """First words of windows that a document with a smaller id also has, for each document."""
-    return _meet(table, lambda hashes, marks, docs: (docs > _smallest(hashes, docs), marks & _LOW))
+    return docs > _smallest(hashes, docs), marks & _LOW
 
 
 def _remove(window: int):
@@ -205,11 +235,11 @@ def _remove(window: int):
             data, starts, ends, first = word_spans(b.column("text"))
             data = data.tobytes()
             kept, spans, gone = [], [], []
-            for i, blobs in enumerate(b.column("found").to_pylist()):
+            for i, found in enumerate(b.column("found").to_pylist()):
                 words = data[starts[first[i]]:ends[first[i + 1] - 1]].split() if first[i + 1] > first[i] else []
                 runs = []
-                if blobs:
-                    s = np.unique(np.frombuffer(b"".join(blobs), "<u8").astype(np.int64))
+                if found:
+                    s = np.frombuffer(found, "<u8").astype(np.int64)
                     cut = np.flatnonzero(np.diff(s) > window)
                     runs = list(zip(s[np.append(0, cut + 1)].tolist(), (s[np.append(cut, len(s) - 1)] + window).tolist(), strict=True))
                     edges = [0, *[x for r in runs for x in r], len(words)]
@@ -236,20 +266,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     block, width = (window + 1) // 2, shuffle_width(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows of one doc_id are told apart by their texts; without any, lists need not carry that
+    twice = d.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    d = d.withColumn("version", F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("text"))
     known = d.where("doc_id is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(4 * width, math.ceil(size / RANGE_BYTES))
+    ranges = max(2 * width, math.ceil(size / RANGE_BYTES))
     bits = min(64, 16 + max(16, math.ceil(math.log2(size + 2)) - 2))  # odds of a chance hit stay near 2^-16
 
+    buckets = max(1, ranges // 3)  # of documents, on the way back
+
     probes = known.mapInArrow(_probe_lists(block, bits, ranges), _LISTS)
-    hits = probes.groupBy("range").applyInArrow(_shared_blocks, _FOUND)
-    hits = stage(hits.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found")), "anchors")
+    hits = stage(_back(probes, _shared_blocks, buckets), "anchors")
 
     some = known.join(bounded(hits.select("doc_id").distinct()), "doc_id", "left_semi").join(hits, ["doc_id", "version"])
     lists = some.select("doc_id", "version", "text", "found").mapInArrow(_window_lists(window, block, bits, ranges), _LISTS)
-    gone = lists.groupBy("range").applyInArrow(_repeats, _FOUND)
-    gone = stage(gone.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found")), "repeats")
+    gone = stage(_back(lists, _repeats, buckets), "repeats")
 
     final = d.join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "found")
     return final.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, "
