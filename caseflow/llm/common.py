@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.session import checkpoint_dir
@@ -37,6 +37,20 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(rows: DataFrame, by: str, n: int | Column) -> DataFrame:
+    """The ``n`` rows of each value of ``by`` whose doc_id hashes lowest, for any order of the rows
+    (``n`` may be a column that depends on ``by``).
+
+    Chosen first within 64 salts of a value, then among those, so that one very
+    common value is not ranked in one task."""
+    h = F.xxhash64("doc_id")
+    out = rows.withColumn("_h", h).withColumn("_s", F.pmod(h, F.lit(64)))
+    for keys in ([by, "_s"], [by]):
+        w = Window.partitionBy(*keys).orderBy("_h", "doc_id")
+        out = out.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    return out.drop("_h", "_s")
+
+
 #: Broadcast bound: tables of so many rows at most (8 to 40 bytes each) are broadcast, others joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -64,13 +78,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     last = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # the minima are staged so that both joins read plain exchanges, which adaptive execution can split
+        # a hub's neighbours all meet here; its minimum is staged, so that the join reads two
+        # plain exchanges and adaptive execution can split the hub's rows
         low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        # small star over the rewritten edges (u > v): u and its smaller neighbours point at the smallest
-        large = stage(large, "cc-large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        # small star over the rewritten edges (u > v): u and its few smaller neighbours point at the smallest
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
         e = stage(small, "cc-round")

@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.common import hash_sample
 from caseflow.llm.hashing import _joined, by_bytes
 
 BUCKETS = 1 << 16
@@ -98,8 +99,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     The texts are counted where they lie; only one table a language comes back.
     """
     d = docs.where("doc_id is not null and text is not null and lang is not null")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = d.select("lang", "doc_id").withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample)
+    some = hash_sample(d.select("lang", "doc_id"), "lang", sample)
     few = F.broadcast(some.select("doc_id").distinct())  # sample x languages rows at most
     parts = d.join(few, "doc_id", "left_semi").select("lang", "text").mapInArrow(_count, "lang string, counts binary")
     rows = parts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").orderBy("lang").collect()

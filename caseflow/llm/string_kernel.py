@@ -26,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.common import hash_sample
 from caseflow.llm.hashing import _joined, by_bytes
 
 SPAN, DECAY = 6, 0.6
-SAMPLE = 1500         # texts learned from of each label, at most
+TOXIC, CLEAN = 1000, 2500   # texts learned from of each label, at most
 SEEDS, LANDMARKS, NEGATIVES = 400, 240, 3000
 VARIANTS = 4          # gapped forms of each frequent seed
 ROUNDS = 4
@@ -151,13 +152,13 @@ class Model:
     landmarks: list[bytes]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a weighted logistic curve, by Newton steps with a small ridge."""
     a, w = np.stack((x, np.ones(len(x))), 1), np.zeros(2)
     y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), a.T @ (weight * (y - p)) - 1e-3 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -177,8 +178,10 @@ def _apart(docs: list[tuple[set[bytes], bool]]) -> list[tuple[set[bytes], bool]]
     return out
 
 
-def fit(texts: list[str], toxic: list[bool]) -> Model | None:
-    """Model of labelled texts; equal texts count once. None without both labels."""
+def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Model | None:
+    """Model of labelled texts; equal texts count once. None without both labels.
+
+    ``share`` = share of toxic texts where scores are used (default: as given)."""
     docs = _apart([(words_of(t), y) for t, y in dict(zip(texts, toxic, strict=True)).items()])
     bad = [w for w, y in docs if y and w]
     clean = set().union(*(w for w, y in docs if not y))
@@ -238,22 +241,26 @@ def fit(texts: list[str], toxic: list[bool]) -> Model | None:
         positive = list(dict.fromkeys([*seeds, *counted, *gapped]))
     bias = float(w[-1])
     best = np.array([word_values(_stack(sorted(d)), table)[1].max() + bias if d else -5.0 for d, _ in docs])
-    slope, shift = _logistic(best, np.array([float(v) for _, v in docs]))
+    y = np.array([float(v) for _, v in docs])
+    share = y.mean() if share is None else share
+    slope, shift = _logistic(best, y, np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())))
     return Model(table, bias, slope, shift, 1 / (1 + float(np.exp(min(30.0, 5 * slope - shift)))), marks)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Model of ``docs(doc_id, text, toxic)``, from at most ``sample`` whole texts of each label, chosen by hash.
+def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model | None:
+    """Model of ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``, from at most ``toxic`` and
+    ``clean`` whole texts of the two labels, chosen by hash.
 
-    Rows with a null doc_id, text or label are left out. None without both labels.
+    Rows with a null doc_id, text or label are left out; a doc_id with both labels
+    counts as toxic. None without both labels. The sample is chosen on ids alone.
     """
-    d = docs.where("doc_id is not null and text is not null and toxic is not null").select(
-        "doc_id", "text", (F.col("toxic") > 0).alias("toxic"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = d.select("doc_id", "toxic").withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample)
-    few = F.broadcast(ids.select("doc_id").distinct())  # twice the sample at most
-    rows = d.join(few, "doc_id", "left_semi").orderBy("doc_id", "text").collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    d = docs.where("doc_id is not null and text is not null")
+    y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    share = y.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    few = hash_sample(y.join(d.select("doc_id"), "doc_id", "left_semi"), "toxic", F.when(F.col("toxic"), toxic).otherwise(clean))
+    few = F.broadcast(few)  # toxic + clean rows at most
+    rows = d.select("doc_id", "text").join(few, "doc_id").orderBy("doc_id", "text").collect()
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
 def _score(model: Model | None, names: list[str]):

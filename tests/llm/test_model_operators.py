@@ -120,14 +120,14 @@ def toxic_rows(n=300):
 def test_toxicity(spark):
     rows = toxic_rows()
     labelled = spark.createDataFrame([*rows, (900, None, 1), (901, "x", None), (None, "y", 1)], "doc_id long, text string, toxic int")
-    model = string_kernel.train(labelled)
+    model = string_kernel.train(labelled, labelled)
     new = [(1, "the house and a GROBNAK here"), (2, "the thing with p-l.i m o f f under"), (3, "over grobxnak table"), (4, "over vexullor table"),
            (5, "the house and the ring"), (6, None), (7, ""), (8, "?! 12"), (8, "?! 12"), (None, "stable string")]
     got = string_kernel.toxicity(frame(spark, new), model).collect()
     by = {x["doc_id"]: x["score"] for x in got}
     assert len(got) == len(new) and all(0 <= x["score"] <= 1 for x in got)
     assert min(by[1], by[2], by[4]) > 0.5 > max(by[5], by[6], by[7], by[8], by[None]) and by[3] > 10 * by[5]
-    assert string_kernel.train(labelled.where("toxic = 0")) is None
+    assert string_kernel.train(labelled, labelled.where("toxic = 0")) is None
     assert {x["score"] for x in string_kernel.toxicity(frame(spark, new, False), None).collect()} == {0.0}
     assert string_kernel.toxicity(frame(spark, [], False), model).collect() == []
 
