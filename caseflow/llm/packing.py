@@ -30,7 +30,7 @@ END_ID = 0
 def _cut(path: str | None, capacity: int, end_id: int):
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
-        enc = WordEncoder(path, lambda ids: np.array(ids, "<u4").tobytes())
+        enc = WordEncoder(path, ids=True)
         for b in slices(batches):
             rows = []
             for i, parts in enumerate(enc(b.column("text").to_pylist())):

@@ -20,8 +20,11 @@ from __future__ import annotations
 import os
 import re
 import sys
+from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +36,10 @@ HUGE = 32_768       # characters; longer texts are cut into chunks
 STEP = 16_384       # characters from one chunk's start to the next
 OVERLAP = 512       # first overlap in characters; eight times wider on each new try
 MARGIN = 32         # characters before a chunk's end that are not proven; over any added token's length
-CACHE = 400_000     # distinct words kept by a worker; then the cache starts anew
+CACHE = 600_000     # distinct words kept by a worker; then the cache starts anew
 SLICE = 256         # documents handled at a time, so memory follows single documents
 
-_PLAIN = re.compile(r" [^\S ]|[^\S ] |  ")
+_OTHER_BLANK = re.compile(r"[^\S ]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -62,32 +65,69 @@ def tokenizer(path: str | None):
     return loaded[path]
 
 
-def pieces(text: str) -> list[str]:
-    """Cut before every single space between two characters that are not white space."""
-    if _PLAIN.search(text) or text[:1] == " " or text[-1:] == " ":
-        return _SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+def pieces(text: str) -> tuple[str, list[str]]:
+    """Cut before every single space between two characters that are not white space:
+    the first piece, and the others without that space."""
+    plain = "  " not in text and text[:1] != " " and text[-1:] != " " and not any(
+        " " in text[max(0, m.start() - 1):m.end() + 1] for m in _OTHER_BLANK.finditer(text))
+    if plain:
+        first, *rest = text.split(" ")
+        return first, rest
+    first, *rest = _SAFE.split(text)
+    return first, [w[1:] for w in rest]
 
 
 class WordEncoder:
-    """Applies ``make(ids)`` to the ids of each piece, with a bounded cache of pieces."""
-
-    def __init__(self, path: str | None, make):
-        self.tok, self.make, self.cache = tokenizer(path), make, {}
+    """Encodes texts piece by piece: token counts, or ids as little-endian bytes (``ids=True``).
+
+    Distinct pieces are encoded once while they are in a cache of bounded size,
+    kept on ``sys`` like the tokenizer. New ones are encoded as one text, whose
+    tokens are dealt back by their lengths in bytes, which each id has fixed."""
+
+    def __init__(self, path: str | None, ids: bool = False):
+        self.tok, self.ids = tokenizer(path), ids
+        kept = sys.__dict__.setdefault("_caseflow_pieces", {})
+        key = path or default_path()
+        if key not in kept:
+            vocab = self.tok.get_vocab(with_added_tokens=False)
+            added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
+            size = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)
+            size[list(vocab.values())] = [len(t) for t in vocab]  # byte-level: one character for each byte
+            for i, content in added.items():
+                size[i] = len(content.encode())
+            kept[key] = size
+        self.size = kept[key]
+        self.cache = kept.setdefault((key, ids), {})
+        self.heads = kept.setdefault((key, ids, "heads"), {})
+
+    def _value(self, ids):
+        return array("I", ids).tobytes() if self.ids else len(ids)
+
+    def _add(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            part = words[k:k + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+            if self.ids:
+                raw, cut = ids.tobytes(), [0, *(at * 4).tolist()]
+                self.cache.update(zip(part, (raw[a:z] for a, z in zip(cut, cut[1:], strict=False)), strict=True))
+            else:
+                self.cache.update(zip(part, np.diff(at, prepend=0).tolist(), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[list]:
-        cut = [pieces(t) if t else [] for t in texts]
-        new = set().union(*cut) - self.cache.keys()
+        cut = [pieces(t) for t in texts]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        if len(self.heads) > CACHE:
+            self.heads.clear()
+        new = set(filterfalse(self.cache.__contains__, chain.from_iterable(rest for _, rest in cut)))
         if new:
-            if len(self.cache) > CACHE:
-                self.cache = {}
-                new = set().union(*cut)
-            new = list(new)
-            self.cache.update(zip(new, (self.make(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)),
-                                  strict=True))
-        get = self.cache.__getitem__
-        return ([get(p) for p in c] for c in cut)
+            self._add(list(new))
+        new = list({first for first, _ in cut} - self.heads.keys())
+        self.heads.update(zip(new, (self._value(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        get, head = self.cache.__getitem__, self.heads.__getitem__
+        return ([head(first), *map(get, rest)] for first, rest in cut)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -98,7 +138,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 
 def _count_whole(path: str | None):
     def run(batches):
-        enc = WordEncoder(path, len)
+        enc = WordEncoder(path)
         for b in slices(batches):
             counts = [sum(c) for c in enc(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())],

@@ -32,7 +32,25 @@ def test_token_counts(spark, cut):
 
 def test_pieces_keep_every_character():
     for t in TEXTS:
-        assert not t or "".join(tokens.pieces(t)) == t
+        first, rest = tokens.pieces(t or "")
+        assert " ".join([first, *rest]) == (t or "")
+
+
+def test_pieces_are_encoded_as_in_the_text():
+    """Also with a cache that starts anew all the time, and special strings as whole or part of a piece."""
+    texts = [t or "" for t in TEXTS] + [t or "" for _, t in random_docs(20)] + ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|>y"]
+    tok = tokens.tokenizer(None)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (0, 10, 1000):
+        old, tokens.CACHE = tokens.CACHE, limit
+        try:
+            count, ids = tokens.WordEncoder(None), tokens.WordEncoder(None, ids=True)
+            for k in range(0, len(texts), 7):
+                part = texts[k:k + 7]
+                assert [sum(c) for c in count(part)] == [len(w) for w in want[k:k + 7]]
+                assert [np.frombuffer(b"".join(c), "<u4").tolist() for c in ids(part)] == want[k:k + 7]
+        finally:
+            tokens.CACHE = old
 
 
 # ---------------------------------------------------------------- decontamination
