@@ -13,7 +13,14 @@ meet in a second pass over the borders alone.
 Candidates are confirmed on full shingle sets: first each class with its best
 candidates, then, after connected components, only pairs that still join two
 components. A confirmed pair inside a component changes nothing, so no pair is
-checked in vain and no group is expanded into all its pairs.
+checked in vain.
+
+Crowds are finished exactly. Rows that share ``RUN`` lanes of an order are a run; a
+run of more rows than an order's neighbours see, and of more than one component,
+is cut into blocks, and every pair of its blocks is a unit. A unit first keeps
+the rows with a partner in another component whose signatures agree as often as
+a pair over the threshold may, then counts the shared shingles of all its pairs at
+once; only links that join two components leave it, never pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +41,9 @@ NEIGHBOURS = 8
 MIN_PREFIX = 2   # lanes two rows of an order must share from the front
 MIN_AGREE = 22   # of the DEPTH lanes, anywhere; at similarity 0.8 one pair in 40 has fewer in an order, so none in all
 BEST = 3         # candidates of a class confirmed first
+RUN = LANES      # lanes shared by the rows of a run; those of the orders do not overlap
+BLOCK = 1024     # rows of a run's block, about
+SHINGLES = 1 << 20  # shingles of a run's block, about
 _LANES = TREES * LANES
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 32, _LANES, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -166,6 +176,94 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, share: int, of: int) -
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(n, share, of), "a bigint, b bigint")
 
 
+def _fewest(share: int, of: int) -> int:
+    """Lanes that a pair of the threshold's similarity shares, less six standard deviations."""
+    p = share / of
+    return int(_LANES * p - 6 * (_LANES * p * (1 - p)) ** 0.5)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a unit's two blocks (twice the same for a block with itself) and the components of all its rows."""
+    mine, c = t.column("mine").to_numpy(), t.column("c").to_numpy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    return np.flatnonzero(mine == i), np.flatnonzero(mine == j), c
+
+
+def _alike(fewest: int):
+    def run(t: pa.Table) -> pa.Table:
+        left, right, c = _sides(t)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(t.num_rows, _LANES).astype(np.uint16).T.copy()
+        agree = np.zeros((len(left), len(right)), np.uint8)
+        for lane in sig:
+            agree += lane[left][:, None] == lane[right][None, :]
+        ok = (agree >= fewest) & (c[left][:, None] != c[right][None, :])
+        keep = np.zeros(t.num_rows, bool)
+        keep[left[ok.any(axis=1)]] = True
+        keep[right[ok.any(axis=0)]] = True
+        return t.drop_columns(["sig"]).filter(pa.array(keep))
+    return run
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Number of common shingles of each left with each right row."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = row[times[column] > 1], column[times[column] > 1]  # others are in one row alone
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, z = np.searchsorted(column, (at, at + width))
+        has = np.zeros((len(sets), width), np.float32)
+        has[row[a:z], column[a:z] - at] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    return both
+
+
+def _links(n: int, share: int, of: int):
+    def run(t: pa.Table) -> pa.Table:
+        left, right, c = _sides(t)
+        sets, ids, out = list(shingle_sets(t.column("text").combine_chunks(), n)), t.column("id").to_numpy(), []
+        size, both = np.array([len(x) for x in sets]), _shared(sets, left, right)
+        union = size[left][:, None] + size[right][None, :] - both
+        ok = (of * both >= share * union) & (both > 0)
+        now = c.copy()
+        for k in np.flatnonzero(ok.any(axis=1)):
+            me, others = left[k], right[ok[k]]
+            names, first = np.unique(now[others], return_index=True)
+            for name, other in zip(names.tolist(), others[first].tolist(), strict=True):
+                if name != now[me]:
+                    out.append((ids[me], ids[other]))
+                    now[now == name] = now[me]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+    return run
+
+
+def finished(classes: DataFrame, found: DataFrame, docs: DataFrame, n: int, share: int, of: int) -> DataFrame:
+    """Links ``(a, b)`` between components of ``found`` inside the runs that neighbours do not cover.
+
+    ``classes(id, n_shingles, sig)``, ``docs(id, text)``."""
+    runs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(
+        F.unhex(F.lpad(F.hex(t), 4, "0")), F.substring("sig", t * (2 * LANES) + 1, F.lit(2 * RUN))))).alias("key")
+    member = classes.join(found, "id", "left").select("id", "n_shingles", "sig", F.coalesce("component_id", "id").alias("c"))
+    rows = member.select("id", "c", runs)
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / SHINGLES)
+    long = (member.select("id", "c", "n_shingles", runs).groupBy("key")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(size).cast("int").alias("blocks"))
+            .where((F.col("n") > NEIGHBOURS + 1) & (F.col("low") < F.col("high"))).select("key", "blocks"))
+    mine = rows.join(bounded(stage(long, "long-runs")), "key").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    unit = mine.select("id", "c", "key", "mine", other).select(
+        "id", "c", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    unit = stage(unit, "units").join(classes.select("id", "sig"), "id")
+    kind = "id bigint, c bigint, key binary, mine int, i int, j int"
+    alike = stage(unit.select("id", "c", "key", "mine", "i", "j", "sig").groupBy("key", "i", "j")
+                  .applyInArrow(_alike(_fewest(share, of)), kind), "alike")
+    texts = docs.join(bounded(stage(alike.select("id").distinct(), "alike-ids")), "id", "left_semi")
+    texts = stage(texts.dropDuplicates(["id"]), "alike-texts")
+    return alike.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_links(n, share, of), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int = 100) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row per input row.
 
@@ -198,6 +296,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, of: int =
     more = confirmed(rest, texts, words, share, of)
     found = components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
 
+    # last pass: what the neighbours leave out of crowds
+    found = stage(found, "components")
+    more = finished(classes.select("id", "n_shingles", "sig"), found, d.withColumnRenamed("doc_id", "id"), words, share, of)
+    found = components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
+
     named = classes.join(found, "id", "left").select("k1", "k2", F.col("n_shingles").alias("n"),
                                                      F.coalesce("component_id", "id").alias("component_id"))
     s = signed.select("doc_id", "n_shingles", F.col("k1").alias("s1"), F.col("k2").alias("s2"))

@@ -227,6 +227,26 @@ def test_large_group_of_near_copies(spark):
     assert {x["component_id"] for x in got} == {0} and sum(x["kept"] for x in got) == 1
 
 
+def test_star_of_copies_of_one_original(spark):
+    """Copies near to their original alone, more than all orders' neighbours: one component; a crowd with common boilerplate."""
+    r = random.Random(4)
+    base, docs = [f"w{k}" for k in range(300)], []
+    for i in range(700):
+        w = list(base)
+        for k in range(6):
+            w[50 * k + r.randrange(3, 46)] = f"edit{i}x{k}"
+        docs.append((i, " ".join(base if i == 350 else w)))
+    for i in range(60):  # 70 % boilerplate; each even one and the next are near
+        docs.append((1000 + i, " ".join([f"b{k}" for k in range(140)] + [f"own{i // 2}x{k}" for k in range(56)] + [f"end{i}x{k}" for k in range(4)])))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = brute_components(ids, links)
+    assert sum(350 in x for x in links) == 699 and len({comp[i] for i in range(700)}) == 1 and len(links) < 1000
+    got = minhash_forest.near_duplicates(frame(spark, docs, False)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == comp
+
+
 # ---------------------------------------------------------------- substring dedup
 
 def brute_substrings(docs, window=13):
