@@ -11,7 +11,9 @@ from its children. Each page then drops the branches its host's tree finds
 unimportant, and those whose element is by its meaning no article text
 (``NOISE_TAGS`` and names such as ``nav``, ``ad``, ``comments``). A host with few pages
 has no say about importance, so meaning alone decides there, as it does inside
-an ``article`` or ``main`` element.
+an ``article`` or ``main`` element. Pages of a host with the same own text count once,
+so copies of a page do not look like a menu, and a page that would lose all its
+text to the tree keeps it.
 
 Statistics are partial counts ``(host, node, layout or content)`` combined before
 the shuffle, so a host with a third of all pages is spread over its nodes; a
@@ -20,6 +22,7 @@ host comes back as the list of its unimportant nodes.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -169,19 +172,21 @@ def _key(text: str) -> int:
 
 
 def _observe(batches):
-    """One row for each node of each page: a hash of its layout, or of its own text."""
+    """One row for each node of each page: a hash of its layout, or of its own text; ``page`` is a hash of all own text."""
     for b in by_bytes(batches, "html"):
-        rows = {"host": [], "node": [], "kind": [], "value": []}
+        rows = {"host": [], "page": [], "node": [], "kind": [], "value": []}
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             dom, own = parse(html), {}
             for path, noise, _, text in dom.texts:
                 if not noise:
                     own.setdefault(path, []).append(" ".join(text.split()))
+            page = hashlib.blake2b("\0".join(x for p, t in own.items() for x in (p, *t)).encode("utf-8", "surrogatepass"), digest_size=8)
+            page = int.from_bytes(page.digest(), "big", signed=True)
             seen = [(p, 0, _key(",".join(c))) for p, c in dom.children.items()]
             seen += [(p, 1, _key(" ".join(t))) for p, t in own.items()]
             for node, kind, value in seen:
-                rows["host"].append(host), rows["node"].append(node), rows["kind"].append(kind), rows["value"].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows["host"], pa.string()), pa.array(rows["node"], pa.string()),
+                rows["host"].append(host), rows["page"].append(page), rows["node"].append(node), rows["kind"].append(kind), rows["value"].append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(rows["host"], pa.string()), pa.array(rows["page"], pa.int64()), pa.array(rows["node"], pa.string()),
                                           pa.array(rows["kind"], pa.int32()), pa.array(rows["value"], pa.int64())], list(rows))
 
 
@@ -190,8 +195,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     Base of the logarithm is the host's number of pages that have the node, so 1
     means different on every page. A node without children or text has null there.
+    Pages whose own text is the same are one page.
     """
-    seen = pages.select("host", "html").mapInArrow(_observe, "host string, node string, kind int, value bigint")
+    seen = pages.select("host", "html").mapInArrow(_observe, "host string, page bigint, node string, kind int, value bigint")
+    seen = seen.groupBy("host", "page", "node", "kind").agg(F.min("value").alias("value"))
     counts = seen.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     # entropy = log N - sum(n log n) / N, so two sums that combine before the shuffle
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
@@ -211,17 +218,22 @@ def unimportant(tree: DataFrame, least: float = IMPORTANCE, min_pages: int = MIN
     return low.groupBy("host").agg(F.collect_set("node").alias("nodes"))
 
 
+def _text(texts) -> str:
+    blocks: dict[int, list[str]] = {}
+    for _, _, block, text in texts:
+        blocks.setdefault(block, []).append(text)
+    lines = (" ".join("".join(t).split()) for t in blocks.values())
+    return "\n".join(x for x in lines if x)
+
+
 def _extract(names: list[str]):
     def run(batches):
         for b in by_bytes(batches, "html"):
             out = []
             for html, nodes in zip(b.column("html").to_pylist(), b.column("nodes").to_pylist(), strict=True):
-                drop, blocks = set(nodes or ()), {}
-                for path, noise, block, text in parse(html).texts:
-                    if not noise and (path not in drop or ARTICLE.search(path)):
-                        blocks.setdefault(block, []).append(text)
-                lines = (" ".join("".join(t).split()) for t in blocks.values())
-                out.append("\n".join(x for x in lines if x))
+                drop, texts = set(nodes or ()), parse(html).texts
+                own = [x for x in texts if not x[1]]
+                out.append(_text(x for x in own if x[0] not in drop or ARTICLE.search(x[0])) or _text(own))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(out, pa.string())], [*names, "text"])
     return run
 
@@ -231,8 +243,9 @@ def main_text(pages: DataFrame, least: float = IMPORTANCE, min_pages: int = MIN_
 
     Character references are decoded, white space inside a block becomes one
     space, blocks are trimmed and joined by one newline in page order. Null or
-    empty html: empty text. A null url is a host of its own. Rows that repeat a
-    page count as pages of their own.
+    empty html: empty text. A null url is a host of its own. Pages of a
+    host with the same own text count as one page. A page whose text the tree would
+    drop as a whole keeps it.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     p = pages.select("page_id", "url", "html", host.alias("host"))

@@ -158,6 +158,19 @@ def test_copies_of_an_article_stay(spark):
     assert {x["text"] for x in style_tree.main_text(df).collect()} == {"T\nbody"}
 
 
+def test_copies_without_an_article_stay(spark):
+    """Three copies are no menu, nor are 85 copies of a page beside 15 others; a page of nothing but a menu line keeps it."""
+    site = lambda host, bodies: [(i, f"http://{host}/{i}", f"<html><head><title>{i}</title></head><body><div class='box'>Same</div>"
+                                  f"<div class='post'><p>{b}</p></div></body></html>") for i, b in enumerate(bodies)]
+    rows = [(100 + i, u, h) for i, u, h in site("three.org", ["copy"] * 3)]
+    rows += [(200 + i, u, h) for i, u, h in site("many.org", ["copy"] * 85 + [f"own {k}" for k in range(15)])]
+    rows += [(300, "http://many.org/x", "<html><body><div class='box'>Same</div></body></html>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {x["page_id"]: x["text"] for x in style_tree.main_text(df).collect()}
+    assert [got[100 + i] for i in range(3)] == ["Same\ncopy"] * 3
+    assert [got[200 + i] for i in range(100)] == ["copy"] * 85 + [f"own {k}" for k in range(15)] and got[300] == "Same"
+
+
 # ---------------------------------------------------------------- vectors
 
 @pytest.mark.parametrize("unit,visitors,cell", [(8000, 64000, 4000), (16, 50, 20)])
