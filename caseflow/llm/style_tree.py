@@ -13,7 +13,8 @@ unimportant, and those whose element is by its meaning no article text
 has no say about importance, so meaning alone decides there, as it does inside
 an ``article`` or ``main`` element. Pages of a host with the same own text count once,
 so copies of a page do not look like a menu, and a page that would lose all its
-text to the tree keeps it.
+text to the tree keeps it. A page that has text only below such names or a form keeps
+that, since they then wrap the whole page; an article below them starts clean.
 
 Statistics are partial counts ``(host, node, layout or content)`` combined before
 the shuffle, so a host with a third of all pages is spread over its nodes; a
@@ -37,11 +38,14 @@ from caseflow.llm.hashing import by_bytes
 #: Elements that are no article text by their meaning.
 NOISE_TAGS = frozenset("script style noscript template iframe object embed svg math canvas audio video nav footer aside form "
                        "button input select textarea label dialog menu head".split())
-#: Names (class, id, role) of such blocks, as whole words of the attribute.
-NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|widget|ads?|advert\w*|"
-    r"sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|"
-    r"comments?|commentlist|disqus|replies|reply|pagination|pager|toolbar|search|login|signup|copyright|legal|skip)(?:$|[\s_-])", re.I)
+#: Names (class, id) of such blocks. A name counts if all its words, parted by hyphens or underscores, are of these:
+#: ``cookie-notice``, but not ``no-sidebar`` or ``related-work``, about which importance decides.
+_NOISE_WORD = (r"(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|widget|ads?|advert\w*|"
+               r"sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|"
+               r"comments?|commentlist|disqus|replies|reply|pagination|pager|toolbar|search|login|signup|copyright|legal|skip)")
+NOISE_NAMES = re.compile(rf"(?:^|\s)[_-]*{_NOISE_WORD}(?:[_-]+{_NOISE_WORD})*[_-]*(?:$|\s)", re.I)
+#: Elements that hold the article's own words; inside an article their name does not make them noise.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table caption thead tbody tfoot tr td th dl dt dd figcaption".split())
 NOISE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
 #: Elements inside a line of text; all others begin a new block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike "
@@ -57,6 +61,8 @@ _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noframes"))  #
 _TOKEN = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>?)|[!?][^>]*>?)""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
+#: Noise by name or by an enclosing form may be a wrapper of the page; other noise never is.
+WRAPPER, NOISE = 1, 2
 #: Inside these the author says what the article is, so copies of one page cannot make it look like a menu.
 ARTICLE = re.compile(r"/(?:article|main)(?:\.|/|$)")
 MIN_PAGES = 3          # pages of a host from which importance counts
@@ -75,9 +81,9 @@ class _Dom:
     """A page as a list of (node path, noise by meaning, block number, text) and its layouts."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []  # tag, path, noise
+        self.stack: list[tuple[str, str, int]] = []  # tag, path, noise
         self.block = 0
-        self.texts: list[tuple[str, bool, int, str]] = []
+        self.texts: list[tuple[str, int, int, str]] = []
         self.children: dict[str, list[str]] = {}
 
     def feed(self, html: str) -> None:
@@ -131,13 +137,18 @@ class _Dom:
                     break
         a = {k: v or "" for k, v in attrs}
         name = " ".join(x for x in (a.get("class"), a.get("id")) if x)
-        noise = bool(self.stack and self.stack[-1][2])
+        noise = self.stack[-1][2] if self.stack else 0
         inside = any(t in ("article", "main") for t, _, _ in self.stack)
-        if not noise and tag not in ("html", "body", "article", "main"):
+        if noise == WRAPPER and tag in ("article", "main") and not inside and not NOISE_NAMES.search(name):
+            noise = 0  # an article below a noisy wrapper starts clean, one called a comment does not
+        if noise < NOISE and tag not in ("html", "body", "article", "main"):
             names = re.sub(r"(?i)[\w-]*header[\w-]*", "", name) if inside else name  # an article's own header is its title
-            noise = (tag in NOISE_TAGS or tag == "header" and not inside or bool(NOISE_NAMES.search(names))
-                     or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
-                     or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I) is not None)
+            if (tag in NOISE_TAGS and tag != "form" or tag == "header" and not inside
+                    or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+                    or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I) is not None):
+                noise = NOISE
+            elif tag == "form" or NOISE_NAMES.search(names) and not (inside and tag in PROSE):
+                noise = WRAPPER
         label = tag + ("." + re.sub(r"\d+", "0", name) if name else "")
         parent = self._path()
         if tag not in INLINE and tag != "br":
@@ -157,7 +168,7 @@ class _Dom:
 
     def handle_data(self, data):
         if not data.isspace() or self.texts and self.texts[-1][2] == self.block:
-            self.texts.append((self._path(), bool(self.stack and self.stack[-1][2]), self.block, data))
+            self.texts.append((self._path(), self.stack[-1][2] if self.stack else 0, self.block, data))
 
 
 def parse(html: str | None) -> _Dom:
@@ -233,7 +244,8 @@ def _extract(names: list[str]):
             for html, nodes in zip(b.column("html").to_pylist(), b.column("nodes").to_pylist(), strict=True):
                 drop, texts = set(nodes or ()), parse(html).texts
                 own = [x for x in texts if not x[1]]
-                out.append(_text(x for x in own if x[0] not in drop or ARTICLE.search(x[0])) or _text(own))
+                out.append(_text(x for x in own if x[0] not in drop or ARTICLE.search(x[0])) or _text(own)
+                           or _text(x for x in texts if x[1] == WRAPPER))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(out, pa.string())], [*names, "text"])
     return run
 
@@ -245,7 +257,8 @@ def main_text(pages: DataFrame, least: float = IMPORTANCE, min_pages: int = MIN_
     space, blocks are trimmed and joined by one newline in page order. Null or
     empty html: empty text. A null url is a host of its own. Pages of a
     host with the same own text count as one page. A page whose text the tree would
-    drop as a whole keeps it.
+    drop as a whole keeps it, as does a page all of whose text stands below noisy
+    names or a form.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     p = pages.select("page_id", "url", "html", host.alias("host"))

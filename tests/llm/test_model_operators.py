@@ -171,6 +171,25 @@ def test_copies_without_an_article_stay(spark):
     assert [got[200 + i] for i in range(100)] == ["copy"] * 85 + [f"own {k}" for k in range(15)] and got[300] == "Same"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='no-sidebar'", "div class='page sticky-header'",
+                                     "div class='post comments-open'", "div class='sidebar'", "form id='aspnet'"])
+def test_wrappers_are_no_noise(wrapper):
+    names = ["section id='related-work'", "p class='legal'", "section id='search-algorithms'", "div class='no-ads'"]
+    inner = "".join(f"<{x}>text {k}</{x.split()[0]}>" for k, x in enumerate(names))
+    noise = ("<div class='comments'>c</div><div class='x cookie-notice'>n</div><div id='sidebar'>s</div><aside><article>a</article></aside>"
+             "<div class='comments'><article class='comment'>d</article></div>")
+    want = "\n".join(f"text {k}" for k in range(len(names)))
+    for tag in ("article", "main", "div"):
+        # outside an article a paragraph's name counts
+        html = f"<body><{wrapper}><{tag}>{inner.replace(' class=' + repr('legal'), '') if tag == 'div' else inner}</{tag}>" + (noise if tag != "div" else "") + f"</{wrapper.split()[0]}></body>"
+        b = pa.RecordBatch.from_pydict({"html": [html], "nodes": pa.array([None], pa.list_(pa.string()))})
+        got = next(style_tree._extract([])(iter([b]))).column("text")[0].as_py()
+        assert got == want, tag
+    html = f"<body><div class='post'>{inner}</div>{noise}<div hidden><article>h</article></div></body>"
+    b = pa.RecordBatch.from_pydict({"html": [html], "nodes": pa.array([None], pa.list_(pa.string()))})
+    assert "text 0\n" in next(style_tree._extract([])(iter([b]))).column("text")[0].as_py() and "h" not in [t for _, n, _, t in style_tree.parse(html).texts if not n]
+
+
 # ---------------------------------------------------------------- vectors
 
 @pytest.mark.parametrize("unit,visitors,cell", [(8000, 64000, 4000), (16, 50, 20)])
