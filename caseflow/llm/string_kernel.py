@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import hash_sample
+from caseflow.llm.common import hash_sample, stage
 from caseflow.llm.hashing import _joined, by_bytes
 
 SPAN, DECAY = 6, 0.6
@@ -256,8 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     """
     d = docs.where("doc_id is not null and text is not null")
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    y = stage(y.join(d.select("doc_id"), "doc_id", "left_semi"), "labels")  # no label of another document is learned from
     share = y.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    few = hash_sample(y.join(d.select("doc_id"), "doc_id", "left_semi"), "toxic", F.when(F.col("toxic"), toxic).otherwise(clean))
+    few = hash_sample(y, "toxic", F.when(F.col("toxic"), toxic).otherwise(clean))
     few = F.broadcast(few)  # toxic + clean rows at most
     rows = d.select("doc_id", "text").join(few, "doc_id").orderBy("doc_id", "text").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], share)

@@ -132,6 +132,15 @@ def test_toxicity(spark):
     assert string_kernel.toxicity(frame(spark, [], False), model).collect() == []
 
 
+def test_other_documents_labels_are_not_learned(spark, monkeypatch):
+    shares = []
+    monkeypatch.setattr(string_kernel, "fit", lambda texts, toxic, share: shares.append(share))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(8)] + [(i, 1) for i in range(50, 60)], "doc_id long, toxic int")
+    string_kernel.train(docs, labels)
+    assert shares == [0.25]
+
+
 # ---------------------------------------------------------------- HTML
 
 def page(i, body, menu="Home News About"):
