@@ -165,7 +165,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     order = np.argsort(-blocks, kind="stable")
     order = order[blocks[order] > 0]
     left = np.searchsorted(-blocks[order], -np.arange(blocks.max()), side="left")
-    enter, came = np.zeros((begin[-1], langs), np.int8), np.zeros((begin[-1], langs), np.int8)
+    enter, came = np.zeros((begin[-1], langs), np.int16), np.zeros((begin[-1], langs), np.int16)
     best = np.zeros((len(order), langs), np.float32)
     for k in range(int(blocks.max())):
         live = order[:left[k]]
@@ -191,13 +191,13 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     rows = np.arange(begin[-1])
     v = np.full((begin[-1], langs), low)
     v[rows, head] = x[rows, 0, head]
-    stays, tops = np.ones((BLOCK, begin[-1], langs), bool), np.zeros((BLOCK, begin[-1]), np.int8)
+    stays, tops = np.ones((BLOCK, begin[-1], langs), bool), np.zeros((BLOCK, begin[-1]), np.int16)
     for t in range(1, BLOCK):
         tops[t] = v.argmax(axis=1)
         moved = v.max(axis=1, keepdims=True) - switch
         stays[t] = v >= moved
         v = np.maximum(v, moved) + x[:, t]
-    labels = np.empty((begin[-1], BLOCK), np.int8)
+    labels = np.empty((begin[-1], BLOCK), np.int16)
     labels[:, BLOCK - 1] = now = tail
     for t in range(BLOCK - 1, 0, -1):
         now = np.where(stays[t, rows, now], now, tops[t])

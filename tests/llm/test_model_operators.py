@@ -41,6 +41,13 @@ def speech(lang, r, n=30):
     return " ".join(r.choice(w) for _ in range(n))
 
 
+def test_viterbi_of_many_languages():
+    want = np.repeat([199, 3, 150], 90)
+    scores = np.zeros((len(want), 200), np.float32)
+    scores[np.arange(len(want)), want] = 5
+    assert langid.viterbi(scores, np.array([0, 200, len(want)]), 2.0).tolist() == want.tolist()
+
+
 def test_language_id(spark):
     r = random.Random(1)
     rows = [(i, speech(lang, r), lang) for i, lang in enumerate(list(SPEECH) * 20)]
