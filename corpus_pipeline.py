@@ -15,16 +15,14 @@ from caseflow.llm import decontam, langid, line_dedup, minhash_forest, packing
 from caseflow.llm.common import stage, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose best language has less than this share of its letters is rejected.
-MIN_SHARE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or no language to speak of; fills a missing ``lang``."""
+    """Rejects texts that are null or have no letter; fills a missing ``lang``. A text in several languages stays."""
     model = langid.train(docs)
     r = langid.identify(docs.select(*COLUMNS), model)
     if model:
-        r = r.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SHARE))
+        r = r.where(F.col("lang_pred") != langid.UNKNOWN)
     else:  # nothing to learn from: only texts without a letter are rejected
         r = r.where(F.col("text").rlike(r"\p{L}"))
     known = F.when(F.col("lang_pred") != langid.UNKNOWN, F.col("lang_pred"))

@@ -55,6 +55,16 @@ def test_odd_documents(spark, tmp_path):
     assert {x["lang"] for x in first} == {"en"}
 
 
+def test_texts_in_several_languages_stay(spark):
+    words = {"en": "the house and garden with others", "el": "το σπίτι και ο κήπος", "ru": "дом и большой сад", "ar": "البيت و الحديقة الكبيرة"}
+    rows = [(i, f"{w} " * 20, lang, "s", 1) for i, (lang, w) in enumerate(words.items())]
+    rows += [(10, " ".join(f"{w} " * 9 for w in words.values()), None, "s", 1), (11, "12 !", "en", "s", 1), (12, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs)
+    assert [x["score"] < 0.4 and len(x["spans"]) == 4 for x in langid.identify(docs.where("doc_id = 10"), model).collect()] == [True]
+    assert {x["doc_id"] for x in P.language(spark, docs, "").collect()} == {0, 1, 2, 3, 10}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
