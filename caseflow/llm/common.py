@@ -51,6 +51,24 @@ def hash_sample(rows: DataFrame, by: str, n: int | Column) -> DataFrame:
     return out.drop("_h", "_s")
 
 
+def in_order(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` in the order of the columns ``order``, with a running sum of the rows before for
+    each ``new column -> summed column`` of ``sums``; staged.
+
+    Rows are cut into ranges of the whole order, so a value that many rows share is cut too
+    if a later column tells them apart; the ranges' sums (one row each) give what lies before.
+    """
+    cut = df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    cut = stage(cut, f"{name}-ranges")
+    ranges = cut.groupBy("_range").agg(*[F.sum(c).alias(c) for c in set(sums.values())])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{new}") for new, c in sums.items()])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(new) for new, c in sums.items()])
+    rows = rows.join(F.broadcast(ranges), "_range")  # a row for each shuffle partition at most
+    return stage(rows.select(*df.columns, *[(F.col(new) + F.col(f"_{new}")).alias(new) for new in sums]), name)
+
+
 #: Broadcast bound: tables of so many rows at most (8 to 40 bytes each) are broadcast, others joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
 

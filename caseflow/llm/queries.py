@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, string_kernel, style_tree, tokens
+from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, sharding, string_kernel, style_tree, tokens
 from caseflow.llm.common import table
+from caseflow.llm.oracles import OP13_SQL
 
 
 def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +72,11 @@ def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, equal texts together."""
+    return sharding.shard_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -154,6 +160,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_metric_range_join": op10_metric_range_join,
+    "op13_sharding": op13_sharding,
 }
 
 SQL = {
@@ -162,4 +169,5 @@ SQL = {
     "op5_minhash_forest": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_metric_range_join": OP10_SQL,
+    "op13_sharding": OP13_SQL,
 }
