@@ -54,3 +54,30 @@ FROM d JOIN p ON d.x = p.x
 
 
 OP13_SQL = _sharding()
+
+
+# --- 12: importance resampling -------------------------------------------------------------------------
+
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_RUNS = ("SELECT {id}, array_to_string(w[s:s + n - 1], ' ') AS f FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s "
+         "FROM {t}, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)")
+
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS MATERIALIZED ({_RUNS.format(id="doc_id", t="d")}), bf AS MATERIALIZED ({_RUNS.format(id="1 AS one", t="b")}),
+u AS (SELECT f FROM df UNION SELECT f FROM bf),
+k AS MATERIALIZED (SELECT f, {crc32("f")} % 10000 AS bucket FROM u),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN k ON df.f = k.f GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN k ON bf.f = k.f GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM df) AS sa, (SELECT count(*) FROM bf) AS ta),
+g AS (SELECT z.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (sa + 10000)::DOUBLE
+      / ((coalesce(s.n, 0) + 1)::DOUBLE * (ta + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM (SELECT unnest(range(10000)) AS bucket) z CROSS JOIN sums LEFT JOIN s ON s.bucket = z.bucket LEFT JOIN t ON t.bucket = z.bucket),
+w AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM df JOIN k ON df.f = k.f JOIN g ON g.bucket = k.bucket GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(d.w) >= 20 AS ok, coalesce(w.n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+      CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY score DESC, doc_id) AS k, count(*) FILTER (ok) OVER () AS n FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN ok AND k <= 5 * n // 100 THEN k END AS rank FROM r
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, sharding, string_kernel, style_tree, tokens
+from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, resampling, sharding, string_kernel, style_tree, tokens
 from caseflow.llm.common import table
-from caseflow.llm.oracles import OP13_SQL
+from caseflow.llm.oracles import OP12_SQL, OP13_SQL
 
 
 def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +72,12 @@ def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    """Five documents in a hundred drawn towards the benchmark's words, with exact ranks."""
+    r = resampling.resample(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return r.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_sharding(spark: SparkSession, d: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, equal texts together."""
     return sharding.shard_documents(table(spark, d, "documents").select("doc_id", "text"))
@@ -160,6 +166,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_metric_range_join": op10_metric_range_join,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_sharding": op13_sharding,
 }
 
@@ -169,5 +176,6 @@ SQL = {
     "op5_minhash_forest": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_metric_range_join": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
     "op13_sharding": OP13_SQL,
 }
