@@ -35,17 +35,23 @@ def _sharding() -> str:
              f"WHERE x.e >= {'cap.t' if k == SHARDS - 1 else 'n.e'} - cap.c)" for k in range(SHARDS - 1, 0, -1)]
     late = [f"u{k} AS MATERIALIZED (SELECT max(x.e) AS e FROM g x, cap, {'(SELECT 0 AS e)' if k == 1 else f'u{k - 1}'} p "
             f"WHERE x.e <= p.e + cap.c)" for k in range(1, SHARDS)]
-    cuts = ["c0 AS (SELECT 0::HUGEINT AS e)"] + [
-        f"c{k} AS MATERIALIZED (SELECT coalesce(min_by(x.e, abs(x.e - want) * 1e6::HUGEINT * 1e6::HUGEINT + x.e), max(cap.t)) AS e FROM cap, "
-        f"(SELECT p.e AS p, p.e + (cap.t - p.e) // {SHARDS + 1 - k} AS want FROM c{k - 1} p, cap) w LEFT JOIN g x "
+    share = ("k AS (SELECT size, row_number() OVER (ORDER BY size DESC) AS k, sum(size) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS a FROM g), "
+             f"share AS MATERIALIZED (SELECT coalesce((SELECT (cap.t - k.a) // ({SHARDS} - k.k) FROM k WHERE k.k < {SHARDS} AND NOT EXISTS (SELECT 1 FROM k j "
+             f"WHERE j.k <= k.k AND j.size <= (cap.t - j.a + j.size) // ({SHARDS} + 1 - j.k)) ORDER BY k.k DESC LIMIT 1), cap.t // {SHARDS}) AS w FROM cap), "
+             "h AS MATERIALIZED (SELECT e, s, sum(least(size, w)) OVER (ORDER BY e) AS z FROM g, share), "
+             "zt AS MATERIALIZED (SELECT max(z) AS z FROM h)")
+    cuts = ["c0 AS (SELECT 0::HUGEINT AS e, 0::HUGEINT AS z)"] + [
+        f"c{k} AS MATERIALIZED (SELECT coalesce(min_by(x.e, abs(x.z - want) * 1e15::HUGEINT + x.e), max(cap.t)) AS e, "
+        f"coalesce(min_by(x.z, abs(x.z - want) * 1e15::HUGEINT + x.e), max(zt.z)) AS z FROM cap, zt, "
+        f"(SELECT p.e AS p, p.z + (zt.z - p.z) // {SHARDS + 1 - k} AS want FROM c{k - 1} p, zt) w LEFT JOIN h x "
         f"ON x.e > w.p AND x.e >= (SELECT e FROM l{k}) AND x.e <= (SELECT e FROM u{k}) AND x.e <= w.p + (SELECT c FROM cap))"
         for k in range(1, SHARDS)]
     shard = " + ".join(f"CAST(g.s >= (SELECT e FROM c{k}) AS INT)" for k in range(1, SHARDS))
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS x, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
 r AS (SELECT x, min(doc_id) AS f, sum(size) AS size FROM d GROUP BY x),
-g AS MATERIALIZED (SELECT x, sum(size) OVER (ORDER BY f, x) AS e, sum(size) OVER (ORDER BY f, x) - size AS s FROM r),
-{", ".join([first, *levels, cap, *early, *late, *cuts])},
+g AS MATERIALIZED (SELECT x, size, sum(size) OVER (ORDER BY f, x) AS e, sum(size) OVER (ORDER BY f, x) - size AS s FROM r),
+{", ".join([first, *levels, cap, *early, *late, share, *cuts])},
 p AS (SELECT g.x, g.e, {shard} AS shard FROM g)
 SELECT doc_id, size, {crc32("d.x")} AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY p.e, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
@@ -81,3 +87,28 @@ x AS (SELECT d.doc_id, len(d.w) >= 20 AS ok, coalesce(w.n, 0) AS n_features, CAS
 r AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY score DESC, doc_id) AS k, count(*) FILTER (ok) OVER () AS n FROM x)
 SELECT doc_id, n_features, weight, score, CASE WHEN ok AND k <= 5 * n // 100 THEN k END AS rank FROM r
 """
+
+
+# --- 11: conversation prefix trie ------------------------------------------------------------------------
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+q AS MATERIALIZED (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS s, CAST({crc32("CAST(conv_id AS VARCHAR)")} % 9 AS INT) AS h FROM t GROUP BY conv_id),
+b AS (SELECT k, max(CAST(strlen(x) AS BIGINT)) AS bytes FROM t GROUP BY k),
+r AS MATERIALIZED (SELECT q.conv_id AS c, list_concat(coalesce(list_slice(z.s, 1, q.h), []), list_slice(q.s, q.h + 1, len(q.s))) AS s
+      FROM q LEFT JOIN q z ON z.conv_id = q.conv_id - q.conv_id % 5),
+p AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+n AS MATERIALIZED (SELECT array_to_string(s[1:depth], ',') AS path, depth, any_value(s[1:depth]) AS s, min(c) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = depth), '')) AS ends
+      FROM p GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT n.*, array_to_string(s[1:depth - 1], ',') AS parent, coalesce((n_convs - 1) * bytes, 0) AS saved
+      FROM n LEFT JOIN b ON depth > 0 AND b.k = n.s[depth]),
+ch AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM u WHERE depth > 0 GROUP BY 1, 2),
+v AS (SELECT u.*, coalesce(ch.n, 0) AS n_children FROM u LEFT JOIN ch ON ch.parent = u.path AND ch.depth = u.depth),
+a AS (SELECT array_to_string(s[1:d], ',') AS path, d AS depth, sum(CAST(n_children = 0 AS BIGINT)) AS leaves, sum(saved) AS saved
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(a.leaves AS BIGINT) AS n_leaves,
+       CAST(a.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN a ON a.path = v.path AND a.depth = v.depth LEFT JOIN n o ON v.depth > 0 AND o.path = v.parent AND o.depth = v.depth - 1
+"""

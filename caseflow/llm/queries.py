@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, resampling, sharding, string_kernel, style_tree, tokens
+from caseflow.llm import anchors, decontam, langid, line_dedup, metric_join, minhash_forest, packing, prefix_trie, resampling, sharding, string_kernel, style_tree, tokens
 from caseflow.llm.common import table
-from caseflow.llm.oracles import OP12_SQL, OP13_SQL
+from caseflow.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations with members, children, leaves and savings."""
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, d, "conversations"))))
+
+
 def op12_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
     """Five documents in a hundred drawn towards the benchmark's words, with exact ranks."""
     r = resampling.resample(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
@@ -166,6 +171,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_metric_range_join": op10_metric_range_join,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_sharding": op13_sharding,
 }
@@ -176,6 +182,7 @@ SQL = {
     "op5_minhash_forest": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op10_metric_range_join": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_importance_resampling": OP12_SQL,
     "op13_sharding": OP13_SQL,
 }

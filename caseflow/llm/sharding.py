@@ -10,8 +10,9 @@ and largest end of cells of equal width), which bounds every greedy step from bo
 sides. Where the bounds differ, the next summary splits the stretches in question
 into narrower cells, until they agree. With the capacity known, a greedy pass from
 the end gives how early each cut may be, and each cut takes the end nearest to an
-equal share of what is left: the largest shard is the smallest possible, the others are
-even where a large group leaves them the choice.
+equal share of what is left (a group above a fair share counting as one share): the
+largest shard is the smallest possible, the others are even where a large group leaves
+them the choice.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ COPIES = 4096  # rows that repeat one document are written in runs of so many
 class Ends:
     """What a summary tells of the ordered group ends: least, largest and number of each cell."""
 
-    def __init__(self, cells: list[tuple[int, int, int]]):
+    def __init__(self, cells: list[tuple[int, int, int]], width: int):
+        self.width = width
         self.low, self.high, self.n = ([c[k] for c in cells] for k in range(3))
 
     def below(self, t: int) -> tuple[int, int]:
@@ -69,15 +71,15 @@ class Ends:
         return out[::-1]
 
 
-def summary(groups: DataFrame, stretches: list[tuple[int, int]], rows: int) -> Ends:
-    """Cells over the ``stretches`` of ends, which hold ``rows`` ends at most: single ends if these are few."""
-    width = 1 if rows <= CELLS else max(1, -(-sum(b - a + 1 for a, b in stretches) // CELLS))
+def summary(groups: DataFrame, stretches: list[tuple[int, int]], rows: int, most: int) -> Ends:
+    """Cells of width ``most`` or less over the ``stretches`` of ends, which hold ``rows`` ends at most: single ends if these are few."""
+    width = 1 if rows <= CELLS else max(1, min(most, -(-sum(b - a + 1 for a, b in stretches) // CELLS)))
     inside = F.lit(False)
     for a, b in stretches:
         inside |= F.col("end").between(a, b)
     cells = groups.where(inside).groupBy(F.expr(f"end div {width}L").alias("cell")).agg(
         F.min("end"), F.max("end"), F.count(F.lit(1)))
-    return Ends(sorted((r[1], r[2], r[3]) for r in cells.collect()))
+    return Ends(sorted((r[1], r[2], r[3]) for r in cells.collect()), width)
 
 
 def _stretches(lows: list[int], highs: list[int]) -> list[tuple[int, int]]:
@@ -94,7 +96,7 @@ def _stretches(lows: list[int], highs: list[int]) -> list[tuple[int, int]]:
 def _refined(groups: DataFrame, ends: Ends, lows: list[int], highs: list[int]) -> Ends:
     parts = _stretches(lows, highs)
     rows = sum(n for low, high, n in zip(ends.low, ends.high, ends.n, strict=True) if any(low <= b and high >= a for a, b in parts))
-    return summary(groups, parts, rows)
+    return summary(groups, parts, rows, ends.width // 2)
 
 
 def _exact(groups: DataFrame, ends: Ends, bounds: tuple[int, int], of) -> int:
@@ -113,12 +115,39 @@ def _first(least: int, most: int, holds) -> int:
     return least
 
 
+class Shares:
+    """Positions with the groups of more than a fair share counted as one share, so that the rest is divided evenly.
+
+    ``largest`` holds the (size, start, end) of as many largest groups as there are shards."""
+
+    def __init__(self, total: int, shards: int, largest: list[tuple[int, int, int]]):
+        self.share, self.giants = total // shards, []
+        for k, g in enumerate(largest[:shards - 1]):
+            if g[0] <= self.share:
+                break
+            self.giants.append(g)
+            self.share = (total - sum(x[0] for x in self.giants)) // (shards - k - 1)
+        self.giants.sort(key=lambda g: g[1])
+
+    def of(self, end: int) -> int:
+        return end - sum(size - self.share for size, _, e in self.giants if e <= end)
+
+    def back(self, at: int) -> int:
+        for size, start, _ in self.giants:
+            if at < start:
+                break
+            if at < start + self.share:
+                return at
+            at += size - self.share
+        return at
+
+
 def cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """``groups(size, end)`` -> (smallest feasible capacity, ends of the first ``shards - 1`` shards)."""
     total, largest, rows = groups.agg(F.max("end"), F.max("size"), F.count(F.lit(1))).first()
     if not rows:
         return 0, [0] * (shards - 1)
-    coarse = ends = summary(groups, [(1, total)], rows)
+    coarse = ends = summary(groups, [(1, total)], rows, total)
     least, most = max(largest, -(-total // shards)), -(-total // shards) + largest
     while True:
         # with the later bounds a capacity may seem to do, with the earlier ones it surely does
@@ -134,13 +163,16 @@ def cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         if lows == highs:
             break
         ends = _refined(groups, ends, lows, highs)
+    top = groups.orderBy(F.col("size").desc(), "end").limit(shards).select("size", "start", "end").collect()
+    shares = Shares(total, shards, [tuple(r) for r in top])
     at, out = 0, []
     for k in range(shards - 1):
         if at < total:
-            want, last = at + (total - at) // (shards - k), min(latest[k], at + capacity)
-            near = [_exact(groups, coarse, coarse.below(min(want, last)), max), _exact(groups, coarse, coarse.above(max(want, lows[k])), min), lows[k],
-                    _exact(groups, coarse, coarse.above(at + 1), min)]
-            at = min((x for x in near if max(at + 1, lows[k]) <= x <= last), key=lambda x: (abs(x - want), x))
+            want, last = shares.of(at) + (shares.of(total) - shares.of(at)) // (shards - k), min(latest[k], at + capacity)
+            middle = shares.back(want)
+            near = [_exact(groups, coarse, coarse.below(min(middle, last)), max), _exact(groups, coarse, coarse.above(max(middle, lows[k])), min),
+                    lows[k], _exact(groups, coarse, coarse.above(at + 1), min)]
+            at = min((x for x in near if max(at + 1, lows[k]) <= x <= last), key=lambda x: (abs(shares.of(x) - want), x))
         out.append(at)
     return capacity, out
 

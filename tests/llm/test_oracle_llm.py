@@ -17,5 +17,5 @@ def test_every_query_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")}
     assert "pipeline" in names
