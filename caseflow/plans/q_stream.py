@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions import text as X
 from caseflow.operators import extract as E
@@ -18,7 +19,10 @@ from caseflow.plans.catalog import register
 from caseflow.plans.q_generate import truth_sql
 from caseflow.session import checkpoint_dir
 from caseflow.sources import files as FL
+from caseflow.sources import landing as LD
 from caseflow.sources.tables import Tables
+from caseflow.sources.versioned import VersionedTable
+from caseflow.streaming import current as CU
 from caseflow.streaming import stream as SM
 
 
@@ -28,10 +32,12 @@ def _scratch(spark, name: str) -> str:
 
 @register("stream_ingest", Q_TEXT.PARSED_PAGES_SQL, ops=("T1", "S1", "S2"))
 def stream_ingest(spark, d):
-    """Landing folder of page documents picked up incrementally into bronze."""
-    landing = _scratch(spark, "landing")
-    FL.write_landing(Q_TEXT.page_files(spark, d), landing, "path", "html")
-    out = SM.ingest_stream(spark, landing, FL.html_parser)
+    """Pages landed as files in two loads, each picked up once by a stream that stops in between."""
+    pages, folder, run = Q_TEXT.page_files(spark, d), _scratch(spark, "landing"), uuid.uuid4().hex
+    early = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    for load in (pages.where(early), pages.where(~early)):
+        LD.land(load, folder, "path", "html")
+        out = SM.ingest_stream(spark, folder, FL.html_parser, "*.html", run_id=run)
     return out.select("path", "case_ref", F.md5("parsed_text").alias("text_md5"), "parse_error")
 
 
@@ -70,17 +76,58 @@ def stream_trend(spark, d):
     return out.select("day", F.col("key").alias("event_type"), "n")
 
 
+_STATUS_TABLE = (T.StructType().add("case_ref", "string").add("status", "string")
+                 .add("at", T.TimestampNTZType()).add("seq", "long"))
+_STEP_TABLE = (T.StructType().add("case_ref", "string").add("idx", "integer").add("done", "boolean").add("by", "string")
+               .add("at", T.TimestampNTZType()).add("seq", "long"))
+
+
+def _streamed(spark, name, events, shape, keys):
+    """``events`` landed in three loads, the second late and the third with repeats, each streamed into a current table;
+    the stream starts again for every load."""
+    src, run = _scratch(spark, name), uuid.uuid4().hex
+    table = VersionedTable(spark, _scratch(spark, f"{name}-current"), shape, keys, 16)
+    part = F.col("seq") % 3
+    for load in (part == 1, part == 0, part != 0):
+        events.where(load).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(shape).parquet(src)
+        CU.latest_stream(stream, table, run)
+    return table.read()
+
+
 @register("stream_events", S.sql_with("""
 SELECT case_ref, status FROM (
   SELECT case_ref, status, row_number() OVER (PARTITION BY case_ref ORDER BY at_ DESC, seq DESC) AS rn
   FROM status_events) WHERE rn = 1""", S.EVENTS), ops=("T4", "M1", "W2"))
 def stream_events(spark, d):
-    """Status events streamed into a de-duplicated log, folded on read."""
-    schema = Tables(spark, d).events.schema
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    keys = FX.case_keys(Tables(spark, d))
-    st = ev.join(keys, ev["user_id"] == keys["o_orderkey"]).select(
-        "case_ref", FX.event_status(F.col("event_type")).alias("status"),
-        F.col("ts").alias("at"), F.col("event_id").alias("seq"))
-    log = SM.event_log_stream(spark, st, "seq")
-    return ST.fold_latest(log, ["case_ref"], ["status"]).select("case_ref", "status")
+    """Current status of every case out of keyed streaming state, events late and repeated."""
+    out = _streamed(spark, "status", FX.status_events(spark, d), _STATUS_TABLE, ("case_ref",))
+    return out.select("case_ref", "status")
+
+
+@register("stream_steps", S.sql_with("""
+SELECT case_ref, idx, done FROM (
+  SELECT case_ref, idx, done, row_number() OVER (PARTITION BY case_ref, idx ORDER BY at_ DESC, seq DESC) AS rn
+  FROM step_events) WHERE rn = 1""", S.EVENTS), ops=("T4", "M2", "M3"))
+def stream_steps(spark, d):
+    """Current state of every step out of keyed streaming state, events late and repeated."""
+    out = _streamed(spark, "steps", FX.step_events(spark, d), _STEP_TABLE, ("case_ref", "idx"))
+    return out.select("case_ref", "idx", "done")
+
+
+@register("stream_flag_trend", S.on_cases("""
+SELECT strftime(date_trunc('month', try_strptime(Created_On, '%Y-%m-%d')), '%Y-%m-%d') AS month, flag, count(*) AS n,
+       count(*) FILTER (Created_On < '1997' AND CAST(string_split(Case_Ref, '/')[3] AS BIGINT) % 10 = 0) AS n_late
+FROM (SELECT Case_Ref, Created_On, unnest(L1_Situational_Flags) AS flag FROM cases) GROUP BY 1, 2"""), ops=("T3", "A15"))
+def stream_flag_trend(spark, d):
+    """Monthly flags by event-time windows: cases before 1997, then the later ones, then a tenth of the former, late, with repeats."""
+    gold = FX.stored_cases(spark, d)
+    last = F.element_at(F.split("Case_Ref", "/"), -1).cast("long") % 10
+    cases = gold.select(F.col("Case_Ref").alias("id"), F.to_timestamp_ntz("Created_On", F.lit("yyyy-MM-dd")).alias("created"),
+                        F.col("L1_Situational_Flags").alias("flags"), last.alias("last"))
+    src, run, early = _scratch(spark, "flags"), uuid.uuid4().hex, F.year("created") < 1997
+    for load in (early & (F.col("last") != 0), ~early, early & (F.col("last") <= 1)):
+        cases.where(load).drop("last").write.mode("append").parquet(src)
+        out = CU.flag_trend(spark.readStream.schema(cases.drop("last").schema).parquet(src), run)
+    return out
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +13,9 @@ from caseflow.operators import extract as E
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
 from caseflow.plans.catalog import register
+from caseflow.session import checkpoint_dir
 from caseflow.sources import files as FL
+from caseflow.sources import landing as LD
 from caseflow.sources import tables as TB
 from caseflow.sources.tables import Tables, spread
 
@@ -77,14 +81,41 @@ def page_files(spark, d):
         F.concat(F.lit("landing/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html")
 
 
+def landed_pages(spark, d):
+    """A folder in the shared store with one file for each page, and the pages' names in it."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    return LD.land(page_files(spark, d), folder, "path", "html")
+
+
+def _name_in(folder):
+    """The part of ``path`` below the folder."""
+    return F.substring_index(F.col("path"), folder.rstrip("/").rpartition("/")[2] + "/", -1)
+
+
 @register("src_binary_scan", PARSED_PAGES_SQL, ops=("S1", "S2", "X4"))
 def src_binary_scan(spark, d):
-    """Page documents as bytes -> parse -> bronze with file-name fallback reference."""
-    files = page_files(spark, d).select("path", F.col("html").cast("binary").alias("content"))
+    """Pages landed as files, read back as bytes -> parse -> bronze with file-name fallback reference."""
+    folder = landed_pages(spark, d)
+    files = FL.scan(spark, folder, "*.html").select(_name_in(folder).alias("path"), "content")
     out = FL.with_reference(FL.parsed_text(FL.parse_documents(files, FL.html_parser)))
     return out.select("path", "case_ref", F.md5("parsed_text").alias("text_md5"), "parse_error")
 
 
+@register("count_landing", """
+SELECT s AS seen_by, CASE WHEN s = 'large' THEN count(*) FILTER (n >= 3000) ELSE count(*) END AS n_files,
+       CAST(CASE WHEN s = 'large' THEN coalesce(sum(n) FILTER (n >= 3000), 0) ELSE sum(n) END AS BIGINT) AS n_bytes
+FROM (SELECT strlen(html) AS n FROM pages), (SELECT unnest(['folder', 'loads', 'large']) AS s) GROUP BY s""", ops=("S7", "S1"))
+def count_landing(spark, d):
+    """Files and bytes of a landing folder: by the folder's listing, by its loads' lists, and of its large files; none is opened."""
+    folder = landed_pages(spark, d)
+    listed, large = (LD.documents(spark, folder, "*.html", content=False, **o) for o in ({}, {"minLength": 3000}))
+    count = F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")
+    parts = (("folder", FL.folder_size(spark, folder, "*.html")), ("loads", listed.agg(*count)),
+             ("large", large.agg(*count)))
+    first, *rest = [p.select(F.lit(s).alias("seen_by"), "n_files", "n_bytes") for s, p in parts]
+    return first.union(rest[0]).union(rest[1])
+
+
 # --- X7 / X8: JSON cut and typed decode on events -----------------------------------------
 
 _RAW = ("CASE event_type WHEN 'error' THEN props || ' and ' || props WHEN 'view' THEN 'no json here' "

@@ -34,8 +34,13 @@ def scan(spark: SparkSession, path: str, glob: str = "*.pdf", recursive: bool =
             .option("recursiveFileLookup", str(recursive).lower()).load(path))
 
 
+def folder_size(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    """``(n_files, n_bytes)`` of a folder from its listing; no file is opened."""
+    return scan(spark, path, glob).agg(F.count("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def count_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> int:
-    return scan(spark, path, glob).select("path").count()
+    return folder_size(spark, path, glob).first().n_files
 
 
 # --- S2: parsers --------------------------------------------------------------------------
@@ -162,13 +167,6 @@ def html_elements(html) -> Column:
     return F.transform(kept, lambda x: F.struct(x.alias("content")))
 
 
-def write_landing(df: DataFrame, out_dir: str, key_col: str, text_col: str) -> str:
-    """A landing folder that Spark derives from a table: one JSON line per document,
-    many documents in each task's file, for scans and incremental ingest."""
-    df.select(F.col(key_col).alias("path"), F.col(text_col).alias("content")).write.mode("errorifexists").json(out_dir)
-    return out_dir
-
-
 def rejects(bronze: DataFrame) -> DataFrame:
     """Documents that do not reach gold, with the reason: parse error, no text or no reference."""
     why = (F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))

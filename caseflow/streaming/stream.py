@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from caseflow.session import checkpoint_dir
 from caseflow.sources import files as FL
+from caseflow.sources import landing as LD
 
 
 def stream_dirs(spark: SparkSession, name: str, run_id: str | None = None) -> tuple[str, str]:
@@ -53,17 +54,20 @@ def read_sink(spark: SparkSession, sink: str, schema=None) -> DataFrame:
 
 # --- T1: landing folder -> bronze, each file once ---------------------------------------
 
-LANDING_SCHEMA = "path string, content string"
+def ingest_stream(spark: SparkSession, folder: str, parser: FL.Parser = FL.text_parser,
+                  glob: str = "*", run_id: str | None = None) -> DataFrame:
+    """Incremental pickup of the documents landed in ``folder`` (:mod:`caseflow.sources.landing`):
+    each published load is parsed once; a name landed again replaces its row."""
+    ckpt, sink = stream_dirs(spark, "ingest", run_id)
 
+    def parsed(batch: DataFrame) -> DataFrame:
+        out = FL.with_reference(FL.parsed_text(FL.parse_documents(batch.select(F.col("name").alias("path"), "content"), parser)))
+        return out
 
-def ingest_stream(spark: SparkSession, landing: str, parser: FL.Parser = FL.text_parser,
-                  max_files: int = 1000, run_id: str | None = None) -> DataFrame:
-    """Incremental pickup of a landing folder written by :func:`files.write_landing`;
-    the file source's checkpoint remembers the files it has read."""
-    ckpt, sink = stream_dirs(spark, "ingest", run_id)
-    src = spark.readStream.schema(LANDING_SCHEMA).option("maxFilesPerTrigger", max_files).json(landing)
-    run_available_now(src, ckpt, sink, lambda b: FL.with_reference(FL.parsed_text(FL.parse_documents(b, parser))))
-    return read_sink(spark, sink, "path string, case_ref string, parsed_text string, parse_error string")
+    run_available_now(LD.arriving(spark, folder, glob), ckpt, sink, parsed)
+    rows = read_sink(spark, sink, "path string, case_ref string, parsed_text string, parse_error string, epoch bigint")
+    names = ["case_ref", "parsed_text", "parse_error"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*names), "epoch").alias("r")).select("path", "r.*")
 
 
 # --- T2: incremental gold ----------------------------------------------------------------------
