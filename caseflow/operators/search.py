@@ -20,9 +20,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions import text as X
 from caseflow.session import materialize
+from caseflow.sources.versioned import Commit, VersionedTable
 
 SCORE_DIGITS = 6
 FEATURES = 1 << 16    # hash buckets of the offline embedder
@@ -50,9 +52,9 @@ def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = FEATURES):
     shared folder. Returns ``embed(df, text_col, id_col)`` giving ``(id, embedding)``
     with a sparse ``struct<indices, values>``; a text without tokens has an empty
     one. A hosted model plugs in as a pandas UDF returning ``array<float>``."""
-    docs = corpus.select(F.monotonically_increasing_id().alias("_d"), text_col)
+    docs = materialize(corpus.select(F.monotonically_increasing_id().alias("_d"), text_col))  # numbered once
     df = _counts(docs, text_col, "_d", num_features).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    n = corpus.count()
+    n = docs.count()
     idf = materialize(df.select("bucket", F.log((F.lit(n) + 1) / (F.col("df") + 1)).alias("idf")))
 
     def embed(frame: DataFrame, col: str, id_col: str) -> DataFrame:
@@ -166,8 +168,8 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id
     sparse = queries.schema[vec_col].dataType.typeName() == "struct"
     vec = ([F.col(vec_col)["indices"].alias("indices"), F.col(vec_col)["values"].alias("values")] if sparse
            else [F.col(vec_col).cast("array<double>").alias("v")])
-    q = queries.select(F.col(q_id).alias("qid"), *vec)
-    it = items.select(F.col(i_id).alias("item_id"), *vec)
+    q = materialize(queries.select(F.col(q_id).alias("qid"), *vec))  # counted, then dealt out: embedded once
+    it = materialize(items.select(F.col(i_id).alias("item_id"), *vec))
     n_q, n_i = (max(1, math.ceil(x.count() / n)) for x, n in ((q, query_block), (it, item_block)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("ib", every(n_i))
@@ -252,11 +254,24 @@ def snapshot_delta(old: DataFrame, new: DataFrame, key: str = "chunk_id", text:
     return j.select(F.col("_k").alias(key), action.alias("action"), F.col("_nt").alias(text))
 
 
-def sync_index(index: DataFrame, new: DataFrame, embed, key: str = "chunk_id", text: str = "chunk") -> DataFrame:
-    """Apply a delta to an embedded index ``(key, chunk, embedding)``: embed
-    only inserted and updated chunks; drop deleted; keep the rest."""
-    delta = snapshot_delta(index, new, key, text)
-    changed = delta.where(F.col("action").isin("insert", "update")).select(key, text)
-    fresh = embed(changed)
-    keep = index.join(delta.where(F.col("action") == "same").select(key), key, "left_semi")
-    return keep.select(key, text, "embedding").unionByName(fresh.select(key, text, "embedding"))
+#: A stored index: one row a chunk; ``synced`` is the commit that embedded it.
+def index_schema(embedding: T.DataType) -> T.StructType:
+    return (T.StructType().add("chunk_id", "string").add("chunk", "string").add("hash", "string")
+            .add("embedding", embedding).add("synced", "long"))
+
+
+def sync_index(index: VersionedTable, new: DataFrame, embed) -> Commit:
+    """Brings a stored index to the chunks ``new(chunk_id, chunk)``; returns its commit, whose counts say how
+    many chunks were embedded (inserts and updates), dropped, and how many buckets rewritten.
+
+    Ids and content hashes of both sides (two columns of the index) decide what changed; only those
+    chunks are embedded, by ``embed(df, "chunk", "chunk_id")``, and only their buckets are read whole."""
+    was = index.read().select("chunk_id", F.col("hash").alias("_was"))
+    now = new.select("chunk_id", "chunk", content_hash(F.col("chunk")).alias("hash"))
+    delta = materialize(was.join(now, "chunk_id", "full_outer").where(~F.col("_was").eqNullSafe(F.col("hash"))))
+    changed = delta.where("hash IS NOT NULL").select("chunk_id", "chunk", "hash")
+    number = index.commit().number + 1
+    rows = changed.join(embed(changed.select("chunk_id", "chunk"), "chunk", "chunk_id"), "chunk_id")
+    rows = rows.select("*", F.lit(number).cast("long").alias("synced"), F.lit(False).alias("gone"))
+    lost = delta.where("hash IS NULL").select("chunk_id", F.lit(True).alias("gone"))
+    return index.merge(rows.unionByName(lost, allowMissingColumns=True), deleted="gone")

@@ -103,10 +103,15 @@ def recommended_steps(gold: DataFrame, sop_chunks: DataFrame,
 
 # --- M4: notes ---------------------------------------------------------------------------
 
+def fields_id(*fields: Column) -> Column:
+    """SHA-256 over the fields as text, each with its length before it (null: ``-``), so that no two lists of fields run together."""
+    text = [c.cast("string") for c in fields]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in text]), 256)
+
+
 def note_id(case_ref: Column, author: Column, note: Column, at: Column, seq: Column) -> Column:
     """Deterministic note id (replaces uuid4, so replays give equal ids)."""
-    return F.sha2(F.concat_ws("|", case_ref, author, note, F.date_format(at, TS_FORMAT),
-                              seq.cast("string")), 256)
+    return fields_id(case_ref, author, note, F.date_format(at, TS_FORMAT), seq)
 
 
 def notes_feed(notes: DataFrame) -> DataFrame:
@@ -191,8 +196,7 @@ LOG_SCHEMAS = {
 def append_events(events: DataFrame, store: str, log: str) -> None:
     """Append ``events`` to the log named ``log`` under the folder ``store``."""
     names = [f.name for f in T.StructType.fromDDL(LOG_SCHEMAS[log]).fields if f.name != "event_id"]
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names]
-    rows = events.select(F.sha2(F.concat_ws("|", F.lit(log), *parts), 256).alias("event_id"), *names)
+    rows = events.select(fields_id(F.lit(log), *[F.col(c) for c in names]).alias("event_id"), *names)
     typed = [F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(LOG_SCHEMAS[log]).fields]
     append(rows.select(*typed), f"{store}/{log}")
 

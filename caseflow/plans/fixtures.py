@@ -177,19 +177,41 @@ def cases(spark: SparkSession, sf_dir: str, *, loaded_at: str = FIXTURE_LOADED_A
     return build_gold_staged(staged_models(th), record_exprs(), loaded_at=F.to_timestamp(F.lit(loaded_at)))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+_CASE_TABLES = ("orders", "customer", "nation", "region", "lineitem")
 
 
-def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold as it is served: written once per session and input in the shared folder,
-    by creation year and sorted by reference inside each file, so that references,
-    years and columns prune the scan."""
-    key = spark.sparkContext.applicationId, sf_dir
+def _input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of the case tables' files: a table that changes is another input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for t in _CASE_TABLES:
+        at = path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    return tuple(out)
+
+
+def _stored(spark: SparkSession, sf_dir: str, what: str, write) -> str:
+    """Folder of a derived table, written once per session and state of its input in the shared folder."""
+    key = spark.sparkContext.applicationId, what, _input_state(spark, sf_dir)
     if key not in _STORED:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/gold-{uuid.uuid4().hex}"
-        write_gold(cases(spark, sf_dir), path)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        write(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key]).drop("created_year")
+    return _STORED[key]
+
+
+def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold as it is served: by creation year and sorted by reference inside each file, so that
+    references, years and columns prune the scan."""
+    path = _stored(spark, sf_dir, "gold", lambda p: write_gold(cases(spark, sf_dir), p))
+    return spark.read.parquet(path).drop("created_year")
+
+
+def stored_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze as it is landed, so that a query that needs it on both sides of a join builds it once."""
+    return spark.read.parquet(_stored(spark, sf_dir, "bronze", lambda p: threads(spark, sf_dir).write.parquet(p)))
 
 
 def cases_joined(spark: SparkSession, sf_dir: str, *, loaded_at: str = FIXTURE_LOADED_AT) -> DataFrame:

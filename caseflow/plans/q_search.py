@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions import text as X
 from caseflow.operators import search as SE
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
 from caseflow.plans.catalog import register
+from caseflow.session import checkpoint_dir
 from caseflow.sources.tables import Tables
+from caseflow.sources.versioned import VersionedTable
 
 K_CASES = 3       # similar cases per query (reference default)
 K_PROCEDURES = 2  # procedures per query (reference default)
@@ -70,7 +75,7 @@ def knn_lsh_recall(spark, d):
 
 
 def _chunks_and_sop(spark, d):
-    th = FX.threads(spark, d)
+    th = FX.stored_threads(spark, d)
     chunks = th.select(F.col("case_ref").alias("chunk_id"),
                        X.scrub_pii(F.col("parsed_text"), F.col("c_name")).alias("chunk"))
     sop = FX.sop(spark)
@@ -201,14 +206,80 @@ _OLD_TEXT = ("CASE WHEN o_orderstatus = 'O' THEN array_to_string(string_split(pa
 
 @register("index_delta", S.on_threads(_DELTA_SQL.format(scrub_old=_scrub_sql(_OLD_TEXT),
                                                         scrub_new=_scrub_sql("parsed_text"))),
-          ops=("V4", "K5", "V1"))
+          ops=("V4", "V1"))
 def index_delta(spark, d):
     """Snapshot diff on (chunk_id, content hash): what an index sync embeds."""
-    th = FX.threads(spark, d)
-    old_text = F.when(F.col("o_orderstatus") == "O",
-                      F.array_join(F.slice(F.split("parsed_text", "\n"), 1, 2), "\n")).otherwise(F.col("parsed_text"))
-    old = th.where(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")).select(
-        F.col("case_ref").alias("chunk_id"), X.scrub_pii(old_text, F.col("c_name")).alias("chunk"))
-    new = th.where(F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0).select(
-        F.col("case_ref").alias("chunk_id"), X.scrub_pii(F.col("parsed_text"), F.col("c_name")).alias("chunk"))
+    old, new, _ = _snapshots(spark, d)
     return SE.snapshot_delta(old, new).select("chunk_id", "action")
+
+
+def _snapshots(spark, d):
+    """Three states of the chunk table: open threads cut short and none after 2000; threads with
+    line items, whole; those but a seventh, of which a tenth is cut short."""
+    th = FX.stored_threads(spark, d)
+    short = F.array_join(F.slice(F.split("parsed_text", "\n"), 1, 2), "\n")
+    chunk = lambda text: X.scrub_pii(text, F.col("c_name")).alias("chunk")
+    some = F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0
+    key, ref = F.col("o_orderkey"), F.col("case_ref").alias("chunk_id")
+    return (th.where(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")).select(
+                ref, chunk(F.when(F.col("o_orderstatus") == "O", short).otherwise(F.col("parsed_text")))),
+            th.where(some).select(ref, chunk(F.col("parsed_text"))),
+            th.where(some & (key % 7 != 0)).select(ref, chunk(F.when(key % 10 == 1, short).otherwise(F.col("parsed_text")))))
+
+
+_SHORT = "array_to_string(string_split(parsed_text, chr(10))[1:2], chr(10))"
+_LINES = "len(coalesce(codes, CAST([] AS VARCHAR[]))) > 0"
+_SNAPSHOTS_SQL = f"""s1 AS (SELECT case_ref AS id, {_scrub_sql(_OLD_TEXT)} AS t FROM threads WHERE o_orderdate < TIMESTAMP '2001-01-01'),
+s2 AS (SELECT case_ref AS id, {_scrub_sql("parsed_text")} AS t FROM threads WHERE {_LINES}),
+s3 AS (SELECT case_ref AS id, {_scrub_sql(f"(CASE WHEN o_orderkey % 10 = 1 THEN {_SHORT} ELSE parsed_text END)")} AS t
+       FROM threads WHERE {_LINES} AND o_orderkey % 7 <> 0)"""
+
+
+@register("index_sync", S.on_threads(f"""
+SELECT s3.id AS chunk_id, md5(s3.t) AS chunk_md5,
+       (SELECT count(DISTINCT {_BUCKET.format(t="w")}) FROM (SELECT unnest({_TOKENS.format(c="s3.t")}) AS w)) AS n_features,
+       CAST(CASE WHEN s2.t IS DISTINCT FROM s3.t THEN 3 WHEN s1.t IS DISTINCT FROM s2.t THEN 2 ELSE 1 END AS BIGINT) AS synced
+FROM s3 LEFT JOIN s2 ON s2.id = s3.id LEFT JOIN s1 ON s1.id = s3.id""", _SNAPSHOTS_SQL), ops=("V4", "V1", "V3"))
+def index_sync(spark, d):
+    """A stored index brought from one state of the chunks to the next, three times: ``synced`` is the commit that
+    embedded a chunk, so unchanged chunks keep an earlier one."""
+    states = _snapshots(spark, d)
+    embed = SE.fit_tfidf(states[0].select("chunk").unionByName(states[1].select("chunk")).unionByName(states[2].select("chunk")), "chunk")
+    index = _index(spark)
+    for state in states:
+        SE.sync_index(index, state, embed)
+    return index.read().select("chunk_id", F.md5("chunk").alias("chunk_md5"),
+                               F.size("embedding.indices").cast("long").alias("n_features"), "synced")
+
+
+def _index(spark, buckets=32):
+    sparse = T.StructType().add("indices", T.ArrayType(T.IntegerType())).add("values", T.ArrayType(T.DoubleType()))
+    return VersionedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", SE.index_schema(sparse), ("chunk_id",), buckets)
+
+
+def _chunk_table(spark, d):
+    """The three states as commits 1 to 3 of a versioned table."""
+    shape = T.StructType().add("chunk_id", "string").add("chunk", "string")
+    table = VersionedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}", shape, ("chunk_id",), 32)
+    for state in _snapshots(spark, d):
+        table.replace(state)
+    return table
+
+
+_DIFF = """SELECT {n} AS commit, unnest(CASE WHEN a.id IS NULL THEN ['insert'] WHEN b.id IS NULL THEN ['delete'] ELSE ['update_before', 'update_after'] END) AS change,
+       coalesce(a.id, b.id) AS chunk_id, a.t AS was, b.t AS now
+FROM s{m} a FULL OUTER JOIN s{n} b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.t IS DISTINCT FROM b.t"""
+
+
+@register("chunk_changes", S.on_threads(f"""
+SELECT CAST(commit AS BIGINT) AS commit, change, chunk_id, md5(CASE WHEN change IN ('delete', 'update_before') THEN was ELSE now END) AS chunk_md5
+FROM ({_DIFF.format(m=1, n=2)} UNION ALL {_DIFF.format(m=2, n=3)})""", _SNAPSHOTS_SQL), ops=("K5",))
+def chunk_changes(spark, d):
+    """Change feed of the chunk table between its commits 1 and 3."""
+    return _chunk_table(spark, d).changes(1, 3).select("commit", "change", "chunk_id", F.md5("chunk").alias("chunk_md5"))
+
+
+@register("chunks_as_of", S.on_threads("SELECT id AS chunk_id, md5(t) AS chunk_md5 FROM s2", _SNAPSHOTS_SQL), ops=("K5",))
+def chunks_as_of(spark, d):
+    """The chunk table as of its second commit, read after the third."""
+    return _chunk_table(spark, d).read(2).select("chunk_id", F.md5("chunk").alias("chunk_md5"))

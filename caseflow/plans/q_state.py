@@ -13,6 +13,14 @@ from caseflow.plans.catalog import register
 from caseflow.session import checkpoint_dir
 
 TS_SQL = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+_AUTHOR_SQL = "coalesce(nullif(author, ''), 'officer')"
+
+
+def _id_sql(*fields: str) -> str:
+    """SHA-256 over fields with their lengths, as :func:`state.fields_id`."""
+    return "sha256(" + " || ".join(f"coalesce(length({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
 CHAT_USER = "officer3@example.org"
 CHAT_CONV = 0
 
@@ -52,7 +60,7 @@ _NOTES_SQL = """notes AS (
 
 
 @register("notes_feed", S.sql_with(f"""
-SELECT sha256(concat_ws('|', case_ref, a, note, {TS_SQL.format(c='at_')}, CAST(seq AS VARCHAR))) AS note_id,
+SELECT {_id_sql('case_ref', 'a', 'note', TS_SQL.format(c='at_'), 'CAST(seq AS VARCHAR)')} AS note_id,
        case_ref AS Case_Ref, a AS author, note, {TS_SQL.format(c='at_')} AS created_at
 FROM (SELECT *, coalesce(nullif(author, ''), 'officer') AS a FROM notes)""", S.EVENTS + [_NOTES_SQL]),
           ops=("M4", "M1", "O7"))
@@ -189,7 +197,7 @@ def write_steps(spark, d):
 
 
 @register("write_notes", S.sql_with(f"""
-SELECT sha256(concat_ws('|', case_ref, coalesce(nullif(author, ''), 'officer'), note, {TS_SQL.format(c='at_')}, CAST(seq AS VARCHAR))) AS note_id,
+SELECT {_id_sql('case_ref', _AUTHOR_SQL, 'note', TS_SQL.format(c='at_'), 'CAST(seq AS VARCHAR)')} AS note_id,
        case_ref AS Case_Ref, coalesce(nullif(author, ''), 'officer') AS author, note, {TS_SQL.format(c='at_')} AS created_at
 FROM note_events WHERE trim(note) <> ''""", S.EVENTS), ops=("M4", "K4", "O7"))
 def write_notes(spark, d):

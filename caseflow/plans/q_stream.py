@@ -71,8 +71,8 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)
           ops=("T3", "A15"))
 def stream_trend(spark, d):
     """Daily event counts per event type, partial counts summed on read."""
-    schema = Tables(spark, d).events.schema
-    out = SM.trend_stream(spark, d, "events.parquet", schema, "ts", "event_type")
+    events = SM.table_stream(spark, f"{d}/events.parquet", Tables(spark, d).events.schema)
+    out = SM.trend_stream(spark, events, "ts", "event_type")
     return out.select("day", F.col("key").alias("event_type"), "n")
 
 

@@ -29,7 +29,8 @@ def scan(spark: SparkSession, path: str, glob: str = "*.pdf", recursive: bool =
     """One row per file: ``path, modificationTime, length, content``.
 
     ``content`` is only read when selected, so counting or listing files
-    (S7) never reads their bytes."""
+    (S7) never reads their bytes. Spark leaves files without bytes out; the
+    lists of :mod:`caseflow.sources.landing` hold them."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", str(recursive).lower()).load(path))
 

@@ -185,3 +185,14 @@ class VersionedTable:
                       last.applied | ({batch[0]: batch[1]} if batch else {}))
         self._publish(done)
         return done
+
+    def replace(self, rows: DataFrame) -> Commit:
+        """Makes ``rows`` the whole content: what differs is merged, keys that ``rows`` lacks go."""
+        keys = list(self.keys)
+        mark = [F.col(k).alias(f"_{k}") for k in keys]
+        here, there = self.read().select(keys), rows.select(mark)
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        lost = here.join(there, same, "left_anti").withColumn("_lost", F.lit(True))
+        return self.merge(rows.withColumn("_lost", F.lit(False)).unionByName(lost, allowMissingColumns=True), deleted="_lost")

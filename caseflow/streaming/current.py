@@ -16,14 +16,13 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from caseflow.sources.versioned import VersionedTable
-from caseflow.streaming.stream import stream_dirs
+from caseflow.streaming.stream import read_sink, stream_dirs
 
 #: State in RocksDB, for many keys. No batches without data: with processing time Spark would run them
 #: without end, and expiry can wait for the next data.
@@ -117,16 +116,6 @@ def latest_stream(events: DataFrame, table: VersionedTable, run_id: str, at: str
 DAY_US = 86_400_000_000
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A folder of epochs; empty if nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 _ROW = "id string, flag string, ts timestamp, epoch bigint"
 _MARK = "newest bigint, epoch bigint"
 _CLOSED = "day timestamp, flag string, n bigint, epoch bigint"
@@ -148,7 +137,7 @@ def flag_trend(cases: DataFrame, run_id: str, delay_days: int = 31) -> DataFrame
     end = (F.floor(F.col("us") / DAY_US) + 1) * DAY_US
 
     def split(batch: DataFrame, epoch: int) -> None:
-        newest = _read(spark, f"{base}/marks", _MARK).where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
+        newest = read_sink(spark, f"{base}/marks", _MARK).where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
         late = F.col("us").isNull() | ((end <= newest - delay) if newest is not None else F.lit(False))
         stamped = batch.withColumn("ts", F.timestamp_micros("us"))
         for name, keep in (("open", ~late), ("late", late)):
@@ -158,7 +147,7 @@ def flag_trend(cases: DataFrame, run_id: str, delay_days: int = 31) -> DataFrame
 
     q = rows.writeStream.option("checkpointLocation", f"{ckpt}-split").foreachBatch(split).trigger(availableNow=True).start()
     q.awaitTermination()
-    if _read(spark, f"{base}/marks", _MARK).limit(1).count():
+    if read_sink(spark, f"{base}/marks", _MARK).limit(1).count():
         opened = spark.readStream.schema(_ROW).parquet(f"{base}/open").drop("epoch")
         counts = (opened.withWatermark("ts", f"{delay_days} days").dropDuplicatesWithinWatermark(["id", "flag"])
                   .groupBy(F.window("ts", "1 day").alias("w"), "flag").agg(F.count(F.lit(1)).alias("n"))
@@ -176,10 +165,10 @@ def flag_trend(cases: DataFrame, run_id: str, delay_days: int = 31) -> DataFrame
 
 def trend_so_far(spark: SparkSession, base: str) -> DataFrame:
     """Closed windows, days still open and late corrections as one monthly trend."""
-    closed, sent = _read(spark, f"{base}/closed", _CLOSED), _read(spark, f"{base}/open", _ROW)
+    closed, sent = read_sink(spark, f"{base}/closed", _CLOSED), read_sink(spark, f"{base}/open", _ROW)
     last = closed.agg(F.max("day")).first()[0]  # windows close in order, so all days up to it are closed
     still = sent if last is None else sent.where(F.col("ts") >= F.lit(last) + F.expr("INTERVAL 1 DAY"))
-    late = _read(spark, f"{base}/late", _ROW).select("id", "flag", "ts").distinct()
+    late = read_sink(spark, f"{base}/late", _ROW).select("id", "flag", "ts").distinct()
     late = late.join(sent.select("id", "flag"), ["id", "flag"], "left_anti")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     parts = closed.select("day", "flag", "n", none.alias("late")).unionByName(

@@ -13,8 +13,10 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.session import checkpoint_dir
 from caseflow.sources import files as FL
@@ -46,10 +48,21 @@ def run_available_now(stream: DataFrame, checkpoint: str, sink: str,
 
 
 def read_sink(spark: SparkSession, sink: str, schema=None) -> DataFrame:
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(sink)
+    """What a stream has written; with a ``schema`` empty if there was no micro-batch yet."""
+    if schema is None:
+        return spark.read.parquet(sink)
+    try:
+        return spark.read.schema(schema).parquet(sink)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream: as a pattern the path may be either."""
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 # --- T1: landing folder -> bronze, each file once ---------------------------------------
@@ -75,7 +88,8 @@ def ingest_stream(spark: SparkSession, folder: str, parser: FL.Parser = FL.text_
 def gold_stream(spark: SparkSession, bronze_dir: str, schema, transform: Callable[[DataFrame], DataFrame],
                 key: str = "case_ref", max_files: int = 100, run_id: str | None = None) -> DataFrame:
     """Each new bronze file is enriched once by ``transform`` and appended; the current
-    gold is one row per key: of the file landed last, by ``(modification time, path, row)``."""
+    gold is one row per key: of the file landed last, by ``(modification time, path, row)``. Rows
+    without a key reach no gold; :func:`gold_rejects` returns them."""
     ckpt, sink = stream_dirs(spark, "gold", run_id)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(bronze_dir).select(
         "*", F.col("_metadata.file_modification_time").alias("_mtime"), F.col("_metadata.file_path").alias("_path"),
@@ -88,30 +102,42 @@ def gold_stream(spark: SparkSession, bronze_dir: str, schema, transform: Callabl
         out = transform(rows.drop("_mtime", "_path", "_row"))
         return out.join(rows.select(F.col(key).alias("_k"), "_mtime", "_path"), out[key] == F.col("_k")).drop("_k")
 
-    run_available_now(src, ckpt, sink, enrich)
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rejected = rows.where(F.col(key).isNull()).select(F.col("_path").alias("path"), F.col("_row").alias("row"), F.lit("no reference").alias("reason"))
+        rejected.write.mode("overwrite").parquet(f"{sink}-rejects/epoch={epoch}")
+        enrich(rows.where(F.col(key).isNotNull())).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    q = src.writeStream.option("checkpointLocation", ckpt).foreachBatch(batch).trigger(availableNow=True).start()
+    q.awaitTermination()
     out = spark.read.parquet(sink)
     names = [c for c in out.columns if c not in (key, "_mtime", "_path", "epoch")]
     return out.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("_mtime", "_path", "epoch")).alias("_r")).select(key, "_r.*")
 
 
+def gold_rejects(spark: SparkSession, run_id: str) -> DataFrame:
+    """``(path, row, reason)`` of the bronze rows that a run of :func:`gold_stream` could not key."""
+    _, sink = stream_dirs(spark, "gold", run_id)
+    return read_sink(spark, f"{sink}-rejects", "path string, row bigint, reason string, epoch bigint").drop("epoch")
+
+
 # --- T3: live flag / event trend -----------------------------------------------------------------
 
-def trend_stream(spark: SparkSession, src_dir: str, glob: str, schema, ts_col: str, key_col: str,
+def trend_stream(spark: SparkSession, events: DataFrame, ts_col: str, key_col: str,
                  run_id: str | None = None) -> DataFrame:
-    """Event-time counts per day and key.
+    """Event-time counts per day and key of the stream ``events``.
 
     Each micro-batch appends its own partial counts, and reading sums them: no
     state is kept between batches, an event however late is counted on its day,
     and nothing written is ever overwritten."""
     ckpt, sink = stream_dirs(spark, "trend", run_id)
-    src = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(src_dir)
     day = F.date_format(F.col(ts_col), "yyyy-MM-dd")
 
     def counts(batch: DataFrame) -> DataFrame:
         return batch.groupBy(day.alias("day"), F.col(key_col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
-    run_available_now(src, ckpt, sink, counts)
-    return read_sink(spark, sink).groupBy("day", "key").agg(F.sum("n").alias("n"))
+    run_available_now(events, ckpt, sink, counts)
+    kind = events.schema[key_col].dataType.simpleString()
+    return read_sink(spark, sink, f"day string, key {kind}, n bigint, epoch bigint").groupBy("day", "key").agg(F.sum("n").alias("n"))
 
 
 # --- T4: event log as a stream, fold on read ------------------------------------------------------
@@ -120,4 +146,4 @@ def event_log_stream(spark: SparkSession, events: DataFrame, id_col: str, run_id
     """Append a streaming event log whole, late events too; replays are dropped on read by ``id_col``."""
     ckpt, sink = stream_dirs(spark, "events", run_id)
     run_available_now(events, ckpt, sink)
-    return read_sink(spark, sink).drop("epoch").dropDuplicates([id_col])
+    return read_sink(spark, sink, T.StructType([*events.schema.fields, T.StructField("epoch", T.LongType())])).drop("epoch").dropDuplicates([id_col])

@@ -1,6 +1,8 @@
 """Properties: the same answer along different paths (survey §5.2)."""
 
 import numpy as np
+import uuid
+
 from pyspark.sql import functions as F
 
 from caseflow.operators import search as SE
@@ -80,10 +82,33 @@ def test_snapshot_delta_applied_to_old_gives_new(spark):
     delta = SE.snapshot_delta(old, new)
     acts = {r.chunk_id: r.action for r in delta.collect()}
     assert acts == {"a": "same", "b": "update", "c": "delete", "d": "insert"}
-    idx = old.withColumn("embedding", F.array(F.lit(1.0)))
-    synced = SE.sync_index(idx, new, lambda df: df.withColumn("embedding", F.array(F.lit(2.0))))
-    assert _rows(synced.select("chunk_id", "chunk")) == _rows(new)
-    assert {r.chunk_id for r in synced.where(F.col("embedding")[0] == 2.0).collect()} == {"b", "d"}
+
+
+def test_index_sync_embeds_only_changes_and_equals_a_rebuild(spark):
+    from pyspark.sql import types as T
+
+    from caseflow.session import checkpoint_dir
+    from caseflow.sources.versioned import VersionedTable
+    shape = T.StructType().add("indices", T.ArrayType(T.IntegerType())).add("values", T.ArrayType(T.DoubleType()))
+    states = [[(f"c{i}", f"text number {i}") for i in range(40)]]
+    states.append([(k, t + " more" if k in ("c3", "c7") else t) for k, t in states[0][:-5]] + [("new", "a new text"), ("none", None)])
+    states.append(states[1][1:])
+    frames = [spark.createDataFrame(x, "chunk_id string, chunk string") for x in states]
+    fit = SE.fit_tfidf(frames[1].select("chunk"), "chunk")
+    asked = []
+
+    def embed(df, text, key):
+        asked.append(sorted(r[0] for r in df.select(key).collect()))
+        return fit(df, text, key)
+
+    index = VersionedTable(spark, f"{checkpoint_dir(spark)}/test-index-{uuid.uuid4().hex}", SE.index_schema(shape), ("chunk_id",), 16)
+    commits = [SE.sync_index(index, f, embed) for f in [*frames, frames[-1]]]
+    assert asked[1:] == [["c3", "c7", "new", "none"], [], []] and len(asked[0]) == 40
+    assert commits[1].counts["insert"] == 2 and commits[1].counts["update"] == 2 and commits[1].counts["delete"] == 5
+    assert commits[2].counts == {"delete": 1, "buckets": 1} and commits[3].counts == {"buckets": 0}
+    rebuilt = fit(frames[-1], "chunk", "chunk_id").join(frames[-1], "chunk_id").select("chunk_id", "chunk", "embedding")
+    assert _rows(index.read().select("chunk_id", "chunk", "embedding")) == _rows(rebuilt)
+    assert {r.chunk_id for r in index.read().where("synced = 2").collect()} == {"c3", "c7", "new", "none"}
 
 
 def test_stream_gold_equals_batch(spark):

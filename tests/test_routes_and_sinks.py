@@ -129,6 +129,7 @@ def test_stream_ingest_picks_each_file_once(spark):
     import uuid
 
     from caseflow.sources import files as FL
+    from caseflow.sources import landing as LD
     from caseflow.streaming import stream as SM
     landing = os.path.join(checkpoint_dir(spark), "test-landing", uuid.uuid4().hex)
     run_id = uuid.uuid4().hex
@@ -136,9 +137,10 @@ def test_stream_ingest_picks_each_file_once(spark):
         "page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("key"), "html")
     first = pages.where(F.col("page_id") % 2 == 0)
     second = pages.where(F.col("page_id") % 2 == 1)
-    FL.write_landing(first, landing, "key", "html")
+    assert SM.ingest_stream(spark, landing, FL.html_parser, run_id=run_id).count() == 0   # nothing landed yet
+    LD.land(first, landing, "key", "html")
     n1 = SM.ingest_stream(spark, landing, FL.html_parser, run_id=run_id).count()
-    second.select(F.col("key").alias("path"), F.col("html").alias("content")).write.mode("append").json(landing)
+    LD.land(second, landing, "key", "html")
     out = SM.ingest_stream(spark, landing, FL.html_parser, run_id=run_id)
     assert n1 == first.count()
     assert out.count() == pages.count()                    # second run added only the new files
@@ -181,7 +183,8 @@ def test_gold_stream_keeps_one_row_per_key(spark):
         return {tuple(r) for r in out.collect()}
 
     assert land([("K", "one"), ("L", "x"), ("K", "two")]) == {("K", "TWO"), ("L", "X")}
-    assert land([("K", "three")]) == {("K", "THREE"), ("L", "X")}
+    assert land([("K", "three"), (None, "lost")]) == {("K", "THREE"), ("L", "X")}
+    assert [(r.row, r.reason) for r in SM.gold_rejects(spark, run_id).collect()] == [(1, "no reference")]
 
 
 def test_trend_stream_counts_late_events(spark):
@@ -192,7 +195,7 @@ def test_trend_stream_counts_late_events(spark):
     src, run_id, schema = os.path.join(checkpoint_dir(spark), "test-trend", uuid.uuid4().hex), uuid.uuid4().hex, "ts timestamp_ntz, k string"
     for days in (10, 2):
         spark.createDataFrame([(dt.datetime(2024, 1, days), "a")] * 2, schema).write.mode("append").parquet(src)
-        out = SM.trend_stream(spark, src, "*.parquet", spark.read.parquet(src).schema, "ts", "k", run_id=run_id)
+        out = SM.trend_stream(spark, SM.table_stream(spark, src, spark.read.parquet(src).schema), "ts", "k", run_id=run_id)
     assert {tuple(r) for r in out.collect()} == {("2024-01-10", "a", 2), ("2024-01-02", "a", 2)}
 
 
@@ -288,7 +291,7 @@ def test_trend_stream_days_do_not_depend_on_session_zone(spark):
     try:
         for tz in ("America/Los_Angeles", "Asia/Tokyo"):
             spark.conf.set("spark.sql.session.timeZone", tz)
-            out = SM.trend_stream(spark, D, "events.parquet", ev.schema, "ts", "event_type")
+            out = SM.trend_stream(spark, SM.table_stream(spark, f"{D}/events.parquet", ev.schema), "ts", "event_type")
             assert sorted(tuple(r) for r in out.select("day", "key", "n").collect()) == batch, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
