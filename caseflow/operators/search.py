@@ -1,10 +1,11 @@
 """Chunks, embeddings and similarity search.
 
-k-NN is one exact plan whatever the sizes: both sides are dealt into blocks by a
-hash of their ids (block counts follow the row counts), every pair of blocks is
-one task that returns exactly k rows per query, and one window merges them
-(planned with a partial ``WindowGroupLimit`` before the shuffle). Nothing is
-collected or broadcast, a task holds two blocks, and a hot vector is one row.
+k-NN is exact. Both sides are dealt into blocks by a hash of their ids (block
+counts follow the row counts), every pair of blocks is one task that returns
+exactly k rows per query, and one window merges them (planned with a partial
+``WindowGroupLimit`` before the shuffle); a task holds two blocks, and a hot
+vector is one row. An item side whose counted entries are within ``FEW_ENTRIES``
+goes to every task instead, and queries are not shuffled at all.
 Ranking is one total order, ``(score desc, item id asc)`` on the unrounded double;
 only the output is rounded.
 
@@ -38,11 +39,14 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(X._c(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _bucket(token: Column, features: int) -> Column:
+    return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % features).cast("int")
+
+
 def _counts(df: DataFrame, text_col: str, id_col: str, features: int) -> DataFrame:
     """``(id, bucket, tf)``: exploded and combined before the shuffle."""
-    bucket = F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 8), 16, 10).cast("long") % features
     return (df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_t"))
-            .groupBy("_id", bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("tf")))
+            .groupBy("_id", _bucket(F.col("_t"), features).alias("bucket")).agg(F.count(F.lit(1)).alias("tf")))
 
 
 def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = FEATURES):
@@ -52,9 +56,9 @@ def fit_tfidf(corpus: DataFrame, text_col: str, num_features: int = FEATURES):
     shared folder. Returns ``embed(df, text_col, id_col)`` giving ``(id, embedding)``
     with a sparse ``struct<indices, values>``; a text without tokens has an empty
     one. A hosted model plugs in as a pandas UDF returning ``array<float>``."""
-    docs = materialize(corpus.select(F.monotonically_increasing_id().alias("_d"), text_col))  # numbered once
-    df = _counts(docs, text_col, "_d", num_features).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.count()
+    own = F.array_distinct(F.transform(tokens(text_col), lambda t: _bucket(t, num_features)))  # a text is one row
+    df = corpus.select(F.explode(own).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    n = corpus.count()
     idf = materialize(df.select("bucket", F.log((F.lit(n) + 1) / (F.col("df") + 1)).alias("idf")))
 
     def embed(frame: DataFrame, col: str, id_col: str) -> DataFrame:
@@ -98,6 +102,7 @@ def centroids(df: DataFrame, group_col: str, vec_col: str = "embedding") -> Data
 # --- V5 / V6: k-NN -------------------------------------------------------------------------
 
 QUERY_BLOCK, ITEM_BLOCK = 4096, 16_384   # rows of a side in one task
+FEW_ENTRIES = 1 << 20                     # vector entries of an item side that every task may hold (16 MB)
 SCORES = 1 << 22                          # scores held at once in a task
 
 
@@ -152,6 +157,15 @@ def _block_topk(k: int, sparse: bool):
     return run
 
 
+def _scan_topk(k: int, sparse: bool, items: pd.DataFrame):
+    """Query batches against a whole item side, ranked."""
+    def run(batches):
+        for q in batches:
+            hits = _block_topk(k, sparse)(q, items)
+            yield hits.assign(rank=np.tile(np.arange(1, min(k, len(items)) + 1, dtype=np.int32), len(q)))
+    return run
+
+
 def _merge_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item_id").asc())
     return (cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -168,13 +182,18 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id
     sparse = queries.schema[vec_col].dataType.typeName() == "struct"
     vec = ([F.col(vec_col)["indices"].alias("indices"), F.col(vec_col)["values"].alias("values")] if sparse
            else [F.col(vec_col).cast("array<double>").alias("v")])
-    q = materialize(queries.select(F.col(q_id).alias("qid"), *vec))  # counted, then dealt out: embedded once
-    it = materialize(items.select(F.col(i_id).alias("item_id"), *vec))
-    n_q, n_i = (max(1, math.ceil(x.count() / n)) for x, n in ((q, query_block), (it, item_block)))
+    q = queries.select(F.col(q_id).alias("qid"), *vec)
+    it = materialize(items.select(F.col(i_id).alias("item_id"), *vec))  # counted, then dealt out: embedded once
+    kinds = f"qid {q.schema['qid'].dataType.simpleString()}, item_id {it.schema['item_id'].dataType.simpleString()}, score double"
+    n_items, entries = it.agg(F.count(F.lit(1)), F.sum(F.size("indices" if sparse else "v"))).first()
+    if 0 < n_items <= item_block and entries <= FEW_ENTRIES:  # all items fit a task: no query leaves its partition
+        hits = q.mapInPandas(_scan_topk(k, sparse, it.toPandas()), f"{kinds}, rank int")
+        return hits.select("qid", "rank", "item_id", F.round("score", SCORE_DIGITS).alias("score"))
+    q = materialize(q)
+    n_q, n_i = (max(1, math.ceil(x / n)) for x, n in ((q.count(), query_block), (n_items, item_block)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("ib", every(n_i))
     it = it.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_i)).cast("int")).withColumn("qb", every(n_q))
-    kinds = f"qid {q.schema['qid'].dataType.simpleString()}, item_id {it.schema['item_id'].dataType.simpleString()}, score double"
     cands = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(_block_topk(k, sparse), kinds)
     return _merge_topk(cands, k)
 
