@@ -9,8 +9,7 @@ goes to every task instead, and queries are not shuffled at all.
 Ranking is one total order, ``(score desc, item id asc)`` on the unrounded double;
 only the output is rounded.
 
-Opt-in approximation: random-hyperplane LSH; its recall against the exact plan
-is reported by ``knn_lsh_recall``.
+An index for many searches is in :mod:`caseflow.operators.ivf`.
 """
 
 from __future__ import annotations
@@ -198,39 +197,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int, *, q_id: str = "qid", i_id
     return _merge_topk(cands, k)
 
 
-# --- LSH path ----------------------------------------------------------------------------------
-
-def hyperplanes(dim: int, n_tables: int, n_bits: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n_tables, n_bits, dim))
-
-
-def lsh_keys(vec: Column, planes: np.ndarray) -> Column:
-    """``array<struct<t, bucket>>``: one sign-bit bucket per table."""
-    out = []
-    for t in range(planes.shape[0]):
-        bits = []
-        for b in range(planes.shape[1]):
-            h = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-            dot = F.aggregate(F.zip_with(vec, h, lambda a, c: a * c), F.lit(0.0), lambda acc, x: acc + x)
-            bits.append(F.when(dot >= 0, F.lit(1 << b)).otherwise(F.lit(0)))
-        bucket = bits[0]
-        for x in bits[1:]:
-            bucket = bucket + x
-        out.append(F.struct(F.lit(t).alias("t"), bucket.alias("bucket")))
-    return F.array(*out)
-
-
-def knn_lsh(q: DataFrame, it: DataFrame, k: int, n_tables: int = 6, n_bits: int = 8,
-            seed: int = 7) -> DataFrame:
-    """Approximate top-k: candidates share an LSH bucket in some table."""
-    dim = len(q.select("v").first()[0])
-    planes = hyperplanes(dim, n_tables, n_bits, seed)
-    qk = q.select("qid", "v", F.explode(lsh_keys(F.col("v"), planes)).alias("key"))
-    ik = it.select("item_id", F.col("v").alias("iv"), F.explode(lsh_keys(F.col("v"), planes)).alias("key"))
-    pairs = qk.join(ik, "key").select("qid", "item_id", "v", "iv").dropDuplicates(["qid", "item_id"])
-    dot = F.aggregate(F.zip_with("v", "iv", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return _merge_topk(pairs.select("qid", "item_id", dot.alias("score")), k)
-
+# --- recall
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbours the approximate result found."""

@@ -71,9 +71,23 @@ def test_sparse_knn_equals_dense(spark):
     assert _rows(SE.knn(as_q(e), e, 3, item_block=9)) == _rows(SE.knn(as_q(dense), dense, 3))
 
 
-def test_lsh_recall_reasonable(spark):
-    r = load_all()["knn_lsh_recall"].build(spark, D).first()
-    assert 0.0 <= r.recall <= 1.0 and r.n_exact > 0
+def test_inverted_file_is_exact_and_its_probes_find_nine_tenths(spark):
+    import numpy as np
+
+    from caseflow.operators import ivf as IV
+    r = np.random.default_rng(1)
+    centre = r.standard_normal((12, 20)) * 3
+    x = np.vstack([centre[r.integers(12, size=700)] + r.standard_normal((700, 20)), np.ones((60, 20))])  # ties: 60 equal rows
+    items = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(9999, None)], "item_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(y) for y in x[i * 15] + r.standard_normal(20) * 0.1]) for i in range(40)]
+                                    + [(100, [0.0] * 20), (101, [1.0] * 20), (102, None)], "qid long, embedding array<double>")
+    want = SE.knn(queries.where("embedding IS NOT NULL"), items.where("embedding IS NOT NULL"), 5)
+    index = IV.build(items, cells=16, parts=5, item_block=50)
+    for probes in (1, 4):
+        assert _rows(IV.search(index, queries, 5, probes)) == _rows(want)
+    assert SE.recall_at_k(IV.search(index, queries, 5, 2, share=0.5), want).first().recall >= 0.9
+    few = IV.build(items.limit(3).where("embedding IS NOT NULL"))
+    assert IV.search(few, queries, 5).where("qid = 0").count() == 3
 
 
 def test_snapshot_delta_applied_to_old_gives_new(spark):
