@@ -63,6 +63,11 @@ def like_escape(s: str) -> str:
 BLOB_SEPARATOR = "\u0000"   # joins the searched columns; a token holding it is searched per column
 
 
+def searched_text(df: DataFrame) -> Column:
+    """The searched columns that ``df`` has, lower-cased and joined by the separator."""
+    return F.lower(F.concat_ws(BLOB_SEPARATOR, *[F.col(c) for c in SEARCH_COLUMNS if c in df.columns]))
+
+
 def token_predicate(df: DataFrame, q: str) -> Column:
     """Every token must occur (case-insensitive substring) in some column.
 
@@ -73,7 +78,7 @@ def token_predicate(df: DataFrame, q: str) -> Column:
     column by column with an escaped ``ILIKE`` instead. Both forms give the
     same answer as the reference's per-column ``ILIKE '%t%'``."""
     cols = [c for c in SEARCH_COLUMNS if c in df.columns]
-    blob = F.lower(F.concat_ws(BLOB_SEPARATOR, *[F.col(c) for c in cols]))
+    blob = searched_text(df)
     per_token = []
     for t in search_tokens(q):
         if BLOB_SEPARATOR in t:

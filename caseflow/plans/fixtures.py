@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions import record as R
 from caseflow.functions import text as X
+from caseflow.operators import text_index
 from caseflow.operators.gold import build_gold, build_gold_staged
 from caseflow.session import checkpoint_dir
 from caseflow.sources.sinks import write_gold
@@ -205,8 +206,17 @@ def _stored(spark: SparkSession, sf_dir: str, what: str, write) -> str:
 def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold as it is served: by creation year and sorted by reference inside each file, so that
     references, years and columns prune the scan."""
-    path = _stored(spark, sf_dir, "gold", lambda p: write_gold(cases(spark, sf_dir), p))
-    return spark.read.parquet(path).drop("created_year")
+    return spark.read.parquet(stored_gold(spark, sf_dir)).drop("created_year")
+
+
+def stored_gold(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored gold."""
+    return _stored(spark, sf_dir, "gold", lambda p: write_gold(cases(spark, sf_dir), p))
+
+
+def gold_index(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the n-gram index over the stored gold."""
+    return _stored(spark, sf_dir, "gold-grams", lambda p: text_index.build(spark, stored_gold(spark, sf_dir), p))
 
 
 def stored_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from caseflow.operators import serving as SV
+from caseflow.operators import text_index as TI
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
 from caseflow.plans.catalog import register
@@ -89,6 +90,15 @@ token_search_fallback = _filter_query("token_search_fallback", SEARCH_FALLBACK,
                                       "All-stop-word query searched as one phrase.")
 
 
+_INDEXED = SV.CaseQuery(q="SGCON/1995/1 scam nation_1")
+
+
+@register("token_search_indexed", S.on_cases(f"SELECT {_LIST} FROM cases WHERE {sql_predicate(_INDEXED)}"), ops=("F3",))
+def token_search_indexed(spark, d):
+    """Token search that reads only files whose n-gram lists hold every token."""
+    return SV.list_projection(TI.search(spark, FX.stored_gold(spark, d), FX.gold_index(spark, d), _INDEXED))
+
+
 @register("filtered_count", S.on_cases(f"SELECT count(*) AS total FROM cases WHERE {sql_predicate(PAGE_QUERY)}"),
           ops=("A18",))
 def filtered_count(spark, d):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.operators import routing as RT
 from caseflow.operators import state as ST
+from caseflow.operators.compaction import CompactedLog
 from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
 from caseflow.plans import q_search as QS
@@ -308,3 +312,20 @@ def question_evidence(spark, d):
     look = F.col("route") == "case_lookup"
     return e.select("qid", "route", "source", F.when(~look, F.col("evidence")).alias("evidence"),
                     F.when(look, F.get_json_object("evidence", "$.Case_Ref")).alias("found_ref"))
+
+
+@register("compacted_status", S.sql_with("""
+SELECT case_ref, status FROM (
+  SELECT case_ref, status, seq, row_number() OVER (PARTITION BY case_ref ORDER BY at_ DESC, seq DESC) AS rn
+  FROM status_events) WHERE rn = 1 AND seq % 13 <> 0""", S.EVENTS), ops=("M1", "K4", "W2"))
+def compacted_status(spark, d):
+    """Current status from a snapshot and the log's tail: two loads compacted, late events and withdrawals after it."""
+    shape = (T.StructType().add("case_ref", "string").add("status", "string").add("at", T.TimestampNTZType())
+             .add("seq", "long").add("deleted", "boolean"))
+    log = CompactedLog(spark, f"{checkpoint_dir(spark).rstrip('/')}/compacted-{uuid.uuid4().hex}", shape, ("case_ref",), buckets=16)
+    events = FX.status_events(spark, d).withColumn("deleted", F.col("seq") % 13 == 0)
+    for part in (0, 1, 2):
+        log.append(events.where(F.col("seq") % 3 == part))
+        if part == 1:
+            log.compact()
+    return log.state().select("case_ref", "status")

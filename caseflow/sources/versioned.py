@@ -124,12 +124,13 @@ class VersionedTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def merge(self, rows: DataFrame, deleted: str | None = None, order: Sequence[str] = (),
-              batch: tuple[str, int] | None = None) -> Commit:
+              batch: tuple[str, int] | None = None, applied: dict[str, int] | None = None) -> Commit:
         """Upserts ``rows``, one for each key; where the column ``deleted`` holds true, the key goes.
 
         With ``order`` (columns of the table) several rows of a key may come and an older row never
         replaces a newer one; without it a repeated key is an error. Rows equal to what is there change
         nothing. ``batch`` is ``(source, number)`` of a stream's batch: one that is in already is skipped.
+        ``applied``, if given, is published with the commit in place of what it lists as applied.
         """
         last = self.commit()
         if batch and last.applied.get(batch[0], -1) >= batch[1]:
@@ -182,7 +183,7 @@ class VersionedTable:
             left = {r[0] for r in keep.select("bucket").distinct().collect()}
             held |= {str(b): attempt for b in left}
         done = Commit(number, held, attempt if changed else None, counts | {"buckets": len(changed)},
-                      last.applied | ({batch[0]: batch[1]} if batch else {}))
+                      (last.applied if applied is None else applied) | ({batch[0]: batch[1]} if batch else {}))
         self._publish(done)
         return done
 

@@ -170,3 +170,24 @@ def test_flag_trend_counts_late_and_repeated_rows_once(spark):
         want = Counter((t.strftime("%Y-%m-01") if t else None, f) for (_, f), t in seen.items())
         lates = Counter((seen[x].strftime("%Y-%m-01") if seen[x] else None, x[1]) for x in late)
         assert {(r.month, r.flag): (r.n, r.n_late) for r in out.collect()} == {k: (n, lates[k]) for k, n in want.items()}
+
+
+def test_indexed_search_equals_a_scan_and_reads_fewer_files(spark):
+    from caseflow.operators import serving as SV
+    from caseflow.operators import text_index as TI
+    at, index = folder(spark, "searched"), folder(spark, "grams")
+    rows = [(y, f"SGCON/{y}/{i}", f"Case number {i} in Ñandú 50% 漢字{i % 3}" if i % 7 else None) for y in range(1990, 1996) for i in range(30)]
+    spark.createDataFrame(rows, "year int, Case_Ref string, Case_Title string").repartition("year").write.partitionBy("year").parquet(at)
+    TI.build(spark, at, index)
+    whole = spark.read.parquet(at)
+    late = f"{at}/year=1999"
+    for q in ("SGCON/1993/7", "ñandú 漢字2", "50%", "xx", "1994 1995", "no such thing", "the of", "é", "number\0 12", "1999"):
+        want = sorted(r.Case_Ref for r in SV.filtered(whole, SV.CaseQuery(q=q)).collect())
+        got = TI.search(spark, at, index, SV.CaseQuery(q=q))
+        assert sorted(r.Case_Ref for r in got.collect()) == want, q
+        assert got.columns == whole.columns
+    plan = TI.search(spark, at, index, SV.CaseQuery(q="SGCON/1993/7"))._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryFileIndex(1 paths)" in plan
+    assert TI.files_for(spark, index, "SGCON/1993/7 no_such") == set() and TI.files_for(spark, index, "xx") is None
+    spark.createDataFrame([("SGCON/1999/1", "a new file")], "Case_Ref string, Case_Title string").write.parquet(late)
+    assert [r.Case_Ref for r in TI.search(spark, at, index, SV.CaseQuery(q="1999")).collect()] == ["SGCON/1999/1"]

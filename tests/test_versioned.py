@@ -86,3 +86,33 @@ def test_two_writers_and_a_dead_one(spark):
     assert [r.k for r in t.read().collect()] == ["a"]
     t.merge(spark.createDataFrame([("a", 1, "x", 1, None, True)], T.StructType([*SCHEMA.fields, T.StructField("d", T.BooleanType())])), deleted="d")
     assert t.read().count() == 0 and t.commit().buckets == {} and t.read(1).count() == 1
+
+
+def test_compaction_changes_no_state(spark):
+    from caseflow.operators.compaction import CompactedLog
+    shape = T.StructType().add("k", "string").add("v", "string").add("at", "long").add("seq", "long").add("deleted", "boolean")
+    log, r, events = CompactedLog(spark, f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}", shape, ("k",), buckets=4), random.Random(9), []
+
+    def state():
+        best = {}
+        for e in events:
+            if e[0] not in best or e[2:4] > best[e[0]][2:4]:
+                best[e[0]] = e
+        assert rows(log.state(tombstones=True)) == sorted(best.values(), key=repr)
+        assert rows(log.state()) == sorted((e for e in best.values() if not e[4]), key=repr)
+
+    state()
+    for step in range(6):
+        batch = [(r.choice("abcde"), r.choice("xyz"), r.randint(0, 20), 100 * step + i, r.random() < 0.3) for i in range(6)]
+        events += batch
+        log.append(spark.createDataFrame(batch, shape))
+        if step == 2:
+            log.append(spark.createDataFrame(batch, shape))  # replayed
+        state()
+        if step in (1, 4):
+            assert log.compact().number and log.segments() == []
+        if step == 3:
+            log.fold()  # dies before its second step
+            assert len(log.segments()) == 3
+        state()
+    assert len(log.base.versions()) == 3 and len(log.segments()) == 1
