@@ -71,20 +71,21 @@ def keep_runs(gone: Column, n_lines: Column) -> Column:
 def line_dedup(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """``docs`` plus ``n_lines``, ``n_dropped``, ``keep`` (run-length bitmap) and ``kept_text``.
 
-    One row per input row, all input columns kept (own columns of the four names
-    are replaced). Null or empty text: one empty line, kept text ''. Defined
-    cases as in :func:`dropped_lines`.
+    One row per input row; all input columns are kept as they are, but for columns of
+    the four names, which are replaced. Null or empty text: one empty line, kept text ''.
+    Defined cases as in :func:`dropped_lines`.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep", "kept_text", "gone", "version")]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "keep", "kept_text")]
     gone = dropped_lines(docs.select("doc_id", "text"), min_key).select(
         F.col("doc_id").alias("gone_doc"), F.col("version").alias("gone_version"), "gone")
-    d = docs.select(*names, F.xxhash64("text").alias("version"))
-    j = d.join(gone, (F.col("doc_id") == F.col("gone_doc")) & (F.col("version") == F.col("gone_version")), "left")
-    j = j.withColumn("lines", _lines(F.col("text"))).withColumn("n_lines", F.size("lines"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("version"))
+    j = d.join(gone, (F.col("row.doc_id") == F.col("gone_doc")) & (F.col("version") == F.col("gone_version")), "left")
+    text = F.col("row.text")
+    j = j.withColumn("lines", _lines(text)).withColumn("n_lines", F.size("lines"))
     j = j.withColumn("keep", F.when(F.col("gone").isNotNull(), keep_runs(F.col("gone"), F.col("n_lines"))))
     kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_lines").alias("length")))
-    return j.select(*names, F.col("n_lines").cast("long").alias("n_lines"),
+    return j.select("row.*", F.col("n_lines").cast("long").alias("n_lines"),
                     F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
                     F.coalesce("keep", whole).alias("keep"),
-                    F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"))
+                    F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("kept_text"))
