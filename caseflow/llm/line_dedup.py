@@ -85,7 +85,8 @@ def line_dedup(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     j = j.withColumn("keep", F.when(F.col("gone").isNotNull(), keep_runs(F.col("gone"), F.col("n_lines"))))
     kept = F.array_join(F.flatten(F.transform("keep", lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_lines").alias("length")))
-    return j.select("row.*", F.col("n_lines").cast("long").alias("n_lines"),
-                    F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-                    F.coalesce("keep", whole).alias("keep"),
-                    F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("kept_text"))
+    own = F.struct(F.col("n_lines").cast("long").alias("n_lines"),
+                   F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+                   F.coalesce("keep", whole).alias("keep"),
+                   F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("kept_text"))
+    return j.select("row", own.alias("own")).select("row.*", "own.*")
