@@ -208,3 +208,30 @@ def leak_check(chunks: DataFrame, text_col: str = "chunk", raw_col: str | None =
     if raw_col:
         aggs.append(F.count(F.when(X.has_national_id(F.col(raw_col)), F.lit(1))).alias("raw_ids"))
     return chunks.agg(*aggs)
+
+
+# --- Accuracy against a manifest (J8) ------------------------------------------------
+
+def confusion(truth: DataFrame, found: DataFrame, scalars: dict[str, tuple[str, str]], sets: dict[str, tuple[str, str]],
+              key: str = "case_ref") -> DataFrame:
+    """``(field, truth, found, n)``: how often each true class came out as each found one.
+
+    ``scalars`` and ``sets`` name the truth's and the result's column of a field; an element of a
+    set counts by itself, with a null on the side that lacks it. Classes are compared on keys that
+    both sides have. The field ``row`` counts keys: both sides ``yes``, or null where one is missing."""
+    t = truth.select(key, F.struct("*").alias("t"))
+    j = t.join(found.select(key, F.struct("*").alias("f")), key, "full_outer")
+    both = F.col("t").isNotNull() & F.col("f").isNotNull()
+    cell = lambda field, a, b: F.struct(F.lit(field).alias("field"), a.cast("string").alias("truth"), b.cast("string").alias("found"))
+    yes = lambda c: F.when(F.col(c).isNotNull(), F.lit("yes"))
+    parts = [F.array(cell("row", yes("t"), yes("f")))]
+    parts += [F.when(both, F.array(cell(f, F.col(f"t.{a}"), F.col(f"f.{b}")))) for f, (a, b) in scalars.items()]
+    none = F.array().cast("array<string>")
+
+    def elements(field: str, x: Column, y: Column) -> Column:
+        here = lambda s, e: F.when(F.array_contains(s, e), e)
+        return F.transform(F.array_union(x, y), lambda e: cell(field, here(x, e), here(y, e)))
+
+    parts += [F.when(both, elements(f, F.coalesce(f"t.{a}", none), F.coalesce(f"f.{b}", none))) for f, (a, b) in sets.items()]
+    cells = j.select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("c")).select("c.*")
+    return cells.groupBy("field", "truth", "found").agg(F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,8 @@ from caseflow.functions import text as X
 from caseflow.sources.sinks import append, create_if_absent
 
 DEFAULT_AUTHOR = "officer"
+# Fixed value: the text shown for a case type without a procedure.
+NO_PROCEDURE = "No matching SOP found for this case type."
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -92,7 +94,7 @@ def steps_with_status(gold: DataFrame, sop_chunks: DataFrame, step_events: DataF
 
 
 def recommended_steps(gold: DataFrame, sop_chunks: DataFrame,
-                      missing: str = "No matching SOP found for this case type.") -> DataFrame:
+                      missing: str = NO_PROCEDURE) -> DataFrame:
     """J4 batch form: the procedure text for every case (default if none)."""
     sop = procedure_of_key(sop_chunks)
     g = gold.select("Case_Ref", "Case_Type", X.norm_key("Case_Type").alias("_k"))

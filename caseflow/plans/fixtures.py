@@ -113,8 +113,7 @@ def l1_struct() -> Column:
         "Case_Title": F.concat(F.col("case_type"), F.lit(" - "), F.col("c_name"), F.lit(" in "), F.col("n_name")),
         "Case_Subject": F.concat(F.lit("Re: ["), F.col("case_ref"), F.lit("] "), F.col("case_type"),
                                  F.lit(" - "), F.col("c_name"), F.lit(" in "), F.col("n_name")),
-        "Case_Description": F.concat(F.col("case_type"), F.lit(" case involving "), F.col("c_name"),
-                                     F.lit(" in "), F.col("n_name"), F.lit(".")),
+        "Case_Description": F.concat(F.col("c_name"), F.lit(" rang from "), F.col("n_name"), F.lit(" about: "), F.col("case_type")),
         "Category_Multiselect": F.col("o_orderpriority"),
         "Registrant": F.col("c_name"),
         "Created_On": F.date_format("o_orderdate", "yyyy-MM-dd"),
@@ -133,11 +132,10 @@ def l2_struct() -> Column:
         F.coalesce(F.col("codes"), empty).alias("L1_Agencies"),
         F.coalesce(F.col("flags"), empty).alias("L1_Situational_Flags"),
         F.when(F.col("o_orderstatus") == "F", F.lit("closed")).otherwise(F.lit("pending")).alias("L1_Status"),
-        F.concat(F.lit("Handled by the "), F.col("r_name"), F.lit(" mission. "), F.col("case_type"),
-                 F.lit(" in "), F.col("n_name"), F.lit(".")).alias("L2_Summary_Pathway"),
+        F.concat(F.col("r_name"), F.lit(" desk, "), F.col("n_name"), F.lit(": "), F.col("case_type")).alias("L2_Summary_Pathway"),
         F.lit(None).cast("string").alias("L2_Assistance_Req_vs_Provided"),
         F.when(F.array_contains(F.coalesce(F.col("flags"), empty), "language barrier"),
-               F.lit("Language barrier slowed contact.")).otherwise(F.lit("None noted.")).alias("L2_Complications_Delays"),
+               F.lit("An interpreter was called in")).otherwise(F.lit("No delay")).alias("L2_Complications_Delays"),
         F.lit(None).cast("string").alias("L2_External_Resources"),
         F.lit(None).cast("string").alias("L2_Lessons_Learnt"),
     )

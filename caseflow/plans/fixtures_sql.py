@@ -65,7 +65,7 @@ RECORD_EXPRS = {
     "Origin": "'Email'",
     "Case_Title": "case_type || ' - ' || c_name || ' in ' || n_name",
     "Case_Subject": "'Re: [' || case_ref || '] ' || case_type || ' - ' || c_name || ' in ' || n_name",
-    "Case_Description": "case_type || ' case involving ' || c_name || ' in ' || n_name || '.'",
+    "Case_Description": "c_name || ' rang from ' || n_name || ' about: ' || case_type",
     "Category_Multiselect": "o_orderpriority",
     "Registrant": "c_name",
     "Created_On": "strftime(o_orderdate, '%Y-%m-%d')",
@@ -103,9 +103,9 @@ CASES = (
     coalesce(codes, CAST([] AS VARCHAR[])) AS L1_Agencies,
     coalesce(flags, CAST([] AS VARCHAR[])) AS L1_Situational_Flags,
     CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'pending' END AS L1_Status,
-    'Handled by the ' || r_name || ' mission. ' || case_type || ' in ' || n_name || '.' AS L2_Summary_Pathway,
+    r_name || ' desk, ' || n_name || ': ' || case_type AS L2_Summary_Pathway,
     CASE WHEN list_contains(coalesce(flags, CAST([] AS VARCHAR[])), 'language barrier')
-         THEN 'Language barrier slowed contact.' ELSE 'None noted.' END AS L2_Complications_Delays,
+         THEN 'An interpreter was called in' ELSE 'No delay' END AS L2_Complications_Delays,
     """ + resolution_sql(STATUS_SQL, "toks") + """ AS Resolution_Days
   FROM (SELECT *, """ + DATE_TOKENS_SQL + """ AS toks FROM threads) t)"""
 )

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from caseflow.operators import analytics as A
 from caseflow.operators import extract as E
 from caseflow.operators import synth as SY
+from caseflow.plans import fixtures as FX
 from caseflow.plans import fixtures_sql as S
 from caseflow.plans.catalog import register
 from caseflow.plans.fixtures import CASE_TYPES
+from caseflow.session import checkpoint_dir
 from caseflow.sources.tables import Tables
 
 
@@ -101,3 +106,35 @@ def tag_threads(spark, d):
                      F.concat_ws(",", E.tag_flags("parsed_text")).alias("flags"),
                      E.tag_status("parsed_text").alias("status"),
                      E.tag_first("parsed_text", E.COUNTRIES).alias("country"))
+
+
+_FACTS = """t AS (SELECT case_ref, case_type, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'pending' END AS status,
+  list_filter(coalesce(flags, CAST([] AS VARCHAR[])), lambda f: f <> 'scam' OR o_orderkey % 2 = 0) AS flags FROM threads WHERE o_orderkey % 7 <> 0),
+g AS (SELECT * FROM cases WHERE CAST(string_split(Case_Ref, '/')[3] AS BIGINT) % 11 <> 0),
+j AS (SELECT t.case_ref AS a, g.Case_Ref AS b, t.case_type, t.status, t.flags AS tf, g.L1_Case_Type, g.L1_Status, g.L1_Situational_Flags AS gf
+      FROM t FULL OUTER JOIN g ON t.case_ref = g.Case_Ref),
+e AS (SELECT tf, gf, unnest(list_distinct(list_concat(tf, gf))) AS f FROM j WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+@register("manifest_confusion", S.on_cases("""
+SELECT field, truth, found, count(*) AS n FROM (
+  SELECT 'row' AS field, CASE WHEN a IS NOT NULL THEN 'yes' END AS truth, CASE WHEN b IS NOT NULL THEN 'yes' END AS found FROM j
+  UNION ALL SELECT 'case_type', case_type, L1_Case_Type FROM j WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL SELECT 'status', status, L1_Status FROM j WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL SELECT 'flags', CASE WHEN list_contains(tf, f) THEN f END, CASE WHEN list_contains(gf, f) THEN f END FROM e)
+GROUP BY ALL""", _FACTS), ops=("J8", "K6"))
+def manifest_confusion(spark, d):
+    """Gold against a truth manifest written and read back as JSON lines: per-class confusion, missing and extra rows.
+
+    The manifest lacks a seventh of the cases and half the scam flags, gold lacks an eleventh of the cases."""
+    th = FX.stored_threads(spark, d).where("o_orderkey % 7 <> 0")
+    none = F.array().cast("array<string>")
+    flags = F.filter(F.coalesce("flags", none), lambda f: (f != "scam") | (F.col("o_orderkey") % 2 == 0))
+    facts = th.select("case_ref", "case_type", F.when(F.col("o_orderstatus") == "F", "closed").otherwise("pending").alias("status"), flags.alias("flags"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    facts.write.json(path)
+    truth = spark.read.schema("case_ref string, case_type string, status string, flags array<string>").json(path)
+    gold = FX.stored_cases(spark, d).where(F.element_at(F.split("Case_Ref", "/"), -1).cast("long") % 11 != 0)
+    return A.confusion(truth, gold.select(F.col("Case_Ref").alias("case_ref"), "L1_Case_Type", "L1_Status", "L1_Situational_Flags"),
+                       {"case_type": ("case_type", "L1_Case_Type"), "status": ("status", "L1_Status")},
+                       {"flags": ("flags", "L1_Situational_Flags")})

@@ -105,7 +105,7 @@ def steps_with_status(spark, d):
 
 @register("recommended_steps", S.on_cases(f"""
 SELECT c.Case_Ref, c.Case_Type, s.chunk_id,
-       coalesce(s.chunk, 'No matching SOP found for this case type.') AS steps_text
+       coalesce(s.chunk, '{ST.NO_PROCEDURE}') AS steps_text
 FROM cases c LEFT JOIN (SELECT {_NORM.format(c='sop_title')} AS k, min(chunk_id) AS chunk_id,
                                arg_min(chunk, chunk_id) AS chunk FROM sop GROUP BY 1) s
   ON {_NORM.format(c='c.Case_Type')} = s.k""", S.sop_values_sql()), ops=("J4", "X20", "S8", "V2"))

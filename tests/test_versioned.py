@@ -116,3 +116,12 @@ def test_compaction_changes_no_state(spark):
             assert len(log.segments()) == 3
         state()
     assert len(log.base.versions()) == 3 and len(log.segments()) == 1
+
+
+def test_confusion_counts_classes_and_missing_rows(spark):
+    from caseflow.operators.analytics import confusion
+    truth = spark.createDataFrame([("a", "X", ["p", "q"]), ("b", None, None), ("c", "Y", ["p"])], "case_ref string, kind string, tags array<string>")
+    found = spark.createDataFrame([("a", "Y", ["q", "r", "r"]), ("b", "Y", []), ("d", "X", ["p"])], "case_ref string, k string, g array<string>")
+    got = confusion(truth, found, {"kind": ("kind", "k")}, {"tags": ("tags", "g")})
+    assert rows(got) == sorted([("row", "yes", "yes", 2), ("row", "yes", None, 1), ("row", None, "yes", 1), ("kind", "X", "Y", 1), ("kind", None, "Y", 1),
+                                ("tags", "p", None, 1), ("tags", "q", "q", 1), ("tags", None, "r", 1)], key=repr)
