@@ -4,8 +4,9 @@ Method. A bin is filled greedily, always with the longest piece that fits; then
 its smallest piece is replaced by two unpacked pieces if the two fill the
 expanded gap more tightly, again and again while that helps. Bins are planned on
 the histogram of piece lengths, at most ``capacity`` rows whatever the input:
-equal bins are planned once with a multiplicity, and every plan uses up a
-length, so the plan is bounded too. Each piece then finds its place from its
+equal bins are planned once with a multiplicity, and a plan leaves fewer pieces
+of some length than a bin takes, so the next plan differs and a length that a
+bin takes ``u`` times is used up within a logarithm of ``u`` plans. Each piece then finds its place from its
 length and its rank among the pieces of that length. Ranks come from a window
 over ``(length, bucket)`` with hashed buckets and the buckets' running counts,
 so one very common length is spread over many tasks.
@@ -13,6 +14,7 @@ so one very common length is spread over many tasks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,8 @@ CAPACITY = 2048
 END_ID = 0
 
 
-def _cut(path: str | None, capacity: int, end_id: int):
+def _cut(path: str | None, capacity: int, end_id: int, with_ids: bool = True):
+    """Cut texts into pieces; the ids leave Python themselves or as their checksum alone."""
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
         enc = WordEncoder(path, ids=True)
@@ -37,25 +40,30 @@ def _cut(path: str | None, capacity: int, end_id: int):
                 ids = b"".join(parts) + end
                 n = len(ids) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                rows += [(i, k, s, e - s, ids[4 * s:4 * e]) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            i, piece, start, length, ids = zip(*rows, strict=True) if rows else ((),) * 5
+                for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    part = ids[4 * s:4 * e]
+                    rows.append((i, k, s, e - s, zlib.crc32(part), part if with_ids else None))
+            i, piece, start, length, crc, ids = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(i, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                 pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.binary())] if with_ids else [])],
+                ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
     return run
 
 
-def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, piece, start, length, ids)``.
+def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
+               with_ids: bool = True) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, piece, start, length, ids_crc32[, ids])``.
 
     A document's ids (no special tokens added) end with ``end_id``; a document
     of more than ``capacity`` ids is cut, only its first piece may be shorter.
-    ``ids`` is little-endian unsigned 32-bit binary. Null or empty text: one
+    ``ids`` is little-endian unsigned 32-bit binary, ``ids_crc32`` its checksum. Null or empty text: one
     piece holding the end id. Null and repeated doc_ids are packed like others.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(_cut(path, capacity, end_id), f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    kinds = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
+    return d.mapInArrow(_cut(path, capacity, end_id, with_ids), kinds)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -155,6 +163,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Documents to placed pieces: ``(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset)``."""
-    cut = cut_pieces(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    keep = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    return pack(stage(cut.select(*keep), "pieces"), capacity)
+    return pack(stage(cut_pieces(docs, path, capacity, with_ids=with_ids), "pieces"), capacity)

@@ -39,6 +39,7 @@ def test_pieces_keep_every_character():
 def test_pieces_are_encoded_as_in_the_text():
     """Also with a cache that starts anew all the time, and special strings as whole or part of a piece."""
     texts = [t or "" for t in TEXTS] + [t or "" for _, t in random_docs(20)] + ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|>y"]
+    texts += ["word*** word%%% it's% don't.'s x's's end.\nThe ça'll! été's-là Дом's. 9'9'd a_b _c' u²'s =\u0338= e\u0301'll " * 3, "x<|endoftext|>y. z.<|endoftext|>"]
     tok = tokens.tokenizer(None)
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     for limit in (0, 10, 1000):
@@ -175,6 +176,20 @@ def test_packing_round_trip(spark):
     assert len(bins) <= 1.03 * total / 64 + 1
 
 
+def test_plans_are_bounded():
+    """Lengths that a bin takes several times are used up within a logarithm of their uses."""
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        histogram = {int(n): int(c) for n, c in zip(r.integers(1, 200 if seed % 2 else 2049, 300), r.integers(1, 10**9, 300), strict=True)}
+        plans = packing.plan_bins(histogram)
+        assert len(plans) <= 11 * len(histogram)
+        used = Counter()
+        for times, lengths in plans:
+            for x in lengths:
+                used[x] += times
+        assert used == histogram
+
+
 def test_bins_never_worse_than_greedy():
     r = np.random.default_rng(1)
     for _ in range(20):
