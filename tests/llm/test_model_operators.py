@@ -206,6 +206,80 @@ def test_wrappers_are_no_noise(wrapper):
     assert "text 0\n" in next(style_tree._extract([])(iter([b]))).column("text")[0].as_py() and "h" not in [t for _, n, _, t in style_tree.parse(html).texts if not n]
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<article><div class='share-buttons'>Share on X</div><p>Body</p><div class='author-bio'>A. U.</div>"
+     "<div class='post-comments'>nice</div></article>", "Body"),
+    ("<body><div class='newsletter'><h3>Subscribe now</h3></div><form><p>Your email</p><input></form></body>", ""),
+    ("<body><div class='cookie-notice'><p>We use cookies</p></div></body>", ""),
+    ("<body><section class='comments'><article class='comment'>c</article><section id='reply'>r</section></section></body>", ""),
+    ("<body><form id='aspnet'><h1>Title</h1><div>text</div></form></body>", "Title\ntext"),
+    ("<body><div class='article-header'><h1>T</h1></div><div class='site-header'>S</div><p>b</p></body>", "T\nb"),
+    ("<div>" * 300 + "deep<p>er" + "</div>" * 300, "deep\ner"),
+    ("<body><p>" + "long words " * 60_000 + "</p></body>", ("long words " * 60_000).strip())])
+def test_meaning_of_single_pages(spark, html, want):
+    df = spark.createDataFrame([(1, "http://a.org/1", html)], "page_id long, url string, html string")
+    assert [x["text"] for x in style_tree.main_text(df).collect()] == [want]
+
+
+def site_pages():
+    """Two hosts whose articles hold bars, boxes and notes of neutral names; layouts differ and pages repeat."""
+    r, rows = np.random.default_rng(5), []
+    for i in range(60):
+        host = "big.org" if i % 3 else "small.org"
+        k = 3 if i % 10 == 9 else i  # copies
+        own = [f"own {k} {j} " + "word " * int(r.integers(1, 30) if k == i else 4) for j in range(1 + k % 3)]
+        html = ("<html><body><div class='t1'>Site name</div><article><div class='x1'>Share on <i>X</i></div>" + "<section>" * (k % 2)
+                + "".join(f"<p>{o}</p>" for o in own) + "</section>" * (k % 2) + (f"<div class='rel'><span>See also</span><div>{k % 2}</div></div>")
+                + "<h2>Written by the desk</h2></article>" + "<div class='low'><p>All rights</p><p>Contact us</p></div>" + f"<div class='foot'>{k % 3}</div></body></html>")
+        rows.append((i, f"http://{host}/{i}", html))
+    return rows
+
+
+def brute_texts(rows, least):
+    """The style tree with plain loops: every branch's nodes are looked up one by one."""
+    out, hosts = {}, {}
+    for i, url, html in rows:
+        hosts.setdefault(url.split("/")[2], []).append((i, style_tree.parse(html)))
+    for pages in hosts.values():
+        distinct = {}
+        for _, dom in pages:
+            own = {}
+            for path, noise, _, text in dom.texts:
+                if not noise:
+                    own.setdefault(path, []).append(" ".join(text.split()))
+            distinct.setdefault(tuple((p, tuple(t)) for p, t in own.items()), (own, dom.children))
+        facts = []  # (path, is text, pages, weight, entropy)
+        for kind in (0, 1):
+            for path in {p for d in distinct.values() for p in d[1 - kind]}:
+                values = [" ".join(d[0][path]) if kind else ",".join(d[1][path]) for d in distinct.values() if path in d[1 - kind]]
+                n = len(values)
+                h = -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(n) if n > 1 else 1.0
+                facts.append((path, kind, sum(map(len, values)) if kind else n, (0.5 + h * n) / (0.5 + n)))
+        total = sum(w * h for _, kind, w, h in facts if kind)
+        drop = set()
+        for top in {p[:k] for p, *_ in facts for k in [*(j for j, c in enumerate(p) if c == "/"), len(p)]}:
+            below = [(p[len(top):].count("/"), kind, w, h) for p, kind, w, h in facts if p == top or p.startswith(top + "/")]
+            weight = sum(w * 0.9 ** d for d, _, w, _ in below)
+            if sum(w * h * 0.9 ** d for d, _, w, h in below) / weight < least and sum(w * h for _, kind, w, h in below if kind) <= total / 2:
+                drop.add(top)
+        for i, dom in pages:
+            own = [x for x in dom.texts if not x[1]]
+            out[i] = style_tree._text(x for x in own if not any(x[0] == t or x[0].startswith(t + "/") for t in drop)) or style_tree._text(own)
+    return out
+
+
+def test_style_tree_decides_inside_articles_as_plain_loops_do(spark):
+    rows = site_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    on = {x["page_id"]: x["text"] for x in style_tree.main_text(df).collect()}
+    off = {x["page_id"]: x["text"] for x in style_tree.main_text(df, least=0.0).collect()}
+    assert on == brute_texts(rows, style_tree.IMPORTANCE) and off == brute_texts(rows, 0.0)
+    assert all(on[i] != off[i] for i in on)  # without the tree every text is another
+    for i, text in on.items():
+        assert "own " in text and not any(x in text for x in ("Share on", "Site name", "Written by", "All rights", "Contact us", "See also"))
+        assert "Share on X" in off[i] and "All rights" in off[i]
+
+
 # ---------------------------------------------------------------- vectors
 
 @pytest.mark.parametrize("unit,visitors,cell", [(8000, 64000, 4000), (16, 50, 20)])
