@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import shuffle_width, stage
-from caseflow.llm.tokens import WordEncoder, slices
+from caseflow.llm.tokens import SLICE, WordEncoder, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,7 +34,7 @@ def _cut(path: str | None, capacity: int, end_id: int, with_ids: bool = True):
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
         enc = WordEncoder(path, ids=True)
-        for b in slices(batches):
+        for b in slices(batches, 4 * SLICE):
             rows = []
             for i, parts in enumerate(enc(b.column("text").to_pylist())):
                 ids = b"".join(parts) + end

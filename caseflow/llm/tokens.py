@@ -12,14 +12,11 @@ such place is encoded again with a wider overlap, in the end as one chunk.
 Encoding in one go uses the same fact in its simplest form: a single space
 between two characters that are not white space always starts a pre-token, so
 the tokens of a text are the tokens of its space-led words, and each distinct
-word is encoded once while it is in a bounded cache. A word not seen yet is cut
-once more, where punctuation follows a letter or digit: no pre-token holds both
-in this order, so its stem and its tail are encoded (and kept) apart.
+word is encoded once while it is in a bounded cache.
 """
 
 from __future__ import annotations
 
-import operator
 import os
 import re
 import sys
@@ -44,8 +41,6 @@ SLICE = 256         # documents handled at a time, so memory follows single docu
 
 _OTHER_BLANK = re.compile(r"[^\S ]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: Punctuation after a letter or digit of the Latin or Cyrillic blocks that every Unicode version knows as such.
-_TAIL = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0233\u0400-\u0481])(?=[!-/:-@\[-`{-~])")
 
 
 def default_path() -> str:
@@ -101,16 +96,14 @@ class WordEncoder:
             for i, content in added.items():
                 size[i] = len(content.encode())
             kept[key] = size
-            kept[key, "opens"] = frozenset(content[0] for content in added.values())
-        self.size, self.opens = kept[key], kept[key, "opens"]
+        self.size = kept[key]
         self.cache = kept.setdefault((key, ids), {})
         self.heads = kept.setdefault((key, ids, "heads"), {})
 
     def _value(self, ids):
         return array("I", ids).tobytes() if self.ids else len(ids)
 
-    def _stems(self, words: list[str]) -> None:
-        """Encode ``words``, each after a space, into the cache."""
+    def _add(self, words: list[str]) -> None:
         for k in range(0, len(words), 2000):
             part = words[k:k + 2000]
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -122,24 +115,6 @@ class WordEncoder:
             else:
                 self.cache.update(zip(part, np.diff(at, prepend=0).tolist(), strict=True))
 
-    def _first(self, words: set[str]) -> None:
-        """Encode ``words``, each without a space, into the heads."""
-        new = list(words - self.heads.keys())
-        self.heads.update(zip(new, (self._value(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-
-    def _add(self, words: set[str]) -> None:
-        words = list(words)
-        stems, tails = [], []
-        for w in words:
-            at = _TAIL.search(w)
-            if at is None or not self.opens.isdisjoint(w):  # an added token may lie across the cut
-                stems.append(w), tails.append("")
-            else:
-                stems.append(w[:at.start()]), tails.append(w[at.start():])
-        self._stems(list(set(stems) - self.cache.keys()))
-        self._first(set(tails))
-        self.cache.update(zip(words, map(operator.add, map(self.cache.__getitem__, stems), map(self.heads.__getitem__, tails)), strict=True))
-
     def __call__(self, texts: list[str]) -> Iterator[list]:
         cut = [pieces(t) for t in texts]
         if len(self.cache) > CACHE:
@@ -148,8 +123,9 @@ class WordEncoder:
             self.heads.clear()
         new = set(filterfalse(self.cache.__contains__, chain.from_iterable(rest for _, rest in cut)))
         if new:
-            self._add(new)
-        self._first({first for first, _ in cut})
+            self._add(list(new))
+        new = list(filterfalse(self.heads.__contains__, {first for first, _ in cut}))  # a set less the keys would visit every key
+        self.heads.update(zip(new, (self._value(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         get, head = self.cache.__getitem__, self.heads.__getitem__
         return ([head(first), *map(get, rest)] for first, rest in cut)
 
