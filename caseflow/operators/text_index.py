@@ -12,7 +12,10 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.operators import serving as SV
@@ -21,9 +24,31 @@ GRAM = 3
 RAREST = 8  # runs of a token whose lists are intersected; the predicate decides the rest
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of ``GRAM`` characters of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+def _grams(batches):
+    """``(path, text)`` to the distinct runs of ``GRAM`` characters of each path, within a task."""
+    found: dict[str, np.ndarray] = {}
+
+    def rows(path: str) -> pa.RecordBatch:
+        code = found.pop(path)
+        text = np.column_stack([code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        runs = [text[i:i + GRAM] for i in range(0, len(text), GRAM)]
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(runs), pa.string()), pa.array(runs, pa.string())], ["path", "gram"])
+
+    for b in filter(len, batches):
+        paths = b.column(0).dictionary_encode()
+        of = paths.indices.to_numpy(zero_copy_only=False)
+        texts = [t.decode("utf-8", "replace") for t in b.column(1).cast(pa.binary()).to_pylist()]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        c = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # characters from here to the text's end
+        at = np.flatnonzero(left >= GRAM)
+        runs, path_of = c[at] << 42 | c[at + 1] << 21 | c[at + 2], np.repeat(of, size)[at]
+        names = paths.dictionary.to_pylist()
+        for i, path in enumerate(names):
+            known = found.get(path, np.zeros(0, np.int64))
+            found[path] = pd.unique(np.concatenate([known, runs[path_of == i] if len(names) > 1 else runs]))
+        yield from map(rows, [p for p in found if p != names[-1]])  # a task reads file after file
+    yield from map(rows, [*found])
 
 
 def build(spark: SparkSession, table: str, folder: str) -> str:
@@ -35,7 +60,7 @@ def build(spark: SparkSession, table: str, folder: str) -> str:
     at = F.col("_metadata.file_path")
     paths = sorted(r[0] for r in df.select(at.alias("path")).distinct().collect())  # as many as the scan's own listing holds
     spark.createDataFrame(list(enumerate(paths)), "id int, path string").write.parquet(f"{folder}/files")
-    found = df.select(at.alias("path"), F.explode(grams(SV.searched_text(df))).alias("gram")).distinct()
+    found = df.select(at.alias("path"), SV.searched_text(df).alias("text")).mapInArrow(_grams, "path string, gram string").distinct()
     found = found.join(spark.read.parquet(f"{folder}/files"), "path")
     lists = found.groupBy("gram").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # one number a file at most
     lists = lists.select("gram", F.size("ids").alias("n_files"), "ids")

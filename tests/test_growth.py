@@ -63,3 +63,13 @@ def test_few_queries_leave_many_items_in_place(spark):
     blocks = SE.knn(q, it, 4, item_block=50, query_block=7)
     assert "CoGroup" in plan(blocks) or "Scan ExistingRDD" in plan(blocks)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocks.collect()))
+
+
+def test_index_lists_hold_the_runs_of_whole_characters(spark):
+    at, index = (f"{checkpoint_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("texts", "lists"))
+    rows = [(0, "Ab😀cd"), (0, "xy"), (1, "😀cd"), (1, None), (2, "")]
+    spark.createDataFrame(rows, "part int, Case_Title string").repartition("part").write.partitionBy("part").parquet(at)
+    TI.build(spark, at, index)
+    part = {r.id: int(re.search(r"part=(\d)", r.path)[1]) for r in spark.read.parquet(f"{index}/files").collect()}
+    got = {r.gram: {part[i] for i in r.ids} for r in spark.read.parquet(f"{index}/lists").collect()}
+    assert got == {"ab😀": {0}, "b😀c": {0}, "😀cd": {0, 1}}
