@@ -73,3 +73,22 @@ def test_index_lists_hold_the_runs_of_whole_characters(spark):
     part = {r.id: int(re.search(r"part=(\d)", r.path)[1]) for r in spark.read.parquet(f"{index}/files").collect()}
     got = {r.gram: {part[i] for i in r.ids} for r in spark.read.parquet(f"{index}/lists").collect()}
     assert got == {"ab😀": {0}, "b😀c": {0}, "😀cd": {0, 1}}
+
+
+def test_large_inputs_are_dealt_out_by_rows(spark, monkeypatch, tmp_path):
+    n = 90
+    at = lambda: F.expr("timestamp_ntz'1995-01-01 00:00:00'")
+    tables = {
+        "orders": spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+                                        at().alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority")),
+        "customer": spark.range(7).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"), F.lit(0).alias("c_nationkey")),
+        "nation": spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey"),
+        "region": spark.sql("SELECT 0 AS r_regionkey, 'R' AS r_name"),
+        "lineitem": spark.range(2 * n).select((F.col("id") % n).alias("l_orderkey"), at().alias("l_shipdate"), F.lit("A").alias("l_returnflag"),
+                                              F.lit("F").alias("l_linestatus"), F.lit(0.01).alias("l_discount"))}
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    small = FX.threads(spark, str(tmp_path))
+    monkeypatch.setattr(FX, "TASK_ROWS", 9)
+    large = FX.threads(spark, str(tmp_path))
+    assert large.rdd.getNumPartitions() == 10 and sorted(map(repr, large.collect())) == sorted(map(repr, small.collect()))
