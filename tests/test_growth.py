@@ -75,6 +75,42 @@ def test_index_lists_hold_the_runs_of_whole_characters(spark):
     assert got == {"ab😀": {0}, "b😀c": {0}, "😀cd": {0, 1}}
 
 
+class _Handle:
+    def __init__(self):
+        self.held, self.writes = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held, self.writes = value, self.writes + 1
+
+
+class _Time:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_one_call_keeps_the_newest_of_all_keys_of_a_part():
+    handle, p = _Handle(), CU.Newest(1000)
+    p.init(handle)
+
+    def call(now, *batches):
+        frames = iter([pd.DataFrame(b, columns=["key", "at", "seq", "payload"]) for b in batches])
+        return sorted(tuple(r) for x in p.handleInputRows((0,), frames, _Time(now)) for r in x.itertuples(index=False))
+
+    assert call(0, [("a", 5, 1, "a1"), ("b", 5, 1, "b1")], [("a", 5, 2, "a2"), ("a", 5, 2, "again")]) == [("a", 5, 2, "a2"), ("b", 5, 1, "b1")]
+    assert call(600, [("a", 5, 2, "tie"), ("b", 6, 0, "b2")]) == [("b", 6, 0, "b2")]
+    assert call(700, [("a", 4, 9, "old"), ("b", 6, 0, "b2")]) == [] and handle.writes == 2
+    assert call(1200, [("a", 4, 9, "old"), ("b", 5, 9, "old")]) == [("a", 4, 9, "old")]  # a is forgotten, b was renewed
+
+
 def test_large_inputs_are_dealt_out_by_rows(spark, monkeypatch, tmp_path):
     n = 90
     at = lambda: F.expr("timestamp_ntz'1995-01-01 00:00:00'")
