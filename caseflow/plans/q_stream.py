@@ -49,7 +49,8 @@ def gold_from_text(batch):
         l2.getField("L1_Status").alias("L1_Status"), l2.getField("L1_Country").alias("L1_Country"),
         F.concat_ws(",", l2.getField("L1_Agencies")).alias("agencies"),
         F.concat_ws(",", l2.getField("L1_Situational_Flags")).alias("flags"),
-        X.resolution_days(l2.getField("L1_Status"), F.col("parsed_text")).alias("Resolution_Days"))
+        X.resolution_days(l2.getField("L1_Status"), F.col("parsed_text")).alias("Resolution_Days"),
+        *[c for c in ("_mtime", "_path") if c in batch.columns])
 
 
 @register("stream_gold", truth_sql(f"""

@@ -89,7 +89,8 @@ def gold_stream(spark: SparkSession, bronze_dir: str, schema, transform: Callabl
                 key: str = "case_ref", max_files: int = 100, run_id: str | None = None) -> DataFrame:
     """Each new bronze file is enriched once by ``transform`` and appended; the current
     gold is one row per key: of the file landed last, by ``(modification time, path, row)``. Rows
-    without a key reach no gold; :func:`gold_rejects` returns them."""
+    without a key reach no gold; :func:`gold_rejects` returns them. A ``transform`` that passes the
+    columns ``_mtime`` and ``_path`` on saves the join that otherwise brings them back."""
     ckpt, sink = stream_dirs(spark, "gold", run_id)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(bronze_dir).select(
         "*", F.col("_metadata.file_modification_time").alias("_mtime"), F.col("_metadata.file_path").alias("_path"),
@@ -98,8 +99,10 @@ def gold_stream(spark: SparkSession, bronze_dir: str, schema, transform: Callabl
     def enrich(batch: DataFrame) -> DataFrame:
         order = F.struct("_mtime", "_path", "_row")
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("_r"))
-        rows = newest.select(key, "_r.*")
-        out = transform(rows.drop("_mtime", "_path", "_row"))
+        rows = newest.select(key, "_r.*").drop("_row")
+        out = transform(rows)
+        if {"_mtime", "_path"} <= set(out.columns):
+            return out
         return out.join(rows.select(F.col(key).alias("_k"), "_mtime", "_path"), out[key] == F.col("_k")).drop("_k")
 
     def batch(rows: DataFrame, epoch: int) -> None:

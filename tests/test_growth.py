@@ -128,3 +128,20 @@ def test_large_inputs_are_dealt_out_by_rows(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(FX, "TASK_ROWS", 9)
     large = FX.threads(spark, str(tmp_path))
     assert large.rdd.getNumPartitions() == 10 and sorted(map(repr, large.collect())) == sorted(map(repr, small.collect()))
+
+
+def test_gold_rows_keep_their_file_without_a_join(spark):
+    at = f"{checkpoint_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    schema = "case_ref string, parsed_text string"
+    spark.createDataFrame([("a", "Subject: Re: [SGCON/1/1] Scam - x in y\nCase closed."), ("b", None), (None, "z")], schema).write.parquet(at)
+    seen = []
+
+    def transform(batch):
+        out = gold_from_text(batch)
+        seen.append(out.columns)
+        return out
+
+    got = SM.gold_stream(spark, at, schema, transform)
+    joined = SM.gold_stream(spark, at, schema, lambda b: gold_from_text(b.select("case_ref", "parsed_text")))
+    assert seen[0][-2:] == ["_mtime", "_path"] and got.columns == joined.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, joined.collect())) and got.count() == 2
