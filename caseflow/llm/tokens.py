@@ -22,7 +22,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +121,19 @@ class WordEncoder:
             self.cache.clear()
         if len(self.heads) > CACHE:
             self.heads.clear()
-        new = set(filterfalse(self.cache.__contains__, chain.from_iterable(rest for _, rest in cut)))
+        get = self.cache.get
+        found = [[*map(get, rest)] for _, rest in cut]  # one look-up a piece; what is missing is looked up again
+        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
+        new = {rest[i] for (_, rest), g in zip(cut, gaps, strict=True) for i in g}
         if new:
             self._add(list(new))
+        for (_, rest), f, g in zip(cut, found, gaps, strict=True):
+            for i in g:
+                f[i] = self.cache[rest[i]]
         new = list(filterfalse(self.heads.__contains__, {first for first, _ in cut}))  # a set less the keys would visit every key
         self.heads.update(zip(new, (self._value(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get, head = self.cache.__getitem__, self.heads.__getitem__
-        return ([head(first), *map(get, rest)] for first, rest in cut)
+        head = self.heads.__getitem__
+        return ([head(first), *f] for (first, _), f in zip(cut, found, strict=True))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
