@@ -9,20 +9,21 @@ From such a place on both encodings see the same text and have no memory, so
 they agree; the splice is proven. A document with a pair of chunks that share no
 such place is encoded again with a wider overlap, in the end as one chunk.
 
-Encoding in one go uses the same fact in its simplest form: a single space
-between two characters that are not white space always starts a pre-token, so
-the tokens of a text are the tokens of its space-led words, and each distinct
-word is encoded once while it is in a bounded cache.
+Encoding in one go uses the same fact in its simplest forms: a single space
+between two characters that are not white space always starts a pre-token, and
+one ends where letters, digits or signs do. So the tokens of a text are the
+tokens of its words and signs, and each distinct one is encoded once while it is
+in a bounded cache.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,19 @@ SLICE = 256         # documents handled at a time, so memory follows single docu
 _OTHER_BLANK = re.compile(r"[^\S ]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
+# Runs that end a pre-token where they end, as the byte-level pattern takes letters, digits and other signs in runs. The
+# letters are some that every Unicode version has. The apostrophe is left out of the signs, as 's and the like are
+# pre-tokens. What starts otherwise stays whole up to the next single space between two characters that are not white space.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯΑ-ΡΣ-ώА-ҁҊ-ԣ"
+_PARTS = re.compile(rf"""
+      [ ]?+ [{LETTERS}]++ (?![^\x00-\x7F])
+    | [ ]?+ [!-&(-/:-@\[-`{{-~]++ (?=[{LETTERS}0-9 \n]|\Z)
+    | [ ]?+ [0-9]++ (?![^\x00-\x7F])
+    | (?<!\s) \n (?=\S)
+    | (?s:.) [^ ]*+ (?: (?: (?<=\s)[ ] | [ ](?!\S) ) [^ ]*+ )*+
+    """, re.VERBOSE)
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -78,9 +92,9 @@ def pieces(text: str) -> tuple[str, list[str]]:
 
 
 class WordEncoder:
-    """Encodes texts piece by piece: token counts, or ids as little-endian bytes (``ids=True``).
+    """Encodes texts part by part: token counts, or ids as little-endian bytes (``ids=True``).
 
-    Distinct pieces are encoded once while they are in a cache of bounded size,
+    Distinct parts are encoded once while they are in a cache of bounded size,
     kept on ``sys`` like the tokenizer. New ones are encoded as one text, whose
     tokens are dealt back by their lengths in bytes, which each id has fixed."""
 
@@ -95,45 +109,65 @@ class WordEncoder:
             size[list(vocab.values())] = [len(t) for t in vocab]  # byte-level: one character for each byte
             for i, content in added.items():
                 size[i] = len(content.encode())
-            kept[key] = size
-        self.size = kept[key]
+            how = json.loads(self.tok.to_str())
+            byte_level = how["normalizer"] is None and _BYTE_LEVEL.items() <= (how["pre_tokenizer"] or {}).items()
+            kept[key] = size, [*added.values()], byte_level
+        self.size, self.added, self.byte_level = kept[key]
         self.cache = kept.setdefault((key, ids), {})
         self.heads = kept.setdefault((key, ids, "heads"), {})
 
+    def parts(self, text: str) -> list[str]:
+        """The text cut at places where a pre-token starts; one part at least."""
+        if self.byte_level and not any(a in text for a in self.added):
+            return _PARTS.findall(text) or [""]
+        first, rest = pieces(text)
+        return [first, *(" " + w for w in rest)]
+
     def _value(self, ids):
         return array("I", ids).tobytes() if self.ids else len(ids)
 
-    def _add(self, words: list[str]) -> None:
-        for k in range(0, len(words), 2000):
-            part = words[k:k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            if self.ids:
-                raw, cut = ids.tobytes(), [0, *(at * 4).tolist()]
-                self.cache.update(zip(part, (raw[a:z] for a, z in zip(cut, cut[1:], strict=False)), strict=True))
+    def _add(self, parts: list[str], cache: dict) -> None:
+        """Parts led by a single space follow one another; others that white space neither starts nor ends stand on lines."""
+        led, lines, alone = [], [], []
+        for p in parts:
+            if p[:1] == " " and p[1:2].strip():
+                led.append(p)
+            elif p[:1].strip() and p[-1:].strip():
+                lines.append(p)
             else:
-                self.cache.update(zip(part, np.diff(at, prepend=0).tolist(), strict=True))
+                alone.append(p)
+        for some, mark in ((led, ""), (lines, "\n")):
+            for k in range(0, len(some), 2000):
+                part = some[k:k + 2000]
+                ids = np.array(self.tok.encode_batch_fast([mark.join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.cumsum([len(p.encode()) + len(mark) for p in part])
+                at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+                if self.ids:
+                    raw, cut, less = ids.tobytes(), [0, *(at * 4).tolist()], 4 * len(mark)
+                    cache.update(zip(part, (raw[a:z - less] for a, z in zip(cut, cut[1:], strict=False)), strict=True))
+                else:
+                    cache.update(zip(part, (np.diff(at, prepend=0) - len(mark)).tolist(), strict=True))
+        cache.update(zip(alone, (self._value(e.ids) for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[list]:
-        cut = [pieces(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.heads) > CACHE:
-            self.heads.clear()
+        for cache in (self.cache, self.heads):
+            if len(cache) > CACHE:
+                cache.clear()
         get = self.cache.get
-        found = [[*map(get, rest)] for _, rest in cut]  # one look-up a piece; what is missing is looked up again
-        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
-        new = {rest[i] for (_, rest), g in zip(cut, gaps, strict=True) for i in g}
-        if new:
-            self._add(list(new))
-        for (_, rest), f, g in zip(cut, found, gaps, strict=True):
-            for i in g:
-                f[i] = self.cache[rest[i]]
-        new = list(filterfalse(self.heads.__contains__, {first for first, _ in cut}))  # a set less the keys would visit every key
-        self.heads.update(zip(new, (self._value(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        firsts, found, gaps = [], [], []
+        for t in texts:
+            first, *rest = self.parts(t)
+            values = [*map(get, rest)]  # one look-up a part; what is missing is looked up again
+            firsts.append(first)
+            found.append(values)
+            gaps.append([(i, rest[i]) for i, v in enumerate(values) if v is None])
+        self._add(list({p for g in gaps for _, p in g}), self.cache)
+        for values, g in zip(found, gaps, strict=True):
+            for i, p in g:
+                values[i] = self.cache[p]
+        self._add([p for p in set(firsts) if p not in self.heads], self.heads)
         head = self.heads.__getitem__
-        return ([head(first), *f] for (first, _), f in zip(cut, found, strict=True))
+        return ([head(first), *values] for first, values in zip(firsts, found, strict=True))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
