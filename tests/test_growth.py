@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import re
 import uuid
 from collections import Counter
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from caseflow.operators import text_index as TI
 from caseflow.plans import fixtures as FX
 from caseflow.plans.q_stream import gold_from_text
 from caseflow.session import checkpoint_dir
+from caseflow.sources.versioned import VersionedTable
 from caseflow.streaming import current as CU
 from caseflow.streaming import stream as SM
 
@@ -65,6 +68,43 @@ def test_few_queries_leave_many_items_in_place(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocks.collect()))
 
 
+def _on_disk(spark, seen: set[str]) -> dict[str, int]:
+    """Bytes of files that came since: shuffles, and by first folder what the shared folder has."""
+    out = {}
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [(files.apply(i).getPath(), "shuffle") for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")]
+    top = re.sub("^file:/*", "/", checkpoint_dir(spark))
+    for d, _, names in os.walk(top):
+        found += [(f"{d}/{n}", os.path.relpath(d, top).split("/")[0].split("-")[0]) for n in names if not n.startswith((".", "_"))]
+    for f, kind in found:
+        with suppress(FileNotFoundError):  # shuffles of earlier tests may go meanwhile
+            if f not in seen:
+                out[kind] = out.get(kind, 0) + os.path.getsize(f)
+                seen.add(f)
+    return out
+
+
+def test_an_index_sync_leaves_its_index_alone_on_disk(spark):
+    """No shuffle files, no copies of rows beside the index, and inserts and updates stored once."""
+    chunks = lambda n, word: spark.createDataFrame([(f"c{i}", f"{word} {i} " * 20) for i in range(n)], "chunk_id string, chunk string")
+    embed = SE.fit_tfidf(chunks(600, "text").select("chunk"), "chunk")
+    index = VersionedTable(spark, f"{checkpoint_dir(spark)}/synced-{uuid.uuid4().hex}", SE.index_schema(SE.SPARSE), ("chunk_id",), 4)
+    seen: set[str] = set()
+    _on_disk(spark, seen)
+    SE.sync_index(index, chunks(600, "text"), embed)
+    c = SE.sync_index(index, chunks(500, "text").where("chunk_id <> 'c7'").unionByName(
+        spark.createDataFrame([("c7", "other"), ("new", "text")], "chunk_id string, chunk string")), embed)
+    left = _on_disk(spark, seen)
+    assert c.counts == {"insert": 1, "update": 1, "delete": 100, "buckets": 4} and "shuffle" not in left and "stored" not in left
+    rows_beside = sum(n for kind, n in left.items() if kind != "synced")  # the ids that come again: none
+    assert rows_beside < left["synced"] / 4
+    p, fs = index._path("log")
+    assert len(fs.listStatus(p)) == 1  # none for the inserts of the first commit
+    log = spark.read.parquet(f"{index.folder}/log/{c.log}")
+    assert {r["change"]: r["count"] for r in log.groupBy("change").count().collect()} == {"update_before": 1, "delete": 100}
+    assert index.changes(0).groupBy("commit", "change").count().count() == 5 and index.changes(0, 1).count() == 600
+
+
 def test_index_lists_hold_the_runs_of_whole_characters(spark):
     at, index = (f"{checkpoint_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("texts", "lists"))
     rows = [(0, "Ab😀cd"), (0, "xy"), (1, "😀cd"), (1, None), (2, "")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseflow.session import checkpoint_dir
+from caseflow.sources import versioned
 from caseflow.sources.versioned import Conflict, VersionedTable
 
 SCHEMA = (T.StructType().add("k", "string").add("n", "integer").add("v", "string").add("at", "long")
@@ -88,6 +89,41 @@ def test_two_writers_and_a_dead_one(spark):
     assert t.read().count() == 0 and t.commit().buckets == {} and t.read(1).count() == 1
 
 
+def test_passes_change_no_row(spark, monkeypatch):
+    """Large merges go through their buckets in passes and parts; states, counts and logs stay those of a plain dict."""
+    for name, n in (("PASS_ROWS", 30), ("PART_ROWS", 4), ("PASSES", 3)):
+        monkeypatch.setattr(versioned, name, n)
+    states = [{i: (f"k{i}", i, "a", 0, None) for i in range(60)}]
+    states.append({i: (*r[:2], "b", 1, ["t"]) if i % 3 == 0 else r for i, r in states[0].items() if i % 5} | {99: (None, None, "n", 0, [])})
+    states.append({})
+    t, was = table(spark), {}
+    for number, now in enumerate(states, 1):
+        c = t.replace(spark.createDataFrame([*now.values()], SCHEMA))
+        new, gone, changed = set(now) - set(was), set(was) - set(now), {i for i in set(now) & set(was) if now[i] != was[i]}
+        want = {"insert": len(new), "update": len(changed), "delete": len(gone), "buckets": 5}
+        assert c.number == number and c.counts == {k: n for k, n in want.items() if n}
+        assert rows(t.read()) == sorted(now.values(), key=repr)
+        log = ([("insert", *now[i]) for i in new] + [("delete", *was[i]) for i in gone]
+               + [x for i in changed for x in (("update_before", *was[i]), ("update_after", *now[i]))])
+        assert rows(t.changes(number - 1)) == sorted(((number, *x) for x in log), key=repr)
+        was = now
+    assert rows(t.read(1)) == sorted(states[0].values(), key=repr)
+    none = t.merge(spark.createDataFrame([("k1", 1, "a", 0, None, True)], T.StructType([*SCHEMA.fields, T.StructField("d", T.BooleanType())])), deleted="d")
+    assert none.counts == {"buckets": 0} and none.log is None and t.read().count() == 0
+
+
+def test_changes_of_earlier_layouts_are_read(spark):
+    """A log that holds its inserts and updates after, too, with data that marks none."""
+    t = table(spark, 1, keys=("k",))
+    row = spark.createDataFrame([("a", 1, "x", 1, None)], SCHEMA)
+    row.write.parquet(f"{t.folder}/data/early/bucket=0")
+    row.select(F.lit(1).cast("long").alias("commit"), F.lit("insert").alias("change"), "*").write.parquet(f"{t.folder}/log/early")
+    t._publish(versioned.Commit(1, {"0": "early"}, "early", {"insert": 1, "buckets": 1}, {}))
+    t.merge(spark.createDataFrame([("a", 1, "y", 1, None), ("b", 1, "z", 1, None)], SCHEMA))
+    assert rows(t.changes(0)) == [(1, "insert", "a", 1, "x", 1, None), (2, "insert", "b", 1, "z", 1, None),
+                                  (2, "update_after", "a", 1, "y", 1, None), (2, "update_before", "a", 1, "x", 1, None)]
+
+
 def test_compaction_changes_no_state(spark):
     from caseflow.operators.compaction import CompactedLog
     shape = T.StructType().add("k", "string").add("v", "string").add("at", "long").add("seq", "long").add("deleted", "boolean")
